@@ -104,9 +104,9 @@ def mask_postshot(states: DataFrame) -> DataFrame:
     return states.withColumn("a0", masked)
 
 
-def decode_categories(df: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataFrame:
-    """Replace ids by names in all columns that start with type_id, result_id, bodypart_id.
-    Columns that already hold names keep the names of the vocabulary."""
+def decode_categories(df: DataFrame, vocab: Vocabulary = Vocabulary(), skip=()) -> DataFrame:
+    """Replace ids by names in all columns that start with type_id, result_id, bodypart_id,
+    except ``skip``. Columns that already hold names keep the names of the vocabulary."""
     types = dict(df.dtypes)
 
     def decoded(column, kind):
@@ -115,7 +115,7 @@ def decode_categories(df: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataFr
             return F.when(F.col(column).isin(*levels), F.col(column))
         return name_of(F.col(column), levels)
 
-    changed = {c: decoded(c, k) for c in df.columns for k in KINDS if c.startswith(f"{k}_id")}
+    changed = {c: decoded(c, k) for c in df.columns for k in KINDS if c.startswith(f"{k}_id") and c not in skip}
     return df.withColumns(changed) if changed else df
 
 

@@ -339,7 +339,7 @@ class StackedModel:
         self.estimator, self.key, self.folds = estimator, list(key), folds
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        fold = fold_of(self.key, self.folds)
+        df, fold = materialize(df, "training"), fold_of(self.key, self.folds)
         out = None
         for k in range(self.folds):
             part = self.estimator.fit(df.filter(fold != k)).transform(df.filter(fold == k))

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotspark.scale import exact_quantiles, prefix_sums
+from shotspark.scale import exact_quantiles, materialize, prefix_sums
 
 TOP = 1e-8  # widens the last bin, so that 1.0 falls into it
 
@@ -217,21 +217,17 @@ def residual_area(curve: DataFrame) -> DataFrame:
 def validate_scores(df: DataFrame) -> tuple[dict, DataFrame]:
     """All scalar metrics of a prediction table (p, y), and the smoothed calibration curve.
 
-    The table is held while the metrics run over it; only scalars and the 99 curve points
-    reach the driver.
+    The table is written once, as several metrics read it; only scalars and the 99 curve
+    points reach the driver.
     """
-    held = df.select("p", F.col("y").cast("int").alias("y")).persist()
-    try:
-        check_scored(held)
-        spark = df.sparkSession
-        points = kde_curve(held).collect()
-        curve = spark.createDataFrame(points, "sample double, predicted double, n_smoothed double")
-        scalars = {}
-        for one in (
-            max_deviation(curve), residual_area(curve), roc_auc(held), brier(held),
-            ece(held, 10, "uniform", "ece"), ece(held, 10, "quantile", "ace"),
-        ):
-            scalars.update(one.first().asDict())
-        return scalars, curve
-    finally:
-        held.unpersist()
+    held = materialize(df.select("p", F.col("y").cast("int").alias("y")), "scored")
+    check_scored(held)
+    points = kde_curve(held).collect()
+    curve = df.sparkSession.createDataFrame(points, "sample double, predicted double, n_smoothed double")
+    scalars = {}
+    for one in (
+        max_deviation(curve), residual_area(curve), roc_auc(held), brier(held),
+        ece(held, 10, "uniform", "ece"), ece(held, 10, "quantile", "ace"),
+    ):
+        scalars.update(one.first().asDict())
+    return scalars, curve

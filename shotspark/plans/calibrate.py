@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shotspark.operators.encoders import fold_of
 from shotspark.operators.metrics import validate_scores
+from shotspark.scale import materialize
 
 METHODS = [None, "sigmoid", "isotonic", "beta", "beta_am", "beta_ab"]
 EDGE = 1e-12  # probabilities are kept this far from 0 and 1 before taking logarithms
@@ -59,15 +60,14 @@ class Calibrator:
             rows.select("label", "w", *[c.alias(n) for c, n in zip(inputs, names)])
         )
         estimator = LogisticRegression(
-            featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, maxIter=500, tol=1e-10,
+            featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, maxIter=500, tol=1e-8,
             fitIntercept=self.method != "beta_ab",
         )
         if self.method.startswith("beta"):
             from pyspark.ml.linalg import DenseMatrix
 
             estimator = estimator.setLowerBoundsOnCoefficients(DenseMatrix(1, len(names), [0.0] * len(names)))
-        fitted = estimator.fit(table.persist())
-        table.unpersist()
+        fitted = estimator.fit(table)
         w, c = [float(v) for v in fitted.coefficients], float(fitted.intercept)
         if self.method == "sigmoid":
             self.parameters = (w[0], c)
@@ -137,7 +137,7 @@ class CalibratedClassifier:
             return self
         if min(sizes.values()) < self.folds:
             raise ValueError(f"{self.folds} folds need as many rows of every class")
-        fold, self.parts = fold_of(self.key, self.folds), []
+        df, fold, self.parts = materialize(df, "training"), fold_of(self.key, self.folds), []
         for k in range(self.folds):
             model = self.base.fit(df.filter(fold != k))
             self.parts.append((model, self._calibrators(model, df.filter(fold == k))))
@@ -147,12 +147,11 @@ class CalibratedClassifier:
         scored = model.transform(df)
         scores = _score_array(scored.columns, self.score_type, self.method, len(self.classes))
         keep = [F.col(self.weight).alias("w")] if self.weight else []
-        table = scored.select(scores.alias("scores"), F.col(self.label).alias("label"), *keep).persist()
+        table = materialize(scored.select(scores.alias("scores"), F.col(self.label).alias("label"), *keep), "scores")
         out = []
         for i, c in enumerate(self.classes[1:] if len(self.classes) == 2 else self.classes):
             one = table.select(F.col("scores")[i].alias("score"), (F.col("label") == c).cast("int").alias("y"), *(["w"] if self.weight else []))
             out.append(Calibrator(self.method).fit(one, weight="w" if self.weight else None))
-        table.unpersist()
         return out
 
     def _probabilities(self, df, scores: Column, calibrators) -> DataFrame:

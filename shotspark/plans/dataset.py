@@ -44,7 +44,7 @@ def shot_features(
     states = shot_states(data, shot_filter, n)
     accessors = [field_of(c) for c in state_columns(states)]
     columns = [c for g in generators for c in g(accessors)]
-    table = decode_categories(states.select(*KEY, *keep, *columns), data.vocab)
+    table = decode_categories(states.select(*KEY, *keep, *columns), data.vocab, skip=keep)
     return drop_constant(table, (*KEY, *keep)) if only_varying else table
 
 

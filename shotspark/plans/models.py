@@ -16,6 +16,7 @@ from shotspark.functions import filters
 from shotspark.operators.metrics import validate_scores
 from shotspark.plans.dataset import KEY, pitch_grid, shot_features
 from shotspark.plans.prep import prep_linear
+from shotspark.scale import materialize
 from shotspark.sources.tables import ShotData, select_games
 
 PENALTY_XG = 0.792453  # fixed value: share of penalties that are scored
@@ -65,7 +66,7 @@ class SkLogistic(Estimator):
         estimator = LogisticRegression(
             labelCol=label, featuresCol=self.getOrDefault("featuresCol"), regParam=alpha,
             elasticNetParam=1.0 if self.getOrDefault("penalty") == "l1" else 0.0,
-            standardization=False, fitIntercept=self.getOrDefault("fitIntercept"), maxIter=1000, tol=1e-9,
+            standardization=False, fitIntercept=self.getOrDefault("fitIntercept"), maxIter=1000, tol=1e-7,
         )
         return (estimator.setWeightCol(weight) if weight else estimator).fit(df)
 
@@ -143,11 +144,8 @@ class ShotModel:
         frame = frame.withColumn("label", F.col(target).cast("double"))
         if not self.custom:
             frame = frame.select(*self.column_descriptions, "label")
-        frame = frame.persist()
-        try:
-            self.fitted = self.pipeline.fit(frame)
-        finally:
-            frame.unpersist()
+        # a fit runs many jobs; a written table spares each of them the lineage of the features
+        self.fitted = self.pipeline.fit(materialize(frame, "training"))
         return self
 
     def _of_kind(self, table: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from shotspark.operators.encoders import fold_of
 from shotspark.operators.metrics import brier
 from shotspark.plans.models import SkLogistic, positive_probability
 from shotspark.plans.prep import prep_linear, prep_tree
+from shotspark.scale import materialize
 
 
 class BrierEvaluator(Evaluator):
@@ -130,7 +131,7 @@ class RandomSearch:
             estimator=self.pipeline, estimatorParamMaps=self.draws, evaluator=scorer(self.scoring),
             numFolds=self.folds, parallelism=self.parallelism, seed=self.seed, foldCol="_fold",
         )
-        return validator.fit(df.withColumn("_fold", fold_of(self.key, self.folds)))
+        return validator.fit(materialize(df.withColumn("_fold", fold_of(self.key, self.folds)), "training"))
 
     def table(self, fitted: CrossValidatorModel) -> DataFrame:
         """(draw, parameters, score) of all candidates."""

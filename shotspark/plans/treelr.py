@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.plans.models import SkLogistic
+from shotspark.scale import materialize
 
 
 class TreeLR:
@@ -27,11 +28,10 @@ class TreeLR:
 
     def fit(self, df: DataFrame) -> "TreeLR":
         self.forest_model = self.forest.fit(df)
-        leaves = self._leaves(df).persist()
+        leaves = materialize(self._leaves(df), "leaves")
         # all leaves are kept: a tree of depth d has at most 2^d
         self.encoder = CountVectorizer(inputCol="_tokens", outputCol="_onehot", binary=True, vocabSize=1 << 22).fit(leaves)
         self.lr_model = self.lr.copy({self.lr.featuresCol: "_onehot"}).fit(self.encoder.transform(leaves))
-        leaves.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from shotspark.functions import features as fs
 from shotspark.functions import filters
 from shotspark.operators import report
 from shotspark.plans import calibrate, dataset, models, prep, search, treelr
-from shotspark.scale import scratch_path
+from shotspark.scale import materialize, scratch_path
 from shotspark.sources import tables
 from workload import adapter
 from workload.adapter import sql
@@ -137,7 +137,7 @@ def _openplay(spark, sf):
 def _split(spark, sf):
     """Train, validation and test rows by the date of the game."""
     games = tables.sample_temporal(adapter.games(spark, sf), 0.2, 0.3).select("game_id", "split")
-    rows = _openplay(spark, sf).join(games, "game_id").persist()
+    rows = materialize(_openplay(spark, sf).join(games, "game_id"), "split")
     return [rows.filter(F.col("split") == s) for s in ("train", "val", "test")]
 
 
@@ -314,7 +314,7 @@ def _vectors(spark, sf):
 
 
 def _multiclass(spark, sf):
-    rows = _vectors(spark, sf).persist()
+    rows = _vectors(spark, sf)
     fold = F.pmod(F.xxhash64("vec_id"), F.lit(2))
     model = LogisticRegression(regParam=0.01).fit(rows.filter(fold == 0))
     fitted = calibrate.CalibratedClassifier(model, "isotonic", score_type="probability", key=("vec_id",)).fit(rows.filter(fold == 1))
