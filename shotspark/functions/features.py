@@ -7,7 +7,7 @@ named columns. A state is a callable from field name to Column, see ``filters.fi
 Any function of this shape can be passed as a user generator.
 """
 
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +90,13 @@ def _polar(x: Column, y: Column) -> tuple[Column, Column]:
     return length_of(dx, dy), F.when(dx == 0, on_goal_line).otherwise(F.atan(F.try_divide(dy, dx)))
 
 
+def start_polar_of(a) -> tuple[Column, Column]:
+    return getattr(a, "polar", None) or _polar(a("start_x"), a("start_y"))
+
+
 @simple
 def startpolar(a):
-    distance, angle = _polar(a("start_x"), a("start_y"))
+    distance, angle = start_polar_of(a)
     return {"start_dist_to_goal": distance, "start_angle_to_goal": angle}
 
 
@@ -171,7 +175,7 @@ def speed(states):
 
 def _digitize(value: Column, edges) -> Column:
     """Number of ascending edges at or below the value."""
-    return sum((F.when(value >= F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0))
+    return reduce(lambda n, e: n + (value >= float(e)).cast("int"), edges, F.lit(0))
 
 
 def _within_levels(zone: Column, levels: int) -> Column:
@@ -183,7 +187,7 @@ def triangular_grid(name, angle_bins, dist_bins, symmetrical=False):
 
     @simple
     def generator(a):
-        distance, angle = _polar(a("start_x"), a("start_y"))
+        distance, angle = start_polar_of(a)
         if symmetrical:
             angle = F.when(angle > F.pi() / 2, angle - F.pi() / 2).otherwise(angle)
         d, t = _digitize(distance, dist_bins), _digitize(angle, angle_bins)

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 SHOT_TYPES = ["shot", "shot_penalty", "shot_freekick"]
 
 
-def field_of(prefix: str = ""):
-    """Accessor of action fields: columns of a table, or fields of a struct column."""
-    return lambda name: F.col(f"{prefix}.{name}" if prefix else name)
+def field_of(prefix: str = "", polar=None):
+    """Accessor of action fields: columns of a table, or fields of a struct column. ``polar``
+    are columns with distance and angle of the start point, where they have been computed."""
+
+    def accessor(name):
+        return F.col(f"{prefix}.{name}" if prefix else name)
+
+    accessor.polar = polar
+    return accessor
 
 
 def _counted(a) -> Column:

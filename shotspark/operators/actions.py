@@ -52,18 +52,17 @@ def gamestates(actions: DataFrame, n: int = 3, hot: DataFrame | str | None = "co
     ``hot`` lists the games too large for one task (see ``scale.hot_keys``); by default they
     are counted here, ``None`` says that there are none.
     """
-    row = F.struct(*[c for c in FIELDS if c in actions.columns])
+    # the window sees the finished struct, so that rows are sorted with one copy of the fields
+    actions = actions.withColumn("a0", F.struct(*[c for c in FIELDS if c in actions.columns]))
     if n == 1:
-        return actions.withColumn("a0", row)
+        return actions
     keys = ["game_id", "period_id"]
     order = ["time_seconds", "action_id"]
 
     def states(part, group, order):
         w = Window.partitionBy(*group).orderBy(*order)
-        start = F.first(row).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return part.withColumns(
-            {"a0": row, **{f"a{i}": F.coalesce(F.lag(row, i).over(w), start) for i in range(1, n)}}
-        )
+        start = F.first("a0").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return part.withColumns({f"a{i}": F.coalesce(F.lag("a0", i).over(w), start) for i in range(1, n)})
 
     if isinstance(hot, str):
         hot = hot_keys(actions, ["game_id"])

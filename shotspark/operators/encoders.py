@@ -286,22 +286,26 @@ class BoxCox:
         return F.log(x) if lmbda == 0 else (F.pow(x, F.lit(lmbda)) - 1.0) / F.lit(lmbda)
 
     def _search(self, scaled: DataFrame) -> float:
-        """Each round evaluates the likelihood on a grid in one aggregate and zooms in."""
-        low, high = -4.0, 4.0
-        for _ in range(4):
-            grid = [low + (high - low) * i / 20 for i in range(21)]
-            # powers of small numbers overflow less when compared on the log scale of their spread
-            row = scaled.agg(
-                F.count("x").alias("n"), F.sum(F.log("x")).alias("logs"),
-                *[F.var_pop(self._power(F.col("x"), g)).alias(f"v{i}") for i, g in enumerate(grid)],
-            ).first()
-
-            def likelihood(i):
-                v = row[f"v{i}"]
-                return -math.inf if not v or v <= 0 else (grid[i] - 1) * row["logs"] - row["n"] / 2 * math.log(v)
-
-            best = max(range(21), key=likelihood)
-            low, high = grid[max(best - 1, 0)], grid[min(best + 1, 20)]
+        """Each round evaluates the likelihood on a grid in one aggregate and zooms in. The grid
+        is exploded, as one wide aggregate would be too large for compiled code."""
+        scaled = materialize(scaled.select("x", F.log("x").alias("logs")), "scaled")
+        low, high, steps = -4.0, 4.0, 10
+        for _ in range(6):
+            grid = [low + (high - low) * i / steps for i in range(steps + 1)]
+            k = F.col("k")
+            power = F.when(k == 0, F.col("logs")).otherwise(F.try_divide(F.exp(k * F.col("logs")) - 1.0, k))
+            rows = (
+                scaled.withColumn("k", F.explode(F.array(*[F.lit(g) for g in grid])))
+                .groupBy("k")
+                .agg(F.count("x").alias("n"), F.sum("logs").alias("logs"), F.var_pop(power).alias("v"))
+                .collect()
+            )
+
+            def likelihood(r):
+                return -math.inf if not r["v"] or r["v"] <= 0 else (r["k"] - 1) * r["logs"] - r["n"] / 2 * math.log(r["v"])
+
+            best = grid.index(max(rows, key=likelihood)["k"])
+            low, high = grid[max(best - 1, 0)], grid[min(best + 1, steps)]
         return grid[best]
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -42,7 +42,11 @@ def shot_features(
         shots = _named_actions(data).join(data.games.select("game_id"), "game_id", "left_semi")
         return shots.filter((shot_filter or any_shot)(field_of())).select(*KEY, *keep)
     states = shot_states(data, shot_filter, n)
-    accessors = [field_of(c) for c in state_columns(states)]
+    # several generators use distance and angle, so they become columns of their own
+    names = state_columns(states)
+    polar = {c: fs.start_polar_of(field_of(c)) for c in names}
+    states = states.withColumns({f"_{k}_{c}": v for c in names for k, v in zip(("distance", "angle"), polar[c])})
+    accessors = [field_of(c, (F.col(f"_distance_{c}"), F.col(f"_angle_{c}"))) for c in names]
     columns = [c for g in generators for c in g(accessors)]
     table = decode_categories(states.select(*KEY, *keep, *columns), data.vocab, skip=keep)
     return drop_constant(table, (*KEY, *keep)) if only_varying else table

@@ -14,7 +14,7 @@ _memo: dict = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return _once(spark, sf, f"table {name}", lambda: spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _once(spark, sf, name, build):
@@ -32,6 +32,10 @@ def hot_games(spark, sf):
 
 
 def games(spark, sf) -> DataFrame:
+    return _once(spark, sf, "games", lambda: _games(spark, sf))
+
+
+def _games(spark, sf):
     game = F.col("game_id")
     return (
         table(spark, sf, "events").select(F.col("user_id").alias("game_id")).distinct()

@@ -15,6 +15,11 @@ def session(cpus=None, memory="12g"):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # larger methods are not compiled by the JVM; wide feature projections exceed that
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # no call sites in error messages; recording them for each column slows down plan building
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
