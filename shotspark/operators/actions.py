@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shotspark.functions.filters import field_of
 from shotspark.functions.vocab import LENGTH, WIDTH, Vocabulary, name_of
-from shotspark.scale import POS, chunked, hot_keys, split_hot
+from shotspark.scale import POS, chunked, hot_keys, materialize, split_hot
 
 KINDS = ["type", "result", "bodypart"]
 
@@ -128,5 +128,6 @@ def varying_columns(df: DataFrame, keys=()) -> list[str]:
 
 def drop_constant(df: DataFrame, keys=("game_id", "action_id")) -> DataFrame:
     """Keep the keys and the columns that vary. Fit-time only: store the column list with the
-    model and select it when scoring."""
+    model and select it when scoring. The table is written first, as it is read twice."""
+    df = materialize(df, "features")
     return df.select(*[c for c in keys if c in df.columns], *varying_columns(df, keys))

@@ -18,6 +18,8 @@ HOT_ROWS = 1_000_000  # rows of one key that a single task may sort
 CHUNK_ROWS = 100_000  # rows of a hot key handled together after numbering
 BROADCAST_ROWS = 200_000  # lookup tables up to this many rows are broadcast
 
+_local_folders: list = []  # temporary folders of local sessions, removed at exit
+
 SLICE = "_slice"
 POS = "_pos"
 
@@ -33,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="shotspark-"))
+    _local_folders.append(tempfile.TemporaryDirectory(prefix="shotspark-", ignore_cleanup_errors=True))
+    sc.setCheckpointDir(_local_folders[-1].name)
     return sc.getCheckpointDir()
 
 

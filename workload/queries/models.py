@@ -15,6 +15,7 @@ from shotspark.sources import tables
 from workload import adapter
 from workload.adapter import sql
 from workload.catalog import query, rounded
+from workload.newton import newton
 
 KEY = dataset.KEY
 NUMERIC = ["start_x_a0", "start_y_a0", "start_dist_to_goal_a0", "shot_angle_a0"]
@@ -107,12 +108,79 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([scalars], ", ".join(f"{n} double" for n in scalars)))
 
 
-@query("predict_coefficients")
+def _shot_rows(where):
+    """View ``z``: shots with distance and angle scaled, body part indicators and label."""
+    return f"""s as (
+  select game_id, action_id, season_id, player_id, type_name, bodypart_name, case when result_name = 'success' then 1.0e0 else 0.0e0 end as y,
+         sqrt(pow(105 - x, 2) + pow(34 - y0, 2)) as d,
+         case when x = 105 then case when y0 = 34 then 0.0e0 else pi() / 2 end else atan(abs(34 - y0) / (105 - x)) end as a
+  from (select a.*, season_id,
+               case when team_id <> home_team_id then 105 - start_x else start_x end as x,
+               case when team_id <> home_team_id then 68 - start_y else start_y end as y0
+        from actions a join games g on a.game_id = g.game_id) t where {where}),
+z as (
+  select 1.0e0 as w, 1.0e0 as one, y, (d - avg(d) over ()) / stddev_pop(d) over () as d,
+         (a - avg(a) over ()) / stddev_pop(a) over () as a,
+         case when bodypart_name = 'foot' then 1.0e0 else 0.0e0 end as foot,
+         case when bodypart_name = 'head' then 1.0e0 else 0.0e0 end as head,
+         case when bodypart_name = 'other' then 1.0e0 else 0.0e0 end as other from s)"""
+
+
+COEFFICIENTS = ["foot", "head", "other", "d", "a"]
+NAMES = ["bodypart_id_a0__h_foot", "bodypart_id_a0__h_head", "bodypart_id_a0__h_other",
+         "start_dist_to_goal_a0__z", "start_angle_to_goal_a0__z"]
+
+
+@query(
+    "predict_coefficients",
+    sql(
+        f"""with {_shot_rows("type_name = 'shot' and result_name in ('fail', 'success')")},
+{newton("z", COEFFICIENTS, [1] * 5)}
+{" union all ".join(f"select '{name}' as feature, round(b{i}, 3) as coefficient from fitted" for i, name in enumerate(NAMES))}"""
+    ),
+)
 def _(spark, sf):
     data = adapter.data(spark, sf)
     model = models.OpenplayModel().train(data)
     frame = dataset.shot_features(data, model.generators, filters.openplay, 1)
-    return rounded(models.coefficients(spark, model.fitted, frame))
+    return rounded(models.coefficients(spark, model.fitted, frame), 3)
+
+
+@query(
+    "freekick_coefficients",
+    sql(
+        f"""with {_shot_rows("type_name = 'shot_freekick'")}, {newton("z", ["d", "a", "one"], [1, 1, 0])}
+select round(b0, 3) as distance, round(b1, 3) as angle, round(b2, 3) as intercept from fitted"""
+    ),
+)
+def _(spark, sf):
+    """The free-kick model, whose intercept is not penalised."""
+    model = models.FreekickModel().train(adapter.data(spark, sf)).fitted.stages[-1]
+    row = (*[float(v) for v in model.coefficients], float(model.intercept))
+    return rounded(spark.createDataFrame([row], "distance double, angle double, intercept double"), 3)
+
+
+@query(
+    "weighted_coefficients",
+    sql(
+        f"""with {_shot_rows("type_name = 'shot' and result_name in ('fail', 'success')")},
+bal as (select * replace (case when y = 1 then count(*) over () / (2.0e0 * sum(y) over ())
+                               else count(*) over () / (2.0e0 * sum(1 - y) over ()) end as w) from z),
+{newton("bal", ["d", "a", "one"], [4, 4, 0])}
+select round(b0, 3) as distance, round(b1, 3) as angle, round(b2, 3) as intercept from fitted"""
+    ),
+)
+def _(spark, sf):
+    """Balanced class weights and a stronger penalty, as searches draw them."""
+    rows = dataset.training_frame(adapter.data(spark, sf), [fs.startpolar], filters.openplay, n=1)
+    rows = materialize(rows.withColumn("label", F.col("goal").cast("double")), "training")
+    pipeline = Pipeline(stages=[
+        prep.prep_linear(["start_dist_to_goal_a0", "start_angle_to_goal_a0"], []),
+        models.SkLogistic(C=0.25, classWeight="balanced"),
+    ])
+    model = pipeline.fit(rows).stages[-1]
+    row = (*[float(v) for v in model.coefficients], float(model.intercept))
+    return rounded(spark.createDataFrame([row], "distance double, angle double, intercept double"), 3)
 
 
 def _bodyparts(spark, sf):
@@ -253,6 +321,51 @@ def _(spark, sf):
     return rounded(calibrate.Calibrator(None).fit(scored).transform(scored).select(*KEY, "p"))
 
 
+CLIPPED = """c as (select least(greatest(p, 1e-12), 1 - 1e-12) as p, p as s, cast(y as double) as y from scored),
+x as (select 1.0e0 as w, 1.0e0 as one, y, s, ln(p) as lp, -ln(1 - p) as lq, ln(p) - ln(1 - p) as lo,
+             ln(2 * p) as hp, -ln(2 * (1 - p)) as hq from c)"""
+
+
+@query(
+    "calib_parameters",
+    sql(
+        f"""select 'sigmoid' as method, a, b, c from (
+  with {CLIPPED}, {newton("x", ["s", "one"], [0, 0])} select round(b0, 3) as a, 0.0e0 as b, round(b1, 3) as c from fitted) t1
+union all select 'beta_am', a, a, c from (
+  with {CLIPPED}, {newton("x", ["lo", "one"], [0, 0])} select round(greatest(b0, 0), 3) as a,
+    -- with the slope at its bound, the intercept alone is fitted
+    round(case when b0 > 0 then b1 else (select ln(avg(y) / (1 - avg(y))) from scored) end, 3) as c from fitted) t2""",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    """Fitted parameters on the deterministic scores."""
+    scored = adapter.scored(spark, sf)
+    a, c = calibrate.Calibrator("sigmoid").fit(scored, "p").parameters
+    rows = [("sigmoid", a, 0.0, c), ("beta_am", *calibrate.Calibrator("beta_am").fit(scored, "p").parameters)]
+    return rounded(spark.createDataFrame(rows, "method string, a double, b double, c double"), 3)
+
+
+@query(
+    "calib_isotonic_scores",
+    sql(
+        """with v as (select p, avg(y) as m, count(*) as n, row_number() over (order by p) as i from scored group by p),
+spans as (
+  select j.i as j, k.i as k, sum(k.m * k.n) over w / sum(k.n) over w as mean
+  from v j join v k on j.i <= k.i window w as (partition by j.i order by k.i)),
+lowest as (select j, k as i, min(mean) over (partition by j order by k desc) as low from spans),
+levels as (select i, max(low) as q from lowest group by i)
+select game_id, action_id, round(q, 6) as q from scored join v on v.p = scored.p join levels on levels.i = v.i""",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    """Monotone fit on the deterministic scores; the SQL uses the max-min formula."""
+    scored = adapter.scored(spark, sf)
+    out = calibrate.Calibrator("isotonic").fit(scored, "p").transform(scored, "p", "q")
+    return rounded(out.select(*KEY, "q"))
+
+
 def _calibrated(method):
     def run(spark, sf):
         """Calibrate a fitted model on the validation rows, apply to the test rows."""
