@@ -1,11 +1,15 @@
-"""Evaluation of scored rows: a probability column ``p`` and a 0/1 label column ``y``."""
+"""Evaluation of scored rows: a probability column ``p`` and a 0/1 label column ``y``.
+
+Most metrics depend only on the numbers of positives and negatives at each score. They also
+take a table (p, pos, neg) of such counts, so that several metrics can share one.
+"""
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotspark.scale import exact_quantiles, materialize, prefix_sums
+from shotspark.scale import exact_quantiles, materialize, prefix_sums, quantiles_of_ranks
 
 TOP = 1e-8  # widens the last bin, so that 1.0 falls into it
 
@@ -47,7 +51,10 @@ def uniform_edges(n_bins: int) -> list[float]:
 
 
 def quantile_edges(df: DataFrame, n_bins: int) -> list[float]:
-    edges = exact_quantiles(df, "p", [i / n_bins for i in range(n_bins + 1)])
+    return _closed(exact_quantiles(df, "p", [i / n_bins for i in range(n_bins + 1)]))
+
+
+def _closed(edges) -> list[float]:
     return edges[:-1] + [edges[-1] + TOP]
 
 
@@ -56,17 +63,25 @@ def bin_of(value: Column, edges) -> Column:
     return reduce(lambda a, b: a + b, [(value >= F.lit(e)).cast("int") for e in edges]) - 1
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """(p, pos, neg), one row per scored row unless the table holds counts already."""
+    if "pos" in df.columns:
+        return df
+    y = F.col("y").cast("long")
+    return df.select("p", y.alias("pos"), (1 - y).alias("neg"))
+
+
 def reliability(df: DataFrame, edges) -> DataFrame:
     """Accuracy, confidence and size per bin; a row of zeros for an empty bin."""
-    p, n_bins = F.col("p"), len(edges) - 1
-    hit = ((p >= 0.5) == (F.col("y") == 1)).cast("double")
+    p, n, n_bins = F.col("p"), F.col("pos") + F.col("neg"), len(edges) - 1
+    right = F.when(p >= 0.5, F.col("pos")).otherwise(F.col("neg"))
     stats = (
-        df.withColumn("bin", bin_of(p, edges))
-        .groupBy("bin")
+        counted(df)
+        .groupBy(bin_of(p, edges).alias("bin"))
         .agg(
-            F.avg(hit).alias("accuracy"),
-            F.avg(F.greatest(p, 1 - p)).alias("confidence"),
-            F.count("*").alias("n"),
+            (F.sum(right) / F.sum(n)).alias("accuracy"),
+            (F.sum(F.greatest(p, 1 - p) * n) / F.sum(n)).alias("confidence"),
+            F.sum(n).alias("n"),
         )
     )
     bins = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
@@ -83,7 +98,10 @@ def edges_for(df: DataFrame, n_bins: int, strategy: str) -> list[float]:
 
 def ece(df: DataFrame, n_bins: int = 5, strategy: str = "uniform", name: str = "ece") -> DataFrame:
     """Expected calibration error; with ``strategy='quantile'`` the adaptive variant (ACE)."""
-    bins = reliability(df, edges_for(df, n_bins, strategy))
+    return _binned_error(reliability(df, edges_for(df, n_bins, strategy)), name)
+
+
+def _binned_error(bins: DataFrame, name: str) -> DataFrame:
     error = F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence")))
     return bins.agg((error / F.sum("n")).alias(name))
 
@@ -122,11 +140,11 @@ def score_histogram(df: DataFrame) -> DataFrame:
 # --- ranking ----------------------------------------------------------------------------
 
 
-def _by_score(df: DataFrame) -> DataFrame:
+def by_score(df: DataFrame) -> DataFrame:
     """Positives and negatives per distinct score, with those at higher scores before them."""
-    counts = df.groupBy("p").agg(
-        F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg")
-    )
+    if "pos_above" in df.columns:
+        return df
+    counts = counted(df).groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     falling = counts.withColumn("_minus_p", -F.col("p"))
     return prefix_sums(falling, ["_minus_p"], {"pos_above": "pos", "neg_above": "neg"}).drop("_minus_p")
 
@@ -135,12 +153,12 @@ def roc_auc(df: DataFrame) -> DataFrame:
     """Area under the ROC curve; a positive and a negative with equal scores count half."""
     won = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return _by_score(df).agg((won / F.nullif(pairs, F.lit(0.0))).alias("roc"))
+    return by_score(df).agg((won / F.nullif(pairs, F.lit(0.0))).alias("roc"))
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
     """False and true positive rate at every distinct score taken as threshold."""
-    ranked = _by_score(df)
+    ranked = by_score(df)
     totals = df.agg(
         F.sum(F.col("y").cast("long")).alias("_p"), F.sum(1 - F.col("y").cast("long")).alias("_n")
     ).first()
@@ -153,7 +171,8 @@ def roc_curve(df: DataFrame) -> DataFrame:
 
 
 def brier(df: DataFrame) -> DataFrame:
-    return df.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
+    return counted(df).agg((F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / F.sum(pos + neg)).alias("brier"))
 
 
 # --- smoothed calibration curve ---------------------------------------------------------
@@ -167,7 +186,7 @@ def kde_curve(df: DataFrame, n_bins: int = 100) -> DataFrame:
     Equal scores are counted together first; each distinct score then adds to the 99 grid
     points, and those sums are combined before the shuffle.
     """
-    counts = df.groupBy("p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
+    counts = counted(df).groupBy("p").agg(F.sum("pos").alias("pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
     grid = F.array(*[F.lit(i) for i in range(1, 100)])
     z = (F.col("p") - F.col("i") / 100.0) * float(n_bins)
     kernel = F.exp(-0.5 * z * z)
@@ -217,17 +236,22 @@ def residual_area(curve: DataFrame) -> DataFrame:
 def validate_scores(df: DataFrame) -> tuple[dict, DataFrame]:
     """All scalar metrics of a prediction table (p, y), and the smoothed calibration curve.
 
-    The table is written once, as several metrics read it; only scalars and the 99 curve
-    points reach the driver.
+    The rows are counted per distinct score and ranked once; all metrics are aggregates of
+    that table. Only scalars and the 99 curve points reach the driver.
     """
-    held = materialize(df.select("p", F.col("y").cast("int").alias("y")), "scored")
-    check_scored(held)
-    points = kde_curve(held).collect()
-    curve = df.sparkSession.createDataFrame(points, "sample double, predicted double, n_smoothed double")
+    scores = materialize(df.select("p", F.col("y").cast("int").alias("y")), "scored")
+    check_scored(scores)
+    ranked = materialize(by_score(scores), "ranked")
+    curve = materialize(kde_curve(ranked).coalesce(1), "curve")
+    own = F.col("pos") + F.col("neg")
+    total = ranked.agg(F.sum(own)).first()[0]
+    ranks = ranked.select("p", own.alias("_n"), (total - own - F.col("pos_above") - F.col("neg_above")).alias("_before"))
+    edges = quantiles_of_ranks(ranks, "p", [i / 10 for i in range(11)])
     scalars = {}
     for one in (
-        max_deviation(curve), residual_area(curve), roc_auc(held), brier(held),
-        ece(held, 10, "uniform", "ece"), ece(held, 10, "quantile", "ace"),
+        max_deviation(curve), residual_area(curve), roc_auc(ranked), brier(ranked),
+        _binned_error(reliability(ranked, uniform_edges(10)), "ece"),
+        _binned_error(reliability(ranked, _closed(edges)), "ace"),
     ):
         scalars.update(one.first().asDict())
     return scalars, curve

@@ -169,6 +169,11 @@ def exact_quantiles(df: DataFrame, column: str, probs) -> list[float]:
     summed in order of the value, and only the two rows around each rank are collected."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
     ranked = materialize(prefix_sums(counted, [column], {"_before": "_n"}), "ranks")
+    return quantiles_of_ranks(ranked, column, probs)
+
+
+def quantiles_of_ranks(ranked: DataFrame, column: str, probs) -> list[float]:
+    """The same for distinct values with their number ``_n`` and the number ``_before`` them."""
     total = ranked.agg(F.sum("_n")).first()[0]
     if not total:
         raise ValueError(f"no values in {column}")

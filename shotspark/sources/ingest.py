@@ -4,7 +4,7 @@ conversion of single raw events to actions is the provider's business and not do
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.scale import number_rows
+from shotspark.scale import hot_keys, number_rows
 from shotspark.sources.tables import dedupe
 
 # Event subtypes taken with another body part, and the header subtype
@@ -107,14 +107,16 @@ def name_competitions(competitions: DataFrame, leagues: dict) -> DataFrame:
     )
 
 
-def number_actions(events: DataFrame, order, hot: DataFrame | None = None) -> DataFrame:
-    """Add action_id 0..n-1 in each game, in the given order."""
+def number_actions(events: DataFrame, order, hot: DataFrame | str | None = "count") -> DataFrame:
+    """Add action_id 0..n-1 in each game, in the given order. ``hot`` as for game states."""
+    if isinstance(hot, str):
+        hot = hot_keys(events, ["game_id"])
     return number_rows(events, ["game_id"], order, "action_id", hot)
 
 
 def assemble_dump(
     competitions: DataFrame, matches: DataFrame, events: DataFrame, players: DataFrame, teams: DataFrame,
-    leagues: dict, seasons: dict, hot: DataFrame | None = None,
+    leagues: dict, seasons: dict, hot: DataFrame | str | None = "count",
 ) -> dict[str, DataFrame]:
     """Relational part of the second provider: name and select competitions, map ids, number the
     actions, and keep players that took part and teams that play.

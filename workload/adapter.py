@@ -59,7 +59,10 @@ def _numbered_events(spark, sf) -> DataFrame:
         F.col("user_id").alias("game_id"),
         "event_type",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        # the wall-clock time is meant as UTC, whatever the zone of the session
+        F.unix_micros(
+            F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+        ).alias("us"),
     )
     return number_rows(events, ["game_id"], ["us", "event_id"], "action_id", hot_games(spark, sf))
 

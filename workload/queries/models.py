@@ -46,18 +46,53 @@ def _(spark, sf):
 # --- default models ---------------------------------------------------------------------
 
 
-@query("openplay_fit_predict")
+def _shots_sql(where):
+    """View ``s``: shots playing left to right, with distance, angle and label."""
+    return f"""s as (
+  select game_id, action_id, season_id, bodypart_name, case when result_name = 'success' then 1.0e0 else 0.0e0 end as y,
+         sqrt(pow(105 - x, 2) + pow(34 - y0, 2)) as d,
+         case when x = 105 then case when y0 = 34 then 0.0e0 else pi() / 2 end else atan(abs(34 - y0) / (105 - x)) end as a
+  from (select a.*, season_id,
+               case when team_id <> home_team_id then 105 - start_x else start_x end as x,
+               case when team_id <> home_team_id then 68 - start_y else start_y end as y0
+        from actions a join games g on a.game_id = g.game_id) t where {where})"""
+
+
+def _scaled(rows, stats):
+    return f"""select game_id, action_id, 1.0e0 as w, 1.0e0 as one, y, (d - md) / sd as d, (a - ma) / sa as a,
+         case when bodypart_name = 'foot' then 1.0e0 else 0.0e0 end as foot,
+         case when bodypart_name = 'head' then 1.0e0 else 0.0e0 end as head,
+         case when bodypart_name = 'other' then 1.0e0 else 0.0e0 end as other from {rows}, {stats}"""
+
+
+def _predict_sql(where, columns, penalty):
+    """Fit on season 1718, predict season 1819."""
+    score = " + ".join(f"b{i} * {c}" for i, c in enumerate(columns))
+    return sql(f"""with {_shots_sql(where)}, tr as (select * from s where season_id = '1718'),
+te as (select * from s where season_id = '1819'),
+st as (select avg(d) as md, stddev_pop(d) as sd, avg(a) as ma, stddev_pop(a) as sa from tr),
+z as ({_scaled("tr", "st")}), zt as ({_scaled("te", "st")}),
+{newton("z", columns, penalty)}
+select game_id, action_id, round(1 / (1 + exp(-({score}))), 3) as "xG" from zt, fitted""")
+
+
+COEFFICIENTS = ["foot", "head", "other", "d", "a"]
+OPENPLAY = "type_name = 'shot' and result_name in ('fail', 'success')"
+COUNTED = "type_name in ('shot', 'shot_penalty', 'shot_freekick') and result_name in ('fail', 'success')"
+
+
+@query("openplay_fit_predict", _predict_sql(OPENPLAY, COEFFICIENTS, [1] * 5))
 def _(spark, sf):
     data = adapter.data(spark, sf)
     model = models.OpenplayModel().train(data, _seasons("1718"))
-    return rounded(model.estimate(data, _season_games(spark, sf, "1819")))
+    return rounded(model.estimate(data, _season_games(spark, sf, "1819")), 3)
 
 
-@query("freekick_fit_predict")
+@query("freekick_fit_predict", _predict_sql("type_name = 'shot_freekick'", ["d", "a", "one"], [1, 1, 0]))
 def _(spark, sf):
     data = adapter.data(spark, sf)
     model = models.FreekickModel().train(data, _seasons("1718"))
-    return rounded(model.estimate(data, _season_games(spark, sf, "1819")))
+    return rounded(model.estimate(data, _season_games(spark, sf, "1819")), 3)
 
 
 @query("penalty_predict", sql("""select game_id, action_id, 0.792453e0 as "xG" from actions where type_name = 'shot_penalty'"""))
@@ -81,15 +116,19 @@ def _(spark, sf):
     )
 
 
-@query("single_model")
+@query("single_model", _predict_sql(COUNTED, COEFFICIENTS, [1] * 5))
 def _(spark, sf):
     data = adapter.data(spark, sf)
-    return rounded(models.ShotModel().train(data, _seasons("1718")).estimate(data, _season_games(spark, sf, "1819")))
+    return rounded(models.ShotModel().train(data, _seasons("1718")).estimate(data, _season_games(spark, sf, "1819")), 3)
 
 
-@query("model_store")
+@query(
+    "model_store",
+    sql(f"""select a.game_id, action_id, true as same from actions a join games g on a.game_id = g.game_id
+where season_id = '1819' and (({OPENPLAY}) or type_name in ('shot_penalty', 'shot_freekick'))"""),
+)
 def _(spark, sf):
-    """Scores of a stored and reloaded composite model, next to those of the original."""
+    """A stored and reloaded composite model gives the scores of the original."""
     data = adapter.data(spark, sf)
     model = models.CompositeModel().train(data, _seasons("1718"))
     folder = scratch_path(spark, "models")
@@ -97,7 +136,7 @@ def _(spark, sf):
     loaded = models.ShotModel.load(spark, folder)
     games = _season_games(spark, sf, "1819")
     both = model.estimate(data, games).join(loaded.estimate(data, games).withColumnRenamed("xG", "xG_loaded"), KEY)
-    return rounded(both)
+    return both.select(*KEY, (F.abs(F.col("xG") - F.col("xG_loaded")) < 1e-12).alias("same"))
 
 
 @query("model_validate")
@@ -109,24 +148,12 @@ def _(spark, sf):
 
 
 def _shot_rows(where):
-    """View ``z``: shots with distance and angle scaled, body part indicators and label."""
-    return f"""s as (
-  select game_id, action_id, season_id, player_id, type_name, bodypart_name, case when result_name = 'success' then 1.0e0 else 0.0e0 end as y,
-         sqrt(pow(105 - x, 2) + pow(34 - y0, 2)) as d,
-         case when x = 105 then case when y0 = 34 then 0.0e0 else pi() / 2 end else atan(abs(34 - y0) / (105 - x)) end as a
-  from (select a.*, season_id,
-               case when team_id <> home_team_id then 105 - start_x else start_x end as x,
-               case when team_id <> home_team_id then 68 - start_y else start_y end as y0
-        from actions a join games g on a.game_id = g.game_id) t where {where}),
-z as (
-  select 1.0e0 as w, 1.0e0 as one, y, (d - avg(d) over ()) / stddev_pop(d) over () as d,
-         (a - avg(a) over ()) / stddev_pop(a) over () as a,
-         case when bodypart_name = 'foot' then 1.0e0 else 0.0e0 end as foot,
-         case when bodypart_name = 'head' then 1.0e0 else 0.0e0 end as head,
-         case when bodypart_name = 'other' then 1.0e0 else 0.0e0 end as other from s)"""
+    """View ``z``: all these shots, scaled by their own mean and deviation."""
+    return f"""{_shots_sql(where)},
+st as (select avg(d) as md, stddev_pop(d) as sd, avg(a) as ma, stddev_pop(a) as sa from s),
+z as ({_scaled("s", "st")})"""
 
 
-COEFFICIENTS = ["foot", "head", "other", "d", "a"]
 NAMES = ["bodypart_id_a0__h_foot", "bodypart_id_a0__h_head", "bodypart_id_a0__h_other",
          "start_dist_to_goal_a0__z", "start_angle_to_goal_a0__z"]
 
@@ -134,7 +161,7 @@ NAMES = ["bodypart_id_a0__h_foot", "bodypart_id_a0__h_head", "bodypart_id_a0__h_
 @query(
     "predict_coefficients",
     sql(
-        f"""with {_shot_rows("type_name = 'shot' and result_name in ('fail', 'success')")},
+        f"""with {_shot_rows(OPENPLAY)},
 {newton("z", COEFFICIENTS, [1] * 5)}
 {" union all ".join(f"select '{name}' as feature, round(b{i}, 3) as coefficient from fitted" for i, name in enumerate(NAMES))}"""
     ),
@@ -163,7 +190,7 @@ def _(spark, sf):
 @query(
     "weighted_coefficients",
     sql(
-        f"""with {_shot_rows("type_name = 'shot' and result_name in ('fail', 'success')")},
+        f"""with {_shot_rows(OPENPLAY)},
 bal as (select * replace (case when y = 1 then count(*) over () / (2.0e0 * sum(y) over ())
                                else count(*) over () / (2.0e0 * sum(1 - y) over ()) end as w) from z),
 {newton("bal", ["d", "a", "one"], [4, 4, 0])}
