@@ -233,7 +233,8 @@ cells as (select row, col, avg(o_totalprice) as value from coded group by 1, 2),
 sizes as (select row, sqrt(sum(value * value)) as size from cells group by row),
 codes as (select v, row_number() over (order by n desc, v) as code
           from (select o_custkey % 200 as v, count(*) as n from orders group by 1 having count(*) > 10) x)
-select v as buyer, round(size, 2) as size from codes join sizes on code = row""",
+select buyer, round(size, 2) as size from (select distinct o_custkey % 200 as buyer from orders) o
+left join codes on v = buyer join sizes on row = coalesce(code, 0)""",
 )
 def _(spark, sf):
     """Length of the embedding of each buyer group (the sign of a component is free). With all
