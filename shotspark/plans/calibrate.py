@@ -1,8 +1,11 @@
 """Calibration of classifier scores."""
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,22 +63,20 @@ class Calibrator:
             rows.select("label", "w", *[c.alias(n) for c, n in zip(inputs, names)])
         )
         estimator = LogisticRegression(
-            featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, maxIter=500, tol=1e-8,
+            featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, maxIter=500, tol=1e-9,
             fitIntercept=self.method != "beta_ab",
         )
-        if self.method.startswith("beta"):
-            from pyspark.ml.linalg import DenseMatrix
-
-            estimator = estimator.setLowerBoundsOnCoefficients(DenseMatrix(1, len(names), [0.0] * len(names)))
         fitted = estimator.fit(table)
+        if self.method.startswith("beta") and min(fitted.coefficients) < 0:
+            # only now: the solver with bounds is less exact where they do not matter
+            bounds = DenseMatrix(1, len(names), [0.0] * len(names))
+            fitted = estimator.setLowerBoundsOnCoefficients(bounds).fit(table)
         w, c = [float(v) for v in fitted.coefficients], float(fitted.intercept)
         if self.method == "sigmoid":
             self.parameters = (w[0], c)
         elif self.method == "beta_ab":
             # the factors 2 make up an intercept
-            from math import log
-
-            self.parameters = (w[0], w[1], (w[0] - w[1]) * log(2.0))
+            self.parameters = (w[0], w[1], (w[0] - w[1]) * math.log(2.0))
         else:
             self.parameters = (w[0], w[-1], c)
         return self

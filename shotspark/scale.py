@@ -63,12 +63,20 @@ def lookup_join(df: DataFrame, table: DataFrame, on, rows: int, how: str = "left
 
 
 def hot_keys(df: DataFrame, keys, hot_rows: int | None = None) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None. The result has at most
-    rows / hot_rows entries; the counting reads the key columns only."""
+    """Keys with more than ``hot_rows`` rows, or None; the counting reads the key columns only.
+
+    The result is broadcast later, so it holds the BROADCAST_ROWS largest keys at most. Keys
+    that do not fit are handled as ordinary ones, which is slower but gives the same rows.
+    """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
     table = materialize(counted, "hot-keys")
-    return None if table.isEmpty() else table
+    found = table.count()
+    if not found:
+        return None
+    if found > BROADCAST_ROWS:
+        table = materialize(table.orderBy(F.desc("count"), *keys).limit(BROADCAST_ROWS), "hot-keys")
+    return table.select(*keys)
 
 
 def split_hot(df: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -38,9 +38,7 @@ def flagship(spark, sf):
     return report.top_players(xg, data.actions, data.players)
 
 
-@query("flagship_top_players")
-def _(spark, sf):
-    return rounded(flagship(spark, sf))
+# its query is registered below, next to the SQL of the models it uses
 
 
 # --- default models ---------------------------------------------------------------------
@@ -65,15 +63,19 @@ def _scaled(rows, stats):
          case when bodypart_name = 'other' then 1.0e0 else 0.0e0 end as other from {rows}, {stats}"""
 
 
-def _predict_sql(where, columns, penalty):
+def _predictions(where, columns, penalty):
     """Fit on season 1718, predict season 1819."""
     score = " + ".join(f"b{i} * {c}" for i, c in enumerate(columns))
-    return sql(f"""with {_shots_sql(where)}, tr as (select * from s where season_id = '1718'),
+    return f"""with {_shots_sql(where)}, tr as (select * from s where season_id = '1718'),
 te as (select * from s where season_id = '1819'),
 st as (select avg(d) as md, stddev_pop(d) as sd, avg(a) as ma, stddev_pop(a) as sa from tr),
 z as ({_scaled("tr", "st")}), zt as ({_scaled("te", "st")}),
 {newton("z", columns, penalty)}
-select game_id, action_id, round(1 / (1 + exp(-({score}))), 3) as "xG" from zt, fitted""")
+select game_id, action_id, 1 / (1 + exp(-({score}))) as xg from zt, fitted"""
+
+
+def _predict_sql(where, columns, penalty):
+    return sql(f"""select game_id, action_id, round(xg, 3) as "xG" from ({_predictions(where, columns, penalty)}) t""")
 
 
 COEFFICIENTS = ["foot", "head", "other", "d", "a"]
@@ -116,6 +118,25 @@ def _(spark, sf):
     )
 
 
+@query(
+    "flagship_top_players",
+    sql(
+        f"""select player_id, player_name, round(xg, 2) as "xG" from (
+  select a.player_id, any_value(player_name) as player_name, sum(xg) as xg from (
+    select * from ({_predictions(OPENPLAY, COEFFICIENTS, [1] * 5)}) o
+    union all select * from ({_predictions("type_name = 'shot_freekick'", ["d", "a", "one"], [1, 1, 0])}) f
+    union all select a.game_id, action_id, 0.792453e0 from actions a join games g on a.game_id = g.game_id
+      where type_name = 'shot_penalty' and season_id = '1819') x
+  join actions a on a.game_id = x.game_id and a.action_id = x.action_id
+  left join players on players.player_id = a.player_id
+  group by a.player_id order by xg desc, a.player_id limit 10) t""",
+        "players",
+    ),
+)
+def _(spark, sf):
+    return rounded(flagship(spark, sf), 2)
+
+
 @query("single_model", _predict_sql(COUNTED, COEFFICIENTS, [1] * 5))
 def _(spark, sf):
     data = adapter.data(spark, sf)
@@ -348,66 +369,78 @@ def _(spark, sf):
     return rounded(calibrate.Calibrator(None).fit(scored).transform(scored).select(*KEY, "p"))
 
 
-CLIPPED = """c as (select least(greatest(p, 1e-12), 1 - 1e-12) as p, p as s, cast(y as double) as y from scored),
-x as (select 1.0e0 as w, 1.0e0 as one, y, s, ln(p) as lp, -ln(1 - p) as lq, ln(p) - ln(1 - p) as lo,
-             ln(2 * p) as hp, -ln(2 * (1 - p)) as hq from c)"""
+# scores that fall with the distance in whole metres, so that there is something to calibrate
+DISTANCE_SCORES = """ds as (
+  select a.game_id, action_id, season_id, 1 / (1 + exp((floor(sqrt(pow(105 - start_x, 2) + pow(34 - start_y, 2))) - 15) / 8)) as p,
+         case when result_name = 'success' then 1.0e0 else 0.0e0 end as y, case when bodypart_name = 'head' then 2.0e0 else 1.0e0 end as w
+  from actions a join games g on a.game_id = g.game_id where type_name = 'shot' and result_name in ('success', 'fail'))"""
 
 
-@query(
-    "calib_parameters",
-    sql(
-        f"""select 'sigmoid' as method, a, b, c from (
-  with {CLIPPED}, {newton("x", ["s", "one"], [0, 0])} select round(b0, 3) as a, 0.0e0 as b, round(b1, 3) as c from fitted) t1
-union all select 'beta_am', a, a, c from (
-  with {CLIPPED}, {newton("x", ["lo", "one"], [0, 0])} select round(greatest(b0, 0), 3) as a,
-    -- with the slope at its bound, the intercept alone is fitted
-    round(case when b0 > 0 then b1 else (select ln(avg(y) / (1 - avg(y))) from scored) end, 3) as c from fitted) t2""",
-        "scored",
-    ),
-)
-def _(spark, sf):
-    """Fitted parameters on the deterministic scores."""
-    scored = adapter.scored(spark, sf)
-    a, c = calibrate.Calibrator("sigmoid").fit(scored, "p").parameters
-    rows = [("sigmoid", a, 0.0, c), ("beta_am", *calibrate.Calibrator("beta_am").fit(scored, "p").parameters)]
-    return rounded(spark.createDataFrame(rows, "method string, a double, b double, c double"), 3)
+def _distance_scores(spark, sf):
+    dx, dy = F.lit(105.0) - F.col("start_x"), F.lit(34.0) - F.col("start_y")
+    metres = F.floor(F.sqrt(dx * dx + dy * dy))
+    shots = adapter.actions(spark, sf).filter("type_name = 'shot' and result_name in ('success', 'fail')")
+    return shots.join(adapter.games(spark, sf).select("game_id", "season_id"), "game_id").select(
+        *KEY, "season_id", (1.0 / (1.0 + F.exp((metres - 15.0) / 8.0))).alias("score"),
+        (F.col("result_name") == "success").cast("int").alias("y"),
+        F.when(F.col("bodypart_name") == "head", 2.0).otherwise(1.0).alias("w"),
+    )
+
+
+# inputs of the logistic fit of each method, and which of them a bound at zero could hold
+INPUTS = {
+    "sigmoid": ["p", "1.0e0"],
+    "beta": ["ln(p)", "-ln(1 - p)", "1.0e0"],
+    "beta_am": ["ln(p) - ln(1 - p)", "1.0e0"],
+    "beta_ab": ["ln(2 * p)", "-ln(2 * (1 - p))"],
+}
+
+
+def _calibration_sql(method, weight="1.0e0"):
+    """Fit on one season by Newton steps, apply to the other."""
+    names = [f"x{i}" for i in range(len(INPUTS[method]))]
+    inputs = ", ".join(f"{x} as {n}" for x, n in zip(INPUTS[method], names))
+    score = " + ".join(f"b{i} * {n}" for i, n in enumerate(names))
+    return sql(f"""with {DISTANCE_SCORES},
+x as (select game_id, action_id, season_id, y, {weight} as w, {inputs} from ds),
+tr as (select * from x where season_id = '1718'),
+{newton("tr", names, [0] * len(names), steps=12)}
+select game_id, action_id, round(1 / (1 + exp(-({score}))), 3) as p from x, fitted where season_id = '1819'""")
+
+
+def _calibration(method, weight=None):
+    def run(spark, sf):
+        scores = _distance_scores(spark, sf)
+        train = materialize(scores.filter("season_id = '1718'"), "scores")
+        fitted = calibrate.Calibrator(method).fit(train, weight=weight)
+        out = fitted.transform(scores.filter("season_id = '1819'"))
+        return rounded(out.select(*KEY, "p"), 3)
+
+    return run
+
+
+for _method in INPUTS:
+    query(f"calib_{_method}", _calibration_sql(_method))(_calibration(_method))
+query("calib_weights", _calibration_sql("beta_am", "w"))(_calibration("beta_am", "w"))
 
 
 @query(
-    "calib_isotonic_scores",
+    "calib_isotonic",
     sql(
-        """with v as (select p, avg(y) as m, count(*) as n, row_number() over (order by p) as i from scored group by p),
+        f"""with {DISTANCE_SCORES},
+v as (select p, avg(y) as m, count(*) as n, row_number() over (order by p) as i from ds group by p),
 spans as (
   select j.i as j, k.i as k, sum(k.m * k.n) over w / sum(k.n) over w as mean
   from v j join v k on j.i <= k.i window w as (partition by j.i order by k.i)),
 lowest as (select j, k as i, min(mean) over (partition by j order by k desc) as low from spans),
 levels as (select i, max(low) as q from lowest group by i)
-select game_id, action_id, round(q, 6) as q from scored join v on v.p = scored.p join levels on levels.i = v.i""",
-        "scored",
+select game_id, action_id, round(q, 6) as p from ds join v on v.p = ds.p join levels on levels.i = v.i"""
     ),
 )
 def _(spark, sf):
-    """Monotone fit on the deterministic scores; the SQL uses the max-min formula."""
-    scored = adapter.scored(spark, sf)
-    out = calibrate.Calibrator("isotonic").fit(scored, "p").transform(scored, "p", "q")
-    return rounded(out.select(*KEY, "q"))
-
-
-def _calibrated(method):
-    def run(spark, sf):
-        """Calibrate a fitted model on the validation rows, apply to the test rows."""
-        train, val, test = _split(spark, sf)
-        calibrated = calibrate.CalibratedClassifier(_logistic().fit(train), method).fit(val)
-        return rounded(calibrated.predict_proba(test).select(*KEY, "label", F.col("proba")[1].alias("p")))
-
-    return run
-
-
-for _name, _method in [
-    ("calib_sigmoid", "sigmoid"), ("calib_isotonic", "isotonic"), ("calib_beta", "beta"),
-    ("calib_beta_am", "beta_am"), ("calib_beta_ab", "beta_ab"),
-]:
-    query(_name)(_calibrated(_method))
+    """Monotone fit; the SQL uses the max-min formula."""
+    scores = _distance_scores(spark, sf)
+    return rounded(calibrate.Calibrator("isotonic").fit(scores).transform(scores).select(*KEY, "p"))
 
 
 @query("calib_prefit")
@@ -478,7 +511,7 @@ def _(spark, sf):
     return rounded(fitted.predict(rows).select("vec_id", "label", "prediction", F.array_max("proba").alias("p")))
 
 
-@query("calib_weights")
+@query("calib_weighted_model")
 def _(spark, sf):
     """Headers weigh twice, in the calibration as in the fit of the model."""
     train, val, test = _split(spark, sf)
