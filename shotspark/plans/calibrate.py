@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +62,12 @@ class Calibrator:
         table = VectorAssembler(inputCols=names, outputCol="x").transform(
             rows.select("label", "w", *[c.alias(n) for c, n in zip(inputs, names)])
         )
-        estimator = LogisticRegression(
-            featuresCol="x", labelCol="label", weightCol="w", regParam=0.0, maxIter=500, tol=1e-9,
-            fitIntercept=self.method != "beta_ab",
-        )
-        fitted = estimator.fit(table)
+        common = {"featuresCol": "x", "labelCol": "label", "weightCol": "w", "regParam": 0.0, "fitIntercept": self.method != "beta_ab"}
+        # two or three parameters without penalty: a few reweighted least squares passes
+        fitted = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, tol=1e-8, **common).fit(table)
         if self.method.startswith("beta") and min(fitted.coefficients) < 0:
-            # only now: the solver with bounds is less exact where they do not matter
             bounds = DenseMatrix(1, len(names), [0.0] * len(names))
-            fitted = estimator.setLowerBoundsOnCoefficients(bounds).fit(table)
+            fitted = LogisticRegression(lowerBoundsOnCoefficients=bounds, maxIter=500, tol=1e-8, **common).fit(table)
         w, c = [float(v) for v in fitted.coefficients], float(fitted.intercept)
         if self.method == "sigmoid":
             self.parameters = (w[0], c)
