@@ -68,7 +68,7 @@ class PieceCoder:
         return np.fromiter(chain.from_iterable([known[w] for w in words]), np.uint32)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.codes) > self.limit or len(self.words) > self.limit:
+        if max(len(self.codes), len(self.words), len(self.flat) // 16) > self.limit:
             self._forget()
         cut = [[] if not t else None if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
         odd = [i for i, c in enumerate(cut) if c is None]
