@@ -14,7 +14,7 @@ the longest text.
 
 import base64
 import heapq
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,10 @@ class MergeReplay:
             out[i] = ids
         return out
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The same for text, as little-endian unsigned 32-bit integers."""
+        return [array("I", ids).tobytes() for ids in self.encode([w.encode() for w in words])]
+
     def _replay(self, words):
         """Positions are chained; -1 stands between words, so no pair reaches across them."""
         ranks, tokens, single = self.ranks, self.tokens, self.single
@@ -140,7 +144,7 @@ def _state(path: str, pattern: str):
     if (path, pattern) not in _states:
         ranks = load_ranks(path)
         replay = MergeReplay(ranks)
-        coder = PieceCoder(pattern, lambda words: replay.encode([w.encode() for w in words]))
+        coder = PieceCoder(pattern, replay.encode_words)
         _states[path, pattern] = coder, replay.tokens
     return _states[path, pattern]
 
@@ -153,11 +157,11 @@ def encode_bpe(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id
         coder, _ = _state(rank_file, pattern)
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, counts = coder.encode(batch.column("text").to_pylist())
-                ids, ends = ids.astype("<u4"), np.cumsum(counts)
-                blobs = [ids[e - n : e].tobytes() for e, n in zip(ends, counts)]
+                blobs = coder.encode(batch.column("text").to_pylist())
+                counts = [len(b) // 4 for b in blobs]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"]
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
+                    ["doc_id", "n_tokens", "ids"],
                 )
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(

@@ -6,97 +6,73 @@ piece (with its leading space) has the same ids wherever it stands. Texts with o
 space around a cut are split by the pattern itself.
 """
 
-from array import array
 from itertools import chain
 
-import numpy as np
 import regex
 
-PIECES = 300_000  # distinct pieces that one worker remembers before it starts afresh
+PIECES = 600_000  # distinct pieces that one worker remembers before it starts afresh
+
+
+def _open(piece: str) -> bool:
+    """White space stands at an end, so what is next to the piece may matter."""
+    return piece[-1].isspace() or (piece[0] == " " and piece[1].isspace())
 
 
 class PieceCoder:
-    """``encode(texts)`` gives the ids of all texts and the number of ids of each.
+    """``encode(texts)`` gives the ids of each text as bytes.
 
-    ``pattern`` splits text into words, ``encode_words(list of words)`` gives a sequence of ids
-    for each. Memory is bounded: beyond ``limit`` remembered pieces everything is forgotten.
+    ``pattern`` splits text into words, ``encode_words(list of words)`` gives the bytes of the ids
+    of each. Memory is bounded: beyond ``limit`` remembered pieces everything is forgotten.
     """
 
     def __init__(self, pattern: str, encode_words, limit: int = PIECES):
         self.find = regex.compile(pattern).findall
         self.encode_words = encode_words
         self.limit = limit
-        self._forget()
-
-    def _forget(self):
-        self.codes = {}
-        self.words = {}
-        self.flat = array("I")
-        self.starts = array("q", [0])
-        self.bad = array("b")
+        self.known: dict = {}  # ids of each piece or word; None: white space at an end, see ``_whole``
+        self.spaces: dict = {}  # ids of words that would be such pieces
 
     def _learn(self, pieces):
-        split = []
+        plain, parts = [], []
         for p in pieces:
-            body = p[1:] if p[:1] == " " else p
-            if body.isalpha():
-                split.append((p,))
-            elif p and (p[-1].isspace() or (p[0] == " " and (len(p) == 1 or p[1].isspace()))):
-                split.append(None)
+            if p.replace(" ", "", 1).isalpha():
+                plain.append(p)
+            elif p and _open(p):
+                self.known[p] = None
             else:
-                split.append(self.find(p))
-        self._learn_words(chain.from_iterable(s for s in split if s))
-        words, n = self.words, len(self.codes)
-        for p, s in zip(pieces, split):
-            self.codes[p] = n
-            n += 1
-            if s:
-                for w in s:
-                    self.flat.extend(words[w])
-            self.starts.append(len(self.flat))
-            self.bad.append(s is None)
+                parts.append((p, self.find(p)))
+        self._learn_words(chain(plain, chain.from_iterable([s for _, s in parts])))
+        ids_of = self._ids_of
+        self.known.update([(p, b"".join(map(ids_of, s))) for p, s in parts])
 
     def _learn_words(self, words):
-        new = list(set(words) - self.words.keys())
-        if new:
-            self.words.update(zip(new, self.encode_words(new)))
+        new = [w for w in set(words) if w not in self.spaces and self.known.get(w) is None]
+        for w, ids in zip(new, self.encode_words(new)):
+            (self.spaces if _open(w) else self.known)[w] = ids
 
-    def _whole(self, text):
+    def _ids_of(self, word):
+        return self.spaces[word] if word in self.spaces else self.known[word]
+
+    def _whole(self, text) -> bytes:
         words = self.find(text)
         self._learn_words(words)
-        known = self.words
-        return np.fromiter(chain.from_iterable([known[w] for w in words]), np.uint32)
-
-    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        if max(len(self.codes), len(self.words), len(self.flat) // 16) > self.limit:
-            self._forget()
-        cut = [[] if not t else None if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        odd = [i for i, c in enumerate(cut) if c is None]
-        for i in odd:
-            cut[i] = []
-        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
-        pieces = list(chain.from_iterable(cut))
-        del cut
-        self._learn(list(set(pieces) - self.codes.keys()))
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-        starts = np.frombuffer(self.starts, np.int64)
-        flat = np.frombuffer(self.flat, np.uint32)
-        size = starts[codes + 1] - starts[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], size)]
-        borders = ends[np.concatenate([[0], np.cumsum(n_pieces)])]
-        counts = np.diff(borders)
-        owner = np.repeat(np.arange(len(texts)), n_pieces)
-        bad = np.frombuffer(self.bad, np.int8)[codes] > 0
-        odd.extend(np.unique(owner[bad]).tolist())
-        del starts, flat  # the arrays grow again
-        if odd:
-            parts = [ids[a:b] for a, b in zip(borders[:-1], borders[1:])]
-            for i in odd:
-                parts[i] = self._whole(texts[i])
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
-            ids = np.concatenate(parts)
-        return ids, counts
+        return b"".join(map(self._ids_of, words))
+
+    def encode(self, texts) -> list[bytes]:
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+            self.spaces.clear()
+        # a text with a zero character is one piece
+        cut = [[] if not t else [t] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        self._learn([p for p in set().union(*cut) if p not in known])
+        ids_of, out = known.__getitem__, []
+        for text, pieces in zip(texts, cut):
+            try:
+                out.append(b"".join(map(ids_of, pieces)))
+            except TypeError:  # a piece without ids of its own
+                out.append(self._whole(text))
+        return out
 
 
 def byte_letters() -> dict[int, str]:

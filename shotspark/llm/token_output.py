@@ -18,6 +18,7 @@ a lost task is recomputed from the written ids.
 
 import json
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _coders: dict = {}  # of this Python worker, by vocabulary
 
 
-def _coder(vocabulary: str) -> PieceCoder:
+def _coder(vocabulary: str) -> tuple[PieceCoder, array]:
+    """The coder, and an empty array of the integers that it gives."""
     if vocabulary not in _coders:
         from tokenizers import Tokenizer
 
@@ -51,28 +53,22 @@ def _coder(vocabulary: str) -> PieceCoder:
         if not byte_level or parts.get("normalizer") or parts["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level vocabulary without normalizer is needed")
         letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        model = tokenizer.model
+        tokenize = tokenizer.model.tokenize
+
+        code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
         def encode_words(words):
-            return [
-                tuple(t.id for t in model.tokenize(w.encode().decode("latin1").translate(letters)))
-                for w in words
-            ]
+            spelled = [w.encode().decode("latin1").translate(letters) for w in words]
+            return [array(code, [t.id for t in tokenize(s)]).tobytes() for s in spelled]
 
-        _coders[vocabulary] = PieceCoder(PATTERN, encode_words)
+        _coders[vocabulary] = PieceCoder(PATTERN, encode_words), array(code)
     return _coders[vocabulary]
 
 
-def _packed(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    press, ends = zstandard.ZstdCompressor(level=3), np.cumsum(counts)
-    raw = ids.astype("<u4" if len(ids) and ids.max() > 65535 else "<u2")
-    mark = b"\4" if raw.itemsize == 4 else b"\2"
-    return [mark + press.compress(raw[e - n : e].tobytes()) for e, n in zip(ends, counts)]
-
-
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    """Ids of packed texts: the width of an id, then all of them compressed."""
     press = zstandard.ZstdDecompressor()
-    return [np.frombuffer(press.decompress(b[1:]), "<u4" if b[0] == 4 else "<u2").astype(np.uint32) for b in blobs]
+    return [np.frombuffer(press.decompress(b[1:]), f"<u{b[0]}") for b in blobs]
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,14 +76,16 @@ def encode_texts(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_
     key_type = docs.schema[key].dataType.simpleString()
 
     def encode(batches):
-        coder = _coder(vocabulary)
+        coder, empty = _coder(vocabulary)
+        end, width = array(empty.typecode, [end_id]).tobytes(), bytes([empty.itemsize])
+        press = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, counts = coder.encode(batch.column("text").to_pylist())
-                at = np.cumsum(counts)
-                ids = np.insert(ids, at, end_id)
+                blobs = coder.encode(batch.column("text").to_pylist())
+                counts = [len(b) // empty.itemsize + 1 for b in blobs]
+                packed = [width + press(b + end) for b in blobs]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts + 1), pa.array(_packed(ids, counts + 1), pa.binary())],
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
                     ["doc_id", "n_tokens", "ids"],
                 )
 
