@@ -100,7 +100,7 @@ def with_next(
     keys = [k for _, k in heads]
     at_head = F.col(key).isin([k for k in keys if k is not None])
     if None in keys:
-        at_head = F.coalesce(at_head, F.lit(True))
+        at_head = F.col(key).isNull() | at_head
     first = placed.filter(at_head).groupBy("_slice").agg(F.min(F.struct(F.col(key).isNotNull(), key, order, F.struct(*docs.columns).alias("row"))).alias("m"))
     before = F.create_map(*[F.lit(x) for (s, _), (b, _) in zip(heads, heads[-1:] + heads[:-1]) for x in (s, b)])
     copies = first.select("m.row.*", F.element_at(before, F.col("_slice")).alias("_slice"), F.lit(1).alias("_last"))
