@@ -133,7 +133,7 @@ class Trees:
 
     @staticmethod
     def fit(values, labels, n_trees=TREES, depth=DEPTH, rate=RATE, bins=BINS, smoothing=SMOOTHING, least=8):
-        values, y = np.asarray(values, float).reshape(len(labels), -1), np.asarray(labels, float)
+        values, y = np.asarray(values, float), np.asarray(labels, float)
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         inner = 2**depth - 1
         if len(y) == 0 or y.min() == y.max():
