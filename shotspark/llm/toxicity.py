@@ -32,6 +32,7 @@ BUCKETS = 1 << 20  # numbers of terms
 MAX_ROWS = 20_000  # labelled rows that a fit takes, on average
 N_TERMS = 6_000  # terms of the machine
 MIN_ROWS = 3  # rows that a term must occur in
+MIN_GAIN = 3.84  # log-likelihood ratio of a term; below it the term tells nothing about the label
 FACTORS = 6  # length of the vector of a term
 KNOWN = 200_000  # distinct words whose terms a worker remembers
 
@@ -94,7 +95,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     @staticmethod
-    def fit(terms, lists, labels, factors=FACTORS, epochs=12, rate=0.05, decay=1e-4, seed=7):
+    def fit(terms, lists, labels, factors=FACTORS, epochs=12, rate=0.05, decay=1e-2, seed=7):
         """Logistic loss, adaptive gradient steps over batches of rows."""
         y = np.asarray(labels, float)
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
@@ -190,7 +191,7 @@ def fit_toxicity(
     gain = (
         part(a, share * pos) + part(n - a, share * neg) + part(pos - a, rest * pos) + part(neg - n + a, rest * neg)
     )
-    best = counts.select("term", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(n_terms)
+    best = counts.select("term", gain.alias("gain")).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "term").limit(n_terms)
     terms = np.array(sorted(r["term"] for r in best.collect()), np.int64)  # n_terms at most
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms.tolist()))
 
