@@ -4,36 +4,47 @@ filter works on an action table and on the first state of a game state."""
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shotspark.functions.vocab import Vocabulary
+
 SHOT_TYPES = ["shot", "shot_penalty", "shot_freekick"]
 
 
-def field_of(prefix: str = "", polar=None):
+def field_of(prefix: str = "", polar=None, vocab: Vocabulary = Vocabulary()):
     """Accessor of action fields: columns of a table, or fields of a struct column. ``polar``
-    are columns with distance and angle of the start point, where they have been computed."""
+    are columns with distance and angle of the start point, where they have been computed;
+    ``vocab`` gives the ids of names."""
 
     def accessor(name):
         return F.col(f"{prefix}.{name}" if prefix else name)
 
     accessor.polar = polar
+    accessor.vocab = vocab
     return accessor
 
 
+def is_any(a, kind: str, *names: str) -> Column:
+    """Whether the type, result or bodypart has one of the names. Compares ids, so the condition
+    reaches the scan of a stored table."""
+    levels = a.vocab.levels(kind)
+    return a(f"{kind}_id").isin(*[levels.index(n) for n in names if n in levels])
+
+
 def _counted(a) -> Column:
-    return a("result_name").isin("fail", "success")
+    return is_any(a, "result", "fail", "success")
 
 
 def any_shot(a) -> Column:
     """All shot kinds; own goals and offside do not count."""
-    return a("type_name").isin(*SHOT_TYPES) & _counted(a)
+    return is_any(a, "type", *SHOT_TYPES) & _counted(a)
 
 
 def openplay(a) -> Column:
-    return (a("type_name") == "shot") & _counted(a)
+    return is_any(a, "type", "shot") & _counted(a)
 
 
 def penalty(a) -> Column:
-    return a("type_name") == "shot_penalty"
+    return is_any(a, "type", "shot_penalty")
 
 
 def freekick(a) -> Column:
-    return a("type_name") == "shot_freekick"
+    return is_any(a, "type", "shot_freekick")

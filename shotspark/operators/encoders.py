@@ -1,7 +1,7 @@
 """Encoders and preprocessing. ``fit`` is an aggregate, ``transform`` an expression or a join.
 
 Fitted value tables are written once and counted, so that joins against them are broadcast
-only when they are small (see ``scale.lookup_join``).
+only when the optimizer knows them to be small.
 """
 
 import math
@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotspark.scale import lookup_join, materialize, number_all, prefix_sums
+from shotspark.scale import materialize, number_all, prefix_sums
 
 
 def select_columns(df: DataFrame, columns) -> DataFrame:
@@ -79,7 +79,7 @@ def _ranked(counts: DataFrame) -> tuple[DataFrame, int]:
     """Value counts with the 0-based ``rank`` by falling frequency, then value; and their number."""
     counts = materialize(counts.withColumn("_minus_n", -F.col("n")), "values")
     rows = counts.count()
-    return number_all(counts, ["_minus_n", "value"], "rank", rows).drop("_minus_n"), rows
+    return number_all(counts, ["_minus_n", "value"], "rank").drop("_minus_n"), rows
 
 
 @dataclass
@@ -93,7 +93,7 @@ class _ValueTable:
     def _joined(self, df: DataFrame, key: Column | None = None) -> DataFrame:
         key = F.col(self.column) if key is None else key
         table = self.table.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        return lookup_join(df, table, key == F.col("_value"), self.rows)
+        return df.join(table, key == F.col("_value"), "left")
 
 
 class OrdinalEncoder:
@@ -175,7 +175,7 @@ class TolerantLabelEncoder:
     def inverse_transform(self, df: DataFrame, code: str, output: str) -> DataFrame:
         """Value of a code; 0 becomes missing."""
         table = self.fitted.table.select(F.col("value").alias(output), F.col("code").alias("_code"))
-        return lookup_join(df, table, F.col(code) == F.col("_code"), self.fitted.rows).drop("_code")
+        return df.join(table, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
 class TolerantLE:
@@ -198,7 +198,7 @@ class TolerantLE:
         )
         codes = materialize(prefix_sums(marked, ["value"], {"code": "known"}).select("value", "code"), "codes")
         table = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        joined = lookup_join(df, table, F.col(column) == F.col("_value"), codes.count())
+        joined = df.join(table, F.col(column) == F.col("_value"), "left")
         return joined.withColumn(column, F.col("_code")).drop("_value", "_code")
 
 
@@ -286,27 +286,40 @@ class BoxCox:
         return F.log(x) if lmbda == 0 else (F.pow(x, F.lit(lmbda)) - 1.0) / F.lit(lmbda)
 
     def _search(self, scaled: DataFrame) -> float:
-        """Each round evaluates the likelihood on a grid in one aggregate and zooms in. The grid
-        is exploded, as one wide aggregate would be too large for compiled code."""
-        scaled = materialize(scaled.select("x", F.log("x").alias("logs")), "scaled")
-        low, high, steps = -4.0, 4.0, 10
-        for _ in range(6):
+        """Lambda of the largest likelihood, without a bound: the bracket widens while its best
+        point is an end, then it narrows to 1e-8. Equal values are counted first; each round is
+        one aggregate over the distinct values for a grid of lambdas."""
+        counted = materialize(scaled.groupBy("x").agg(F.count("*").alias("n")).withColumn("logs", F.log("x")), "scaled")
+        head = counted.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("logs")).alias("logs")).first()
+        if not head["n"]:
+            raise ValueError("there are no values to fit")
+        n, logs = head["n"], head["logs"]
+
+        def best_of(grid):
+            sums = []
+            for i, k in enumerate(grid):
+                power = F.col("logs") if k == 0 else F.expm1(F.lit(k) * F.col("logs")) / k
+                sums += [F.sum(F.col("n") * power).alias(f"a{i}"), F.sum(F.col("n") * power * power).alias(f"b{i}")]
+            row = counted.agg(*sums).first()
+
+            def likelihood(i):
+                # the mean of squares less the squared mean is exact enough: values reach from 0 on
+                v = row[f"b{i}"] / n - (row[f"a{i}"] / n) ** 2
+                return (grid[i] - 1) * logs - n / 2 * math.log(v) if 0 < v < math.inf else -math.inf
+
+            return max(range(len(grid)), key=likelihood)
+
+        low, high, steps = -4.0, 4.0, 20
+        while True:
             grid = [low + (high - low) * i / steps for i in range(steps + 1)]
-            k = F.col("k")
-            power = F.when(k == 0, F.col("logs")).otherwise(F.try_divide(F.exp(k * F.col("logs")) - 1.0, k))
-            rows = (
-                scaled.withColumn("k", F.explode(F.array(*[F.lit(g) for g in grid])))
-                .groupBy("k")
-                .agg(F.count("x").alias("n"), F.sum("logs").alias("logs"), F.var_pop(power).alias("v"))
-                .collect()
-            )
-
-            def likelihood(r):
-                return -math.inf if not r["v"] or r["v"] <= 0 else (r["k"] - 1) * r["logs"] - r["n"] / 2 * math.log(r["v"])
-
-            best = grid.index(max(rows, key=likelihood)["k"])
+            best = best_of(grid)
+            if best in (0, steps) and high - low < 256:
+                width = high - low
+                low, high = (low - width, high) if best == 0 else (low, high + width)
+                continue
+            if high - low < 1e-7:
+                return grid[best]
             low, high = grid[max(best - 1, 0)], grid[min(best + 1, steps)]
-        return grid[best]
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.column, self._power(self._scaled(), self.lmbda))
@@ -386,5 +399,5 @@ class SVDEmbedding:
         coded = self.rows.transform(df, "_code0")
         table = self.embedding.select(F.col("code").alias("_code1"), F.col("embedding").alias(output))
         zero = F.array(*[F.lit(0.0)] * len(self.singular_values))
-        joined = lookup_join(coded, table, F.col("_code0") == F.col("_code1"), self.rows.fitted.rows + 1)
+        joined = coded.join(table, F.col("_code0") == F.col("_code1"), "left")
         return joined.withColumn(output, F.coalesce(output, zero)).drop("_code0", "_code1")

@@ -25,6 +25,7 @@ def scored_summary(df: DataFrame) -> DataFrame:
         F.min("p").alias("p_min"),
         F.max("p").alias("p_max"),
         F.count_if(F.col("p").isNull() | F.isnan("p")).alias("n_missing"),
+        F.count_if(F.col("y").isNull()).alias("n_unlabelled"),
         low.alias("y_min"),
         high.alias("y_max"),
         F.count_distinct("y").alias("n_labels"),
@@ -36,6 +37,8 @@ def check_scored(df: DataFrame, both_labels: bool = False) -> None:
     s = scored_summary(df).first()
     if s["n"] and s["n_missing"]:
         raise ValueError("p has missing values")
+    if s["n"] and s["n_unlabelled"]:
+        raise ValueError("y has missing values")
     if s["n"] and (s["p_min"] < 0 or s["p_max"] > 1):
         raise ValueError("p has values outside [0, 1]")
     if s["n_labels"] > 2 or (both_labels and s["n_labels"] != 2):
@@ -45,6 +48,13 @@ def check_scored(df: DataFrame, both_labels: bool = False) -> None:
 # --- binned calibration -----------------------------------------------------------------
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """Scored rows are checked; tables of counts come from rows that were."""
+    if "pos" not in df.columns:
+        check_scored(df)
+    return df
+
+
 def uniform_edges(n_bins: int) -> list[float]:
     step = (1.0 + TOP) / n_bins
     return [i * step for i in range(n_bins)] + [1.0 + TOP]
@@ -73,6 +83,10 @@ def counted(df: DataFrame) -> DataFrame:
 
 def reliability(df: DataFrame, edges) -> DataFrame:
     """Accuracy, confidence and size per bin; a row of zeros for an empty bin."""
+    return _bins(_checked(df), edges)
+
+
+def _bins(df: DataFrame, edges) -> DataFrame:
     p, n, n_bins = F.col("p"), F.col("pos") + F.col("neg"), len(edges) - 1
     right = F.when(p >= 0.5, F.col("pos")).otherwise(F.col("neg"))
     stats = (
@@ -98,7 +112,8 @@ def edges_for(df: DataFrame, n_bins: int, strategy: str) -> list[float]:
 
 def ece(df: DataFrame, n_bins: int = 5, strategy: str = "uniform", name: str = "ece") -> DataFrame:
     """Expected calibration error; with ``strategy='quantile'`` the adaptive variant (ACE)."""
-    return _binned_error(reliability(df, edges_for(df, n_bins, strategy)), name)
+    _checked(df)  # before the quantiles
+    return _binned_error(_bins(df, edges_for(df, n_bins, strategy)), name)
 
 
 def _binned_error(bins: DataFrame, name: str) -> DataFrame:
@@ -172,7 +187,7 @@ def roc_curve(df: DataFrame) -> DataFrame:
 
 def brier(df: DataFrame) -> DataFrame:
     p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
-    return counted(df).agg((F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / F.sum(pos + neg)).alias("brier"))
+    return counted(_checked(df)).agg((F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / F.sum(pos + neg)).alias("brier"))
 
 
 # --- smoothed calibration curve ---------------------------------------------------------

@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def top_players(xg: DataFrame, actions: DataFrame, players: DataFrame, n: int = 10) -> DataFrame:
-    """Players with the largest sum of xG."""
-    takers = actions.select("game_id", "action_id", "player_id")
-    totals = xg.join(takers, ["game_id", "action_id"]).groupBy("player_id").agg(F.sum("xG").alias("xG"))
+def top_players(xg: DataFrame, players: DataFrame, n: int = 10) -> DataFrame:
+    """Players with the largest sum of xG; ``xg`` holds player_id and xG, for example from
+    ``model.score(data, keep=["player_id"])``."""
+    totals = xg.groupBy("player_id").agg(F.sum("xG").alias("xG"))
     named = totals.join(players.select("player_id", "player_name"), "player_id", "left")
     return named.orderBy(F.desc("xG"), "player_id").limit(n)
 

@@ -28,19 +28,21 @@ def _named_actions(data: ShotData) -> DataFrame:
 def shot_states(data: ShotData, shot_filter=None, n: int = 3) -> DataFrame:
     """Game states of the shots, playing left to right, without post-shot attributes."""
     states = gamestates(with_home(_named_actions(data), data.games), n, data.hot)
-    shots = states.filter((shot_filter or any_shot)(field_of()))
+    shots = states.filter((shot_filter or any_shot)(field_of(vocab=data.vocab)))
     return mask_postshot(flip_states(shots))
 
 
 def shot_features(
-    data: ShotData, generators=None, shot_filter=None, n: int = 3, keep=(), only_varying: bool = False
+    data: ShotData, generators=None, shot_filter=None, n: int = 3, keep=(), only_varying: bool = False, game_ids=None
 ) -> DataFrame:
-    """Feature rows keyed by (game_id, action_id). ``keep`` names further columns of the action
-    table to carry along; ``only_varying`` drops columns with a single value."""
+    """Feature rows keyed by (game_id, action_id), of all or the given games (a list of ids or a
+    table). ``keep`` names further columns of the action table to carry along; ``only_varying``
+    drops columns with a single value."""
+    data = data.only(game_ids)
     generators = fs.all_features if generators is None else generators
     if not generators:
         shots = _named_actions(data).join(data.games.select("game_id"), "game_id", "left_semi")
-        return shots.filter((shot_filter or any_shot)(field_of())).select(*KEY, *keep)
+        return shots.filter((shot_filter or any_shot)(field_of(vocab=data.vocab))).select(*KEY, *keep)
     states = shot_states(data, shot_filter, n)
     # several generators use distance and angle, so they become columns of their own
     names = state_columns(states)
@@ -52,15 +54,17 @@ def shot_features(
     return drop_constant(table, (*KEY, *keep)) if only_varying else table
 
 
-def shot_labels(data: ShotData, shot_filter=None) -> DataFrame:
+def shot_labels(data: ShotData, shot_filter=None, game_ids=None) -> DataFrame:
     """(game_id, action_id, goal)."""
+    data = data.only(game_ids)
     shots = _named_actions(data).join(data.games.select("game_id"), "game_id", "left_semi")
     goal = (F.col("result_name") == "success").alias("goal")
-    return shots.filter((shot_filter or any_shot)(field_of())).select(*KEY, goal)
+    return shots.filter((shot_filter or any_shot)(field_of(vocab=data.vocab))).select(*KEY, goal)
 
 
-def training_frame(data: ShotData, generators=None, shot_filter=None, n: int = 3) -> DataFrame:
+def training_frame(data: ShotData, generators=None, shot_filter=None, n: int = 3, game_ids=None) -> DataFrame:
     """Features with the label ``goal``, from the same scan instead of a join."""
+    data = data.only(game_ids)
     goal_data = ShotData(
         games=data.games, vocab=data.vocab, hot=data.hot,
         actions=data.actions.withColumn(

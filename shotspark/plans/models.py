@@ -1,5 +1,6 @@
 """Models that give each shot the probability of becoming a goal."""
 
+import importlib
 import json
 from dataclasses import replace
 
@@ -17,7 +18,7 @@ from shotspark.operators.metrics import validate_scores
 from shotspark.plans.dataset import KEY, pitch_grid, shot_features
 from shotspark.plans.prep import prep_linear
 from shotspark.scale import materialize
-from shotspark.sources.tables import ShotData, select_games
+from shotspark.sources.tables import ShotData, of_games, select_games
 
 PENALTY_XG = 0.792453  # fixed value: share of penalties that are scored
 
@@ -159,11 +160,12 @@ class ShotModel:
         key = [c for c in KEY if c in frame.columns]
         return self.fitted.transform(frame).select(*key, *keep, positive_probability().alias("xG"))
 
-    def estimate(self, source, games: DataFrame | None = None) -> DataFrame:
-        """(game_id, action_id, xG) of the shots of all or the given games."""
-        if games is not None and isinstance(source, ShotData):
-            source = replace(source, games=source.games.join(games.select("game_id"), "game_id", "left_semi"))
-        return self.score(source)
+    def estimate(self, source, games=None, keep=()) -> DataFrame:
+        """(game_id, action_id, xG) of the shots of all or the given games (a list of ids or a
+        table), with the columns ``keep`` of the actions."""
+        if games is not None and not isinstance(source, ShotData):
+            source = of_games(source, source, games)
+        return self.score(source.only(games) if isinstance(source, ShotData) else source, keep)
 
     def validate(self, source, seasons=None, target: str = "goal") -> tuple[dict, DataFrame]:
         """Scalar metrics and the smoothed calibration curve."""
@@ -184,7 +186,7 @@ class ShotModel:
 
     def _manifest(self) -> dict:
         return {
-            "class": type(self).__name__, "custom": self.custom, "fitted": self.fitted is not None,
+            "class": type(self).__qualname__, "module": type(self).__module__, "custom": self.custom, "fitted": self.fitted is not None,
             "training_seasons": self.training_seasons, "validation_seasons": self.validation_seasons,
             "columns": self.column_descriptions,
         }
@@ -204,27 +206,42 @@ class ShotModel:
         elif self.fitted is not None:
             raise TypeError("only pipeline models can be stored; store other models with their own writer")
 
-    def _load_parts(self, spark, path, manifest):
+    def _load_parts(self, spark, path, manifest, classes=()):
         if manifest["fitted"]:
             self.fitted = PipelineModel.load(f"{path}/pipeline")
             if self.custom:
                 self.pipeline = self.fitted
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, name: str | None = None, default: type | None = None) -> "ShotModel":
-        """Load any stored model; without a name the default one of the class ``default``."""
+    def load(
+        spark: SparkSession, folder: str, name: str | None = None, default: type | None = None, classes=()
+    ) -> "ShotModel":
+        """Load any stored model; without a name the default one of the class ``default``. Own
+        classes are imported from their module, or named in ``classes`` where that cannot be."""
         path = f"{folder.rstrip('/')}/{name or (default or CompositeModel).default_name}"
         manifest = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
-        cls = {c.__name__: c for c in (ShotModel, OpenplayModel, FreekickModel, PenaltyModel, CompositeModel)}[manifest["class"]]
-        model = cls()
+        model = _class_of(manifest, classes)()
         model.custom = manifest.get("custom", False)
         model.column_descriptions = manifest["columns"]
         pairs = {k: [tuple(p) for p in manifest[k]] if manifest[k] is not None else None for k in ("training_seasons", "validation_seasons")}
         model.training_seasons, model.validation_seasons = pairs["training_seasons"], pairs["validation_seasons"]
-        model._load_parts(spark, path, manifest)
+        model._load_parts(spark, path, manifest, classes)
         return model
 
 
+def _class_of(manifest: dict, classes=()) -> type:
+    known = {c.__qualname__: c for c in (ShotModel, OpenplayModel, FreekickModel, PenaltyModel, CompositeModel, *classes)}
+    if manifest["class"] in known:
+        return known[manifest["class"]]
+    try:
+        found = importlib.import_module(manifest["module"])
+        for part in manifest["class"].split("."):
+            found = getattr(found, part)
+    except (KeyError, ImportError, AttributeError) as e:
+        raise ValueError(f"the stored model is of the class {manifest['class']}, which is not known here: give it in classes") from e
+    return found
+
+
 class _OneKind(ShotModel):
     def _of_kind(self, table):
         """Rows of this model's kind, where a table of feature rows tells the kind."""
@@ -280,7 +297,7 @@ class PenaltyModel(_OneKind):
     def _save_parts(self, spark, path):
         pass
 
-    def _load_parts(self, spark, path, manifest):
+    def _load_parts(self, spark, path, manifest, classes=()):
         pass
 
 
@@ -319,7 +336,7 @@ class CompositeModel(ShotModel):
 
     def _manifest(self):
         return {
-            "class": "CompositeModel", "fitted": self.trained, "parts": [m.default_name for m in self.models],
+            "class": type(self).__qualname__, "module": type(self).__module__, "fitted": self.trained, "parts": [m.default_name for m in self.models],
             "training_seasons": self.training_seasons, "validation_seasons": self.validation_seasons,
             "columns": self.column_descriptions,
         }
@@ -328,8 +345,8 @@ class CompositeModel(ShotModel):
         for i, model in enumerate(self.models):
             model.save(spark, path, f"{i}-{model.default_name}")
 
-    def _load_parts(self, spark, path, manifest):
-        self.models = [ShotModel.load(spark, path, f"{i}-{n}") for i, n in enumerate(manifest["parts"])]
+    def _load_parts(self, spark, path, manifest, classes=()):
+        self.models = [ShotModel.load(spark, path, f"{i}-{n}", classes=classes) for i, n in enumerate(manifest["parts"])]
         self.trained = manifest["fitted"]
 
 

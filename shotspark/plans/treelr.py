@@ -29,8 +29,9 @@ class TreeLR:
     def fit(self, df: DataFrame) -> "TreeLR":
         self.forest_model = self.forest.fit(df)
         leaves = materialize(self._leaves(df), "leaves")
-        # all leaves are kept: a tree of depth d has at most 2^d
-        self.encoder = CountVectorizer(inputCol="_tokens", outputCol="_onehot", binary=True, vocabSize=1 << 22).fit(leaves)
+        # all leaves are kept: inner nodes have two children, so half of the nodes are leaves
+        total = sum((t.numNodes + 1) // 2 for t in self.forest_model.stages[-1].trees)
+        self.encoder = CountVectorizer(inputCol="_tokens", outputCol="_onehot", binary=True, vocabSize=total).fit(leaves)
         self.lr_model = self.lr.copy({self.lr.featuresCol: "_onehot"}).fit(self.encoder.transform(leaves))
         return self
 

@@ -10,13 +10,13 @@ small table (one row per slice and key).
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # rows of one key that a single task may sort
 CHUNK_ROWS = 100_000  # rows of a hot key handled together after numbering
-BROADCAST_ROWS = 200_000  # lookup tables up to this many rows are broadcast
 
 _local_folders: list = []  # temporary folders of local sessions, removed at exit
 
@@ -53,44 +53,35 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on, rows: int, how: str = "left") -> DataFrame:
-    """Join to a lookup table of ``rows`` rows: broadcast when it is small enough, otherwise
-    an ordinary join, whose skewed keys adaptive execution splits."""
-    return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, on, how)
+def same_keys(df: DataFrame, other: DataFrame, keys) -> tuple[DataFrame, F.Column]:
+    """``other`` with its key columns renamed, and the condition that the keys are equal; NULL
+    keys equal each other."""
+    renamed = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    return renamed, reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_other_{k}"]) for k in keys])
 
 
 # --- hot keys ---------------------------------------------------------------------------
 
 
 def hot_keys(df: DataFrame, keys, hot_rows: int | None = None) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None; the counting reads the key columns only.
-
-    The result is broadcast later, so it holds the BROADCAST_ROWS largest keys at most. Keys
-    that do not fit are handled as ordinary ones, which is slower but gives the same rows.
-    """
+    """Keys (also NULL) with more than ``hot_rows`` rows, or None; the counting reads the key
+    columns only."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    table = materialize(counted, "hot-keys")
-    found = table.count()
-    if not found:
-        return None
-    if found > BROADCAST_ROWS:
-        table = materialize(table.orderBy(F.desc("count"), *keys).limit(BROADCAST_ROWS), "hot-keys")
-    return table.select(*keys)
+    table = materialize(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys), "hot-keys")
+    return None if table.isEmpty() else table
 
 
 def split_hot(df: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, rows of hot keys. A NULL key is ordinary."""
-    keys = hot.columns
-    return (
-        df.join(F.broadcast(hot), keys, "left_anti"),
-        df.join(F.broadcast(hot), keys, "left_semi").select(*df.columns),
-    )
+    """Rows of ordinary keys, rows of hot keys. How the list is joined is left to the optimizer,
+    which knows its size."""
+    other, same = same_keys(df, hot, hot.columns)
+    return df.join(other, same, "left_anti"), df.join(other, same, "left_semi")
 
 
 def ordered_slices(df: DataFrame, by, partitions: int | None = None) -> DataFrame:
-    """Range-partition by ``by`` and record the slice number; slices are in order of ``by``."""
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition by ``by`` and record the slice number; slices are in order of ``by`` and
+    hold CHUNK_ROWS rows on average, so a slice does not grow with the table."""
+    count = partitions or df.count() // CHUNK_ROWS + 1
     return materialize(
         df.repartitionByRange(count, *by).withColumn(SLICE, F.spark_partition_id()), "slices"
     )
@@ -100,7 +91,7 @@ def prefix_sums(df: DataFrame, by, sums: dict[str, str], partitions: int | None
     """Add ``{new: column}`` exclusive running totals over the whole table in order of ``by``
     (which must be unique). No task sees more than one slice."""
     sliced = ordered_slices(df, by, partitions)
-    # one row per slice, so the window without partition is over a handful of rows
+    # one row per slice, so the window without partition is over few rows
     before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(SLICE)
@@ -109,7 +100,7 @@ def prefix_sums(df: DataFrame, by, sums: dict[str, str], partitions: int | None
     )
     inside = Window.partitionBy(SLICE).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sliced.join(F.broadcast(offsets), SLICE)
+        sliced.join(offsets, SLICE)
         .withColumns({n: F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
         .drop(SLICE, *[f"_o_{n}" for n in sums])
     )
@@ -128,10 +119,11 @@ def _number_sliced(df: DataFrame, keys, order, name: str) -> DataFrame:
         .select(*keys, SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    other, same = same_keys(sliced, offsets, [*keys, SLICE])
     return (
-        sliced.join(offsets, [*keys, SLICE])
+        sliced.join(other, same)
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_before", SLICE)
+        .select(*df.columns, name)
     )
 
 
@@ -149,11 +141,8 @@ def number_rows(df: DataFrame, keys, order, name: str, hot: DataFrame | None = N
     return windowed(cold).unionByName(_number_sliced(wide, keys, order, name))
 
 
-def number_all(df: DataFrame, order, name: str, rows: int | None = None) -> DataFrame:
-    """0-based position in the whole table, in order of the (unique) ``order`` columns.
-    A table known to be small is numbered in one task, any other by slices."""
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+def number_all(df: DataFrame, order, name: str) -> DataFrame:
+    """0-based position in the whole table, in order of the (unique) ``order`` columns."""
     return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}).drop("_one")
 
 

@@ -13,12 +13,27 @@ HEAD_SUBTYPE = 82
 
 
 def decode_escapes(text: Column) -> Column:
-    r"""Decode ``\uXXXX`` escapes with the JSON reader. Plain quotes and control characters in
-    the text are escaped first."""
-    quoted = F.replace(text, F.lit('"'), F.lit('\\"'))
-    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        quoted = F.replace(quoted, F.lit(raw), F.lit(escaped))
-    return F.get_json_object(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "$.v")
+    r"""Decode ``\uXXXX`` escapes and keep everything else, other backslashes too. Neighbouring
+    escapes are decoded together, so pairs of surrogates come out as one character."""
+    escape = r"(?:\\u[0-9a-fA-F]{4})"
+    parts = F.regexp_extract_all(text, F.lit(rf"{escape}++|[^\\]++|\\"), F.lit(0))
+
+    def decoded(part):
+        quoted = F.concat(F.lit('{"v":"'), part, F.lit('"}'))
+        return F.when(part.rlike(rf"\A{escape}"), F.coalesce(F.get_json_object(quoted, "$.v"), part)).otherwise(part)
+
+    return F.array_join(F.transform(parts, decoded), "")
+
+
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Records of JSON files. Providers publish whole documents, mostly indented arrays; with
+    ``lines`` each line is a record. Broken input raises, it never becomes empty rows."""
+    return (
+        spark.read.schema(schema)
+        .option("multiLine", not lines)
+        .option("mode", "FAILFAST")
+        .json(path)
+    )
 
 
 def bodypart_expr(subtype: Column, head_tag: Column) -> Column:
@@ -48,12 +63,14 @@ EVENT_SCHEMA = (
 )
 
 
-def read_open_data(spark: SparkSession, path: str, leagues: dict, seasons: dict) -> dict[str, DataFrame]:
+def read_open_data(
+    spark: SparkSession, path: str, leagues: dict, seasons: dict, lines: bool = False
+) -> dict[str, DataFrame]:
     """Tables games, teams, players, player_games from ``<path>/competitions``, ``matches`` and
     ``events`` (JSON). ``leagues`` and ``seasons`` map the provider's competition names and
     season ids to the ids used here; competitions without an entry are left out."""
     competitions = (
-        spark.read.schema(COMPETITION_SCHEMA).json(f"{path}/competitions")
+        read_json(spark, f"{path}/competitions", COMPETITION_SCHEMA, lines)
         .filter(F.col("competition_name").isin(*leagues))
         .select(
             "competition_id", "season_id",
@@ -63,7 +80,7 @@ def read_open_data(spark: SparkSession, path: str, leagues: dict, seasons: dict)
         .distinct()
     )
     games = (
-        spark.read.schema(MATCH_SCHEMA).json(f"{path}/matches")
+        read_json(spark, f"{path}/matches", MATCH_SCHEMA, lines)
         .join(competitions, ["competition_id", "season_id"])
         .select(
             F.col("match_id").alias("game_id"),
@@ -73,7 +90,7 @@ def read_open_data(spark: SparkSession, path: str, leagues: dict, seasons: dict)
             "home_team_id", "away_team_id",
         )
     )
-    events = spark.read.schema(EVENT_SCHEMA).json(f"{path}/events").join(
+    events = read_json(spark, f"{path}/events", EVENT_SCHEMA, lines).join(
         games.select(F.col("game_id").alias("match_id")), "match_id", "left_semi"
     )
     lineup = events.filter("player.id is not null").select(
@@ -148,11 +165,18 @@ def assemble_dump(
     }
 
 
-def read_event_dump(spark: SparkSession, path: str, leagues: dict, seasons: dict) -> dict[str, DataFrame]:
-    """The same from the JSON files competitions, matches, events, players and teams."""
+def read_event_dump(
+    spark: SparkSession, path: str, leagues: dict, seasons: dict, lines: bool = False
+) -> dict[str, DataFrame]:
+    """The same from the JSON files competitions, matches, events, players and teams; names have
+    their escapes decoded."""
 
     def read(name, schema):
-        return spark.read.schema(schema).json(f"{path}/{name}")
+        return read_json(spark, f"{path}/{name}", schema, lines)
+
+    def named(name):
+        rows = read(f"{name}s", f"{name}_id long, {name}_name string")
+        return rows.withColumn(f"{name}_name", decode_escapes(F.col(f"{name}_name")))
 
     return assemble_dump(
         read("competitions", "wyId long, name string, area struct<name: string>"),
@@ -165,7 +189,7 @@ def read_event_dump(spark: SparkSession, path: str, leagues: dict, seasons: dict
             "game_id long, event_id long, period_id long, time_seconds double, team_id long, player_id long, "
             "subtype_id long, head_tag boolean",
         ),
-        read("players", "player_id long, player_name string"),
-        read("teams", "team_id long, team_name string"),
+        named("player"),
+        named("team"),
         leagues, seasons,
     )

@@ -2,21 +2,29 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTITIONS = ["competition_id", "season_id"]
 
 
 def write_features(df: DataFrame, games: DataFrame, path: str) -> None:
-    """Store feature (and label) rows, partitioned by competition and season."""
+    """Store feature (and label) rows, partitioned by competition and season. Only the seasons
+    that are written are replaced, so a store may grow season by season."""
     tagged = df.join(games.select("game_id", *PARTITIONS), "game_id")
-    tagged.write.partitionBy(*PARTITIONS).mode("overwrite").parquet(path)
+    (
+        tagged.write.partitionBy(*PARTITIONS)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .parquet(path)
+    )
 
 
 def read_features(spark: SparkSession, path: str, pairs=None) -> DataFrame:
-    """Read back all or the given (competition, season) pairs; others are pruned by directory."""
-    stored = spark.read.option("basePath", path).parquet(path)
-    for c in PARTITIONS:
-        stored = stored.withColumn(c, F.col(c).cast("string"))
+    """Read back all or the given (competition, season) pairs; others are pruned by directory.
+    Directory names are read as text, so a season '0910' stays one."""
+    found = spark.read.option("basePath", path).parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found]
+    stored = spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(path)
     if pairs is None:
         return stored
     wanted = F.lit(False)

@@ -1,11 +1,12 @@
 """Access to datasets: directories that hold one Parquet table per name."""
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotspark.functions.vocab import Vocabulary
 from shotspark.scale import number_all
@@ -42,13 +43,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def dedupe(df: DataFrame, keys, order=None) -> DataFrame:
-    """One row per key, the one with the highest ``order`` values. An aggregate: rows of a
-    frequent key are reduced before the shuffle, unlike with row_number()."""
-    order = list(order or keys)
-    best = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    """One row per key, the one with the highest ``order`` values; ties go to the highest values
+    of the other columns (``db_path`` last), so the result does not depend on the order of the
+    input. An aggregate: rows of a frequent key are reduced before the shuffle, unlike with
+    row_number()."""
+    order = list(order or [])
+    rest = [c for c in df.columns if c not in order and c not in keys and _comparable(df.schema[c].dataType)]
+    rest.sort(key=lambda c: c == "db_path")  # stable
+    best = F.max_by(F.struct(*df.columns), F.struct(*(order + rest or keys))).alias("_row")
     return df.groupBy(*keys).agg(best).select("_row.*")
 
 
+def _comparable(kind: T.DataType) -> bool:
+    return not any(x in kind.simpleString() for x in ("map<", "variant", "interval"))
+
+
 @dataclass
 class ShotData:
     """The tables of one provider. All members are lazy DataFrames."""
@@ -59,14 +68,16 @@ class ShotData:
     teams: DataFrame | None = None
     players: DataFrame | None = None
     features: DataFrame | None = None
+    player_games: DataFrame | None = None
+    files: DataFrame | None = None
     vocab: Vocabulary = field(default_factory=Vocabulary)
     hot: DataFrame | str | None = "count"  # games too large for one task, see scale.hot_keys
 
     @classmethod
     def load(cls, spark: SparkSession, paths, vocab: Vocabulary = Vocabulary()) -> "ShotData":
-        """Read the tables that exist; games, teams and players are deduplicated by key."""
+        """Read the tables that exist; those with a key in KEYS are deduplicated by it."""
         tables = {}
-        for name in ("games", "actions", "events", "teams", "players", "features"):
+        for name in ("games", "actions", "events", "teams", "players", "features", "player_games", "files"):
             try:
                 df = load_table(spark, paths, name)
             except ValueError:
@@ -79,6 +90,11 @@ class ShotData:
     def select_games(self, pairs) -> DataFrame:
         return select_games(self.games, pairs)
 
+    def only(self, game_ids) -> "ShotData":
+        """The same provider with the given games alone: a list of ids, a table with game_id, or
+        None for all. Actions of other games stay in the table; joins to the games drop them."""
+        return self if game_ids is None else replace(self, games=of_games(self.games, self.games, game_ids))
+
     def restrict(self, games: DataFrame) -> "ShotData":
         """The same provider, reduced to the games of another table."""
         ids = games.select("game_id")
@@ -86,7 +102,7 @@ class ShotData:
             games=self.games.join(ids, "game_id", "left_semi"),
             actions=self.actions.join(ids, "game_id", "left_semi"),
             events=self.events, teams=self.teams, players=self.players,
-            features=self.features, vocab=self.vocab, hot=self.hot,
+            features=self.features, player_games=self.player_games, files=self.files, vocab=self.vocab, hot=self.hot,
         )
 
     def get_events(self, game_ids=None, side=None) -> DataFrame:
@@ -176,7 +192,7 @@ def sample_temporal(
         )
     else:
         raise ValueError(f"unknown mode {mode}")
-    numbered = number_all(games, ["game_date", "game_id"], "_pos", rows)
+    numbered = number_all(games, ["game_date", "game_id"], "_pos")
     return numbered.withColumn("split", split).drop("_pos")
 
 

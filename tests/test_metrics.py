@@ -85,3 +85,11 @@ def test_mask(spark):
     masked = m.mask_curve(curve, 5)
     assert masked.filter(F.col("predicted").isNull()).count() == 1
     assert m.max_deviation(masked).first()[0] == 4.0
+
+
+@pytest.mark.parametrize("rows", [[(None, 1)], [(float("nan"), 1)], [(1.7, 1)], [(-0.1, 0)], [(0.5, None)], [(0.1, 0), (0.2, 1), (0.3, 2)]])
+@pytest.mark.parametrize("metric", [m.ece, lambda d: m.ece(d, strategy="quantile"), m.brier, lambda d: m.reliability(d, [0, 1])])
+def test_bad_scores_raise(spark, metric, rows):
+    df = spark.createDataFrame([(0.2, 0), (0.9, 1), *rows], "p double, y int")
+    with pytest.raises(ValueError):
+        metric(df).collect()

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -116,6 +118,44 @@ def test_user_pipeline_sees_all_features(spark, data):
     assert loaded.estimate(data).count() == model.estimate(data).count() > 0
 
 
+class Mine(models.OpenplayModel):
+    default_name = "mine"
+
+
+def test_own_class_in_a_stored_model(spark, data):
+    folder = scratch_path(spark, "models")
+    model = models.CompositeModel([Mine(), models.PenaltyModel()]).train(data)
+    model.save(spark, folder)
+    loaded = models.ShotModel.load(spark, folder, classes=[Mine])
+    assert type(loaded.models[0]) is Mine
+    assert loaded.estimate(data).count() == model.estimate(data).count()
+    assert type(models.ShotModel.load(spark, folder).models[0]).__name__ == "Mine"  # from its module
+
+    class Local(models.PenaltyModel):
+        default_name = "local"
+
+    Local().save(spark, folder)
+    with pytest.raises(ValueError, match="classes"):
+        models.ShotModel.load(spark, folder, "local")
+
+
+def test_given_games(data):
+    ids = [r.game_id for r in data.games.limit(5).collect()]
+    shots = dataset.shot_labels(data, game_ids=ids)
+    assert {r.game_id for r in shots.collect()} <= set(ids) and shots.count() > 0
+    assert dataset.shot_features(data, [fs.startpolar], game_ids=ids).count() == shots.count()
+    assert dataset.training_frame(data, [fs.startpolar], game_ids=ids).count() == shots.count()
+    assert models.PenaltyModel().estimate(data, ids).count() <= models.PenaltyModel().estimate(data).count()
+
+
+def test_shot_filter_reaches_the_scan(spark, data):
+    path = scratch_path(spark, "actions")
+    data.actions.write.parquet(path)
+    stored = replace(data, actions=spark.read.parquet(path))
+    plan = dataset.shot_features(stored, [fs.startpolar], filters.any_shot, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "In(type_id, [4,5,6])" in plan and "In(result_id, [0,1])" in plan
+
+
 def test_surface(data):
     model = models.OpenplayModel().train(data)
     part = data.games.sparkSession.createDataFrame([("foot",)], "bodypart_id string")

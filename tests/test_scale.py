@@ -36,9 +36,8 @@ def test_numbering(spark):
 
 def test_number_all_and_prefix_sums(spark):
     df = skewed(spark)
-    small = scale.number_all(df, ["t", "id"], "pos", 600)
-    large = scale.number_all(df, ["t", "id"], "pos")
-    assert sorted(small.collect()) == sorted(large.select(*small.columns).collect())
+    numbered = {r.id: r.pos for r in scale.number_all(df, ["t", "id"], "pos").collect()}
+    assert numbered == {r.id: i for i, r in enumerate(df.orderBy("t", "id").collect())}
     sums = {(r.t, r.id): r.s for r in scale.prefix_sums(df, ["t", "id"], {"s": "k"}, partitions=5).collect()}
     total = 0
     for r in df.orderBy("t", "id").collect():
@@ -85,11 +84,22 @@ def test_chunked_halo(spark, small_chunks):
     assert sorted(r.id for r in rows if not r._home) == [5, 6, 12, 13, 19, 20, 26, 27]
 
 
-def test_lookup_join_gives_the_same_either_way(spark):
-    df, table = skewed(spark), spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
-    small = scale.lookup_join(df, table, "k", 2)
-    large = scale.lookup_join(df, table, "k", 10**9)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+def test_null_and_many_hot_keys(spark, small_chunks):
+    """NULL keys may be hot like any other, and no hot key is left out."""
+    rows = [(None if i % 2 else i % 31, i % 40, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    hot = scale.hot_keys(df, ["k"], 10)
+    assert {r.k for r in hot.collect()} == {None, *range(31)}
+    cold, wide = scale.split_hot(df, hot)
+    assert (cold.count(), wide.count()) == (0, 900)
+    want = {r.id: r.pos for r in scale.number_rows(df, ["k"], ["t", "id"], "pos").collect()}
+    assert {r.id: r.pos for r in scale.number_rows(df, ["k"], ["t", "id"], "pos", hot).collect()} == want
+
+
+def test_slices_follow_the_number_of_rows(spark, small_chunks):
+    sliced = scale.ordered_slices(skewed(spark), ["t", "id"])
+    sizes = [r["count"] for r in sliced.groupBy(scale.SLICE).count().collect()]
+    assert len(sizes) > 60 and max(sizes) < 60
 
 
 def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):

@@ -71,10 +71,60 @@ def test_feature_store_reads_only_the_wanted_directories(spark):
     store.write_features(df, games, path)
     part = store.read_features(spark, path, [("B", 1718)])
     assert [r.f for r in part.collect()] == [2.5]
-    assert "PartitionFilters: [" in part._jdf.queryExecution().executedPlan().toString()
+    assert len(part.inputFiles()) == 2 and part._jdf.queryExecution().executedPlan().toString().count("season_id#") > 0
+    assert "PartitionFilters: [isnotnull(competition_id" in part._jdf.queryExecution().executedPlan().toString()
     assert store.read_features(spark, path).count() == 2
 
 
+def test_feature_store_grows_by_season(spark):
+    path = scratch_path(spark, "store")
+    for game, season in ((1, "0910"), (2, "1011"), (3, "0910")):
+        games = spark.createDataFrame([(game, "A", season)], "game_id int, competition_id string, season_id string")
+        store.write_features(spark.createDataFrame([(game, 0, 1.5)], "game_id int, action_id int, f double"), games, path)
+    got = sorted((r.season_id, r.game_id) for r in store.read_features(spark, path).collect())
+    assert got == [("0910", 3), ("1011", 2)]  # a season that is written again is replaced
+    assert store.read_features(spark, path, [("A", "0910")]).count() == 1
+
+
+@pytest.mark.parametrize("rows", [[(1, "a", 5), (1, "b", 5)], [(1, "b", 5), (1, "a", 5)]])
+def test_dedupe_does_not_depend_on_order(spark, rows):
+    df = spark.createDataFrame(rows, "k int, x string, t int")
+    assert tables.dedupe(df, ["k"], ["t"]).collect() == [(1, "b", 5)]
+
+
+def test_json_documents_and_broken_input(spark):
+    root = scratch_path(spark, "json")
+    indented = '[\n  {"match_id": 1,\n   "home_team_id": 7},\n  {"match_id": 2}\n]'
+    spark.createDataFrame([(indented,)], "v string").coalesce(1).write.text(f"{root}/whole")
+    got = ingest.read_json(spark, f"{root}/whole", ingest.MATCH_SCHEMA)
+    assert sorted((r.match_id, r.home_team_id) for r in got.collect()) == [(1, 7), (2, None)]
+    spark.createDataFrame([('{"match_id": 1}',), ('{"match_id": 2}',)], "v string").coalesce(1).write.text(f"{root}/lines")
+    assert ingest.read_json(spark, f"{root}/lines", ingest.MATCH_SCHEMA, lines=True).count() == 2
+    spark.createDataFrame([('[{"match_id": 1}, {"match',)], "v string").write.text(f"{root}/broken")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest.read_json(spark, f"{root}/broken", ingest.MATCH_SCHEMA).collect()
+
+
+def test_escapes_keep_other_backslashes(spark):
+    texts = [r"C:\dir", "end\\", r"\u00e9\n", r"\ud83d\ude00!", r"\u12", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(ingest.decode_escapes(F.col("t"))).collect()]
+    assert got == [r"C:\dir", "end\\", "é\\n", "\U0001f600!", r"\u12", "", None]
+
+
+def test_actions_of_given_games_and_further_tables(spark, data):
+    ids = [r.game_id for r in data.games.limit(3).collect()]
+    assert data.only(ids).games.count() == 3 and data.only(None) is data
+    root = scratch_path(spark, "provider")
+    data.actions.write.parquet(f"{root}/actions")
+    data.games.write.parquet(f"{root}/games")
+    pairs = spark.createDataFrame([(1, 2, 3), (1, 2, 3)], "game_id int, team_id int, player_id int")
+    pairs.write.parquet(f"{root}/player_games")
+    spark.createDataFrame([("u",)], "file_url string").write.parquet(f"{root}/files")
+    loaded = tables.ShotData.load(spark, root)
+    assert loaded.player_games.count() == 1 and loaded.files.count() == 1
+
+
 def test_escapes(spark):
     texts = ['Andr\\u00e9 "Z"', "line\nbreak", "\\u0041"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

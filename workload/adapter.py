@@ -93,7 +93,7 @@ def _actions(spark, sf):
         "game_id", "action_id", "event_id", "period_id",
         ((us - F.when(second, HALF).otherwise(KICKOFF)).cast("double") / 480000000.0).alias("time_seconds"),
         F.when((e * 31 + k) % 2 == 0, F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("team_id"),
-        ((e * 13 + k) % 150).alias("player_id"),
+        ((e * 13 + k) % 150 + 1).alias("player_id"),
         F.when(F.col("event_type") == "purchase", "shot")
         .when(
             F.col("event_type") == "signup",
@@ -131,7 +131,7 @@ def teams(spark, sf):
 
 
 def players(spark, sf):
-    return table(spark, sf, "customer").filter("c_custkey < 150").select(
+    return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("player_id"), F.col("c_name").alias("player_name")
     )
 
@@ -173,7 +173,7 @@ def scored(spark, sf):
         actions(spark, sf)
         .filter((F.col("type_name") == "shot") & F.col("result_name").isin("success", "fail"))
         .select(
-            "game_id", "action_id",
+            "game_id", "action_id", "player_id",
             ((F.col("event_id") * 37 % 401).cast("double") / 401.0).alias("p"),
             F.when(F.col("result_name") == "success", 1).otherwise(0).alias("y"),
         )
@@ -212,7 +212,7 @@ VIEWS = {
          cast(us - case when e.period_id = 1 then 1704067200000000 else 1705363200000000 end as double)
            / 480000000.0e0 as time_seconds,
          case when (event_id * 31 + k) % 2 = 0 then home_team_id else away_team_id end as team_id,
-         cast((event_id * 13 + k) % 150 as bigint) as player_id,
+         cast((event_id * 13 + k) % 150 + 1 as bigint) as player_id,
          case event_type
            when 'purchase' then 'shot'
            when 'signup' then case when event_id % 5 = 0 then 'shot_freekick'
@@ -235,7 +235,7 @@ VIEWS = {
 
 EXTRA_VIEWS = {
     "teams": "select cast(n_nationkey as bigint) as team_id, n_name as team_name from nation",
-    "players": "select c_custkey as player_id, c_name as player_name from customer where c_custkey < 150",
+    "players": "select c_custkey as player_id, c_name as player_name from customer",
     "other_games": """
   select game_id + 100000 as game_id, competition_id, season_id, home_team_id + 1000 as home_team_id,
          away_team_id + 1000 as away_team_id, game_date from games""",
@@ -246,7 +246,7 @@ EXTRA_VIEWS = {
   from actions
   where type_name in ('shot', 'shot_penalty', 'shot_freekick') and event_id % 7 <> 0""",
     "scored": """
-  select game_id, action_id, cast((event_id * 37) % 401 as double) / 401.0e0 as p,
+  select game_id, action_id, player_id, cast((event_id * 37) % 401 as double) / 401.0e0 as p,
          case when result_name = 'success' then 1 else 0 end as y
   from actions where type_name = 'shot' and result_name in ('success', 'fail')""",
     # the shot and the two actions before it as structs

@@ -1,12 +1,12 @@
 """SQL text for a logistic regression by Newton steps, to check fitted models against."""
 
 
-def newton(rows: str, columns, penalty, steps: int = 8) -> str:
-    """Views that end in ``fitted(b0, b1, ...)``: minimum of sum(w * log loss) + penalty/2 * |b|^2
+def newton(rows: str, columns, penalty, steps: int = 8, prefix: str = "") -> str:
+    """Views that end in ``fitted(b0, b1, ...)`` (names after ``prefix``): minimum of sum(w * log loss) + penalty/2 * |b|^2
     over the view ``rows`` with the columns given, a 0/1 column ``y`` and a weight ``w``."""
     n = len(columns)
     score = " + ".join(f"b{i} * {c}" for i, c in enumerate(columns))
-    views = [f"n0 as (select {', '.join(f'0.0e0 as b{i}' for i in range(n))})"]
+    views = [f"{prefix}n0 as (select {', '.join(f'0.0e0 as b{i}' for i in range(n))})"]
     for step in range(1, steps + 1):
         bs = ", ".join(f"any_value(b{i}) as b{i}" for i in range(n))
         gradient = ", ".join(
@@ -19,7 +19,7 @@ def newton(rows: str, columns, penalty, steps: int = 8) -> str:
         )
         text = (
             f"select {bs}, {hessian}, {gradient} from "
-            f"(select r.*, n{step - 1}.*, 1 / (1 + exp(-({score}))) as q from {rows} r, n{step - 1}) t"
+            f"(select r.*, {prefix}n{step - 1}.*, 1 / (1 + exp(-({score}))) as q from {rows} r, {prefix}n{step - 1}) t"
         )
         # Gauss-Jordan elimination, one pivot per layer
         for k in range(n):
@@ -30,6 +30,6 @@ def newton(rows: str, columns, penalty, steps: int = 8) -> str:
                     cells.append(f"{scaled} as m{i}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * {scaled} as m{i}_{j}")
             text = f"select {', '.join(f'b{i}' for i in range(n))}, {', '.join(cells)} from ({text}) e{k}"
         update = ", ".join(f"b{i} - m{i}_{n} as b{i}" for i in range(n))
-        views.append(f"n{step} as (select {update} from ({text}) s)")
-    views.append(f"fitted as (select * from n{steps})")
+        views.append(f"{prefix}n{step} as (select {update} from ({text}) s)")
+    views.append(f"{prefix}fitted as (select * from {prefix}n{steps})")
     return ",\n".join(views)

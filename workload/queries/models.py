@@ -34,8 +34,8 @@ def flagship(spark, sf):
     """Default models trained on one season; the players with the most xG in the other."""
     data = adapter.data(spark, sf)
     model = models.CompositeModel().train(data, _seasons("1718"))
-    xg = model.estimate(data, _season_games(spark, sf, "1819"))
-    return report.top_players(xg, data.actions, data.players)
+    xg = model.estimate(data, _season_games(spark, sf, "1819"), keep=["player_id"])
+    return report.top_players(xg, data.players)
 
 
 # its query is registered below, next to the SQL of the models it uses
@@ -104,18 +104,17 @@ def _(spark, sf):
 
 @query(
     "composite_predict",
-    sql("""select game_id, action_id, case when type_name = 'shot_penalty' then 0.792453e0 end as penalty_xg, true as is_probability
-from actions where (type_name = 'shot' and result_name in ('fail', 'success')) or type_name in ('shot_penalty', 'shot_freekick')"""),
+    sql(f"""select game_id, action_id, round(xg, 3) as "xG" from (
+  select * from ({_predictions(OPENPLAY, COEFFICIENTS, [1] * 5)}) o
+  union all select * from ({_predictions("type_name = 'shot_freekick'", ["d", "a", "one"], [1, 1, 0])}) f
+  union all select a.game_id, action_id, 0.792453e0 from actions a join games g on a.game_id = g.game_id
+    where type_name = 'shot_penalty' and season_id = '1819') x"""),
 )
 def _(spark, sf):
-    """Every shot once, scored by the model of its kind; the fitted values are not compared."""
+    """Every shot once, scored by the model of its kind."""
     data = adapter.data(spark, sf)
-    scored = models.CompositeModel().train(data).score(data, ["type_id"])
-    penalty = data.vocab.types.index("shot_penalty")
-    return scored.select(
-        *KEY, F.when(F.col("type_id") == penalty, F.col("xG")).alias("penalty_xg"),
-        F.col("xG").between(0, 1).alias("is_probability"),
-    )
+    model = models.CompositeModel().train(data, _seasons("1718"))
+    return rounded(model.estimate(data, _season_games(spark, sf, "1819")), 3)
 
 
 @query(
@@ -441,15 +440,36 @@ INPUTS = {
 }
 
 
+# inputs whose weights are held at zero or above
+BOUNDED = {"beta": (0, 1), "beta_ab": (0, 1)}
+
+
 def _calibration_sql(method, weight="1.0e0"):
-    """Fit on one season by Newton steps, apply to the other."""
+    """Fit on one season by Newton steps, apply to the other. Bounded weights: the best of the
+    fits without a bound, without the one and without the other input, of those that keep it."""
     names = [f"x{i}" for i in range(len(INPUTS[method]))]
     inputs = ", ".join(f"{x} as {n}" for x, n in zip(INPUTS[method], names))
     score = " + ".join(f"b{i} * {n}" for i, n in enumerate(names))
+    if method in BOUNDED:
+        views, fits = [], []
+        for left_out in (None, *BOUNDED[method]):
+            used = [n for i, n in enumerate(names) if i != left_out]
+            prefix = f"f{'' if left_out is None else left_out}_"
+            views.append(newton("tr", used, [0] * len(used), steps=12, prefix=prefix))
+            own = [f"b{used.index(n)}" if n in used else "0.0e0" for n in names]
+            held = " and ".join(f"{own[i]} >= 0" for i in BOUNDED[method])
+            fits.append(f"select {', '.join(f'{x} as b{i}' for i, x in enumerate(own))} from {prefix}fitted where {held}")
+        all_b = ", ".join(f"b{i}" for i in range(len(names)))
+        likelihood = f"sum(w * (y * -ln(1 + exp(-({score}))) + (1 - y) * -ln(1 + exp({score}))))"
+        fit = ",\n".join(views) + f""",
+fits as ({" union all ".join(fits)}),
+fitted as (select {all_b} from fits, tr group by {all_b} order by {likelihood} desc limit 1)"""
+    else:
+        fit = newton("tr", names, [0] * len(names), steps=12)
     return sql(f"""with {DISTANCE_SCORES},
 x as (select game_id, action_id, season_id, y, {weight} as w, {inputs} from ds),
 tr as (select * from x where season_id = '1718'),
-{newton("tr", names, [0] * len(names), steps=12)}
+{fit}
 select game_id, action_id, round(1 / (1 + exp(-({score}))), 3) as p from x, fitted where season_id = '1819'""")
 
 
@@ -525,7 +545,7 @@ def _(spark, sf):
 
 
 def _vectors(spark, sf):
-    values = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double"))
+    values = F.transform("embedding", lambda v: v.cast("double"))
     return adapter.table(spark, sf, "embeddings").select(
         "vec_id", F.col("label").cast("double").alias("label"), array_to_vector(values).alias("features")
     )

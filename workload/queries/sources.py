@@ -38,7 +38,8 @@ def _(spark, sf):
 where rn = 1""",
 )
 def _(spark, sf):
-    latest = tables.dedupe(adapter.table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    # several orders of a day tie; the order key is the first of the other columns
+    latest = tables.dedupe(adapter.table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate"])
     return latest.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -136,6 +137,16 @@ def _(spark, sf):
 LEAGUES = {"ASIA": "AS", "EUROPE": "EU", "AMERICA": "AM"}
 
 
+def _write_documents(df, path, rows=5_000):
+    """JSON files as providers publish them: each one indented array, here of about ``rows`` records."""
+    files = df.count() // rows + 1
+    records = df.select(F.struct("*").alias("r"))
+    arrays = records.groupBy(F.pmod(F.xxhash64("r"), F.lit(files)).alias("part")).agg(
+        F.to_json(F.collect_list("r"), {"pretty": "true"}).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+
+
 @query(
     "ingest_open_json",
     sql("""with g as (select * from games where competition_id in ('ASIA', 'EUROPE', 'AMERICA')),
@@ -151,22 +162,25 @@ def _(spark, sf):
     games = adapter.games(spark, sf)
     season = F.col("season_id").cast("long")
     league = F.abs(F.hash("competition_id")).cast("long")
-    games.select(
+    offered = games.select(
         league.alias("competition_id"), season.alias("season_id"), F.col("competition_id").alias("competition_name")
-    ).distinct().write.json(f"{root}/competitions")
-    games.select(
+    )
+    _write_documents(offered.distinct(), f"{root}/competitions")
+    matches = games.select(
         F.col("game_id").alias("match_id"), F.col("game_date").alias("match_date"),
         league.alias("competition_id"), season.alias("season_id"), "home_team_id", "away_team_id",
-    ).write.json(f"{root}/matches")
+    )
+    _write_documents(matches, f"{root}/matches")
 
     def entity(key, name):
         return F.struct(F.col(key).alias("id"), name.alias("name"))
 
-    adapter.actions(spark, sf).select(
-        F.col("game_id").alias("match_id"),
+    events = adapter.actions(spark, sf).select(
+        F.col("game_id").alias("match_id"), "event_id",
         entity("team_id", F.concat(F.lit("Team "), F.col("team_id"))).alias("team"),
         entity("player_id", F.concat(F.lit('Player "'), F.col("player_id"), F.lit('"'))).alias("player"),
-    ).write.json(f"{root}/events")
+    )
+    _write_documents(events, f"{root}/events")
     out = ingest.read_open_data(spark, root, LEAGUES, {1718: "1718", 1819: "1819"})
     text = F.concat_ws("/", "competition_id", "season_id", F.col("game_date").cast("string"))
     parts = [
@@ -192,7 +206,7 @@ g as (
   join region on r_name = games.competition_id join sel on provider_id = r_regionkey)"""
 
 
-def _dump(spark, sf):
+def _dump_parts(spark, sf):
     region = adapter.table(spark, sf, "region")
     area = F.when(F.col("r_regionkey") % 4 == 3, "").otherwise(F.col("r_name"))
     competitions = region.select(
@@ -208,10 +222,15 @@ def _dump(spark, sf):
         "game_id", "event_id", "period_id", "time_seconds", "team_id", "player_id",
         (F.col("event_id") % 100).alias("subtype_id"), (F.col("event_id") % 11 == 0).alias("head_tag"),
     )
-    return ingest.assemble_dump(
-        competitions, matches, events, adapter.players(spark, sf), adapter.teams(spark, sf),
-        LEAGUES, {1718: "1718", 1819: "1819"}, adapter.hot_games(spark, sf),
-    )
+    return {
+        "competitions": competitions, "matches": matches, "events": events,
+        "players": adapter.players(spark, sf), "teams": adapter.teams(spark, sf),
+    }
+
+
+def _dump(spark, sf):
+    parts = _dump_parts(spark, sf).values()
+    return ingest.assemble_dump(*parts, LEAGUES, {1718: "1718", 1819: "1819"}, adapter.hot_games(spark, sf))
 
 
 @query(
@@ -246,6 +265,41 @@ def _(spark, sf):
     )
 
 
+@query(
+    "ingest_dump_files",
+    sql(
+        f"""{DUMP_SQL}
+select 'player' as kind, player_id as id, player_name as name from players
+where player_id in (select player_id from actions where game_id in (select game_id from g))
+union all select 'team', team_id, team_name from teams
+where team_id in (select home_team_id from g union all select away_team_id from g)
+union all select 'game', g.game_id, competition_id || '/' || season_id || '/' || cast(count(*) as varchar) || '/'
+  || cast(count(distinct team_id) as varchar) from g join actions a on a.game_id = g.game_id
+group by g.game_id, competition_id, season_id""",
+        "players", "teams",
+    ),
+)
+def _(spark, sf):
+    """The dump as indented files; names carry escapes."""
+    root = scratch_path(spark, "dump")
+    for name, part in _dump_parts(spark, sf).items():
+        if name in ("players", "teams"):
+            column = f"{name[:-1]}_name"
+            part = part.withColumn(column, F.replace(F.col(column), F.lit("C"), F.lit("\\u0043")))
+        _write_documents(part, f"{root}/{name}")
+    out = ingest.read_event_dump(spark, root, LEAGUES, {1718: "1718", 1819: "1819"})
+    named = [
+        out[f"{kind}s"].select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"), F.col(f"{kind}_name").alias("name"))
+        for kind in ("player", "team")
+    ]
+    counted = out["actions"].groupBy("game_id").agg(F.count("*").alias("n"), F.count_distinct("team_id").alias("teams"))
+    games = out["games"].join(counted, "game_id").select(
+        F.lit("game").alias("kind"), F.col("game_id").alias("id"),
+        F.concat_ws("/", "competition_id", "season_id", F.col("n").cast("string"), F.col("teams").cast("string")).alias("name"),
+    )
+    return named[0].unionByName(named[1]).unionByName(games)
+
+
 @query(
     "bodypart_rule",
     """select event_id, case when event_id % 100 in (81, 36, 21, 90, 91) then 'other'
@@ -256,13 +310,13 @@ def _(spark, sf):
     return adapter.table(spark, sf, "events").select("event_id", ingest.bodypart_expr(e % 100, e % 11 == 0).alias("bodypart"))
 
 
-@query("escape_decode", "select p_partkey, p_name as decoded from part")
+@query("escape_decode", r"select p_partkey, p_name || ' C:\dir\u00 \' as decoded from part")
 def _(spark, sf):
-    """Part names, written as escapes, decoded again."""
+    """Part names, written as escapes, decoded again; backslashes that escape nothing stay."""
     code = F.transform(
         F.split("p_name", ""), lambda c: F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))
     )
-    escaped = adapter.table(spark, sf, "part").select("p_partkey", F.array_join(code, "").alias("escaped"))
+    escaped = adapter.table(spark, sf, "part").select("p_partkey", F.concat(F.array_join(code, ""), F.lit(" C:\\dir\\u00 \\")).alias("escaped"))
     return escaped.select("p_partkey", ingest.decode_escapes(F.col("escaped")).alias("decoded"))
 
 
@@ -272,17 +326,17 @@ def _(spark, sf):
 def _corrupted(name, key):
     """A copy of a name without one or two characters."""
     at = (key % 9 + 2).cast("int")
-    cut = F.concat(F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.lit(99)))
+    cut = F.concat(F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.length(name)))
     return F.when(key % 3 == 0, name).when(key % 3 == 1, cut).otherwise(
-        F.concat(F.substring(cut, F.lit(1), F.lit(12)), F.substring(cut, F.lit(14), F.lit(99)))
+        F.concat(F.substring(cut, F.lit(1), F.lit(12)), F.substring(cut, F.lit(14), F.length(name)))
     )
 
 
 CORRUPTED = """corrupted as (
   select c_custkey, c_name, case c_custkey % 3 when 0 then c_name when 1 then cut
-         else substr(cut, 1, 12) || substr(cut, 14, 99) end as other_name
+         else substr(cut, 1, 12) || substr(cut, 14) end as other_name
   from (select c_custkey, c_name, substr(c_name, 1, cast(c_custkey % 9 + 2 as bigint))
-               || substr(c_name, cast(c_custkey % 9 + 2 as bigint) + 2, 99) as cut from customer) t)"""
+               || substr(c_name, cast(c_custkey % 9 + 2 as bigint) + 2) as cut from customer) t)"""
 
 
 def _name_pairs(spark, sf):
@@ -393,15 +447,14 @@ def _(spark, sf):
     sql(
         """select player_id, player_name, round(xg, 6) as "xG" from (
   select a.player_id, any_value(player_name) as player_name, sum(p) as xg
-  from scored s join actions a on a.game_id = s.game_id and a.action_id = s.action_id
-  left join players on players.player_id = a.player_id
+  from scored a left join players on players.player_id = a.player_id
   group by a.player_id order by round(sum(p), 9) desc, a.player_id limit 10) t""",
         "scored", "players",
     ),
 )
 def _(spark, sf):
-    xg = adapter.scored(spark, sf).select(*KEY, F.col("p").alias("xG"))
-    return rounded(report.top_players(xg, adapter.actions(spark, sf), adapter.players(spark, sf)))
+    xg = adapter.scored(spark, sf).select("player_id", F.col("p").alias("xG"))
+    return rounded(report.top_players(xg, adapter.players(spark, sf)))
 
 
 @query("competition_list", sql("select distinct competition_id from games"))
