@@ -32,7 +32,7 @@ BUCKETS = 1 << 20  # numbers of terms
 MAX_ROWS = 20_000  # labelled rows that a fit takes, on average
 N_TERMS = 6_000  # terms of the machine
 MIN_ROWS = 3  # rows that a term must occur in
-MIN_GAIN = 3.84  # log-likelihood ratio of a term; below it the term tells nothing about the label
+MIN_GAIN = 2.0  # log-likelihood ratio of a term; below it the term tells nothing about the label
 FACTORS = 6  # length of the vector of a term
 KNOWN = 200_000  # distinct words whose terms a worker remembers
 
@@ -95,8 +95,9 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     @staticmethod
-    def fit(terms, lists, labels, factors=FACTORS, epochs=12, rate=0.05, decay=1e-2, seed=7):
-        """Logistic loss, adaptive gradient steps over batches of rows."""
+    def fit(terms, lists, labels, factors=FACTORS, epochs=12, steps=200, rate=0.05, decay=1e-2, seed=7):
+        """Logistic loss, adaptive gradient steps over batches of 256 rows: ``epochs`` times over all
+        rows, and ``steps`` batches at least."""
         y = np.asarray(labels, float)
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         rng = np.random.default_rng(seed)
@@ -111,7 +112,7 @@ class FactorizationMachine:
         flat, row = _segments(lists)
         at = np.searchsorted(machine.terms, flat)
         first = np.searchsorted(row, np.arange(len(y) + 1))
-        for _ in range(epochs):
+        for _ in range(max(epochs, math.ceil(steps * 256 / len(y)))):
             order = rng.permutation(len(y))
             for start in range(0, len(y), 256):
                 rows = order[start : start + 256]
