@@ -234,10 +234,24 @@ def _bodyparts(spark, sf):
     return adapter.actions(spark, sf).select(F.col("bodypart_name").alias("bodypart_id")).distinct()
 
 
-@query("xg_surface")
+@query(
+    "xg_surface",
+    sql(
+        f"""with {_shot_rows(OPENPLAY)},
+{newton("z", COEFFICIENTS, [1] * 5)},
+cells as (
+  select b.bodypart_name, cast(x as double) as x, cast(y as double) as y, sqrt(pow(105 - x, 2) + pow(34 - y, 2)) as d,
+         case when x = 105 then case when y = 34 then 0.0e0 else pi() / 2 end
+              else atan(abs(34 - y) / cast(105 - x as double)) end as a
+  from (select distinct bodypart_name from actions) b, range(0, 106) t1(x), range(0, 69) t2(y))
+select bodypart_name as bodypart_id_a0, x, y, round(1 / (1 + exp(-(
+  case bodypart_name when 'foot' then b0 when 'head' then b1 else b2 end + b3 * (d - md) / sd + b4 * (a - ma) / sa))), 3) as "xG"
+from cells, st, fitted"""
+    ),
+)
 def _(spark, sf):
     model = models.OpenplayModel().train(adapter.data(spark, sf))
-    return rounded(models.surface(model, _bodyparts(spark, sf)))
+    return rounded(models.surface(model, _bodyparts(spark, sf)), 3)
 
 
 # --- open-play shots of the custom models -----------------------------------------------
@@ -444,28 +458,33 @@ INPUTS = {
 BOUNDED = {"beta": (0, 1), "beta_ab": (0, 1)}
 
 
+def _bounded_fit(rows, names, bounded):
+    """View ``fitted``: weights of the inputs ``names``, those at ``bounded`` at zero or above. The
+    best of the fits with all inputs and without each of the bounded ones, of those that keep
+    the bounds."""
+    views, fits = [], []
+    for left_out in (None, *bounded):
+        used = [n for i, n in enumerate(names) if i != left_out]
+        prefix = f"f{'' if left_out is None else left_out}_"
+        views.append(newton(rows, used, [0] * len(used), steps=12, prefix=prefix))
+        own = [f"b{used.index(n)}" if n in used else "0.0e0" for n in names]
+        held = " and ".join(f"{own[i]} >= 0" for i in bounded)
+        fits.append(f"select {', '.join(f'{x} as b{i}' for i, x in enumerate(own))} from {prefix}fitted where {held}")
+    all_b = ", ".join(f"b{i}" for i in range(len(names)))
+    score = " + ".join(f"b{i} * {n}" for i, n in enumerate(names))
+    likelihood = f"sum(w * (y * -ln(1 + exp(-({score}))) + (1 - y) * -ln(1 + exp({score}))))"
+    return ",\n".join(views) + f""",
+fits as ({" union all ".join(fits)}),
+fitted as (select {all_b} from fits, {rows} group by {all_b} order by {likelihood} desc limit 1)"""
+
+
 def _calibration_sql(method, weight="1.0e0"):
-    """Fit on one season by Newton steps, apply to the other. Bounded weights: the best of the
-    fits without a bound, without the one and without the other input, of those that keep it."""
+    """Fit on one season by Newton steps, apply to the other."""
     names = [f"x{i}" for i in range(len(INPUTS[method]))]
     inputs = ", ".join(f"{x} as {n}" for x, n in zip(INPUTS[method], names))
     score = " + ".join(f"b{i} * {n}" for i, n in enumerate(names))
-    if method in BOUNDED:
-        views, fits = [], []
-        for left_out in (None, *BOUNDED[method]):
-            used = [n for i, n in enumerate(names) if i != left_out]
-            prefix = f"f{'' if left_out is None else left_out}_"
-            views.append(newton("tr", used, [0] * len(used), steps=12, prefix=prefix))
-            own = [f"b{used.index(n)}" if n in used else "0.0e0" for n in names]
-            held = " and ".join(f"{own[i]} >= 0" for i in BOUNDED[method])
-            fits.append(f"select {', '.join(f'{x} as b{i}' for i, x in enumerate(own))} from {prefix}fitted where {held}")
-        all_b = ", ".join(f"b{i}" for i in range(len(names)))
-        likelihood = f"sum(w * (y * -ln(1 + exp(-({score}))) + (1 - y) * -ln(1 + exp({score}))))"
-        fit = ",\n".join(views) + f""",
-fits as ({" union all ".join(fits)}),
-fitted as (select {all_b} from fits, tr group by {all_b} order by {likelihood} desc limit 1)"""
-    else:
-        fit = newton("tr", names, [0] * len(names), steps=12)
+    bounded = BOUNDED.get(method)
+    fit = _bounded_fit("tr", names, bounded) if bounded else newton("tr", names, [0] * len(names), steps=12)
     return sql(f"""with {DISTANCE_SCORES},
 x as (select game_id, action_id, season_id, y, {weight} as w, {inputs} from ds),
 tr as (select * from x where season_id = '1718'),
@@ -508,7 +527,51 @@ def _(spark, sf):
     return rounded(calibrate.Calibrator("isotonic").fit(scores).transform(scores).select(*KEY, "p"))
 
 
-@query("calib_prefit")
+SPLIT_COLUMNS = ["foot", "head", "other", "x", "y0", "d", "sa"]
+
+
+def _split_sql(weight="1.0e0"):
+    """Views ``val`` and ``test`` with the margin ``m`` and the probability ``pr`` of the logistic
+    model, fitted on the earliest half of the games; numbers are scaled as in that half."""
+    scaled = ", ".join(f"(({c} - avg_{c}) / sd_{c}) as {c}" for c in SPLIT_COLUMNS[3:])
+    stats = ", ".join(f"avg({c}) as avg_{c}, stddev_pop({c}) as sd_{c}" for c in SPLIT_COLUMNS[3:])
+    n = len(SPLIT_COLUMNS)
+    margin = " + ".join(f"b{i} * {c}" for i, c in enumerate(SPLIT_COLUMNS)) + f" + b{n}"
+    return f"""numbered as (
+  select game_id, row_number() over (order by game_date, game_id) - 1 as pos, count(*) over () as n from games),
+parts as (
+  select game_id, case when pos < floor(0.5e0 * n + 1e-9) then 'train' when pos < floor(0.7e0 * n + 1e-9) then 'val' else 'test' end as split
+  from numbered),
+shots as (
+  select game_id, action_id, split, y, {weight} as w, 1.0e0 as one, x, y0, pow(105 - x, 2) + pow(34 - y0, 2) as d2,
+         case when bodypart_name = 'foot' then 1.0e0 else 0.0e0 end as foot,
+         case when bodypart_name = 'head' then 1.0e0 else 0.0e0 end as head,
+         case when bodypart_name = 'other' then 1.0e0 else 0.0e0 end as other
+  from (select a.game_id, action_id, split, bodypart_name, case when result_name = 'success' then 1.0e0 else 0.0e0 end as y,
+               case when team_id <> home_team_id then 105 - start_x else start_x end as x,
+               case when team_id <> home_team_id then 68 - start_y else start_y end as y0
+        from actions a join games g on a.game_id = g.game_id join parts p on p.game_id = a.game_id where {OPENPLAY}) t),
+raw as (
+  select *, sqrt(d2) as d, case when x = 105 and y0 between 30.35e0 and 37.65e0 then pi() when x = 105 then 0.0e0
+    else atan(7.3e0 * (105 - x) / (d2 - 13.3225e0)) + case when d2 < 13.3225e0 then pi() else 0.0e0 end end as sa from shots),
+st as (select {stats} from raw where split = 'train'),
+z as (select game_id, action_id, split, y, w, one, foot, head, other, {scaled} from raw, st),
+trained as (select * from z where split = 'train'),
+{newton("trained", [*SPLIT_COLUMNS, "one"], [1] * n + [0], prefix="m_")},
+margins as (select z.*, {margin} as m from z, m_fitted),
+scored as (select game_id, action_id, split, y, w, one, m, 1 / (1 + exp(-m)) as pr, ln(1 + exp(m)) as nq, ln(1 + exp(-m)) as np from margins),
+val as (select * from scored where split = 'val'),
+test as (select * from scored where split = 'test')"""
+
+
+@query(
+    "calib_prefit",
+    sql(f"""with {_split_sql()},
+{newton("val", ["m", "one"], [0, 0], steps=12, prefix="r_")},
+{newton("val", ["pr", "one"], [0, 0], steps=12, prefix="q_")}
+select game_id, action_id, 'rawPrediction' as score, round(1 / (1 + exp(-(b0 * m + b1))), 3) as p from test, r_fitted
+union all select game_id, action_id, 'probability', round(1 / (1 + exp(-(b0 * pr + b1))), 3) from test, q_fitted"""),
+)
 def _(spark, sf):
     """The same method on the margin and on the probability of the model."""
     train, val, test = _split(spark, sf)
@@ -517,7 +580,7 @@ def _(spark, sf):
     for score in ("rawPrediction", "probability"):
         calibrated = calibrate.CalibratedClassifier(model, "sigmoid", score_type=score).fit(val)
         parts.append(calibrated.predict_proba(test).select(*KEY, F.lit(score).alias("score"), F.col("proba")[1].alias("p")))
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(parts[0].unionByName(parts[1]), 3)
 
 
 @query("calib_cv")
@@ -576,14 +639,20 @@ def _(spark, sf):
     return rounded(fitted.predict(rows).select("vec_id", "label", "prediction", F.array_max("proba").alias("p")))
 
 
-@query("calib_weighted_model")
+@query(
+    "calib_weighted_model",
+    sql(f"""with {_split_sql("case when bodypart_name = 'head' then 2.0e0 else 1.0e0 end")},
+v as (select y, w, -np as x0, nq as x1, one as x2 from val),
+{_bounded_fit("v", ["x0", "x1", "x2"], (0, 1))}
+select game_id, action_id, round(1 / (1 + exp(-(b0 * -np + b1 * nq + b2))), 3) as p from test, fitted"""),
+)
 def _(spark, sf):
     """Headers weigh twice, in the calibration as in the fit of the model."""
     train, val, test = _split(spark, sf)
     weighted = SQLTransformer(statement="SELECT *, CASE WHEN bodypart_id_a0 = 'head' THEN 2D ELSE 1D END AS w FROM __THIS__")
     base = Pipeline(stages=[weighted, prep.prep_linear(NUMERIC, CATEGORIC), models.SkLogistic(weightCol="w")]).fit(train)
     calibrated = calibrate.CalibratedClassifier(base, "beta", weight="w").fit(val)
-    return rounded(calibrated.predict_proba(test).select(*KEY, F.col("proba")[1].alias("p")))
+    return rounded(calibrated.predict_proba(test).select(*KEY, F.col("proba")[1].alias("p")), 3)
 
 
 @query("calib_compare")
