@@ -55,7 +55,7 @@ class Terms:
         known, wanted = self.known, self.wanted
         if len(known) > KNOWN:
             known.clear()
-        for w in words - known.keys():
+        for w in [w for w in words if w not in known]:
             known[w] = tuple([t for t in term_numbers(w) if wanted is None or t in wanted])
         found = set()
         for w in words:
