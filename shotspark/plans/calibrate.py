@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from shotspark.operators.encoders import fold_of
 from shotspark.operators.metrics import validate_scores
+from shotspark.plans.isotonic import fit_blocks, interpolate, points_of
 from shotspark.scale import materialize
 
 METHODS = [None, "sigmoid", "isotonic", "beta", "beta_am", "beta_ab"]
+MAX_LEVELS = 10_000  # points of a monotone fit that are also held as a model
 EDGE = 1e-12  # probabilities are kept this far from 0 and 1 before taking logarithms
 
 
@@ -29,13 +31,16 @@ class Calibrator:
 
     ``sigmoid``: logistic(a s + c). ``beta``: logit = a ln p - b ln(1-p) + c with a, b >= 0;
     ``beta_am`` has a = b, ``beta_ab`` has its midpoint at 1/2. ``isotonic``: monotone
-    piecewise linear. ``None``: the score itself.
+    piecewise linear; its blocks stay a table, and a fit of at most ``max_levels`` points is also
+    held as a Spark ML model, which scores without a join and gives the same values.
+    ``None``: the score itself.
     """
 
-    def __init__(self, method: str | None = "beta", parameters: tuple | None = None):
+    def __init__(self, method: str | None = "beta", parameters: tuple | None = None, max_levels: int = MAX_LEVELS):
         if method not in METHODS:
             raise ValueError(f"method is one of {METHODS}")
-        self.method, self.parameters, self.model = method, parameters, None
+        self.method, self.parameters, self.max_levels = method, parameters, max_levels
+        self.points = self.model = None
 
     # -- fit
 
@@ -47,9 +52,10 @@ class Calibrator:
             (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
         )
         if self.method == "isotonic":
-            # rows of equal score act together, so they are merged first
-            merged = rows.groupBy("s").agg((F.sum(F.col("label") * F.col("w")) / F.sum("w")).alias("label"), F.sum("w").alias("w"))
-            self.model = IsotonicRegression(featuresCol="s", labelCol="label", weightCol="w").fit(merged)
+            self.points = points_of(fit_blocks(rows))
+            if self.points.count() <= self.max_levels:
+                # the points rise already, so the model takes them as they are
+                self.model = IsotonicRegression(featuresCol="x", labelCol="q").fit(self.points)
             return self
         p = F.least(F.greatest(F.col("s"), F.lit(EDGE)), F.lit(1 - EDGE))
         inputs = {
@@ -97,6 +103,8 @@ class Calibrator:
             retried = self.column(F.col(score).cast("double") + 1e-300)
             present = F.nanvl(value, F.lit(None).cast("double"))
             return df.withColumn(output, F.coalesce(present, retried))
+        if self.model is None:
+            return interpolate(df, self.points, score, output)
         model = self.model.copy().setFeaturesCol("_s").setPredictionCol("_p")
         scored = model.transform(df.withColumn("_s", F.col(score).cast("double")))
         return scored.withColumn(output, F.col("_p")).drop("_s", "_p")

@@ -288,3 +288,31 @@ def test_score_type(openplay):
     out = calibrate.CalibratedClassifier(base, "sigmoid").fit(openplay).predict_proba(openplay)
     p = base.transform(openplay).select(*dataset.KEY, models.positive_probability().alias("p"))
     assert out.join(p, dataset.KEY).filter(F.abs(F.col("proba")[1] - F.col("p")) > 0.02).count() == 0
+
+
+@pytest.mark.parametrize("chunk, levels", [(100_000, 10_000), (9, 10_000), (9, 0), (100_000, 0)])
+def test_isotonic_in_slices(spark, monkeypatch, chunk, levels):
+    """Against pooling in one place, with falling runs that reach over many slices."""
+    from shotspark import scale
+
+    monkeypatch.setattr(scale, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random(400), 2)
+    y = (rng.random(400) < np.where(x < 0.5, 0.9 - x, x)).astype(int)  # falls over the first half
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "score double, y int")
+    fitted = calibrate.Calibrator("isotonic", max_levels=levels).fit(rows)
+    assert (fitted.model is None) == (levels == 0)
+    blocks = []
+    for v in np.unique(x):
+        block = [y[x == v].sum(), (x == v).sum(), v, v]
+        while blocks and blocks[-1][0] / blocks[-1][1] >= block[0] / block[1]:
+            last = blocks.pop()
+            block = [last[0] + block[0], last[1] + block[1], last[2], block[3]]
+        blocks.append(block)
+    xs = [e for b in blocks for e in (b[2], b[3])]
+    qs = [b[0] / b[1] for b in blocks for _ in range(2)]
+    probe = [-1.0, 0.0, 0.111, 0.4999, 0.655, 0.9, 2.0, *x[:50].tolist()]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(probe)] + [(99, None)], "i int, score double")
+    got = {r.i: r.p for r in fitted.transform(df).collect()}
+    assert got.pop(99) is None
+    assert [got[i] for i in range(len(probe))] == pytest.approx(np.interp(probe, xs, qs).tolist())
