@@ -7,6 +7,7 @@ only when the optimizer knows them to be small.
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,13 +204,19 @@ class TolerantLE:
 
 
 class OneHot:
-    """Indicator column per value seen, for values as strings; all zeros for an unseen value."""
+    """Indicator column per value seen, for values as strings; all zeros for an unseen value. One
+    output column per value is the feature, so more than ``max_values`` of them are an error."""
+
+    def __init__(self, max_values: int = 1_000):
+        self.max_values = max_values
 
     def fit(self, df: DataFrame, column: str) -> "OneHot":
         self.column = column
         text = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("value"))
-        # one output column per value, so the list of values is as small as a schema
-        self.values = sorted(r["value"] for r in text.distinct().collect())
+        found = text.distinct().limit(self.max_values + 1).collect()
+        if len(found) > self.max_values:
+            raise ValueError(f"{column} has more than {self.max_values} values; encode it by rank or embedding instead")
+        self.values = sorted(r["value"] for r in found)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -368,6 +375,10 @@ class StackedModel:
         return self.model.transform(df)
 
 
+OVERSAMPLING = 10  # further directions of the iteration, which make it converge sooner
+MAX_ROUNDS = 60
+
+
 class SVDEmbedding:
     """Embedding of the values of a row column: truncated SVD of the matrix of pair counts, or
     of pair means of a value column. Rare and unseen values share code 0."""
@@ -383,16 +394,65 @@ class SVDEmbedding:
         return coded.groupBy(F.col("_row").alias("row"), F.col("_col").alias("col")).agg(cell.alias("value"))
 
     def fit(self, df: DataFrame) -> "SVDEmbedding":
-        from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-        pairs = materialize(self.pairs(df), "pairs").filter("value is not null")
-        entries = pairs.rdd.map(lambda r: MatrixEntry(r["row"], r["col"], r["value"]))
-        matrix = CoordinateMatrix(entries).toIndexedRowMatrix()
-        svd = matrix.computeSVD(min(self.k, matrix.numCols(), matrix.numRows()), computeU=True)
-        self.singular_values = [float(s) for s in svd.s]
-        scale = list(self.singular_values)
-        rows = svd.U.rows.map(lambda r: (int(r.index), [float(u) * s for u, s in zip(r.vector, scale)]))
-        self.embedding = materialize(df.sparkSession.createDataFrame(rows, "code int, embedding array<double>"), "embedding")
+        """Subspace iteration from a random start: the matrix is multiplied through joins and
+        sums, and only products of its few columns (width x width numbers) reach the driver."""
+        pairs = materialize(self.pairs(df).filter("value is not null"), "pairs")
+        sizes = pairs.agg(F.count_distinct("row").alias("r"), F.count_distinct("col").alias("c")).first()
+        least = min(sizes["r"], sizes["c"])
+        k, width = min(self.k, least), min(self.k + OVERSAMPLING, least)
+
+        def uniform(j):
+            return F.shiftrightunsigned(F.xxhash64("col", F.lit(j)), 11) / float(1 << 52) - 1.0
+
+        def product(side, other, basis):
+            """Row sums of the matrix (or its transpose) times the basis at ``other``."""
+            sums = [F.sum(F.col("value") * F.col(f"v{j}")).alias(f"v{j}") for j in range(basis)]
+            return lambda table: materialize(pairs.join(table, other).groupBy(side).agg(*sums), "product")
+
+        def turned(table, side, turn):
+            """``table`` times a small matrix."""
+            cells = [
+                sum((F.col(f"v{i}") * float(turn[i, j]) for i in range(turn.shape[0])), F.lit(0.0)).alias(f"v{j}")
+                for j in range(turn.shape[1])
+            ]
+            return table.select(side, *cells)
+
+        def spectrum(table, basis):
+            """Eigenvalues, largest first, and eigenvectors of the table's products of columns."""
+            cells = [(i, j) for i in range(basis) for j in range(i, basis)]
+            row = table.agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"g{i}_{j}") for i, j in cells]).first()
+            gram = np.zeros((basis, basis))
+            for i, j in cells:
+                gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+            values, vectors = np.linalg.eigh(gram)
+            values, vectors = values[::-1], vectors[:, ::-1]
+            return values, vectors
+
+        def kept(values):
+            """Directions that are more than rounding errors."""
+            return max(1, int((values > max(values[0], 0.0) * 1e-13).sum()))
+
+        start = pairs.select("col").distinct().select("col", *[uniform(j).alias(f"v{j}") for j in range(width)])
+        basis, table, found = width, materialize(start, "start"), None
+        for _ in range(MAX_ROUNDS):
+            rows = product("row", "col", basis)(table)
+            values, vectors = spectrum(rows, basis)
+            n = kept(values)
+            scale = np.sqrt(np.maximum(values[:n], 1e-300))
+            columns = product("col", "row", n)(turned(rows, "row", vectors[:, :n] / scale))
+            values, vectors = spectrum(columns, n)
+            basis = kept(values)
+            sigma = np.sqrt(np.maximum(values[:basis], 0.0))
+            table = materialize(turned(columns, "col", vectors[:, :basis] / np.maximum(sigma, 1e-300)), "basis")
+            top = sigma[:k]
+            if found is not None and len(found) == len(top) and np.allclose(found, top, rtol=1e-9, atol=0):
+                break
+            found = top
+        k = min(k, basis)
+        self.singular_values = [float(v) for v in sigma[:k]]
+        out = product("row", "col", basis)(table)
+        embedding = F.array(*[F.col(f"v{j}") for j in range(k)])
+        self.embedding = materialize(out.select(F.col("row").cast("int").alias("code"), embedding.alias("embedding")), "embedding")
         return self
 
     def transform(self, df: DataFrame, output: str = "embedding") -> DataFrame:

@@ -143,3 +143,23 @@ def test_stacked_rows_are_scored_by_other_folds(spark):
     for fold, part in out.groupby("fold"):
         assert part["p"].iloc[0] == pytest.approx(out[out["fold"] != fold]["label"].mean())
     assert stacked.transform(df).first()["p"] == pytest.approx(19.5)
+
+
+def test_one_hot_refuses_a_column_per_row(spark):
+    df = spark.range(50).selectExpr("cast(id as string) as v")
+    with pytest.raises(ValueError, match="more than 20"):
+        e.OneHot(max_values=20).fit(df, "v")
+
+
+def test_svd_of_a_larger_matrix(spark):
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=(60, 25)) @ np.diag(0.8 ** np.arange(25)) @ rng.normal(size=(25, 25))
+    cells = [(f"r{i:02d}", f"c{j:02d}", float(v)) for (i, j), v in np.ndenumerate(dense)]
+    df = spark.createDataFrame(cells, "r string, c string, v double")
+    fitted = e.SVDEmbedding("r", "c", "v", k=4, min_count=2).fit(df)
+    u, s, _ = np.linalg.svd(dense)
+    assert fitted.singular_values == pytest.approx(s[:4], rel=1e-6)
+    got = {r.r: r.embedding for r in fitted.transform(df.select("r").distinct()).collect()}
+    points = np.array([got[f"r{i:02d}"] for i in range(60)])
+    want = u[:, :4] * s[:4]
+    assert points @ points.T == pytest.approx(want @ want.T, rel=1e-5, abs=1e-5)  # free of signs

@@ -208,13 +208,13 @@ def _(spark, sf):
 ORDER_PAIRS = """coded as (
   select coalesce(r.code, 0) as row, coalesce(c.code, 0) as col, o_totalprice from orders
   left join (select v, row_number() over (order by n desc, v) as code
-             from (select o_custkey % 200 as v, count(*) as n from orders group by 1 having count(*) > 10) x) r on r.v = o_custkey % 200
+             from (select o_custkey as v, count(*) as n from orders group by 1 having count(*) > 10) x) r on r.v = o_custkey
   left join (select v, row_number() over (order by n desc, v) as code
              from (select o_orderpriority as v, count(*) as n from orders group by 1 having count(*) > 10) y) c on c.v = o_orderpriority)"""
 
 
 def _orders(spark, sf):
-    return adapter.table(spark, sf, "orders").withColumn("buyer", F.col("o_custkey") % 200)
+    return adapter.table(spark, sf, "orders").withColumn("buyer", F.col("o_custkey"))
 
 
 @query(
@@ -222,7 +222,7 @@ def _orders(spark, sf):
     f"with {ORDER_PAIRS} select cast(row as integer) as row, cast(col as integer) as col, round(avg(o_totalprice), 6) as value from coded group by 1, 2",
 )
 def _(spark, sf):
-    """The matrix that is decomposed: mean price per buyer group and priority."""
+    """The matrix that is decomposed: mean price per buyer and priority."""
     return rounded(e.SVDEmbedding("buyer", "o_orderpriority", "o_totalprice").pairs(_orders(spark, sf)))
 
 
@@ -232,12 +232,12 @@ def _(spark, sf):
 cells as (select row, col, avg(o_totalprice) as value from coded group by 1, 2),
 sizes as (select row, sqrt(sum(value * value)) as size from cells group by row),
 codes as (select v, row_number() over (order by n desc, v) as code
-          from (select o_custkey % 200 as v, count(*) as n from orders group by 1 having count(*) > 10) x)
-select buyer, round(size, 2) as size from (select distinct o_custkey % 200 as buyer from orders) o
+          from (select o_custkey as v, count(*) as n from orders group by 1 having count(*) > 10) x)
+select buyer, round(size, 2) as size from (select distinct o_custkey as buyer from orders) o
 left join codes on v = buyer join sizes on row = coalesce(code, 0)""",
 )
 def _(spark, sf):
-    """Length of the embedding of each buyer group (the sign of a component is free). With all
+    """Length of the embedding of each buyer (the sign of a component is free). With all
     components kept, it is the length of the row of the matrix."""
     orders = _orders(spark, sf)
     fitted = e.SVDEmbedding("buyer", "o_orderpriority", "o_totalprice").fit(orders)
