@@ -11,34 +11,61 @@ from shotspark.scale import POS, chunked, hot_keys, materialize, split_hot
 
 
 def _similarity():
-    """The scoring function, self-contained so that tasks need nothing but the function."""
+    """The scoring function over two lists of names, self-contained so that tasks need nothing but
+    the function."""
+    import numpy as np
+
+    def common_lengths(a, b):
+        """Lengths of the longest common subsequences of names of at most 64 characters, by the
+        bit-parallel recurrence: all pairs take one step per character position."""
+        x, y = (np.array(v).view(np.uint32).reshape(len(v), -1) for v in (a, b))
+        sizes = [np.fromiter(map(len, v), np.uint64, len(v)) for v in (a, b)]
+        full = np.uint64(2**64 - 1) >> (np.uint64(64) - sizes[0])
+        places = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        inside = np.arange(x.shape[1]) < sizes[0][:, None]
+        row = full.copy()
+        for j in range(y.shape[1]):
+            same = (x == y[:, j : j + 1]) & inside
+            hit = row & np.where(same, places, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            row = np.where(j < sizes[1], ((row + hit) | (row - hit)) & full, row)
+        return sizes[0].astype(np.int64) - np.bitwise_count(row).astype(np.int64)
 
     def common_length(a, b):
-        """Length of the longest common subsequence, by the bit-parallel recurrence."""
+        """The same for one pair of any length."""
         seen = {}
         for i, ch in enumerate(a):
             seen[ch] = seen.get(ch, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        row = full
+        row = full = (1 << len(a)) - 1
         for ch in b:
             hit = row & seen.get(ch, 0)
             row = ((row + hit) | (row - hit)) & full
         return len(a) - row.bit_count()
 
-    def ratio(a, b):
-        if not a or not b:
-            return 0
-        return round(200 * common_length(a, b) / (len(a) + len(b)))
-
-    return ratio
+    def ratios(a, b):
+        a, b = [v or "" for v in a], [v or "" for v in b]
+        lengths = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+        out = np.zeros(len(a), np.int32)
+        some = lengths.min(axis=1) > 0
+        # a zero character would end a name in the matrix of characters
+        plain = np.array(["\0" not in x and "\0" not in y for x, y in zip(a, b)], bool)
+        short = some & (lengths.max(axis=1) <= 64) & plain
+        for at in np.array_split(np.flatnonzero(short), max(1, short.sum() // 4096)):
+            if len(at):
+                common = common_lengths([a[i] for i in at], [b[i] for i in at])
+                out[at] = np.rint(200 * common / lengths[at].sum(axis=1))
+        for i in np.flatnonzero(some & ~short):
+            out[i] = round(200 * common_length(a[i], b[i]) / int(lengths[i].sum()))
+        return out
+
+    return ratios
 
 
 def name_ratio(a: Column, b: Column) -> Column:
     """Similarity 0..100 of two names: share of characters in a longest common subsequence."""
-    ratio = _similarity()
+    ratios = _similarity()
 
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+        return pd.Series(ratios(a, b), dtype="int32")
 
     return F.pandas_udf(batch, T.IntegerType())(a, b)
 

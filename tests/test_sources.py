@@ -161,8 +161,22 @@ def test_ratio_values(spark):
     assert [r[0] for r in df.select(match.name_ratio(F.col("a"), F.col("b"))).collect()] == [62, 74, 0, 0, 100]
 
 
+def ratio(a, b):
+    """From the table of common subsequences."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return round(200 * table[-1][-1] / (len(a) + len(b))) if a and b else 0
+
+
+def test_ratios_of_short_and_long_names():
+    rng = random.Random(4)
+    names = [[None, "a\0b", *("".join(rng.choices("abcé漢 ", k=rng.choice([0, 1, 5, 20, 63, 64, 65, 90]))) for _ in range(150))] for _ in range(2)]
+    assert match._similarity()(*names).tolist() == [ratio(x or "", y or "") for x, y in zip(*names)]
+
+
 def brute_force(left, right, threshold):
-    ratio = match._similarity()
     out = {}
     for i, name in left:
         best, found = threshold, (0, "unknown")
