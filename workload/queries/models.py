@@ -1,5 +1,7 @@
 """Training, scoring, search, calibration. Fits have no SQL text; the tests recompute them."""
 
+from itertools import combinations
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer
@@ -460,16 +462,21 @@ BOUNDED = {"beta": (0, 1), "beta_ab": (0, 1)}
 
 def _bounded_fit(rows, names, bounded):
     """View ``fitted``: weights of the inputs ``names``, those at ``bounded`` at zero or above. The
-    best of the fits with all inputs and without each of the bounded ones, of those that keep
+    best of the fits with all inputs and without some of the bounded ones, of those that keep
     the bounds."""
     views, fits = [], []
-    for left_out in (None, *bounded):
-        used = [n for i, n in enumerate(names) if i != left_out]
-        prefix = f"f{'' if left_out is None else left_out}_"
-        views.append(newton(rows, used, [0] * len(used), steps=12, prefix=prefix))
-        own = [f"b{used.index(n)}" if n in used else "0.0e0" for n in names]
-        held = " and ".join(f"{own[i]} >= 0" for i in bounded)
-        fits.append(f"select {', '.join(f'{x} as b{i}' for i, x in enumerate(own))} from {prefix}fitted where {held}")
+    for k in range(len(bounded) + 1):
+        for left_out in combinations(bounded, k):
+            used = [n for i, n in enumerate(names) if i not in left_out]
+            own = [f"b{used.index(n)}" if n in used else "0.0e0" for n in names]
+            held = " and ".join(f"{own[i]} >= 0" for i in bounded)
+            columns = ", ".join(f"{x} as b{i}" for i, x in enumerate(own))
+            if not used:
+                fits.append(f"select {columns}")
+                continue
+            prefix = "f" + "".join(map(str, left_out)) + "_"
+            views.append(newton(rows, used, [0] * len(used), steps=12, prefix=prefix))
+            fits.append(f"select {columns} from {prefix}fitted where {held}")
     all_b = ", ".join(f"b{i}" for i in range(len(names)))
     score = " + ".join(f"b{i} * {n}" for i, n in enumerate(names))
     likelihood = f"sum(w * (y * -ln(1 + exp(-({score}))) + (1 - y) * -ln(1 + exp({score}))))"
