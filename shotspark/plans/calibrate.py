@@ -213,11 +213,25 @@ class CalibratedClassifier:
         return self.predict_proba(df).withColumn("prediction", F.element_at(classes, best))
 
 
+class _AsScored:
+    """Stands for a model on rows that it has scored before."""
+
+    def transform(self, df):
+        return df
+
+
 def compare(model, val: DataFrame, test: DataFrame, label: str = "label", methods=METHODS) -> DataFrame:
-    """Metrics on ``test`` of a fitted model calibrated on ``val`` by each method, best ACE first."""
+    """Metrics on ``test`` of a fitted model calibrated on ``val`` by each method, best ACE first.
+    The model scores both tables once; the methods work on the written scores."""
+
+    def scored_once(df):
+        scored = model.transform(df)
+        return materialize(scored.select(label, *[c for c in ("rawPrediction", "probability") if c in scored.columns]), "scored")
+
+    val, test = scored_once(val), scored_once(test)
     rows, names = [], ["max_dev", "residual_area", "roc", "brier", "ece", "ace"]
     for method in methods:
-        calibrated = CalibratedClassifier(model, method, label=label).fit(val)
+        calibrated = CalibratedClassifier(_AsScored(), method, label=label).fit(val)
         scored = calibrated.predict_proba(test).select(F.col("proba")[1].alias("p"), F.col(label).cast("int").alias("y"))
         scalars, _curve = validate_scores(scored)
         rows.append((method or "base", *[scalars[n] for n in names]))
