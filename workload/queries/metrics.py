@@ -216,7 +216,7 @@ def _(spark, sf):
     "input_checks",
     sql(
         """select count(*) as n, round(min(p), 6) as p_min, round(max(p), 6) as p_max,
-       count(*) filter (p is null) as n_missing, min(y) as y_min, max(y) as y_max,
+       count(*) filter (p is null) as n_missing, count(*) filter (y is null) as n_unlabelled, min(y) as y_min, max(y) as y_max,
        count(distinct y) as n_labels from scored""",
         "scored",
     ),

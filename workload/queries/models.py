@@ -247,13 +247,13 @@ cells as (
               else atan(abs(34 - y) / cast(105 - x as double)) end as a
   from (select distinct bodypart_name from actions) b, range(0, 106) t1(x), range(0, 69) t2(y))
 select bodypart_name as bodypart_id_a0, x, y, round(1 / (1 + exp(-(
-  case bodypart_name when 'foot' then b0 when 'head' then b1 else b2 end + b3 * (d - md) / sd + b4 * (a - ma) / sa))), 3) as "xG"
+  case bodypart_name when 'foot' then b0 when 'head' then b1 else b2 end + b3 * (d - md) / sd + b4 * (a - ma) / sa))), 2) as "xG"
 from cells, st, fitted"""
     ),
 )
 def _(spark, sf):
     model = models.OpenplayModel().train(adapter.data(spark, sf))
-    return rounded(models.surface(model, _bodyparts(spark, sf)), 3)
+    return rounded(models.surface(model, _bodyparts(spark, sf)), 2)
 
 
 # --- open-play shots of the custom models -----------------------------------------------
