@@ -49,18 +49,21 @@ class MeanScale(Estimator):
 
 
 class OrdinalCodes(Estimator):
-    """Frequency rank of each value; rare -1, missing -2, not seen -3. Adds ``<column>__o``."""
+    """Frequency rank of each value; rare -1, missing -2, not seen -3. Adds ``<column>__o``. The
+    fitted stage holds its values, as a stored pipeline has to, so more than ``max_levels`` are
+    an error; ``encoders.OrdinalEncoder`` keeps any number in a table."""
 
-    def __init__(self, columns, min_support: int = 5):
+    def __init__(self, columns, min_support: int = 5, max_levels: int = 100_000):
         super().__init__()
-        self.columns, self.min_support = list(columns), min_support
+        self.columns, self.min_support, self.max_levels = list(columns), min_support, max_levels
 
     def _fit(self, df):
         stages = []
         for c in self.columns:
             counts = df.groupBy(F.expr(_text(c)).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
-            # the levels of a model input; a fitted string index holds them in the same way
-            levels = [(r["value"], r["n"]) for r in counts.collect()]
+            levels = [(r["value"], r["n"]) for r in counts.limit(self.max_levels + 1).collect()]
+            if len(levels) > self.max_levels:
+                raise ValueError(f"{c} has more than {self.max_levels} values; encode it as a table first")
             frequent = sum(n >= self.min_support for _, n in levels)
             index = StringIndexerModel.from_labels(
                 [v for v, _ in levels], inputCol=f"{c}__s", outputCol=f"{c}__i", handleInvalid="keep"

@@ -163,3 +163,9 @@ def test_svd_of_a_larger_matrix(spark):
     points = np.array([got[f"r{i:02d}"] for i in range(60)])
     want = u[:, :4] * s[:4]
     assert points @ points.T == pytest.approx(want @ want.T, rel=1e-5, abs=1e-5)  # free of signs
+
+
+def test_ordinal_codes_of_a_model_are_limited(spark):
+    df = spark.range(50).selectExpr("cast(id as string) as v")
+    with pytest.raises(ValueError, match="more than 20"):
+        prep.OrdinalCodes(["v"], max_levels=20).fit(df)
