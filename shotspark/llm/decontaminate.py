@@ -152,3 +152,28 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+#: Words as lists; windows as text, joined by equality for each length that a pattern has.
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP6_SQL = f"""
+with d as (select doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, {_SQL_WORDS} as w from benchmark),
+items as (
+  select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j : j + k - 1], ' '))) as g
+  from (select *, least({WINDOW}, len(w)) as k from b where len(w) > 0) t),
+windows as (
+  select doc_id, k, unnest(range(1, len(w) - k + 2)) as i,
+         unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j : j + k - 1], ' '))) as g
+  from d, (select distinct k from items) t where len(w) >= k),
+hits as (select doc_id, i, items.k, item_id from windows join items on items.k = windows.k and items.g = windows.g),
+words as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) t group by doc_id),
+found as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) t group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words on words.doc_id = d.doc_id left join found on found.doc_id = d.doc_id
+"""

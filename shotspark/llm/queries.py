@@ -3,7 +3,7 @@
 from shotspark.llm.archive import OP7_SQL, op7_warc
 from shotspark.llm.bpe import op9_bpe
 from shotspark.llm.chat import op5_chat
-from shotspark.llm.decontaminate import op6_decontaminate
+from shotspark.llm.decontaminate import OP6_SQL, op6_decontaminate
 from shotspark.llm.html_text import op10_html
 from shotspark.llm.merkle import op8_merkle
 from shotspark.llm.quality import op3_quality
@@ -18,4 +18,4 @@ QUERIES = {
         op9_bpe, op10_html,
     )
 }
-ORACLES = {"op7_warc": OP7_SQL}
+ORACLES = {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
