@@ -5,8 +5,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from workload.check import compare, duck
 
-# fits and searches run for seconds to minutes each and have their own tests
-SLOW = {n for n in queries() if n.startswith(("search_", "calib_c", "calib_p", "calib_w", "best_", "regress_", "model_", "stacked"))}
+# searches fit dozens of models and have their own tests
+SLOW = {n for n in queries() if n.startswith(("search_", "regress_"))}
 
 
 @pytest.fixture(scope="module")
