@@ -2,8 +2,9 @@
 
 A page is read as a sequence of tokens: opened elements with their path, and text blocks with
 their path. Over all pages of a host, each token has an occurrence vector (how often it stands in
-each page); tokens with the same vector form an equivalence class. Vectors are compared by their
-support and the combined hash of (page, count), so no vector is ever gathered. A class is valid
+each page); tokens with the same vector form an equivalence class. Pages of a host with the same main
+text (article, else main element, else all text) are one page here, so copies have one vote. Vectors
+are compared by their support and the combined hash of (page, count), so no vector is ever gathered. A class is valid
 if it covers at least half of the host's pages (and MIN_PAGES of them) and its tokens come in the
 same order everywhere. The valid classes, nested by position, are the host's template; the blocks
 between its tokens are the slots.
@@ -12,7 +13,8 @@ The text of a page are the slots of its article. Menus, headers, footers, sideba
 adverts, forms, scripts, styles and comments are regions that hold no text, by element, role or
 class; the article is told by its element, else the main element, else the whole body counts.
 Inside the article every block is a slot, even one that most pages share (copied pages must not
-lose their text); elsewhere blocks of the template are left out.
+lose their text); elsewhere blocks of the template are left out, unless nothing
+of a main element would be left.
 
 A block is the text between the bounds of block elements; character references are decoded, white
 space becomes one space, inline elements and line breaks do not end a block.
@@ -36,6 +38,7 @@ from shotspark.llm.common import slices, stored, table
 
 MIN_PAGES = 3  # pages that a template token stands in at least
 SHARE = 0.5  # share of the host's pages that it stands in at least
+TOKEN = pa.struct([("role", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
 
 # Element kinds of the HTML standard (fixed values).
 INLINE = set(
@@ -204,55 +207,37 @@ def deduce_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float
     """host, template (token roles in page order) of each host that has one."""
 
     def occurrences(batches):
-        """Pages, combined vector hash and first positions of each token, for the rows of a task's
-        batch; a row without a role counts the pages of a host."""
+        """Host, hash of the main text and occurring tokens (role, count, first position) of each page."""
         for whole in batches:
             for batch in slices(whole, "html"):
-                found: dict = {}
-                for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html"))):
-                    counts: dict = {}
-                    for i, t in enumerate(tokens(source)):
-                        r = role(t)
-                        if r in counts:
-                            counts[r][0] += 1
-                        else:
-                            counts[r] = [1, i]
-                    key = f"{page}\0{xxhash.xxh64_hexdigest((source or '').encode('utf-8', 'surrogatepass'))}\0"
-                    counts[None] = [1, 0]
-                    marks: dict = {}
-                    for r, (n, i) in counts.items():
-                        v = marks.get(n)
-                        if v is None:
-                            v = marks[n] = xxhash.xxh64_intdigest(f"{key}{n}")
-                        seen = found.get((host, r))
-                        if seen is None:
-                            found[host, r] = [1, v, i, i]
-                        else:
-                            seen[0] += 1
-                            seen[1] ^= v
-                            seen[2], seen[3] = min(seen[2], i), max(seen[3], i)
-                values = list(found.values())
+                contents, tables = [], []
+                for source in batch.column("html").to_pylist():
+                    found, counts = tokens(source), {}
+                    for i, t in enumerate(found):
+                        counts.setdefault(role(t), [0, i])[0] += 1
+                    contents.append(role(["\0".join(t[2] for t in main_blocks(found))]))
+                    tables.append([{"role": r, "n": n, "at": i} for r, (n, i) in sorted(counts.items())])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([h for h, _ in found], pa.string()), pa.array([r for _, r in found], pa.int64()),
-                        pa.array([v[0] for v in values], pa.int64()),
-                        pa.array([v[1] - (1 << 64) if v[1] >= 1 << 63 else v[1] for v in values], pa.int64()),
-                        pa.array([v[2] for v in values], pa.int64()), pa.array([v[3] for v in values], pa.int64()),
-                    ],
-                    ["host", "role", "n", "mark", "low", "high"],
+                    [batch.column("host"), pa.array(contents, pa.int64()), pa.array(tables, pa.list_(TOKEN))],
+                    ["host", "content", "tokens"],
                 )
 
-    rows = _pages(pages).select("host", "page_id", "html").mapInArrow(
-        occurrences, "host string, role long, n long, mark long, low long, high long"
+    rows = _pages(pages).select("host", "html").mapInArrow(
+        occurrences, "host string, content long, tokens array<struct<role: long, n: long, at: long>>"
     )
+    # copies count once, so that they cannot make their own text a template
+    once, _ = stored(rows.groupBy("host", "content").agg(F.min("tokens").alias("tokens")), "contents")
+    sizes = once.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("pages"))
     vectors, _ = stored(
-        rows.groupBy("host", "role").agg(
-            F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"), F.min("low").alias("low"), F.max("high").alias("high")
+        once.select("host", "content", F.explode("tokens").alias("t"))
+        .groupBy("host", F.col("t.role").alias("role"))
+        .agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("content", "t.n")).alias("mark"),
+            F.min("t.at").alias("low"), F.max("t.at").alias("high"),
         ),
         "vectors",
     )
-    sizes = vectors.filter("role is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
-    often = vectors.filter(F.col("role").isNotNull() & (F.col("n") >= min_pages)).join(
+    often = vectors.filter(F.col("n") >= min_pages).join(
         sizes, (F.col("host") == F.col("_host")) & (F.col("n") >= F.col("pages") * share)
     )
     # tokens of a host that stand in half of its pages are no more than twice the tokens of a page
@@ -269,14 +254,23 @@ def deduce_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float
     )
 
 
-def main_text(found: list, template: set) -> str:
-    """Text of the article's slots, or of all slots outside boilerplate if there is no article."""
+def main_blocks(found: list) -> list:
+    """Text blocks of the article, else of the main element, else all."""
     blocks = [t for t in found if t[0] == "text"]
     for inside in (3, 4):
-        chosen = [t for t in blocks if t[inside] and (inside == 3 or role(t) not in template)]
-        if chosen:
-            return "\n".join(t[2] for t in chosen)
-    return "\n".join(t[2] for t in blocks if role(t) not in template)
+        region = [t for t in blocks if t[inside]]
+        if region:
+            return region
+    return blocks
+
+
+def main_text(found: list, template: set) -> str:
+    """Text of the article's slots, or of all slots outside boilerplate if there is no article."""
+    blocks = main_blocks(found)
+    chosen = [t for t in blocks if t[3] or role(t) not in template]
+    if not chosen and blocks and blocks[0][4]:
+        chosen = blocks  # a main element keeps its text when all of it is shared
+    return "\n".join(t[2] for t in chosen)
 
 
 def extract_text(pages: DataFrame, templates: DataFrame) -> DataFrame:

@@ -88,3 +88,27 @@ def test_query(spark, sf):
         inside = p["html"][start : end if end >= 0 else None]
         assert r["n_chars"] == len(r["text"]) and r["url"] == p["url"]
         assert r["text"] == text("<body>" + inside) and "track(" not in r["text"]
+
+
+def extracted(spark, pages):
+    rows = [(i, url, body) for i, (url, body) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.extract_text(df, html_text.deduce_templates(df)).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_copies_without_article_keep_their_text(spark):
+    """Copies of one page on half of a host, some with another script or menu."""
+    frame = "<script>t({})</script><nav>Menu {}</nav>{}<div>Shared line</div>"
+    for copied in ("<div>copied text</div><p>more</p>", "<main><p>copied text</p><p>more</p></main>"):
+        own = copied.replace("copied text", "own {}").replace("more", "else {}")
+        pages = [("http://a.org/", frame.format(i, i, copied)) for i in range(6)]
+        pages += [("http://a.org/", frame.format(i, i, own.format(i, i))) for i in range(4)]
+        got = extracted(spark, pages)
+        assert got[:6] == ["copied text\nmore"] * 6
+        assert got[6:] == [f"own {i}\nelse {i}" for i in range(4)]
+
+
+def test_shared_main_is_not_left_for_blocks_outside(spark):
+    pages = [("http://b.org/", f"<main><p>same</p>{f'<p>own {i}</p>' if i else ''}</main><div>outside {i}</div>") for i in range(5)]
+    assert extracted(spark, pages) == ["same"] + [f"own {i}" for i in range(1, 5)]
