@@ -6,15 +6,14 @@ each page); tokens with the same vector form an equivalence class. Pages of a ho
 text (article, else main element, else all text) are one page here, so copies have one vote. Vectors
 are compared by their support and the combined hash of (page, count), so no vector is ever gathered. A class is valid
 if it covers at least half of the host's pages (and MIN_PAGES of them) and its tokens come in the
-same order everywhere. The valid classes, nested by position, are the host's template; the blocks
-between its tokens are the slots.
+same order everywhere. The tokens of all valid classes by position are the host's template (which
+class stands within which is not kept); the blocks between its tokens are the slots.
 
 The text of a page are the slots of its article. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are regions that hold no text, by element, role or
 class; the article is told by its element, else the main element, else the whole body counts.
-Inside the article every block is a slot, even one that most pages share (copied pages must not
-lose their text); elsewhere blocks of the template are left out, unless nothing
-of a main element would be left.
+Blocks of the template are left out there too, unless nothing of an article or main element would
+be left.
 
 A block is the text between the bounds of block elements; character references are decoded, white
 space becomes one space, inline elements and line breaks do not end a block.
@@ -265,11 +264,11 @@ def main_blocks(found: list) -> list:
 
 
 def main_text(found: list, template: set) -> str:
-    """Text of the article's slots, or of all slots outside boilerplate if there is no article."""
+    """Text of the slots between the template's tokens: of the article, else of main, else of all."""
     blocks = main_blocks(found)
-    chosen = [t for t in blocks if t[3] or role(t) not in template]
-    if not chosen and blocks and blocks[0][4]:
-        chosen = blocks  # a main element keeps its text when all of it is shared
+    chosen = [t for t in blocks if role(t) not in template]
+    if not chosen and blocks and (blocks[0][3] or blocks[0][4]):
+        chosen = blocks  # an article or main element keeps its text when all of it is shared
     return "\n".join(t[2] for t in chosen)
 
 

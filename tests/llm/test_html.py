@@ -112,3 +112,10 @@ def test_copies_without_article_keep_their_text(spark):
 def test_shared_main_is_not_left_for_blocks_outside(spark):
     pages = [("http://b.org/", f"<main><p>same</p>{f'<p>own {i}</p>' if i else ''}</main><div>outside {i}</div>") for i in range(5)]
     assert extracted(spark, pages) == ["same"] + [f"own {i}" for i in range(1, 5)]
+
+
+def test_template_decides_inside_the_article(spark):
+    """A shared line in a class without a telling name goes; copies of an article keep theirs."""
+    page = '<article><h1>Head {0}</h1><p>own {0}</p><div class="xk7">Read our terms</div></article>'
+    pages = [("http://c.org/", page.format(i)) for i in range(6)] + [("http://c.org/", page.format("copied"))] * 7
+    assert extracted(spark, pages) == [f"Head {i}\nown {i}" for i in [*range(6), *["copied"] * 7]]
