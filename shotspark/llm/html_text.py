@@ -10,8 +10,10 @@ same order everywhere. The tokens of all valid classes by position are the host'
 class stands within which is not kept); the blocks between its tokens are the slots.
 
 The text of a page are the slots of its article. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are regions that hold no text, by element, role or
-class; the article is told by its element, else the main element, else the whole body counts.
+adverts, forms, scripts, styles and comments are regions that hold no text, by element or role. A class
+or id only hints at such a region: the host's template has to hold the element too; on a host without
+a template (fewer than MIN_PAGES pages) the hint decides. Text blocks (articles, headings, paragraphs,
+tables, inline elements) are never left out by name. The article is told by its element, else the main element, else the whole body counts.
 Blocks of the template are left out there too, unless nothing of an article or main element would
 be left.
 
@@ -52,6 +54,10 @@ NO_TEXT = set(
 )
 NO_TEXT_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold the text itself: their class and id say nothing about boilerplate.
+TEXT_BLOCKS = HEADINGS | INLINE | set(
+    "html body main article p pre blockquote figure figcaption table caption thead tbody tfoot tr td th dl dt dd hgroup details summary".split()
+)
 #: An element that opens closes these, up to one of the second list.
 CLOSES = {
     "li": (["li"], ["ul", "ol", "menu"]), "dt": (["dt", "dd"], ["dl"]), "dd": (["dt", "dd"], ["dl"]),
@@ -77,11 +83,11 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[
 
 
 class Element:
-    __slots__ = ("name", "path", "dead", "article", "main", "header")
+    __slots__ = ("name", "path", "dead", "article", "main", "header", "named")
 
-    def __init__(self, name, path, dead, article, main, header):
+    def __init__(self, name, path, dead, article, main, header, named=()):
         self.name, self.path, self.dead = name, path, dead
-        self.article, self.main, self.header = article, main, header
+        self.article, self.main, self.header, self.named = article, main, header, named
 
 
 def _attributes(text: str) -> dict:
@@ -97,15 +103,21 @@ def _without_text(name: str, attributes: dict) -> bool:
         return False
     if attributes.get("role", "").lower() in NO_TEXT_ROLES or "hidden" in attributes:
         return True
-    if attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+    return attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _named(name: str, attributes: dict) -> bool:
+    """Class or id hint at boilerplate."""
+    if name in TEXT_BLOCKS or not attributes:
+        return False
     names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
     return any(NAMED.fullmatch(n) for n in names)
 
 
 def tokens(page: str | None):
-    """Tokens in page order: ("open", path) and ("text", path, text, article, main); text without
-    a place in the main text is left out, its elements are not."""
+    """Tokens in page order: ("open", path) and ("text", path, text, article, main, named); text without
+    a place in the main text is left out, its elements are not. ``named`` has the paths of the elements
+    around the text whose class or id hints at boilerplate."""
     source = page or ""
     stack = [Element("", "", False, False, False, False)]
     out, text = [], []
@@ -116,7 +128,7 @@ def tokens(page: str | None):
             text.clear()
             top = stack[-1]
             if block and not top.dead and not (top.header and top.name not in HEADINGS):
-                out.append(("text", top.path, block, top.article, top.main))
+                out.append(("text", top.path, block, top.article, top.main, top.named))
 
     def pop_to(i):
         del stack[i:]
@@ -181,6 +193,7 @@ def tokens(page: str | None):
                 name, path, (top.dead or dead) and name != "main", top.article or (name == "article" and not top.dead),
                 top.main or name == "main" or attributes.get("role", "").lower() == "main",
                 top.header or name == "header",
+                () if name == "main" else (*top.named, path) if _named(name, attributes) else top.named,
             )
         )
     flush()
@@ -253,9 +266,17 @@ def deduce_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float
     )
 
 
-def main_blocks(found: list) -> list:
-    """Text blocks of the article, else of the main element, else all."""
-    blocks = [t for t in found if t[0] == "text"]
+def main_blocks(found: list, template=frozenset()) -> list:
+    """Text blocks of the article, else of the main element, else all. Elements whose names hint at
+    boilerplate are left out if the host's template has them, or if there is none to ask."""
+    asked: dict = {}
+
+    def confirmed(path):
+        if path not in asked:
+            asked[path] = not template or role(("open", path)) in template
+        return asked[path]
+
+    blocks = [t for t in found if t[0] == "text" and not any(map(confirmed, t[5]))]
     for inside in (3, 4):
         region = [t for t in blocks if t[inside]]
         if region:
@@ -265,7 +286,7 @@ def main_blocks(found: list) -> list:
 
 def main_text(found: list, template: set) -> str:
     """Text of the slots between the template's tokens: of the article, else of main, else of all."""
-    blocks = main_blocks(found)
+    blocks = main_blocks(found, template)
     chosen = [t for t in blocks if role(t) not in template]
     if not chosen and blocks and (blocks[0][3] or blocks[0][4]):
         chosen = blocks  # an article or main element keeps its text when all of it is shared

@@ -119,3 +119,24 @@ def test_template_decides_inside_the_article(spark):
     page = '<article><h1>Head {0}</h1><p>own {0}</p><div class="xk7">Read our terms</div></article>'
     pages = [("http://c.org/", page.format(i)) for i in range(6)] + [("http://c.org/", page.format("copied"))] * 7
     assert extracted(spark, pages) == [f"Head {i}\nown {i}" for i in [*range(6), *["copied"] * 7]]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h2 id=search>Search</h2><h3 id=comments>On comments</h3><p class=notice>n</p></article>", "Search\nOn comments\nn"),
+        ("<article class='ad related'><p>whole</p></article>", "whole"),
+        ("<article class=promo><p>a <span class=share>b</span> c</p></article>", "a b c"),
+        ("<article><blockquote class=related>q</blockquote><table class=widget><tr><td id=menu>d</table></article>", "q\nd"),
+    ],
+)
+def test_text_blocks_are_never_left_out_by_name(page, want):
+    assert text(page) == want
+
+
+def test_names_need_the_template(spark):
+    """A named element goes if the host's pages share it, and stays if only one page has it."""
+    page = '<article><p>own {0}</p><div class="widget">{1}</div><section id="comments"><p>said {0}</p></section></article>'
+    pages = [("http://d.org/", page.format(i, "").replace('<div class="widget"></div>', "")) for i in range(6)]
+    pages.append(("http://d.org/", page.format(9, "text of this page")))
+    assert extracted(spark, pages) == [f"own {i}" for i in range(6)] + ["own 9\ntext of this page"]
