@@ -13,11 +13,13 @@ lengths. The folder holds Parquet files:
 Cases: a null or empty text has the end id only; null keys come first; rows that share a key all
 stay, ordered by their ids and then by input order; an empty table gives empty files. Only the
 key and the text are read, so further columns cannot clash. A text is one row and is never cut;
-a lost task is recomputed from the written ids.
+a lost task is recomputed from the written ids. An added token of the vocabulary that stands in a
+text gives its own id, as the library does with ``add_special_tokens=False``.
 """
 
 import json
 import math
+import re
 from array import array
 
 import numpy as np
@@ -41,13 +43,29 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _coders: dict = {}  # of this Python worker, by vocabulary
 
 
-def _coder(vocabulary: str) -> tuple[PieceCoder, array]:
+class TextCoder:
+    """``encode(texts)`` gives the ids of each text as bytes. Texts that hold an added token of the
+    vocabulary go through the library's own ``encode``, all others through the pieces."""
+
+    def __init__(self, pieces: PieceCoder, tokenizer, added: list[str], code: str):
+        self.pieces, self.tokenizer, self.code = pieces, tokenizer, code
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+
+    def encode(self, texts) -> list[bytes]:
+        whole = [bool(t) and self.added(t) is not None for t in texts]
+        out = self.pieces.encode([None if w else t for t, w in zip(texts, whole)])
+        for i, t in enumerate(texts):
+            if whole[i]:
+                out[i] = array(self.code, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+        return out
+
+
+def _coder(vocabulary: str) -> tuple[TextCoder, array]:
     """The coder, and an empty array of the integers that it gives."""
     if vocabulary not in _coders:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
         parts = json.loads(tokenizer.to_str())
         byte_level = (parts.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         if not byte_level or parts.get("normalizer") or parts["pre_tokenizer"].get("add_prefix_space"):
@@ -61,7 +79,8 @@ def _coder(vocabulary: str) -> tuple[PieceCoder, array]:
             spelled = [w.encode().decode("latin1").translate(letters) for w in words]
             return [array(code, [t.id for t in tokenize(s)]).tobytes() for s in spelled]
 
-        _coders[vocabulary] = PieceCoder(PATTERN, encode_words), array(code)
+        added = [t["content"] for t in parts.get("added_tokens") or [] if t["content"]]
+        _coders[vocabulary] = TextCoder(PieceCoder(PATTERN, encode_words), tokenizer, added, code), array(code)
     return _coders[vocabulary]
 
 

@@ -113,3 +113,13 @@ def test_encoding_and_decoding_of_odd_rows(spark, odd_docs):
     got = bpe.decode_bpe(encoded, RANKS, numbers=True).collect()
     want = sorted(str((i, len(x := lib.encode_ordinary(t or "")), (t or "").encode(), " ".join(map(str, x)))) for i, t in ODD)
     assert sorted(str((r["doc_id"], r["n_tokens"], bytes(r["decoded"]), r["numbers"])) for r in got) == want
+
+
+def test_added_tokens_in_a_text_are_those_of_the_library(spark, make_docs):
+    lib = Tokenizer.from_file(JSON)  # with its default setting
+    texts = ["x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "<|endoftext| >", "plain", None, ""]
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(make_docs(list(enumerate(texts))), path, JSON, end_id=2)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_output.read_tokens(spark, path).collect()}
+    assert got == {i: lib.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert got[0] == [87, 220, 50256, 331, 2]
