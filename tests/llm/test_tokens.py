@@ -17,9 +17,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    """The library with its own defaults: an added token that stands in a text has its own id."""
+    return Tokenizer.from_file(JSON)
 
 
 def merges():
