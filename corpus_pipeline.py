@@ -6,9 +6,9 @@ one returns token ids. Decisions:
 - toxicity: fitted on the labelled documents among its input; documents with a score of 0.5 or
   more go
 - quality: fitted likewise; documents with a score below 0.5 go
-- near_duplicates: groups linked by a similarity of 0.8 or more of their five-word shingles; the
-  document with the smallest doc_id stays (of repeated rows one), rows without a doc_id only where a
-  group has no other
+- near_duplicates: groups of SimHash fingerprints over three-word shingles that link at two differing
+  bits or fewer; the document with the smallest doc_id stays (of repeated rows one), rows without a
+  doc_id only where a group has no other
 - decontamination: documents that hold a window of a benchmark item go
 - tokens: ids of each document, and the digest of what they decode to
 """
@@ -20,7 +20,7 @@ from shotspark.llm.bpe import decode_bpe, encode_bpe
 from shotspark.llm.common import stored, table
 from shotspark.llm.decontaminate import contamination
 from shotspark.llm.quality import fit_quality, score_quality
-from shotspark.llm.similar import first_of_copies
+from shotspark.llm.simhash import near_duplicates
 from shotspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -43,7 +43,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "number").alias("key"),
         F.col("row.text").alias("text"),
     )
-    kept = first_of_copies(keyed, key="key").select(F.col("key.number").alias("number"))
+    found = near_duplicates(keyed, key="key", words=3)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id.number").alias("number"))
     return numbered.join(kept, "number", "left_semi").select("row.*")
 
 
