@@ -1,10 +1,10 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over many words at once.
 
-The distinct words of a block of texts are laid out as one chain of byte symbols. An inverted
-index lists, for the rank of each possible merge, the positions where its pair stands in any
-word; merges are then replayed in rank order over all words at once, and each merge touches its
-two neighbours only. Blocks are the batches that Spark deals out; words met before are not
-replayed again.
+The distinct words of a block of texts are laid out as one chain of byte symbols. An inverted index
+holds, for each position of the chain, the rank of the merge that its pair is open to; a wave takes from it
+the positions of the next merge of every word, in rank order within each word, applies them all, and
+renews the index at the neighbours that were touched only. Words without a further merge leave the chain.
+Blocks are the batches that Spark deals out; words met before are not replayed again.
 
 Cases: a null or empty text has no ids and decodes to nothing; keys may be null or repeat, rows
 stay as they are; empty tables give empty results. Only the key and the text are read, so further
@@ -14,7 +14,6 @@ the longest text.
 
 import base64
 import heapq
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from shotspark.llm.common import slices, table
 from shotspark.llm.pieces import PieceCoder
 
 _states: dict = {}  # of this Python worker, by rank file
+_spelled: dict = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,83 +33,127 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+LONG = 256  # bytes of a word that is replayed on its own
+NONE = np.int32(2**31 - 1)  # the pair of a position is no merge
+
+
+class PairRanks:
+    """Rank of the merge of two symbols, looked up for whole arrays in a table of open addresses."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    values.append(rank)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, NONE, np.int32)
+        keys, values = np.array(keys, np.int64), np.array(values, np.int32)
+        slot = self._slot(keys)
+        while len(keys):  # the first of those that want a free slot gets it, all others go on
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.keys[slot[first]] < 0]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys):
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], NONE)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[open_]]
+            found = held == keys[open_]
+            out[open_[found]] = self.values[slot[open_[found]]]
+            open_ = open_[~found & (held >= 0)]
+        return out
+
+
 class MergeReplay:
     """Ids of many words at once by the ranks of a vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.pairs = PairRanks(ranks)
 
     def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        whole = [self.ranks.get(w) for w in words]
-        open_words = [i for i, (w, r) in enumerate(zip(words, whole)) if r is None and w]
-        out = [() if r is None else (r,) for r in whole]
+        return [tuple(np.frombuffer(b, "<u4").tolist()) for b in self.encode_bytes(words)]
+
+    def encode_bytes(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        get, out, open_words = self.ranks.get, [], []
+        for i, w in enumerate(words):
+            rank = get(w)
+            if rank is not None:
+                out.append(rank.to_bytes(4, "little"))
+            elif len(w) > LONG:
+                out.append(np.array(self._one(w), "<u4").tobytes())
+            else:
+                out.append(b"")
+                if w:
+                    open_words.append(i)
         for i, ids in zip(open_words, self._replay([words[i] for i in open_words])):
             out[i] = ids
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The same for text, as little-endian unsigned 32-bit integers."""
-        return [array("I", ids).tobytes() for ids in self.encode([w.encode() for w in words])]
-
-    def _replay(self, words):
-        """Positions are chained; -1 stands between words, so no pair reaches across them."""
-        ranks, tokens, single = self.ranks, self.tokens, self.single
-        symbol, word_of, starts = [-1], [-1], []
-        for n, w in enumerate(words):
-            starts.append(len(symbol))
-            symbol.extend([single[b] for b in w])
-            symbol.append(-1)
-            word_of.extend([n] * (len(w) + 1))
-        right = list(range(1, len(symbol) + 1))
-        left = list(range(-1, len(symbol) - 1))
-        merged: dict = {}  # rank of each pair met
-
-        def rank_of(a, b):
-            pair = (a, b)
-            found = merged.get(pair, 0)
-            if found == 0:
-                found = merged[pair] = ranks.get(tokens[a] + tokens[b])
-            return found
-
-        index: dict[int, list[int]] = {}  # rank of a merge: positions of its pair
-        for p in range(1, len(symbol) - 1):
-            if symbol[p] >= 0 and symbol[p + 1] >= 0:
-                r = rank_of(symbol[p], symbol[p + 1])
-                if r is not None:
-                    index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
-        alone = set()  # words where an earlier merge became possible late
-        while heap:
-            r = heapq.heappop(heap)
-            for p in sorted(index.pop(r)):
-                a, q = symbol[p], right[p]
-                if a < 0 or symbol[q] < 0 or merged.get((a, symbol[q])) != r:
-                    continue
-                symbol[p], symbol[q] = r, -2
-                after = right[p] = right[q]
-                left[after] = p
-                before = left[p]
-                for x, y in ((before, p), (p, after)):
-                    if symbol[x] >= 0 and symbol[y] >= 0:
-                        new = rank_of(symbol[x], symbol[y])
-                        if new is None:
-                            continue
-                        if new < r:
-                            alone.add(word_of[p])
-                        elif new in index:
-                            index[new].append(x)
-                        else:
-                            index[new] = [x]
-                            heapq.heappush(heap, new)
-        out = []
-        for n, (w, s) in enumerate(zip(words, starts)):
-            if n in alone:
-                out.append(self._one(w))
-            else:
-                out.append(tuple([x for x in symbol[s : s + len(w)] if x >= 0]))
+        return self.encode_bytes([w.encode() for w in words])
+
+    def _replay(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.arange(len(words))  # those still in the chain
+        last = np.zeros(len(symbol), bool)
+        last[np.cumsum(size) - 1] = True
+        rank = np.full(len(symbol), NONE, np.int32)
+        inside = np.flatnonzero(~last)
+        rank[inside] = self.pairs.of(symbol[inside], symbol[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            least = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            open_ = least < NONE
+            if not open_.all():
+                stays = np.repeat(open_, size)
+                done.append((word[~open_], size[~open_], symbol[~stays]))
+                word, size, least = word[open_], size[open_], least[open_]
+                symbol, rank, last = symbol[stays], rank[stays], last[stays]
+                if not len(word):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            # of pairs that overlap, every other one from the left
+            fresh = np.diff(at, prepend=-2) != 1
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            symbol[at], last[at] = rank[at], last[at + 1]
+            stays = np.ones(len(symbol), bool)
+            stays[at + 1] = False
+            size -= np.bincount(np.searchsorted(np.cumsum(size), at, side="right"), minlength=len(size))
+            symbol, rank, last = symbol[stays], rank[stays], last[stays]
+            at -= np.arange(len(at))
+            before = at[at > 0] - 1
+            touched = np.concatenate([at, before[~last[before]]])
+            inside = touched[~last[touched]]
+            rank[touched] = NONE
+            rank[inside] = self.pairs.of(symbol[inside], symbol[inside + 1])
+        out: list[bytes] = [b""] * len(words)
+        for numbers, sizes, symbols in done:
+            raw, ends = symbols.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+            for i, a, b in zip(numbers.tolist(), [0, *ends], ends):
+                out[i] = raw[a:b]
         return out
 
     def _one(self, word: bytes):
@@ -140,21 +184,43 @@ class MergeReplay:
         return tuple(ranks[p] for p in parts if p)
 
 
-def _state(path: str, pattern: str):
+def _coder(path: str, pattern: str) -> PieceCoder:
     if (path, pattern) not in _states:
-        ranks = load_ranks(path)
-        replay = MergeReplay(ranks)
-        coder = PieceCoder(pattern, replay.encode_words)
-        _states[path, pattern] = coder, replay.tokens
+        _states[path, pattern] = PieceCoder(pattern, MergeReplay(load_ranks(path)).encode_words)
     return _states[path, pattern]
 
 
+class Spelling:
+    """Strings by number; ``of(numbers)`` puts those of an array in a row and tells how long each is."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(strings), np.uint8)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.first[numbers] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.letters[at], ends
+
+
+def _spellings(path: str) -> tuple[Spelling, Spelling]:
+    """Bytes of the tokens, and their ids in decimals with a space behind."""
+    if path not in _spelled:
+        tokens = {r: t for t, r in load_ranks(path).items()}
+        size = max(tokens) + 1
+        _spelled[path] = Spelling([tokens.get(i, b"") for i in range(size)]), Spelling([b"%d " % i for i in range(size)])
+    return _spelled[path]
+
+
 def encode_bpe(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each text."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def encode(batches):
-        coder, _ = _state(rank_file, pattern)
+        coder = _coder(rank_file, pattern)
         for whole in batches:
             for batch in slices(whole, "text"):
                 blobs = coder.encode(batch.column("text").to_pylist())
@@ -175,16 +241,21 @@ def decode_bpe(encoded: DataFrame, rank_file: str, numbers: bool = False, keep_i
     key_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def decode(batches):
-        tokens = {r: t for t, r in load_ranks(rank_file).items()}
-        size = max(tokens) + 1
-        spelled, digits = [tokens.get(i) for i in range(size)], [str(i) for i in range(size)]
+        spelled, digits = _spellings(rank_file)
         for whole in batches:
             for batch in slices(whole, "ids", 1_000_000):
-                lists = [np.frombuffer(b, "<u4").tolist() for b in batch.column("ids").to_pylist()]
-                text = [b"".join([spelled[i] for i in x]) for x in lists]
-                columns = [batch.column("doc_id"), batch.column("n_tokens"), pa.array(text, pa.binary())]
+                blobs = batch.column("ids").to_pylist()
+                ids = np.frombuffer(b"".join(blobs), "<u4")
+                ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
+
+                def texts(spelling, less=0):
+                    letters, at = spelling.of(ids)
+                    raw, to = letters.tobytes(), np.concatenate([[0], at])[ends].tolist()
+                    return [raw[a : max(a, b - less)] for a, b in zip([0, *to], to)]
+
+                columns = [batch.column("doc_id"), batch.column("n_tokens"), pa.array(texts(spelled), pa.binary())]
                 if numbers:
-                    columns.append(pa.array([" ".join([digits[i] for i in x]) for x in lists], pa.string()))
+                    columns.append(pa.array(texts(digits, 1), pa.binary()).cast(pa.string()))
                 if keep_ids:
                     columns.append(batch.column("ids"))
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -2,77 +2,247 @@
 
 Texts are cut where one space stands between two characters that are no white space. The
 split pattern of byte-level BPE always has a boundary there and never looks across it, so a
-piece (with its leading space) has the same ids wherever it stands. Texts with other white
-space around a cut are split by the pattern itself.
+piece (with its leading space) has the same ids wherever it stands. Texts with white space beyond
+ASCII are cut into the words of the pattern itself.
+
+Pieces of a whole batch are hashed at once to 128 bits and looked up in a table of open addresses;
+only what a worker has not met goes through the pattern and the tokenizer.
 """
 
-from itertools import chain
+import re
 
+import numpy as np
 import regex
 
-PIECES = 600_000  # distinct pieces that one worker remembers before it starts afresh
-
-
-def _open(piece: str) -> bool:
-    """White space stands at an end, so what is next to the piece may matter."""
-    return piece[-1].isspace() or (piece[0] == " " and piece[1].isspace())
+PIECES = 1 << 21  # distinct pieces that one worker remembers
+LONG = 512  # bytes of a piece that is not remembered
+
+_random = np.random.default_rng(7)
+_LETTERS = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = _random.integers(0, 1 << 61, 2, np.uint64) * np.uint64(8) + np.uint64(5)
+_POWERS = [np.cumprod(np.full(LONG + 1, s)) for s in _STEPS]
+
+#: White space that a cut between bytes cannot see, and characters that only some tables call white space.
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII characters that are no letter, digit, space or apostrophe
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each piece; pieces lie one behind the other in ``data``."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    inside = np.arange(len(data)) - np.repeat(starts, sizes)
+    np.minimum(inside, LONG, out=inside)  # longer pieces are not looked up
+    first, second = (np.add.reduceat(t[data] * p[inside], starts) for t, p in zip(_LETTERS, _POWERS))
+    first ^= first >> np.uint64(31)
+    return first * np.uint64(0x9E3779B97F4A7C15), second ^ sizes.astype(np.uint64)
+
+
+class Table:
+    """Numbers of arrays of ids by 128-bit keys, and the arrays in a row."""
+
+    def __init__(self, limit: int, dtype):
+        self.bits = max(4, (2 * limit - 1).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.marks = np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.full(1 << self.bits, -1, np.int32)
+        self.first, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.ids = np.zeros(4096, dtype)
+        self.n = self.used = 0
+
+    def _slots(self, keys):
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for none."""
+        slot = self._slots(keys)
+        entry = self.entry[slot]
+        wrong = (entry >= 0) & ((self.keys[slot] != keys) | (self.marks[slot] != marks))
+        open_ = np.flatnonzero(wrong)
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.entry) - 1)
+            here = slot[open_]
+            found = self.entry[here]
+            entry[open_] = found
+            open_ = open_[(found >= 0) & ((self.keys[here] != keys[open_]) | (self.marks[here] != marks[open_]))]
+        return entry
+
+    def add(self, keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New entries for keys that are distinct and not there yet."""
+        n, used = self.n + len(keys), self.used + len(ids)
+        while n > len(self.first):
+            self.first, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.sizes))
+        while used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        entries = np.arange(self.n, n, dtype=np.int32)
+        self.first[self.n : n], self.sizes[self.n : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : used] = ids
+        self.n, self.used = n, used
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):  # the first of those that want a free slot gets it, all others go on
+            here = slot[left]
+            _, first = np.unique(here, return_index=True)
+            first = first[self.entry[here[first]] < 0]
+            won = left[first]
+            self.keys[slot[won]], self.marks[slot[won]], self.entry[slot[won]] = keys[won], marks[won], entries[won]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left = left[rest]
+            slot[left] = (slot[left] + 1) & (len(self.entry) - 1)
+        return entries
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries in a row, and how many each has."""
+        sizes = self.sizes[entries].astype(np.int64)
+        at = np.repeat(self.first[entries] - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], sizes
+
+
+def _distinct(keys, marks):
+    """Positions of the first of each (key, mark), and for each position which of them it is."""
+    order = np.lexsort((marks, keys))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (marks[order][1:] != marks[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
 
 
 class PieceCoder:
-    """``encode(texts)`` gives the ids of each text as bytes.
+    """``encode(texts)`` gives the ids of each text as bytes of ``dtype``.
 
     ``pattern`` splits text into words, ``encode_words(list of words)`` gives the bytes of the ids
-    of each. Memory is bounded: beyond ``limit`` remembered pieces everything is forgotten.
+    of each. Memory is bounded: pieces are remembered in two halves of ``limit``; when the newer one
+    is full the older one goes, and what is met again moves to the newer one.
     """
 
-    def __init__(self, pattern: str, encode_words, limit: int = PIECES):
+    def __init__(self, pattern: str, encode_words, dtype="<u4", limit: int = PIECES):
         self.find = regex.compile(pattern).findall
-        self.encode_words = encode_words
-        self.limit = limit
-        self.known: dict = {}  # ids of each piece or word; None: white space at an end, see ``_whole``
-        self.spaces: dict = {}  # ids of words that would be such pieces
-
-    def _learn(self, pieces):
-        plain, parts = [], []
-        for p in pieces:
-            if p.replace(" ", "", 1).isalpha():
-                plain.append(p)
-            elif p and _open(p):
-                self.known[p] = None
-            else:
-                parts.append((p, self.find(p)))
-        self._learn_words(chain(plain, chain.from_iterable([s for _, s in parts])))
-        ids_of = self._ids_of
-        self.known.update([(p, b"".join(map(ids_of, s))) for p, s in parts])
-
-    def _learn_words(self, words):
-        new = [w for w in set(words) if w not in self.spaces and self.known.get(w) is None]
-        for w, ids in zip(new, self.encode_words(new)):
-            (self.spaces if _open(w) else self.known)[w] = ids
-
-    def _ids_of(self, word):
-        return self.spaces[word] if word in self.spaces else self.known[word]
-
-    def _whole(self, text) -> bytes:
-        words = self.find(text)
-        self._learn_words(words)
-        return b"".join(map(self._ids_of, words))
+        self.encode_words, self.dtype, self.half = encode_words, np.dtype(dtype), max(1, limit // 2)
+        self.newer = self.older = None
+        self._renew()
+
+    def _renew(self):
+        self.older, self.newer = self.newer, Table(self.half * 2, self.dtype)
+
+    def _split(self, piece: str) -> list[str]:
+        """Words of the pattern; those of plain words with marks around are told without it."""
+        space = piece[:1] == " "
+        bare = piece[1:] if space else piece
+        core = bare.strip(_MARKS)
+        if core.isalpha():
+            if core == bare:
+                return [piece]
+            at = bare.find(core)
+            ahead, behind = bare[:at], bare[at + len(core) :]
+            if not ahead:
+                return [" " + core, behind] if space else [core, behind]
+            words = [" " + ahead if space else ahead, core]
+            return [*words, behind] if behind else words
+        return self.find(piece)
+
+    def _entries(self, data, starts, sizes, learn) -> np.ndarray:
+        """Entries of pieces; ``learn(positions)`` gives the ids of those that are not known, as one
+        array and the number of each."""
+        keys, marks = hashed(data, starts, sizes)
+        entries = self.newer.find(keys, marks)
+        entries[sizes > LONG] = -2
+        missing = np.flatnonzero(entries == -1)
+        if len(missing):
+            first, number = _distinct(keys[missing], marks[missing])
+            new = missing[first]
+            found = np.full(len(new), -1, np.int32)
+            if self.older is not None:
+                old = self.older.find(keys[new], marks[new])
+                known = np.flatnonzero(old >= 0)
+                if len(known):
+                    found[known] = self.newer.add(keys[new[known]], marks[new[known]], *self.older.gather(old[known]))
+            left = np.flatnonzero(found < 0)
+            if len(left):
+                ids, counts = learn(new[left])
+                # words that were learned on the way may be among them
+                again = self.newer.find(keys[new[left]], marks[new[left]])
+                fresh = np.flatnonzero(again < 0)
+                if len(fresh) < len(left):
+                    keep = np.repeat(again < 0, counts)
+                    ids, counts = ids[keep], counts[fresh]
+                found[left] = again
+                found[left[fresh]] = self.newer.add(keys[new[left[fresh]]], marks[new[left[fresh]]], ids, counts)
+            entries[missing] = found[number]
+        return entries
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+
+        def learn(at):
+            blobs = self.encode_words([words[i] for i in at.tolist()])
+            counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+            return np.frombuffer(b"".join(blobs), self.dtype), counts
+
+        return self._gather(self._entries(data, np.cumsum(sizes) - sizes, sizes, learn), learn)
+
+    def _gather(self, entries, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries; long pieces (-2) are learned each time."""
+        long = np.flatnonzero(entries == -2)
+        if not len(long):
+            return self.newer.gather(entries)
+        short = np.flatnonzero(entries >= 0)
+        ids, sizes = self.newer.gather(entries[short])
+        more, counts = learn(long)
+        every = np.zeros(len(entries), np.int64)
+        every[short], every[long] = sizes, counts
+        out = np.empty(int(every.sum()), self.dtype)
+        is_long = np.zeros(len(entries), bool)
+        is_long[long] = True
+        where = np.repeat(is_long, every)
+        out[~where], out[where] = ids, more
+        return out, every
 
     def encode(self, texts) -> list[bytes]:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-            self.spaces.clear()
-        # a text with a zero character is one piece
-        cut = [[] if not t else [t] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        self._learn([p for p in set().union(*cut) if p not in known])
-        ids_of, out = known.__getitem__, []
-        for text, pieces in zip(texts, cut):
-            try:
-                out.append(b"".join(map(ids_of, pieces)))
-            except TypeError:  # a piece without ids of its own
-                out.append(self._whole(text))
-        return out
+        if self.newer.n > self.half:
+            self._renew()
+        raw, own = [], {}
+        for i, t in enumerate(texts):
+            t = t or ""
+            if _ODD_SPACE.search(t):
+                own[i] = np.fromiter([len(w.encode()) for w in self.find(t)], np.int64)
+            raw.append(t.encode())
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.cumsum(lengths) - lengths
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        cut = data == 32
+        cut[1:] &= ~blank[:-1]
+        cut[:-1] &= ~blank[1:]
+        # no cut at the ends of a text, and the words of the pattern for some
+        ends = np.concatenate([first, first + lengths - 1])
+        cut[ends[(ends >= 0) & (ends < len(data))]] = False
+        cut[first[lengths > 0]] = True
+        for i, sizes in own.items():
+            cut[first[i] : first[i] + lengths[i]] = False
+            cut[first[i] + np.cumsum(sizes) - sizes] = True
+        starts = np.flatnonzero(cut)
+        sizes = np.diff(np.append(starts, len(data)))
+        whole = data.tobytes()
+
+        def learn(at):
+            pieces = [whole[a : a + n].decode() for a, n in zip(starts[at].tolist(), sizes[at].tolist())]
+            parts = list(map(self._split, pieces))
+            ids, counts = self._words([w for p in parts for w in p])
+            per = np.fromiter(map(len, parts), np.int64, len(parts))
+            return ids, np.add.reduceat(counts, np.cumsum(per) - per)
+
+        entries = self._entries(data, starts, sizes, learn)
+        ids, counts = self._gather(entries, learn)
+        per = np.searchsorted(starts, first + lengths) - np.searchsorted(starts, first)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ends = total[np.cumsum(per)] * self.dtype.itemsize
+        blob = ids.tobytes()
+        return [blob[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def byte_letters() -> dict[int, str]:

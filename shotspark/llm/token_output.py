@@ -71,16 +71,19 @@ def _coder(vocabulary: str) -> tuple[TextCoder, array]:
         if not byte_level or parts.get("normalizer") or parts["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level vocabulary without normalizer is needed")
         letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        tokenize = tokenizer.model.tokenize
+        tokenize, blank = tokenizer.model.tokenize, byte_letters()[32]
 
         code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
         def encode_words(words):
-            spelled = [w.encode().decode("latin1").translate(letters) for w in words]
+            # printable ASCII stands for itself, but the space
+            spelled = [
+                w.replace(" ", blank) if w.isascii() and w.isprintable() else w.encode().decode("latin1").translate(letters) for w in words
+            ]
             return [array(code, [t.id for t in tokenize(s)]).tobytes() for s in spelled]
 
         added = [t["content"] for t in parts.get("added_tokens") or [] if t["content"]]
-        _coders[vocabulary] = TextCoder(PieceCoder(PATTERN, encode_words), tokenizer, added, code), array(code)
+        _coders[vocabulary] = TextCoder(PieceCoder(PATTERN, encode_words, array(code).itemsize == 2 and "<u2" or "<u4"), tokenizer, added, code), array(code)
     return _coders[vocabulary]
 
 
