@@ -5,73 +5,122 @@ four), so sections find back to each other behind an edit. Paragraph digests are
 text, section digests of their paragraphs' digests, the root of the sections' digests. Below the
 paragraphs, spans of up to eight words get short codes that locate edits inside a paragraph.
 
-A fingerprint is the root, a colon, and the codes of the spans: paragraphs end with a comma, the
-last one of a section with a bar. Equal texts have equal roots and fingerprints. ``likeness`` is
-1 for equal roots, otherwise twice the number of different codes that both have by the number that
-each has. ``differing`` gives the sections of one fingerprint that the other does not have.
+A fingerprint keeps the whole tree: the root and a colon, then the sections, each ended by a bar. A
+section is the head of its digest, a slash and its paragraphs, each ended by a comma; a paragraph is the
+head of its digest, a full stop and the codes of its spans. Equal texts have equal roots and
+fingerprints.
+
+Two trees are compared from the top. Equal roots end it. Sections whose digest the other tree has are
+the same branch and are not entered; of the others, paragraphs whose digest stands in an open
+section of the other tree are the same; only in the paragraphs that are left are codes compared.
+``likeness`` is the share of the spans, of both texts, that stand in equal branches or have equal
+codes (what repeats counts once); ``differing`` gives the paragraphs that are left, which is where the texts were edited.
 
 Cases: a null text is empty; an empty text has one empty paragraph; rows that share a key are
 ordered by a hash of their text; a null key comes first; the next document of the last is the
 first, of a single one itself; an empty table gives an empty result. Only key and text are read,
-so further columns cannot clash. Keys identify documents: very many rows with one key meet in one
-slice (sorted there on disk, never held in memory).
+so further columns cannot clash. Texts of any length are one row; a branch is entered only where it
+differs. Keys identify documents and are numbers: very many rows with one key meet in one slice (sorted
+there on disk, never held in memory).
 """
 
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotspark.llm.common import table
 
-MAX_SLICES = 4096
+MAX_SLICES = 1 << 16
 SLICE_CHARS = 4_000_000  # text in a slice of neighbouring documents, on average
 SPAN = r"\s*+(?:\S{1,40}+\s*+){1,8}+|\s++"  # covers all characters, so codes leave no gap
+HEAD = 16  # characters of a digest that a fingerprint keeps for sections and paragraphs
+CODE = 8  # characters of the code of a span
 
 
 def _codes(paragraph) -> F.Column:
     spans = F.regexp_extract_all(paragraph, F.lit(SPAN), F.lit(0))
-    return F.array_join(F.transform(spans, lambda s: F.lower(F.lpad(F.hex(F.crc32(s.cast("binary"))), 8, "0"))), "")
+    return F.array_join(F.transform(spans, lambda s: F.lower(F.lpad(F.hex(F.crc32(s.cast("binary"))), CODE, "0"))), "")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the fingerprint of the column ``text`` (never null) as the column ``name``."""
-    digests = F.transform(
+    nodes = F.transform(
         F.split(text, "\n"), lambda p: F.struct(F.sha2(p.cast("binary"), 256).alias("digest"), _codes(p).alias("codes"))
     )
-    nodes = F.transform(
-        digests,
-        lambda n: F.struct(
-            n["digest"].alias("digest"),
-            n["codes"].alias("codes"),
-            F.when(F.crc32(n["digest"].cast("binary")) % 4 == 0, "|").otherwise(",").alias("mark"),
+    # a paragraph's line ends with a mark, which is a bar behind the last one of a section
+    lines = F.transform(
+        nodes,
+        lambda n: F.concat(n["digest"], F.lit("."), n["codes"], F.when(F.crc32(n["digest"].cast("binary")) % 4 == 0, "|").otherwise(",")),
+    )
+    sections = F.filter(F.split(F.array_join("_lines", ""), r"\|"), lambda s: s != "")
+    digests = F.transform("_sections", lambda s: F.sha2(F.regexp_replace(s, r"\.[0-9a-f]*", "").cast("binary"), 256))
+    root = F.sha2(F.array_join("_digests", "").cast("binary"), 256)
+    short = F.transform(
+        "_sections",
+        lambda s, i: F.concat(
+            F.substring(F.get("_digests", i), 1, HEAD), F.lit("/"),
+            F.regexp_replace(F.rtrim(s, F.lit(",")), rf"([0-9a-f]{{{HEAD}}})[0-9a-f]{{{64 - HEAD}}}\.", "$1."),
         ),
     )
-    joined = F.array_join(F.transform("_nodes", lambda n: F.concat(n["digest"], n["mark"])), "")
-    sections = F.transform(F.split(joined, r"\|"), lambda s: F.sha2(s.cast("binary"), 256))
-    root = F.sha2(F.array_join(sections, "").cast("binary"), 256)
-    codes = F.array_join(F.transform("_nodes", lambda n: F.concat(n["codes"], n["mark"])), "")
-    return df.withColumn("_nodes", nodes).withColumn(name, F.concat(root, F.lit(":"), codes)).drop("_nodes")
+    out = df.withColumn("_lines", lines).withColumn("_sections", sections).withColumn("_digests", digests)
+    return out.withColumn(name, F.concat(root, F.lit(":"), F.array_join(short, "|"))).drop("_lines", "_sections", "_digests")
+
+
+def _sections(mark) -> F.Column:
+    return F.split(F.substring_index(mark, ":", -1), r"\|")
+
+
+def _paragraphs(sections) -> F.Column:
+    return F.flatten(F.transform(sections, lambda s: F.split(F.substring_index(s, "/", -1), ",")))
+
+
+def _spans(paragraphs) -> F.Column:
+    """Codes of the spans of some paragraphs."""
+    codes = F.array_join(F.transform(paragraphs, lambda p: F.substring_index(p, ".", -1)), "")
+    return F.regexp_extract_all(codes, F.lit(f"[0-9a-f]{{{CODE}}}"), F.lit(0))
 
 
-def _code_set(mark) -> F.Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(mark, ":", -1), F.lit("[0-9a-f]{8}"), F.lit(0)))
+def differing(a, b) -> F.Column:
+    """Paragraphs of ``a`` (digest, full stop, codes) in no branch that ``b`` has. A branch starts with its digest, so equal
+    branches are found, and different ones told apart, by their heads."""
+    x, y = _sections(a), _sections(b)
+    return F.array_except(_paragraphs(F.array_except(x, y)), _paragraphs(F.array_except(y, x)))
 
 
 def likeness(a, b) -> F.Column:
     """0 to 1 for two fingerprint columns."""
-    x, y = _code_set(a), _code_set(b)
-    both = F.size(F.array_intersect(x, y)).cast("double")
-    sizes = F.size(x) + F.size(y)
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), 1.0).otherwise(
-        F.when(sizes > 0, 2 * both / sizes).otherwise(0.0)
-    )
+    x, y = _sections(a), _sections(b)
+    sections = F.size(_spans(_paragraphs(F.array_intersect(x, y))))
+    p, q = _paragraphs(F.array_except(x, y)), _paragraphs(F.array_except(y, x))
+    same = (sections + F.size(_spans(F.array_intersect(p, q)))).cast("double")
+    u, v = F.array_distinct(_spans(F.array_except(p, q))), F.array_distinct(_spans(F.array_except(q, p)))
+    total = 2 * same + F.size(u) + F.size(v)
+    equal = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
+    return F.when(equal, 1.0).when(total > 0, 2 * (same + F.size(F.array_intersect(u, v))) / total).otherwise(0.0)
 
 
-def differing(a, b) -> F.Column:
-    """Sections of ``a`` (as their codes) that ``b`` does not have; equal branches are passed over."""
-    x, y = (F.split(F.substring_index(m, ":", -1), r"\|") for m in (a, b))
-    return F.array_except(x, y)
+
+
+def _place(value, cuts: list) -> F.Column:
+    """How many of the ascending ``cuts`` lie below ``value``, found in two steps, so that a row is
+    compared with about twice the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+
+    def below(numbers):
+        return F.size(F.filter(numbers, lambda c: c < value))
+
+    def listed(rows):
+        # a text that is taken apart while the query is planned; a list of columns would be a large plan
+        return F.split(F.lit("|".join(",".join(map(str, r)) for r in rows)), r"\|")
+
+    heads = F.split(F.lit(",".join(str(g[0]) for g in groups)), ",").cast("array<decimal(38,6)>")
+    group = F.greatest(below(heads) - 1, F.lit(0))
+    return group * step + below(F.split(F.get(listed(groups), group), ",").cast("array<decimal(38,6)>"))
 
 
 def with_next(
@@ -86,24 +135,27 @@ def with_next(
     MAX_SLICES slices get longer; a slice is sorted on disk, so its size is no limit."""
     total, n = docs.agg(F.sum(chars), F.count("*")).first()
     slices = max(1, min(n, math.ceil((total or 0) / slice_chars), MAX_SLICES))
-    cuts = []
+    number = F.lit(0)
     if slices > 1:
         shares = [i / slices for i in range(1, slices)]
         cuts = sorted(set(docs.agg(F.percentile_approx(key, shares, 20 * slices)).first()[0] or []))
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    placed = docs.withColumn("_slice", F.when(F.col(key).isNull(), 0).otherwise(number)).withColumn("_last", F.lit(0))
+        number = _place(F.col(key), cuts)
+    placed = docs.withColumn("_slice", F.when(F.col(key).isNull(), 0).otherwise(number).cast("int")).withColumn("_last", F.lit(0))
     lowest = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key")))  # nulls come first
     heads = sorted((r["_slice"], r["m"]["key"]) for r in placed.groupBy("_slice").agg(lowest.alias("m")).collect())
     if not heads:
         return docs.withColumn("next", F.struct(*columns))
-    # the first row of each slice stands once more at the end of the slice before it
-    keys = [k for _, k in heads]
-    at_head = F.col(key).isin([k for k in keys if k is not None])
-    if None in keys:
-        at_head = F.col(key).isNull() | at_head
-    first = placed.filter(at_head).groupBy("_slice").agg(F.min(F.struct(F.col(key).isNotNull(), key, order, F.struct(*docs.columns).alias("row"))).alias("m"))
-    before = F.create_map(*[F.lit(x) for (s, _), (b, _) in zip(heads, heads[-1:] + heads[:-1]) for x in (s, b)])
-    copies = first.select("m.row.*", F.element_at(before, F.col("_slice")).alias("_slice"), F.lit(1).alias("_last"))
+    # the first row of each slice stands once more at the end of the slice before it; one row per slice
+    marks = docs.sparkSession.createDataFrame(
+        [(n, k, before) for (n, k), (before, _) in zip(heads, heads[-1:] + heads[:-1])],
+        T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_head", docs.schema[key].dataType), T.StructField("_before", T.IntegerType())]),
+    )
+    first = (
+        placed.join(F.broadcast(marks), (F.col("_slice") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_head")))
+        .groupBy("_before")
+        .agg(F.min(F.struct(key, order, F.struct(*docs.columns).alias("row"))).alias("m"))
+    )
+    copies = first.select("m.row.*", F.col("_before").alias("_slice"), F.lit(1).alias("_last"))
     behind = Window.partitionBy("_slice").orderBy("_last", key, order)
     return (
         placed.unionByName(copies)
