@@ -4,24 +4,30 @@ A turn is written as ``<|im_start|>role``, a line break, the text, ``<|im_end|>`
 Control strings inside roles and texts are escaped reversibly: between ``<`` and ``|`` one more
 backslash is put, so ``<|`` only ever opens a mark of the template; roles also escape line breaks.
 
-A conversation is cut into windows of whole turns. Prefix sums of the turns' tokens give the
-spans: a window takes turns while they fit into the budget, without the system turn and the
-history; one turn that is larger stands alone. A system turn at the head of the conversation is
-kept in every window, and the last turns before the window are repeated up to ``history`` tokens.
-The loss mask covers the texts of assistant turns in the window where they are new; repeated and
-kept turns are masked out, so each assistant text is learned once.
+A conversation is cut into windows of whole turns by the prefix sums of the turns' tokens, without its
+system turn. The room of a window is the budget less the history and the system turn. Turns that start
+in the same stretch of three quarters of the room form a window; the last of them, which reaches over the end of
+the stretch, stands alone if the window would not hold it. So a window never needs more than the budget
+unless it is a single turn, and a turn's window follows from its own prefix sum: no turn waits for the one before.
+A system turn at the head of the conversation is kept in every window, and the last turns before the
+window are repeated up to ``history`` tokens. The loss mask covers the texts of assistant turns in the
+window where they are new; repeated and kept turns are masked out, so each assistant text is learned once.
+
+Prefix sums are taken in range slices of the whole table with one offset per slice, and turns gather by
+conversation and window, so a conversation with any share of all rows spreads over many tasks and no
+task or row holds more than a window. Only digests of whole conversations, in the query, gather more.
 
 Cases: a null text or role is empty; turns are ordered by turn, then role and text, so repeated
 turns stay, next to each other; a null turn comes first; rows without conv_id form one
-conversation; conversations without assistant turns have no loss; an empty table gives an empty
-result. Only conv_id, turn, role and text are read, so further columns cannot clash. A
-conversation is one row while it is cut: its digest needs all its text in order.
+conversation; conversations without assistant turns have no loss; very long texts are turns like any other; an
+empty table gives an empty result. Only conv_id, turn, role and text are read, so further columns cannot clash.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotspark.llm.common import stored, table
+from shotspark.scale import CHUNK_ROWS
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024  # tokens of a window
@@ -54,79 +60,110 @@ def token_count(text) -> F.Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
 
 
+def _placed(turns: DataFrame) -> DataFrame:
+    """``turns`` (ck, turn, role, text, tokens and more) with ``at`` and ``ahead``: turns and tokens
+    before each in its conversation."""
+    slices = turns.count() // CHUNK_ROWS + 1
+    sliced, _ = stored(
+        turns.repartitionByRange(slices, "ck", "turn").withColumns(
+            {"slice": F.spark_partition_id(), "row": F.monotonically_increasing_id()}
+        ),
+        "turns",
+    )
+    # one row per slice, so the window without partition is over few rows
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        sliced.groupBy("slice").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+        .select("slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "nt"])
+    )
+    order = Window.partitionBy("slice").orderBy("ck", "turn", "role", "text", "row")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole, _ = stored(
+        sliced.join(offsets, "slice").withColumns(
+            {
+                "at": F.col("n_before") + F.row_number().over(order) - 1,
+                "ahead": F.col("t_before") + F.coalesce(F.sum("tokens").over(ahead), F.lit(0)),
+            }
+        ).drop("slice", "row", "n_before", "t_before"),
+        "placed",
+    )
+    heads = whole.groupBy("ck").agg(
+        F.min("at").alias("first"), F.min("ahead").alias("base"), F.min_by(F.struct("role", "tokens"), "at").alias("head")
+    )
+    system = F.col("head.role") == "system"
+    heads, _ = stored(
+        heads.select("ck", "first", "base", system.alias("system"), F.when(system, F.col("head.tokens")).otherwise(0).alias("kept")), "heads"
+    )
+    joined = whole.join(heads, "ck")
+    return joined.withColumns({"at": F.col("at") - F.col("first"), "ahead": F.col("ahead") - F.col("base")}).drop("first", "base")
+
+
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, window, n_context (kept and repeated turns at its head),
-    n_new, n_tokens, text, loss (array of start and length in code points)."""
+    """One row per window: conv_id, window (ascending), n_context (kept and repeated turns at its
+    head), n_new, n_tokens, text, loss (array of start and length in code points)."""
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
-    turns = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    ck = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    turns = conversations.select("conv_id", ck.alias("ck"), "turn", role.alias("role"), text.alias("text"))
+    turns = turns.withColumn("tokens", (token_count(F.col("text")) + 4).cast("long"))  # four for the marks and the role
+    placed = _placed(turns)
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    turns = turns.select(
-        "*", head.alias("head"), escape(F.col("text")).alias("body"),
-        (token_count(F.col("text")) + 4).cast("long").alias("tokens"),  # four for the marks and the role
-    )
-    # prefix sums: tokens of all turns ahead
-    ahead = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    written = turns.select(
-        "conv_id",
-        F.struct(
-            "turn", "role", "text", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("before"), "tokens",
-            F.concat("head", "body", F.lit(END + "\n")).alias("line"),
-            F.char_length("head").alias("head"), F.char_length("body").alias("body"),
-        ).alias("t"),
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history) - F.col("kept"))
+    stretch = F.greatest(F.lit(1).cast("long"), F.floor(room * 3 / 4))
+    is_system = F.col("system") & (F.col("at") == 0)
+    start = F.col("ahead") - F.col("kept")
+    alone = (start % stretch + F.col("tokens") > room).cast("long")
+    window = F.when(is_system, 0).otherwise(F.floor(start / stretch) * 2 + alone)
+    lines, _ = stored(
+        placed.select(
+            "conv_id", "ck", "at", "ahead", "tokens", "system", "role", window.cast("long").alias("window"),
+            head.alias("head"), escape(F.col("text")).alias("body"),
+        ).select(
+            "*", F.concat("head", "body", F.lit(END + "\n")).alias("line"),
+            F.char_length("head").alias("n_head"), F.char_length("body").alias("n_body"),
+        ).drop("head", "body"),
+        "lines",
     )
-    whole = written.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    system = F.col("turns")[0]["role"] == "system"
-    whole = whole.select(
-        "conv_id", "turns", F.when(system, 1).otherwise(0).alias("n_kept"),
-        F.greatest(
-            F.lit(1).cast("long"),
-            F.lit(budget - history) - F.when(system, F.col("turns")[0]["tokens"]).otherwise(0),
-        ).alias("room"),
-    )
-
-    def turn(i):
-        return F.get("turns", i)
-
-    # first turn of each window: a turn that no longer fits opens the next one
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size("turns") - 1), F.array(F.lit(0)),
-        lambda acc, i: F.when(
-            (i > F.element_at(acc, -1))
-            & (turn(i)["before"] + turn(i)["tokens"] - turn(F.element_at(acc, -1))["before"] > F.col("room")),
-            F.concat(acc, F.array(i)),
-        ).otherwise(acc),
-    )
-    whole = whole.withColumn("starts", starts)
-
-    def window(s, w):
-        end = F.coalesce(F.get("starts", w + 1), F.size("turns"))
-        kept = F.when(s > 0, F.col("n_kept")).otherwise(0)
-        # the first repeated turn: the earliest from which no more than ``history`` tokens lead here
-        first = F.array_min(
-            F.filter(
-                F.sequence(F.greatest(kept, s - history), s),  # a turn has a token at least
-                lambda i: turn(s)["before"] - turn(i)["before"] <= history,
-            )
-        )
-        return F.struct(
-            w.alias("window"), (end - s).alias("n_new"), (kept + s - first).alias("n_context"),
-            F.concat(F.slice("turns", F.lit(1), kept), F.slice("turns", first + 1, end - first)).alias("shown"),
-        )
-
-    windows = whole.select("conv_id", F.explode(F.transform("starts", window)).alias("x")).select("conv_id", "x.*")
-    at = F.aggregate(
+    shown = ["at", "tokens", "role", "line", "n_head", "n_body"]
+    windows, _ = stored(
+        lines.groupBy("ck", "window").agg(F.min("at").alias("start"), F.min("ahead").alias("before"), F.first("system").alias("system")),
+        "windows",
+    )
+    # a window looks for turns in the stretch of ``history`` tokens where it starts and the one before
+    reach = max(history, 1)
+    place = F.floor(F.col("before") / reach)
+    looking = windows.filter("start > 0").select(
+        "ck", F.col("window").alias("of"), "start", "before", F.explode(F.array(place, place - 1)).alias("place")
+    )
+    repeated = (
+        lines.filter(~(F.col("system") & (F.col("at") == 0))).withColumn("place", F.floor(F.col("ahead") / reach))
+        .join(looking, ["ck", "place"])
+        .filter((F.col("at") < F.col("start")) & (F.col("before") - F.col("ahead") <= history))
+    )
+    kept = (
+        lines.filter(F.col("system") & (F.col("at") == 0))
+        .join(windows.filter("start > 0").select("ck", F.col("window").alias("of")), "ck")
+    )
+    new = lines.select("conv_id", "ck", F.col("window").alias("of"), F.lit(True).alias("new"), *shown)
+    context = [x.select("conv_id", "ck", "of", F.lit(False).alias("new"), *shown) for x in (repeated, kept)]
+    every = new.unionByName(context[0]).unionByName(context[1])
+    # a window is bounded by the budget, or is one turn
+    whole = every.groupBy("ck", "of").agg(
+        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct(*shown[:1], "new", *shown[1:]))).alias("shown")
+    )
+    ends = F.aggregate(
         "shown", F.array(F.lit(0).cast("long")),
         lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(t["line"]))),
     )
     learned = F.filter(
         F.transform("shown", lambda t, i: F.struct(
-            (F.get("at", i) + t["head"]).cast("long").alias("start"), t["body"].cast("long").alias("length"),
-            ((i >= F.col("n_context")) & (t["role"] == "assistant")).alias("new"),
+            (F.get("ends", i) + t["n_head"]).cast("long").alias("start"), t["n_body"].cast("long").alias("length"),
+            (t["new"] & (t["role"] == "assistant")).alias("new"),
         )),
         lambda x: x["new"],
     )
-    return windows.withColumn("at", at).select(
-        "conv_id", "window", "n_context", "n_new",
+    n_new = F.size(F.filter("shown", lambda t: t["new"]))
+    return whole.withColumn("ends", ends).select(
+        "conv_id", F.col("of").alias("window"), (F.size("shown") - n_new).alias("n_context"), n_new.alias("n_new"),
         F.aggregate("shown", F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"]).alias("n_tokens"),
         F.array_join(F.transform("shown", lambda t: t["line"]), "").alias("text"),
         F.transform(learned, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss"),

@@ -66,6 +66,35 @@ def test_windows_keep_budget_system_and_history(spark, rows):
     assert all(r["n_context"] > 0 for r in later)  # short turns before a window are repeated
 
 
+def test_a_conversation_over_many_slices(spark, monkeypatch):
+    """Slices of few rows: prefix sums carry over borders, and windows stay whole."""
+    monkeypatch.setattr(chat, "CHUNK_ROWS", 40)
+    data = [(9, i, ["user", "assistant"][i % 2], f"t{i} " + "w " * (i * 7 % 90)) for i in range(400)]
+    data += [(None, i, "assistant", f"n{i}") for i in range(100)] + [(c, 0, "user", "u") for c in range(20, 60)]
+    table = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(7)
+    budget, history = 128, 32
+    windows = chat.format_windows(table, budget, history)
+    turns, learned = {}, {}
+    for r in chat.parse_windows(windows).orderBy("conv_id", "window").collect():
+        turns.setdefault(r["conv_id"], []).extend((t["role"], t["text"]) for t in r["turns"])
+        learned.setdefault(r["conv_id"], []).extend(r["learned"])
+    want = turns_of(data)
+    assert turns == want
+    assert learned == {c: [x for a, x in v if a == "assistant"] for c, v in want.items() if any(a == "assistant" for a, _ in v)} | {
+        c: [] for c, v in want.items() if not any(a == "assistant" for a, _ in v)
+    }
+    found = windows.collect()
+    assert all(r["n_tokens"] <= budget or r["n_new"] == 1 for r in found)
+    own = [r for r in found if r["conv_id"] == 9]
+    # a window repeats as much of what stands before it as the history holds
+    tokens = [len(x.split()) + 4 for _, x in want[9]]
+    ends = [sum(tokens[:i]) for i in range(len(tokens) + 1)]
+    start = 0
+    for r in sorted(own, key=lambda r: r["window"]):
+        assert r["n_context"] == sum(ends[start] - ends[i] <= history for i in range(start))
+        start += r["n_new"]
+
+
 def test_empty(spark, rows):
     assert chat.parse_windows(chat.format_windows(rows.limit(0))).count() == 0
 
