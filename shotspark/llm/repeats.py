@@ -254,7 +254,9 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     index, index_place = stored(entries, "index")
     # seeds with more than one factor, of which some stand once
     border = index.groupBy("seed").agg(F.min("n").alias("low"), F.count("*").alias("k")).filter("low = 1 and k > 1")
-    checks = index.join(border.select("seed"), "seed").select(
+    # written, so that the join below may split a seed with very many factors
+    border, _ = stored(border.select("seed"), "border-seeds")
+    checks = index.join(border, "seed").select(
         "where.row", "where.at", F.least("n", F.lit(2)).cast("int").alias("weight")
     )
     long = hits.join(index.filter("n > 1").select("seed", "factor"), ["seed", "factor"]).select("row", "at", F.lit(0).alias("weight"))
