@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotspark.llm.common import slices, table
-from shotspark.llm.pieces import PieceCoder
+from shotspark.llm.pieces import BYTES, PieceCoder
 
 _states: dict = {}  # of this Python worker, by rank file
 _spelled: dict = {}
@@ -222,7 +222,7 @@ def encode_bpe(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id
     def encode(batches):
         coder = _coder(rank_file, pattern)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BYTES):
                 blobs = coder.encode(batch.column("text").to_pylist())
                 counts = [len(b) // 4 for b in blobs]
                 yield pa.RecordBatch.from_arrays(

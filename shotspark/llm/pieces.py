@@ -14,7 +14,9 @@ import re
 import numpy as np
 import regex
 
-PIECES = 1 << 21  # distinct pieces that one worker remembers
+PIECES = 1 << 20  # distinct pieces that one worker remembers
+BYTES = 2_000_000  # text that is coded together, on average
+BLOCK = 1 << 18  # bytes that are hashed together
 LONG = 512  # bytes of a piece that is not remembered
 
 _random = np.random.default_rng(7)
@@ -29,13 +31,19 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII characters that are no let
 
 def hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers for each piece; pieces lie one behind the other in ``data``."""
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    inside = np.arange(len(data)) - np.repeat(starts, sizes)
-    np.minimum(inside, LONG, out=inside)  # longer pieces are not looked up
-    first, second = (np.add.reduceat(t[data] * p[inside], starts) for t, p in zip(_LETTERS, _POWERS))
-    first ^= first >> np.uint64(31)
-    return first * np.uint64(0x9E3779B97F4A7C15), second ^ sizes.astype(np.uint64)
+    out = np.empty((2, len(starts)), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
+        first, last = int(starts[at]), int(starts[to - 1] + sizes[to - 1])
+        letters, own = data[first:last], starts[at:to] - first
+        inside = np.arange(last - first, dtype=np.int32) - np.repeat(own.astype(np.int32), sizes[at:to])
+        np.minimum(inside, LONG, out=inside)  # longer pieces are not looked up
+        for i in (0, 1):
+            out[i, at:to] = np.add.reduceat(_LETTERS[i][letters] * _POWERS[i][inside], own)
+        at = to
+    out[0] ^= out[0] >> np.uint64(31)
+    return out[0] * np.uint64(0x9E3779B97F4A7C15), out[1] ^ sizes.astype(np.uint64)
 
 
 class Table:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotspark.llm.common import delete, slices, stored, table
-from shotspark.llm.pieces import PieceCoder, byte_letters
+from shotspark.llm.pieces import BYTES, PieceCoder, byte_letters
 
 SHARD_TOKENS = 4_000_000  # ids in a shard, on average
 
@@ -102,7 +102,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_
         end, width = array(empty.typecode, [end_id]).tobytes(), bytes([empty.itemsize])
         press = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BYTES):
                 blobs = coder.encode(batch.column("text").to_pylist())
                 counts = [len(b) // empty.itemsize + 1 for b in blobs]
                 packed = [width + press(b + end) for b in blobs]
