@@ -215,54 +215,78 @@ def _spellings(path: str) -> tuple[Spelling, Spelling]:
     return _spelled[path]
 
 
+def _encoded(batch: pa.RecordBatch, coder: PieceCoder) -> pa.RecordBatch:
+    blobs = coder.encode(batch.column("text").to_pylist())
+    counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(batch: pa.RecordBatch, rank_file: str, numbers: bool, keep_ids: bool) -> pa.RecordBatch:
+    spelled, digits = _spellings(rank_file)
+    blobs = batch.column("ids").to_pylist()
+    ids = np.frombuffer(b"".join(blobs), "<u4")
+    ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
+
+    def texts(spelling, less=0):
+        letters, at = spelling.of(ids)
+        raw, to = letters.tobytes(), np.concatenate([[0], at])[ends].tolist()
+        return [raw[a : max(a, b - less)] for a, b in zip([0, *to], to)]
+
+    columns = {"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), "decoded": pa.array(texts(spelled), pa.binary())}
+    if numbers:
+        columns["numbers"] = pa.array(texts(digits, 1), pa.binary()).cast(pa.string())
+    if keep_ids:
+        columns["ids"] = batch.column("ids")
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def _decoded_schema(key_type: str, numbers: bool, keep_ids: bool) -> str:
+    return f"doc_id {key_type}, n_tokens long, decoded binary" + ", numbers string" * numbers + ", ids binary" * keep_ids
+
+
 def encode_bpe(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each text."""
-    key_type = docs.schema[key].dataType.simpleString()
 
     def encode(batches):
         coder = _coder(rank_file, pattern)
         for whole in batches:
             for batch in slices(whole, "text", BYTES):
-                blobs = coder.encode(batch.column("text").to_pylist())
-                counts = [len(b) // 4 for b in blobs]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
-
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        encode, f"doc_id {key_type}, n_tokens long, ids binary"
-    )
+                yield _encoded(batch, coder)
+
+    key_type = docs.schema[key].dataType.simpleString()
+    return _texts(docs, key, text).mapInArrow(encode, f"doc_id {key_type}, n_tokens long, ids binary")
 
 
 def decode_bpe(encoded: DataFrame, rank_file: str, numbers: bool = False, keep_ids: bool = False) -> DataFrame:
     """The bytes of each row of ``encode_bpe``; with ``numbers`` also the ids as decimal text, with
     ``keep_ids`` the ids as they came."""
-    key_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def decode(batches):
-        spelled, digits = _spellings(rank_file)
         for whole in batches:
-            for batch in slices(whole, "ids", 1_000_000):
-                blobs = batch.column("ids").to_pylist()
-                ids = np.frombuffer(b"".join(blobs), "<u4")
-                ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
+            for batch in slices(whole, "ids", BYTES):
+                yield _decoded(batch, rank_file, numbers, keep_ids)
+
+    key_type = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(decode, _decoded_schema(key_type, numbers, keep_ids))
 
-                def texts(spelling, less=0):
-                    letters, at = spelling.of(ids)
-                    raw, to = letters.tobytes(), np.concatenate([[0], at])[ends].tolist()
-                    return [raw[a : max(a, b - less)] for a, b in zip([0, *to], to)]
 
-                columns = [batch.column("doc_id"), batch.column("n_tokens"), pa.array(texts(spelled), pa.binary())]
-                if numbers:
-                    columns.append(pa.array(texts(digits, 1), pa.binary()).cast(pa.string()))
-                if keep_ids:
-                    columns.append(batch.column("ids"))
-                yield pa.RecordBatch.from_arrays(columns, names)
+def round_trip(
+    docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", numbers: bool = False, keep_ids: bool = False
+) -> DataFrame:
+    """``decode_bpe`` of ``encode_bpe`` in the same Python worker, which halves their number."""
 
-    names = ["doc_id", "n_tokens", "decoded", *(["numbers"] if numbers else []), *(["ids"] if keep_ids else [])]
-    schema = f"doc_id {key_type}, n_tokens long, decoded binary" + ", numbers string" * numbers + ", ids binary" * keep_ids
-    return encoded.mapInArrow(decode, schema)
+    def both(batches):
+        coder = _coder(rank_file, pattern)
+        for whole in batches:
+            for batch in slices(whole, "text", BYTES):
+                yield _decoded(_encoded(batch, coder), rank_file, numbers, keep_ids)
+
+    key_type = docs.schema[key].dataType.simpleString()
+    return _texts(docs, key, text).mapInArrow(both, _decoded_schema(key_type, numbers, keep_ids))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,8 +294,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return decode_bpe(encoded, ranks, numbers=True).select(
+    return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, numbers=True).select(
         "doc_id",
         "n_tokens",
         F.sha2(F.col("numbers").cast("binary"), 256).alias("ids_sha256"),

@@ -14,8 +14,8 @@ import re
 import numpy as np
 import regex
 
-PIECES = 1 << 20  # distinct pieces that one worker remembers
-BYTES = 2_000_000  # text that is coded together, on average
+PIECES = 1 << 19  # distinct pieces that one worker remembers
+BYTES = 1_000_000  # text that is coded together, on average
 BLOCK = 1 << 18  # bytes that are hashed together
 LONG = 512  # bytes of a piece that is not remembered
 
