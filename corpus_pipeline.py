@@ -16,7 +16,7 @@ one returns token ids. Decisions:
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.llm.bpe import decode_bpe, encode_bpe
+from shotspark.llm.bpe import round_trip
 from shotspark.llm.common import stored, table
 from shotspark.llm.decontaminate import contamination
 from shotspark.llm.quality import fit_quality, score_quality
@@ -56,8 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = decode_bpe(encode_bpe(docs, ranks, public_tokenizers.PATTERN), ranks, keep_ids=True)
-    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=True).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
