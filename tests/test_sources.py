@@ -1,3 +1,5 @@
+import json
+import os
 import random
 import warnings
 
@@ -92,17 +94,20 @@ def test_dedupe_does_not_depend_on_order(spark, rows):
     assert tables.dedupe(df, ["k"], ["t"]).collect() == [(1, "b", 5)]
 
 
+FLAT = "match_id long, home_team_id long"
+
+
 def test_json_documents_and_broken_input(spark):
     root = scratch_path(spark, "json")
     indented = '[\n  {"match_id": 1,\n   "home_team_id": 7},\n  {"match_id": 2}\n]'
     spark.createDataFrame([(indented,)], "v string").coalesce(1).write.text(f"{root}/whole")
-    got = ingest.read_json(spark, f"{root}/whole", ingest.MATCH_SCHEMA)
+    got = ingest.read_json(spark, f"{root}/whole", FLAT)
     assert sorted((r.match_id, r.home_team_id) for r in got.collect()) == [(1, 7), (2, None)]
     spark.createDataFrame([('{"match_id": 1}',), ('{"match_id": 2}',)], "v string").coalesce(1).write.text(f"{root}/lines")
-    assert ingest.read_json(spark, f"{root}/lines", ingest.MATCH_SCHEMA, lines=True).count() == 2
+    assert ingest.read_json(spark, f"{root}/lines", FLAT, lines=True).count() == 2
     spark.createDataFrame([('[{"match_id": 1}, {"match',)], "v string").write.text(f"{root}/broken")
     with pytest.raises(Exception, match="(?i)malformed"):
-        ingest.read_json(spark, f"{root}/broken", ingest.MATCH_SCHEMA).collect()
+        ingest.read_json(spark, f"{root}/broken", FLAT).collect()
 
 
 def test_escapes_keep_other_backslashes(spark):
@@ -131,26 +136,126 @@ def test_escapes(spark):
     assert [r[0] for r in df.select(ingest.decode_escapes(F.col("t"))).collect()] == ['André "Z"', "line\nbreak", "A"]
 
 
-def test_event_dump_from_json(spark):
-    root = scratch_path(spark, "dump")
-
-    def put(name, rows, schema):
-        spark.createDataFrame(rows, schema).write.json(f"{root}/{name}")
-
-    put("competitions", [(1, "Cup", ("",)), (2, "Liga", ("Spain",)), (3, "Other", ("Peru",))], "wyId long, name string, area struct<name:string>")
-    put("matches", [(10, 1, 7, "2018-01-01", 5, 6), (11, 3, 7, "2018-01-02", 5, 8)],
-        "game_id long, provider_id long, season long, game_date string, home_team_id long, away_team_id long")
-    put("events", [(10, 100, 1, 9.0, 5, 1, 82, False), (10, 101, 1, 3.0, 6, 2, 81, True), (11, 102, 1, 1.0, 5, 3, 1, False)],
-        "game_id long, event_id long, period_id long, time_seconds double, team_id long, player_id long, subtype_id long, head_tag boolean")
-    put("players", [(1, "a"), (2, "b"), (3, "c")], "player_id long, player_name string")
-    put("teams", [(5, "x"), (6, "y"), (8, "z")], "team_id long, team_name string")
-    out = ingest.read_event_dump(spark, root, {"Cup": "CU", "Spain": "ES"}, {7: "1718"})
-    game = out["games"].first()
-    assert (game.game_id, game.competition_id, game.season_id) == (10, "NULL", "1718")  # the area is empty
-    acts = [(r.event_id, r.action_id, r.bodypart_name) for r in out["actions"].orderBy("action_id").collect()]
-    assert acts == [(101, 0, "other"), (100, 1, "head")]
-    assert {r.player_id for r in out["players"].collect()} == {1, 2}
-    assert {r.team_id for r in out["teams"].collect()} == {5, 6}
+def put(root, name, records):
+    """A file as providers publish them."""
+    path = os.path.join(root, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        json.dump(records, f, indent=2)
+
+
+def open_data(root, lineups=True):
+    put(root, "competitions.json", [
+        {"competition_id": 9, "season_id": 3, "competition_name": "Cup", "season_name": "2018"},
+        {"competition_id": 9, "season_id": 4, "competition_name": "Cup", "season_name": "2019"},
+        {"competition_id": 2, "season_id": 3, "competition_name": "Other", "season_name": "2018"},
+    ])
+
+    def match(i, competition, season, home, away):
+        return {
+            "match_id": i, "match_date": "2018-06-14", "kick_off": "17:00:00.000", "competition": {"competition_id": competition},
+            "season": {"season_id": season}, "home_team": {"home_team_id": home, "home_team_name": f"T{home}"},
+            "away_team": {"away_team_id": away}, "home_score": 5,
+        }
+
+    put(root, "matches/9/3.json", [match(100, 9, 3, 1, 2), match(101, 9, 3, 2, 1)])
+    put(root, "matches/9/4.json", [match(102, 9, 4, 3, 1)])
+    put(root, "matches/2/3.json", [match(200, 2, 3, 7, 8)])
+
+    def event(team, player):
+        found = {"id": "x", "index": 1, "type": {"id": 30, "name": "Pass"}, "team": {"id": team, "name": f"T{team}"}}
+        return found | ({"player": {"id": player, "name": f"P{player}"}} if player else {})
+
+    put(root, "events/100.json", [event(1, None), event(1, 11), event(2, 21), event(1, 11)])
+    put(root, "events/101.json", [event(2, 21), event(1, 12)])
+    put(root, "events/102.json", [event(3, 31)])
+    put(root, "events/200.json", [event(7, 71)])
+    if lineups:
+        for i, sides in ((100, {1: (11, 13), 2: (21,)}), (101, {1: (12,), 2: (21,)}), (102, {3: (31,)}), (200, {7: (71,)})):
+            put(root, f"lineups/{i}.json", [
+                {"team_id": t, "team_name": f"T{t}", "lineup": [{"player_id": p, "player_name": f"P{p}", "country": {"id": 1}} for p in players]}
+                for t, players in sides.items()
+            ])
+
+
+@pytest.mark.parametrize("lineups", [True, False])
+def test_open_data_from_nested_files(spark, tmp_path, lineups):
+    open_data(str(tmp_path), lineups)
+    out = ingest.read_open_data(spark, str(tmp_path), {"Cup": "WC"}, {3: "2018", 4: "2019"})
+    games = sorted((r.game_id, r.competition_id, r.season_id, r.home_team_id, r.away_team_id) for r in out["games"].collect())
+    assert games == [(100, "WC", "2018", 1, 2), (101, "WC", "2018", 2, 1), (102, "WC", "2019", 3, 1)]
+    assert {(r.team_id, r.team_name) for r in out["teams"].collect()} == {(1, "T1"), (2, "T2"), (3, "T3")}
+    players = {11, 12, 21, 31} | ({13} if lineups else set())
+    assert {(r.player_id, r.player_name) for r in out["players"].collect()} == {(p, f"P{p}") for p in players}
+    took_part = sorted((r.game_id, r.team_id, r.player_id) for r in out["player_games"].collect())
+    assert took_part == [(100, 1, 11), (100, 2, 21), (101, 1, 12), (101, 2, 21), (102, 3, 31)]
+
+
+def test_files_of_another_layout_raise(spark, tmp_path):
+    open_data(str(tmp_path))
+    flat = [{"match_id": 100, "match_date": "2018-06-14", "competition_id": 9, "season_id": 3, "home_team_id": 1, "away_team_id": 2}]
+    for name in ("9/3", "9/4", "2/3"):
+        put(str(tmp_path), f"matches/{name}.json", flat)
+    with pytest.raises(ValueError, match="matches: no record has competition.competition_id"):
+        ingest.read_open_data(spark, str(tmp_path), {"Cup": "WC"}, {3: "2018"})
+    dump(str(tmp_path / "dump"))
+    put(str(tmp_path / "dump"), "events_Spain.json", [{"game_id": 10, "event_id": 1}])
+    put(str(tmp_path / "dump"), "events_Peru.json", [])
+    with pytest.raises(ValueError, match="events: no record has id"):
+        ingest.read_event_dump(spark, str(tmp_path / "dump"), {"Spain": "ES"}, {7: "1718"})
+
+
+def dump(root):
+    put(root, "competitions.json", [
+        {"wyId": 1, "name": "Cup", "area": {"name": "", "id": "0"}}, {"wyId": 2, "name": "Liga", "area": {"name": "Spain", "id": "724"}},
+        {"wyId": 3, "name": "Other", "area": {"name": "Peru", "id": "604"}},
+    ])
+
+    def match(i, competition, teams):
+        return {"wyId": i, "competitionId": competition, "seasonId": 7, "dateutc": "2018-05-20 18:45:00", "label": "A - B, 1 - 0", "teamsData": teams}
+
+    def side(team, name, formation):
+        return {"teamId": team, "side": name, "score": 1, "hasFormation": 1, "formation": formation}
+
+    lineup = {
+        "lineup": [{"playerId": 1, "goals": "0"}, {"playerId": 4, "goals": "1"}], "bench": [{"playerId": 5}],
+        "substitutions": [{"playerIn": 5, "playerOut": 4, "minute": 60}],
+    }
+    other = {"lineup": [{"playerId": 2}], "bench": [], "substitutions": "null"}
+    put(root, "matches_Cup.json", [match(10, 1, {"5": side(5, "home", lineup), "6": side(6, "away", other)})])
+    put(root, "matches_Spain.json", [match(12, 2, {"6": side(6, "away", "null"), "9": side(9, "home", "null")})])
+    put(root, "matches_Peru.json", [match(11, 3, {"5": side(5, "home", lineup), "8": side(8, "away", other)})])
+
+    def event(i, game, period, second, team, player, subtype, tags=()):
+        return {
+            "id": i, "eventId": 8, "matchId": game, "matchPeriod": period, "eventSec": second, "teamId": team, "playerId": player,
+            "subEventId": subtype, "subEventName": "x", "tags": [{"id": t} for t in tags], "positions": [{"x": 1, "y": 2}],
+        }
+
+    put(root, "events_Cup.json", [
+        event(100, 10, "1H", 9.0, 5, 1, 82), event(101, 10, "1H", 3.0, 6, 2, 81, [403]), event(102, 10, "2H", 2700.0, 5, 5, 30, [1801, 403]),
+        event(103, 10, "2H", 1.0, 6, 0, ""),
+    ])
+    put(root, "events_Spain.json", [event(300, 12, "1H", 5.0, 9, 7, 30, [1801]), event(301, 12, "1H", 5.0, 6, 2, 30)])
+    put(root, "events_Peru.json", [event(200, 11, "1H", 1.0, 5, 3, 1)])
+    put(root, "players.json", [{"wyId": i, "shortName": n, "firstName": "f", "lastName": "l"} for i, n in ((1, "a"), (2, "b"), (3, "c"), (4, r"d\u00e9"), (5, "e"), (7, "g"))])
+    put(root, "teams.json", [{"wyId": i, "name": n, "officialName": n, "area": {"name": "Spain"}} for i, n in ((5, "x"), (6, "y"), (8, "z"), (9, "v"))])
+
+
+def test_event_dump_from_json(spark, tmp_path):
+    dump(str(tmp_path))
+    out = ingest.read_event_dump(spark, str(tmp_path), {"Cup": "CU", "Spain": "ES"}, {7: "1718"})
+    games = sorted((r.game_id, r.competition_id, r.season_id, str(r.game_date), r.home_team_id, r.away_team_id) for r in out["games"].collect())
+    assert games == [(10, "NULL", "1718", "2018-05-20", 5, 6), (12, "ES", "1718", "2018-05-20", 9, 6)]  # an area is empty
+    acts = [(r.game_id, r.event_id, r.action_id, r.bodypart_name, r.player_id) for r in out["actions"].orderBy("game_id", "action_id").collect()]
+    assert acts == [
+        (10, 101, 0, "other", 2), (10, 100, 1, "head", 1), (10, 103, 2, "foot", None), (10, 102, 3, "head", 5),
+        (12, 300, 0, "foot", 7), (12, 301, 1, "foot", 2),
+    ]
+    played = sorted((r.game_id, r.team_id, r.player_id, r.minutes_played) for r in out["player_games"].collect())
+    assert played == [(10, 5, 1, 90.0), (10, 5, 4, 60.0), (10, 5, 5, 30.0), (10, 6, 2, 90.0), (12, 6, 2, None), (12, 9, 7, None)]
+    assert {r.player_id: r.player_name for r in out["players"].collect()} == {1: "a", 2: "b", 4: "dé", 5: "e", 7: "g"}
+    assert {r.team_id for r in out["teams"].collect()} == {5, 6, 9}
 
 
 # --- matching ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from shotspark.sources import ingest, tables
 from workload import adapter
 from workload.adapter import sql
 from workload.catalog import query, rounded
+from workload.files import write_documents
 
 KEY = ["game_id", "action_id"]
 
@@ -137,52 +138,48 @@ def _(spark, sf):
 LEAGUES = {"ASIA": "AS", "EUROPE": "EU", "AMERICA": "AM"}
 
 
-def _write_documents(df, path, rows=5_000):
-    """JSON files as providers publish them: each one indented array, here of about ``rows`` records."""
-    files = df.count() // rows + 1
-    records = df.select(F.struct("*").alias("r"))
-    arrays = records.groupBy(F.pmod(F.xxhash64("r"), F.lit(files)).alias("part")).agg(
-        F.to_json(F.collect_list("r"), {"pretty": "true"}).alias("value")
-    )
-    arrays.write.partitionBy("part").text(path)
-
-
 @query(
     "ingest_open_json",
     sql("""with g as (select * from games where competition_id in ('ASIA', 'EUROPE', 'AMERICA')),
 a as (select actions.* from actions join g on actions.game_id = g.game_id)
 select 'games' as kind, game_id as id, case competition_id when 'ASIA' then 'AS' when 'EUROPE' then 'EU' else 'AM' end
-         || '/' || season_id || '/' || strftime(game_date, '%Y-%m-%d') as name from g
+         || '/' || season_id || '/' || strftime(game_date, '%Y-%m-%d') || '/' || home_team_id || '/' || away_team_id as name from g
 union all select distinct 'teams', team_id, 'Team ' || team_id from a
 union all select distinct 'players', player_id, 'Player "' || player_id || '"' from a
 union all select 'player_games', game_id, cast(count(distinct (team_id, player_id)) as varchar) from a group by game_id"""),
 )
 def _(spark, sf):
+    """Files with nested records; events and line-ups know their match by the name of the file."""
     root = scratch_path(spark, "open-data")
-    games = adapter.games(spark, sf)
+    games = adapter.games(spark, sf).withColumn("league", F.abs(F.hash("competition_id")).cast("long"))
     season = F.col("season_id").cast("long")
-    league = F.abs(F.hash("competition_id")).cast("long")
     offered = games.select(
-        league.alias("competition_id"), season.alias("season_id"), F.col("competition_id").alias("competition_name")
+        F.col("league").alias("competition_id"), season.alias("season_id"), F.col("competition_id").alias("competition_name"),
+        F.concat(F.lit("Season "), "season_id").alias("season_name"), (F.col("league") * 10000 + season).alias("order"),
     )
-    _write_documents(offered.distinct(), f"{root}/competitions")
+    write_documents(offered.distinct(), root, F.lit("competitions"), "order")
     matches = games.select(
         F.col("game_id").alias("match_id"), F.col("game_date").alias("match_date"),
-        league.alias("competition_id"), season.alias("season_id"), "home_team_id", "away_team_id",
+        F.struct(F.col("league").alias("competition_id"), F.col("competition_id").alias("competition_name")).alias("competition"),
+        F.struct(season.alias("season_id")).alias("season"),
+        F.struct("home_team_id").alias("home_team"), F.struct("away_team_id").alias("away_team"),
+        F.col("game_id").alias("order"),
     )
-    _write_documents(matches, f"{root}/matches")
-
-    def entity(key, name):
-        return F.struct(F.col(key).alias("id"), name.alias("name"))
-
-    events = adapter.actions(spark, sf).select(
-        F.col("game_id").alias("match_id"), "event_id",
-        entity("team_id", F.concat(F.lit("Team "), F.col("team_id"))).alias("team"),
-        entity("player_id", F.concat(F.lit('Player "'), F.col("player_id"), F.lit('"'))).alias("player"),
+    write_documents(matches, root, F.concat_ws("/", F.lit("matches"), "competition.competition_id", "season.season_id"), "order")
+    actions = adapter.actions(spark, sf)
+    player = F.concat(F.lit('Player "'), F.col("player_id"), F.lit('"'))
+    events = actions.select(
+        F.struct(F.col("team_id").alias("id"), F.concat(F.lit("Team "), "team_id").alias("name")).alias("team"),
+        F.struct(F.col("player_id").alias("id"), player.alias("name")).alias("player"),
+        F.struct(F.col("type_name").alias("name")).alias("type"), F.col("event_id").alias("order"), "game_id",
     )
-    _write_documents(events, f"{root}/events")
+    write_documents(events, root, F.concat(F.lit("events/"), "game_id"), "order", ["game_id"])
+    sides = actions.groupBy("game_id", "team_id").agg(
+        F.collect_set(F.struct("player_id", player.alias("player_name"))).alias("lineup")
+    ).select("game_id", "team_id", F.concat(F.lit("Team "), "team_id").alias("team_name"), "lineup", F.col("team_id").alias("order"))
+    write_documents(sides, root, F.concat(F.lit("lineups/"), "game_id"), "order", ["game_id"])
     out = ingest.read_open_data(spark, root, LEAGUES, {1718: "1718", 1819: "1819"})
-    text = F.concat_ws("/", "competition_id", "season_id", F.col("game_date").cast("string"))
+    text = F.concat_ws("/", "competition_id", "season_id", F.col("game_date").cast("string"), "home_team_id", "away_team_id")
     parts = [
         out["games"].select(F.lit("games").alias("kind"), F.col("game_id").alias("id"), text.alias("name")),
         out["teams"].select(F.lit("teams").alias("kind"), F.col("team_id").alias("id"), F.col("team_name").alias("name")),
@@ -194,7 +191,8 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-# one area name is empty, so the competition's own name counts there
+# one area name is empty, so the competition's own name counts there; players of the second team come
+# on for those of the first ten numbers, and every third match has no formation
 DUMP_SQL = """with comp as (
   select cast(r_regionkey as bigint) as provider_id, r_name as own, case when r_regionkey % 4 = 3 then '' else r_name end as area
   from region),
@@ -203,76 +201,122 @@ sel as (
   from comp where case when area = '' then own else area end in ('ASIA', 'EUROPE', 'AMERICA')),
 g as (
   select games.game_id, sel.competition_id, season_id, home_team_id, away_team_id from games
-  join region on r_name = games.competition_id join sel on provider_id = r_regionkey)"""
-
-
-def _dump_parts(spark, sf):
+  join region on r_name = games.competition_id join sel on provider_id = r_regionkey),
+acts as (select a.* from actions a join g on a.game_id = g.game_id),
+lasted as (select game_id, max(case period_id when 2 then 45 else 0 end + time_seconds / 60) as lasted from acts group by game_id),
+sides as (select game_id, unnest([home_team_id, away_team_id]) as team_id from g where game_id % 3 <> 0),
+starts as (select game_id, team_id, n from sides, range(1, 12) r(n)),
+played as (
+  select game_id, team_id, team_id * 11 + n as player_id, case n when 2 then 60.0e0 else lasted end as minutes_played
+  from starts join lasted using (game_id)
+  union all select game_id, team_id, team_id + 1000, lasted - 60.0e0 from starts join lasted using (game_id) where n = 2
+  union all select distinct game_id, team_id, player_id, cast(null as double) from acts
+  where game_id % 3 = 0 and player_id <> 7)"""
+
+
+def _dump_records(spark, sf):
+    """The provider's records from the tables, with the columns of the order in files."""
     region = adapter.table(spark, sf, "region")
     area = F.when(F.col("r_regionkey") % 4 == 3, "").otherwise(F.col("r_name"))
     competitions = region.select(
         F.col("r_regionkey").cast("long").alias("wyId"), F.col("r_name").alias("name"), F.struct(area.alias("name")).alias("area")
     )
-    matches = adapter.games(spark, sf).join(
-        region.select(F.col("r_regionkey").cast("long").alias("provider_id"), F.col("r_name").alias("competition_id")),
-        "competition_id",
-    ).select(
-        "game_id", "provider_id", F.col("season_id").cast("long").alias("season"), "game_date", "home_team_id", "away_team_id"
+    numbers = F.sequence(F.lit(1), F.lit(11))
+
+    def side(team, name):
+        lineup = F.transform(numbers, lambda n: F.struct((team * 11 + n).cast("long").alias("playerId")))
+        subs = F.array(F.struct((team + 1000).alias("playerIn"), (team * 11 + 2).alias("playerOut"), F.lit(60).alias("minute")))
+        formation = F.struct(lineup.alias("lineup"), subs.alias("substitutions"))
+        return F.struct(F.lit(name).alias("side"), F.when(F.col("game_id") % 3 != 0, formation).alias("formation"))
+
+    home, away = F.col("home_team_id"), F.col("away_team_id")
+    teams = F.map_from_arrays(F.array(home.cast("string"), away.cast("string")), F.array(side(home, "home"), side(away, "away")))
+    matches = adapter.games(spark, sf).join(region, F.col("r_name") == F.col("competition_id")).select(
+        F.col("game_id").alias("wyId"), F.col("r_regionkey").cast("long").alias("competitionId"),
+        F.col("season_id").cast("long").alias("seasonId"), F.date_format("game_date", "yyyy-MM-dd 18:45:00").alias("dateutc"),
+        teams.alias("teamsData"),
+    )
+    e = F.col("event_id")
+    tags = F.concat(
+        F.array(F.struct((e % 50).alias("id"))), F.when(e % 11 == 0, F.array(F.struct(F.lit(403).cast("long").alias("id")))).otherwise(F.array())
     )
-    events = adapter.actions(spark, sf).select(
-        "game_id", "event_id", "period_id", "time_seconds", "team_id", "player_id",
-        (F.col("event_id") % 100).alias("subtype_id"), (F.col("event_id") % 11 == 0).alias("head_tag"),
+    events = adapter.actions(spark, sf).join(adapter.games(spark, sf).select("game_id", "competition_id"), "game_id").select(
+        e.alias("id"), F.col("game_id").alias("matchId"), F.when(F.col("period_id") == 2, "2H").otherwise("1H").alias("matchPeriod"),
+        F.col("time_seconds").alias("eventSec"), F.col("team_id").alias("teamId"),
+        F.when(F.col("player_id") == 7, 0).otherwise(F.col("player_id")).alias("playerId"),
+        F.when(e % 17 == 0, "").otherwise((e % 100).cast("string")).alias("subEventId"), tags.alias("tags"), "competition_id",
     )
-    return {
-        "competitions": competitions, "matches": matches, "events": events,
-        "players": adapter.players(spark, sf), "teams": adapter.teams(spark, sf),
-    }
+
+    def escaped(name):
+        return F.replace(F.col(name), F.lit("C"), F.lit("\\u0043"))
+
+    players = adapter.players(spark, sf).select(F.col("player_id").alias("wyId"), escaped("player_name").alias("shortName"))
+    named = adapter.teams(spark, sf).select(F.col("team_id").alias("wyId"), escaped("team_name").alias("name"))
+    return {"competitions": competitions, "matches": matches, "events": events, "players": players, "teams": named}
 
 
 def _dump(spark, sf):
-    parts = _dump_parts(spark, sf).values()
-    return ingest.assemble_dump(*parts, LEAGUES, {1718: "1718", 1819: "1819"}, adapter.hot_games(spark, sf))
+    """The tables from records that are not written as files."""
+    raw = {}
+    for name, records in _dump_records(spark, sf).items():
+        if name == "matches":  # a formation is read as text
+            as_text = F.transform_values(
+                "teamsData", lambda k, v: F.struct(v["side"].alias("side"), F.coalesce(F.to_json(v["formation"]), F.lit("null")).alias("formation"))
+            )
+            records = records.withColumn("teamsData", as_text)
+        raw[name] = records
+    raw["players"] = raw["players"].withColumns({"firstName": F.lit(""), "lastName": F.lit("")})
+    return ingest.dump_tables(raw, LEAGUES, {1718: "1718", 1819: "1819"}, adapter.hot_games(spark, sf))
 
 
 @query(
     "ingest_event_json",
     sql(f"""{DUMP_SQL}
-select g.game_id, competition_id, season_id, event_id, player_id,
-       row_number() over (partition by g.game_id order by period_id, time_seconds, event_id) - 1 as action_id
+select g.game_id, competition_id, season_id, event_id, nullif(case player_id when 7 then 0 else player_id end, 0) as player_id,
+       row_number() over (partition by g.game_id order by period_id, time_seconds, event_id) - 1 as action_id,
+       case when event_id % 17 <> 0 and event_id % 100 in (81, 36, 21, 90, 91) then 'other'
+            when event_id % 17 <> 0 and event_id % 100 = 82 or event_id % 11 = 0 then 'head' else 'foot' end as bodypart
 from actions a join g on a.game_id = g.game_id"""),
 )
 def _(spark, sf):
+    """Nested records taken apart: teams by side from a map, the head tag from a list of tags."""
     out = _dump(spark, sf)
-    numbered = out["actions"].select("game_id", "event_id", "player_id", "action_id")
+    numbered = out["actions"].select("game_id", "event_id", "player_id", "action_id", F.col("bodypart_name").alias("bodypart"))
     return numbered.join(out["games"].select("game_id", "competition_id", "season_id"), "game_id")
 
 
-@query(
-    "ingest_event_entities",
-    sql(
-        f"""{DUMP_SQL}
-select 'player' as kind, player_id as id, player_name as name from players
-where player_id in (select player_id from actions where game_id in (select game_id from g))
+ENTITIES_SQL = """
+select 'player' as kind, player_id as id, player_name as name from players where player_id in (select player_id from played)
 union all select 'team', team_id, team_name from teams
-where team_id in (select home_team_id from g union all select away_team_id from g)""",
-        "players", "teams",
-    ),
-)
-def _(spark, sf):
-    out = _dump(spark, sf)
-    players = out["players"].select(F.lit("player").alias("kind"), F.col("player_id").alias("id"), F.col("player_name").alias("name"))
-    return players.unionByName(
-        out["teams"].select(F.lit("team").alias("kind"), F.col("team_id").alias("id"), F.col("team_name").alias("name"))
+where team_id in (select home_team_id from g union all select away_team_id from g)
+union all select 'minutes of team ' || team_id, game_id, cast(count(*) as varchar) || '/' || coalesce(cast(round(sum(minutes_played), 3) as varchar), '-')
+from played group by game_id, team_id"""
+
+
+def _entities(out):
+    kinds = [
+        out[f"{kind}s"].select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"), F.col(f"{kind}_name").alias("name"))
+        for kind in ("player", "team")
+    ]
+    minutes = out["player_games"].groupBy("game_id", "team_id").agg(F.count("*").alias("n"), F.round(F.sum("minutes_played"), 3).alias("m"))
+    return kinds[0].unionByName(kinds[1]).unionByName(
+        minutes.select(
+            F.concat(F.lit("minutes of team "), "team_id").alias("kind"), F.col("game_id").alias("id"),
+            F.concat_ws("/", F.col("n").cast("string"), F.coalesce(F.col("m").cast("string"), F.lit("-"))).alias("name"),
+        )
     )
 
 
+@query("ingest_event_entities", sql(f"{DUMP_SQL}{ENTITIES_SQL}", "players", "teams"))
+def _(spark, sf):
+    """Players that started, came on or, without a formation, stand in the events; their minutes."""
+    return _entities(_dump(spark, sf))
+
+
 @query(
     "ingest_dump_files",
     sql(
-        f"""{DUMP_SQL}
-select 'player' as kind, player_id as id, player_name as name from players
-where player_id in (select player_id from actions where game_id in (select game_id from g))
-union all select 'team', team_id, team_name from teams
-where team_id in (select home_team_id from g union all select away_team_id from g)
+        f"""{DUMP_SQL}{ENTITIES_SQL}
 union all select 'game', g.game_id, competition_id || '/' || season_id || '/' || cast(count(*) as varchar) || '/'
   || cast(count(distinct team_id) as varchar) from g join actions a on a.game_id = g.game_id
 group by g.game_id, competition_id, season_id""",
@@ -280,24 +324,22 @@ group by g.game_id, competition_id, season_id""",
     ),
 )
 def _(spark, sf):
-    """The dump as indented files; names carry escapes."""
+    """The dump as indented files, matches and events per competition; names carry escapes."""
     root = scratch_path(spark, "dump")
-    for name, part in _dump_parts(spark, sf).items():
-        if name in ("players", "teams"):
-            column = f"{name[:-1]}_name"
-            part = part.withColumn(column, F.replace(F.col(column), F.lit("C"), F.lit("\\u0043")))
-        _write_documents(part, f"{root}/{name}")
+    raw = _dump_records(spark, sf)
+    for name, key in (("competitions", "wyId"), ("players", "wyId"), ("teams", "wyId")):
+        write_documents(raw[name].withColumn("order", F.col(key)), root, F.lit(name), "order")
+    regions = adapter.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("competitionId"), F.col("r_name").alias("_name"))
+    by_file = raw["matches"].withColumn("order", F.col("wyId")).join(regions, "competitionId")
+    write_documents(by_file, root, F.concat(F.lit("matches_"), "_name"), "order", ["_name"])
+    write_documents(raw["events"].withColumn("order", F.col("id")), root, F.concat(F.lit("events_"), "competition_id"), "order", ["competition_id"])
     out = ingest.read_event_dump(spark, root, LEAGUES, {1718: "1718", 1819: "1819"})
-    named = [
-        out[f"{kind}s"].select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"), F.col(f"{kind}_name").alias("name"))
-        for kind in ("player", "team")
-    ]
     counted = out["actions"].groupBy("game_id").agg(F.count("*").alias("n"), F.count_distinct("team_id").alias("teams"))
     games = out["games"].join(counted, "game_id").select(
         F.lit("game").alias("kind"), F.col("game_id").alias("id"),
         F.concat_ws("/", "competition_id", "season_id", F.col("n").cast("string"), F.col("teams").cast("string")).alias("name"),
     )
-    return named[0].unionByName(named[1]).unionByName(games)
+    return _entities(out).unionByName(games)
 
 
 @query(
@@ -375,10 +417,29 @@ def _(spark, sf):
     return pairs.select("c_custkey", "other_name", match.edit_ratio(F.col("c_name"), F.col("other_name")).alias("score"))
 
 
-@query("match_names")
+# every pair of different names, by the bit-parallel recurrence; names have less than 64 characters
+@query(
+    "match_names",
+    f"""with {CORRUPTED},
+rn as materialized (
+  select r, rid, length(r) as lr, (cast(1 as bigint) << cast(length(r) as integer)) - 1 as whole,
+    list_transform(range(0, 128), lambda c: cast(coalesce(list_sum(list_transform(range(1, length(r) + 1),
+      lambda i: case when unicode(r[i]) = c then cast(1 as bigint) << cast(i - 1 as integer) else 0 end)), 0) as bigint)) as m
+  from (select c_name as r, min(c_custkey) as rid from customer group by c_name)),
+ln as materialized (
+  select l, length(l) as ll, list_transform(string_split(l, ''), lambda ch: cast(unicode(ch) as bigint)) as codes
+  from (select distinct other_name as l from corrupted)),
+scored as (
+  select l, r, rid, lr, ll, list_reduce(list_prepend(whole, codes),
+    lambda s, c: ((s + (s & m[c + 1])) | (s - (s & m[c + 1]))) & whole) as s from ln, rn),
+best as (
+  select l, arg_max(struct_pack(r := r, rid := rid), struct_pack(score := score, rid := -rid)) as b from (
+    select l, r, rid, round_even(200.0e0 * (lr - bit_count(s)) / (ll + lr), 0) as score from scored) where score > 75 group by l)
+select c_custkey as df1_id, other_name as df1_name, coalesce(b.rid, 0) as df2_id, coalesce(b.r, 'unknown') as df2_name
+from corrupted left join best on l = other_name""",
+)
 def _(spark, sf):
-    """Customers against the corrupted copies of their names. Checked against brute force on a
-    small fixture in the tests; scoring all pairs in SQL is too slow on whole tables."""
+    """Customers against the corrupted copies of their names."""
     pairs = _name_pairs(spark, sf)
     left = pairs.select(F.col("c_custkey").alias("id"), F.col("other_name").alias("name"))
     right = pairs.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
