@@ -268,6 +268,23 @@ class Logify:
         return df.withColumn(self.column, F.when(shifted > 0, F.log10(shifted)))
 
 
+SMALL_POWER = 0.01  # exponents nearer to zero than that take series
+
+
+def _moments(k: float, low: float, high: float) -> list[Column]:
+    """u, d, u * u and u * d, where u is the transformed value up to a shift and a factor, and d its
+    derivative by the exponent: the slope of log(variance) / 2 is cov(u, d) / var(u), less 1 / k for
+    powers. Powers are scaled by the largest one, so no exponent overflows."""
+    x = F.col("l")
+    if abs(k) < SMALL_POWER:
+        u = sum((x ** (j + 1) * (k**j / math.factorial(j + 1)) for j in range(10)), F.lit(0.0))
+        d = sum((x ** (j + 2) * ((j + 1) * k**j / math.factorial(j + 2)) for j in range(10)), F.lit(0.0))
+    else:
+        u = F.exp(F.lit(k) * x - max(k * low, k * high))
+        d = u * x
+    return [u, d, u * u, u * d]
+
+
 class BoxCox:
     """Min-max scaling to [0.0001, 1.0001] and the Box-Cox transformation, with the lambda of
     the largest profile likelihood unless one is given."""
@@ -293,40 +310,49 @@ class BoxCox:
         return F.log(x) if lmbda == 0 else (F.pow(x, F.lit(lmbda)) - 1.0) / F.lit(lmbda)
 
     def _search(self, scaled: DataFrame) -> float:
-        """Lambda of the largest likelihood, without a bound: the bracket widens while its best
-        point is an end, then it narrows to 1e-8. Equal values are counted first; each round is
-        one aggregate over the distinct values for a grid of lambdas."""
-        counted = materialize(scaled.groupBy("x").agg(F.count("*").alias("n")).withColumn("logs", F.log("x")), "scaled")
-        head = counted.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("logs")).alias("logs")).first()
+        """Root of the derivative of the profile likelihood. Equal values are counted first; a round is
+        one aggregate over the distinct values. The bracket doubles until the derivative changes its
+        sign, however far that is; then each round looks around the secant of the bracket."""
+        counted = materialize(scaled.groupBy("x").agg(F.count("*").alias("n")).withColumn("l", F.log("x")), "scaled")
+        head = counted.agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("l")).alias("logs"), F.min("l").alias("low"), F.max("l").alias("high")
+        ).first()
         if not head["n"]:
             raise ValueError("there are no values to fit")
+        if head["low"] == head["high"]:
+            raise ValueError("a single value has no likeliest exponent")
         n, logs = head["n"], head["logs"]
 
-        def best_of(grid):
-            sums = []
-            for i, k in enumerate(grid):
-                power = F.col("logs") if k == 0 else F.expm1(F.lit(k) * F.col("logs")) / k
-                sums += [F.sum(F.col("n") * power).alias(f"a{i}"), F.sum(F.col("n") * power * power).alias(f"b{i}")]
+        def slopes(grid):
+            sums = [F.sum(F.col("n") * m).alias(f"m{i}_{j}") for i, k in enumerate(grid) for j, m in enumerate(_moments(k, head["low"], head["high"]))]
             row = counted.agg(*sums).first()
+            out = []
+            for i, k in enumerate(grid):
+                u, d, uu, ud = (row[f"m{i}_{j}"] / n for j in range(4))
+                # the likelihood is (k - 1) * logs - n / 2 * log(variance)
+                out.append(logs - n * ((ud - u * d) / (uu - u * u) - (0.0 if abs(k) < SMALL_POWER else 1 / k)))
+            return out
 
-            def likelihood(i):
-                # the mean of squares less the squared mean is exact enough: values reach from 0 on
-                v = row[f"b{i}"] / n - (row[f"a{i}"] / n) ** 2
-                return (grid[i] - 1) * logs - n / 2 * math.log(v) if 0 < v < math.inf else -math.inf
-
-            return max(range(len(grid)), key=likelihood)
-
-        low, high, steps = -4.0, 4.0, 20
+        reach = 2.0
         while True:
-            grid = [low + (high - low) * i / steps for i in range(steps + 1)]
-            best = best_of(grid)
-            if best in (0, steps) and high - low < 256:
-                width = high - low
-                low, high = (low - width, high) if best == 0 else (low, high + width)
-                continue
-            if high - low < 1e-7:
-                return grid[best]
-            low, high = grid[max(best - 1, 0)], grid[min(best + 1, steps)]
+            low, high = -reach, reach
+            at_low, at_high = slopes([low, high])
+            if at_low >= 0 >= at_high:
+                break
+            reach *= 2
+        while high - low > 1e-10 * max(1.0, abs(low), abs(high)):
+            width, secant = high - low, low + (high - low) * at_low / (at_low - at_high or 1.0)
+            near = [secant - width / 500, secant, secant + width / 500, low + width / 4, (low + high) / 2, high - width / 4]
+            grid = sorted(g for g in {*near} if low < g < high)
+            if not grid:
+                break
+            for g, slope in zip(grid, slopes(grid)):
+                if slope >= 0:
+                    low, at_low = g, slope
+                else:
+                    high, at_high = g, slope
+                    break
+        return (low + high) / 2
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.column, self._power(self._scaled(), self.lmbda))
@@ -359,16 +385,19 @@ class StackedModel:
     """Predictions of a model as a feature. Training rows get the prediction of a model that
     has not seen their fold, other rows that of a model fitted on all training rows."""
 
-    def __init__(self, estimator, key, folds: int = 5):
-        self.estimator, self.key, self.folds = estimator, list(key), folds
+    def __init__(self, estimator, key, folds: int = 5, fold: str | None = None):
+        """``fold`` is an SQL expression for the fold of a row; by default the key tells."""
+        self.estimator, self.key, self.folds, self.fold = estimator, list(key), folds, fold
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        df, fold = materialize(df, "training"), fold_of(self.key, self.folds)
-        out = None
-        for k in range(self.folds):
-            part = self.estimator.fit(df.filter(fold != k)).transform(df.filter(fold == k))
+        from shotspark.plans.shared import leave_one_out
+
+        fold = F.expr(self.fold) if self.fold else fold_of(self.key, self.folds)
+        df, out = materialize(df, "training"), None
+        *models, self.model = leave_one_out(df, self.estimator, self.folds, fold, self.key, whole=True)
+        for k, model in enumerate(models):
+            part = model.transform(df.filter(fold == k))
             out = part if out is None else out.unionByName(part)
-        self.model = self.estimator.fit(df)
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -376,7 +405,7 @@ class StackedModel:
 
 
 OVERSAMPLING = 10  # further directions of the iteration, which make it converge sooner
-MAX_ROUNDS = 60
+RESIDUAL = 1e-7  # of the largest singular value, where the iteration has converged
 
 
 class SVDEmbedding:
@@ -433,21 +462,24 @@ class SVDEmbedding:
             return max(1, int((values > max(values[0], 0.0) * 1e-13).sum()))
 
         start = pairs.select("col").distinct().select("col", *[uniform(j).alias(f"v{j}") for j in range(width)])
-        basis, table, found = width, materialize(start, "start"), None
-        for _ in range(MAX_ROUNDS):
+        basis, table, first = width, materialize(start, "start"), True
+        while True:
             rows = product("row", "col", basis)(table)
             values, vectors = spectrum(rows, basis)
             n = kept(values)
             scale = np.sqrt(np.maximum(values[:n], 1e-300))
             columns = product("col", "row", n)(turned(rows, "row", vectors[:, :n] / scale))
+            lengths = columns.agg(*[F.sum(F.col(f"v{j}") * F.col(f"v{j}")).alias(f"s{j}") for j in range(n)]).first()
+            # the matrix turns a pair's left vector into its value times the right one, but for this rest
+            rest = np.sqrt(np.maximum(np.array([lengths[j] or 0.0 for j in range(n)]) - scale**2, 0.0))
             values, vectors = spectrum(columns, n)
             basis = kept(values)
             sigma = np.sqrt(np.maximum(values[:basis], 0.0))
             table = materialize(turned(columns, "col", vectors[:, :basis] / np.maximum(sigma, 1e-300)), "basis")
-            top = sigma[:k]
-            if found is not None and len(found) == len(top) and np.allclose(found, top, rtol=1e-9, atol=0):
+            # the start is not orthonormal, so the first rest says nothing
+            if not first and rest[:k].max(initial=0.0) <= RESIDUAL * max(scale[0], 1e-300):
                 break
-            found = top
+            first = False
         k = min(k, basis)
         self.singular_values = [float(v) for v in sigma[:k]]
         out = product("row", "col", basis)(table)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shotspark.operators.encoders import fold_of
 from shotspark.operators.metrics import validate_scores
 from shotspark.plans.isotonic import fit_blocks, interpolate, points_of
+from shotspark.plans.shared import leave_one_out
 from shotspark.scale import materialize
 
 METHODS = [None, "sigmoid", "isotonic", "beta", "beta_am", "beta_ab"]
@@ -131,8 +132,9 @@ class CalibratedClassifier:
     calibrated on the fold, and predictions are the mean over the k of them.
     """
 
-    def __init__(self, base, method="beta", folds="prefit", score_type=None, key=("game_id", "action_id"), label="label", weight=None):
-        self.base, self.method, self.folds, self.score_type = base, method, folds, score_type
+    def __init__(self, base, method="beta", folds="prefit", score_type=None, key=("game_id", "action_id"), label="label", weight=None, fold=None):
+        """``fold`` is an SQL expression for the fold of a row; by default the key tells."""
+        self.base, self.method, self.folds, self.score_type, self.fold = base, method, folds, score_type, fold
         self.key, self.label, self.weight = list(key), label, weight
 
     def fit(self, df: DataFrame) -> "CalibratedClassifier":
@@ -143,10 +145,10 @@ class CalibratedClassifier:
             return self
         if min(sizes.values()) < self.folds:
             raise ValueError(f"{self.folds} folds need as many rows of every class")
-        df, fold, self.parts = materialize(df, "training"), fold_of(self.key, self.folds), []
-        for k in range(self.folds):
-            model = self.base.fit(df.filter(fold != k))
-            self.parts.append((model, self._calibrators(model, df.filter(fold == k))))
+        fold = F.expr(self.fold) if self.fold else fold_of(self.key, self.folds)
+        df = materialize(df, "training")
+        models = leave_one_out(df, self.base, self.folds, fold, self.key)
+        self.parts = [(model, self._calibrators(model, df.filter(fold == k))) for k, model in enumerate(models)]
         return self
 
     def _calibrators(self, model, df):

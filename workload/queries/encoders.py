@@ -1,5 +1,7 @@
 """Encoders and preprocessing on the order, part, document and shot tables."""
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -12,6 +14,7 @@ from shotspark.plans import dataset, prep
 from workload import adapter
 from workload.adapter import sql
 from workload.catalog import query, rounded
+from workload.newton import newton_grid
 
 
 @query("select_columns", "select l_orderkey, l_linenumber, l_quantity from lineitem")
@@ -129,12 +132,33 @@ def _(spark, sf):
     return rounded(e.BoxCox(0.5).fit(lines, "l_extendedprice").transform(lines))
 
 
-@query("boxcox_fit")
+# bisection for the root of the likelihood's slope
+@query(
+    "boxcox_fit",
+    """with recursive s as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem),
+v as materialized (select ln(greatest(1e-4, (l_extendedprice - lo) / (hi - lo) + 1e-4)) as l, count(*) as n from lineitem, s group by 1),
+t as (select sum(n * l) as logs, sum(n) as total from v),
+b as (
+  select 0 as it, -5.3e0 as low, 6.1e0 as high
+  union all
+  select it + 1, case when slope >= 0 then k else low end, case when slope >= 0 then high else k end
+  from (select it, low, high, k, any_value(logs) - sum(n) * ((sum(n * u * u * l) / sum(n) - sum(n * u) / sum(n) * sum(n * u * l) / sum(n))
+                 / (sum(n * u * u) / sum(n) - pow(sum(n * u) / sum(n), 2)) - 1 / k) as slope
+        from (select it, low, high, (low + high) / 2 as k, n, l, logs, exp((low + high) / 2 * l) as u from b, v, t where it < 45) r
+        group by it, low, high, k) g)
+select round((low + high) / 2, 6) as lmbda, lo as low, hi - lo as width, true as peak from b, s where it = 45""",
+)
 def _(spark, sf):
-    """The fitted exponent; checked against a direct search in the tests."""
+    """The fitted exponent, and whether the likelihood falls on both sides of it."""
     lines = _lines(spark, sf, "l_extendedprice")
     fitted = e.BoxCox().fit(lines, "l_extendedprice")
-    return spark.createDataFrame([(fitted.lmbda, fitted.low, fitted.width)], "lmbda double, low double, width double")
+    x = lines.select(fitted._scaled().alias("x"))
+    likelihoods = []
+    for k in (fitted.lmbda - 1e-3, fitted.lmbda, fitted.lmbda + 1e-3):
+        row = x.agg(F.sum(F.log("x")).alias("logs"), F.var_pop(e.BoxCox._power(F.col("x"), k)).alias("v"), F.count("*").alias("n")).first()
+        likelihoods.append((k - 1) * row["logs"] - row["n"] / 2 * math.log(row["v"]))
+    peak = likelihoods[1] > max(likelihoods[0], likelihoods[2])
+    return spark.createDataFrame([(round(fitted.lmbda, 6), fitted.low, fitted.width, peak)], "lmbda double, low double, width double, peak boolean")
 
 
 @query(
@@ -180,17 +204,37 @@ def _shots(spark, sf, shot_filter=filters.openplay):
     return frame.withColumn("label", F.col("goal").cast("double"))
 
 
-@query("stacked_oof")
+OOF = ["foot", "head", "other", "d", "a"]
+OOF_SCORE = " + ".join(f"b{i} * {c}" for i, c in enumerate(OOF))
+
+
+@query(
+    "stacked_oof",
+    sql(f"""with sv as (
+  select game_id, action_id, cast((game_id * 31 + action_id) % 3 as integer) as f, result_name = 'success' as goal,
+         case when result_name = 'success' then 1.0e0 else 0.0e0 end as y, a0.bodypart_name as part,
+         sqrt(pow(105 - a0.start_x, 2) + pow(34 - a0.start_y, 2)) as d,
+         case when a0.start_x = 105 then case when a0.start_y = 34 then 0.0e0 else pi() / 2 end
+              else atan(abs(34 - a0.start_y) / (105 - a0.start_x)) end as a
+  from states where shot_type = 'shot'),
+sm as (select k, avg(d) as md, stddev_pop(d) as sd, avg(a) as ma, stddev_pop(a) as sa from sv, range(3) r(k) where f <> k group by k),
+sz as (select k, game_id, action_id, f, goal, y, case when part = 'foot' then 1.0e0 else 0.0e0 end as foot,
+  case when part = 'head' then 1.0e0 else 0.0e0 end as head, case when part = 'other' then 1.0e0 else 0.0e0 end as other,
+  (d - md) / sd as d, (a - ma) / sa as a from sv, sm),
+one as (select 0 as i, 1.0e0 as strength, false as balanced),
+{newton_grid("sz", OOF, "one")}
+select game_id, action_id, goal, round(1 / (1 + exp(-({OOF_SCORE}))), 4) as p from sz join grid on grid.k = sz.k where f = sz.k""", "states"),
+)
 def _(spark, sf):
-    """Out-of-fold probabilities for every shot, next to the label."""
+    """Out-of-fold probabilities for every shot, next to the label; all folds are fitted together."""
     from shotspark.plans.models import SkLogistic
     from pyspark.ml import Pipeline
 
     shots = _shots(spark, sf)
     numeric = ["start_dist_to_goal_a0", "start_angle_to_goal_a0"]
     estimator = Pipeline(stages=[prep.prep_linear(numeric, ["bodypart_id_a0"]), SkLogistic(fitIntercept=False)])
-    out = e.StackedModel(estimator, dataset.KEY, 3).fit_transform(shots)
-    return out.select(*dataset.KEY, "goal", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    out = e.StackedModel(estimator, dataset.KEY, 3, "int((game_id * 31 + action_id) % 3)").fit_transform(shots)
+    return out.select(*dataset.KEY, "goal", F.round(vector_to_array("probability")[1], 4).alias("p"))
 
 
 @query(
@@ -226,21 +270,39 @@ def _(spark, sf):
     return rounded(e.SVDEmbedding("buyer", "o_orderpriority", "o_totalprice").pairs(_orders(spark, sf)))
 
 
+# the two leading right vectors by power steps on the products of columns, the second kept apart from the first
 @query(
     "svd_embedding",
-    f"""with {ORDER_PAIRS},
-cells as (select row, col, avg(o_totalprice) as value from coded group by 1, 2),
-sizes as (select row, sqrt(sum(value * value)) as size from cells group by row),
+    f"""with recursive {ORDER_PAIRS},
+cells as materialized (select row, col, avg(o_totalprice) as value from coded group by 1, 2),
+cols as (select col, row_number() over (order by col) as i from (select distinct col from cells)),
+wide as materialized (
+  select r.row, list(coalesce(c.value, 0) order by k.i) as x from (select distinct row from cells) r cross join cols k
+  left join cells c on c.row = r.row and c.col = k.col group by r.row),
+size as (select count(*) as n from cols),
+g as materialized (
+  select list(line order by i) as m from (
+    select i, list(p order by j) as line from (
+      select i, j, sum(x[i] * x[j]) as p from wide, (select unnest(range(1, n + 1)) as i from size) a1,
+        (select unnest(range(1, n + 1)) as j from size) a2 group by i, j) group by i)),
+power as (
+  select 0 as it, list_transform(range(1, n + 1), lambda i: cos(i * 1.3e0)) as v, list_transform(range(1, n + 1), lambda i: sin(i * 2.1e0)) as w from size
+  union all
+  select it + 1, v, list_transform(range(1, len(w) + 1), lambda i: w[i] / sqrt(list_dot_product(w, w))) from (
+    select it, v, list_transform(range(1, len(w) + 1), lambda i: w[i] - v[i] * list_dot_product(v, w)) as w from (
+      select it, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v, w from (
+        select it, list_transform(m, lambda line: list_dot_product(line, v)) as v, list_transform(m, lambda line: list_dot_product(line, w)) as w
+        from power, g where it < 3000)))),
+parts as (select row, pow(list_dot_product(x, v), 2) + pow(list_dot_product(x, w), 2) as square from wide, power where it = 3000),
 codes as (select v, row_number() over (order by n desc, v) as code
           from (select o_custkey as v, count(*) as n from orders group by 1 having count(*) > 10) x)
-select buyer, round(size, 2) as size from (select distinct o_custkey as buyer from orders) o
-left join codes on v = buyer join sizes on row = coalesce(code, 0)""",
+select buyer, round(sqrt(square), 2) as size from (select distinct o_custkey as buyer from orders) o
+left join codes on v = buyer join parts on row = coalesce(code, 0)""",
 )
 def _(spark, sf):
-    """Length of the embedding of each buyer (the sign of a component is free). With all
-    components kept, it is the length of the row of the matrix."""
+    """Length of the embedding of each buyer in two dimensions (the sign of a component is free)."""
     orders = _orders(spark, sf)
-    fitted = e.SVDEmbedding("buyer", "o_orderpriority", "o_totalprice").fit(orders)
+    fitted = e.SVDEmbedding("buyer", "o_orderpriority", "o_totalprice", k=2).fit(orders)
     squared = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
     return fitted.transform(orders.select("buyer").distinct()).select("buyer", F.round(F.sqrt(squared), 2).alias("size"))
 

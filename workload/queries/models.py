@@ -3,7 +3,6 @@
 from itertools import combinations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from shotspark.sources import tables
 from workload import adapter
 from workload.adapter import sql
 from workload.catalog import query, rounded
-from workload.newton import newton
+from workload.newton import elimination, newton, newton_grid
 
 KEY = dataset.KEY
 NUMERIC = ["start_x_a0", "start_y_a0", "start_dist_to_goal_a0", "shot_angle_a0"]
@@ -276,31 +275,97 @@ def _logistic():
     return Pipeline(stages=[prep.prep_linear(NUMERIC, CATEGORIC), models.SkLogistic()])
 
 
-SMALL = {"n_iter": 2, "folds": 2}
+FOLD = "int((game_id * 31 + action_id) % 5)"  # both engines can compute it
 
 
-@query("search_logreg")
+def _values(rows):
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v) for v in r) + ")" for r in rows)
+
+
+SEARCH_COLUMNS = ["foot", "head", "other", "x", "y0", "d", "a"]
+#: Open-play shots with the features of the searches, five times: scaled by the rows outside of fold k.
+SEARCH_ROWS = """sv as (
+  select game_id, action_id, (game_id * 31 + action_id) % 5 as f, case when result_name = 'success' then 1.0e0 else 0.0e0 end as y, a0.bodypart_name as part,
+         a0.start_x as x, a0.start_y as y0, sqrt(pow(105 - a0.start_x, 2) + pow(34 - a0.start_y, 2)) as d,
+         case when a0.start_x = 105 and a0.start_y between 30.35e0 and 37.65e0 then pi() when a0.start_x >= 105 then 0.0e0
+              else t + case when t < 0 then pi() else 0.0e0 end end as a
+  from (select *, atan(7.3e0 * (105 - a0.start_x) / (pow(105 - a0.start_x, 2) + pow(34 - a0.start_y, 2) - 13.3225e0)) as t
+        from states where shot_type = 'shot') s),
+sm as (select k, avg(x) as mx, stddev_pop(x) as sx, avg(y0) as my, stddev_pop(y0) as sy, avg(d) as md, stddev_pop(d) as sd,
+              avg(a) as ma, stddev_pop(a) as sa from sv, range(5) r(k) where f <> k group by k),
+sz as (select k, f, y, case when part = 'foot' then 1.0e0 else 0.0e0 end as foot, case when part = 'head' then 1.0e0 else 0.0e0 end as head,
+              case when part = 'other' then 1.0e0 else 0.0e0 end as other, (x - mx) / sx as x, (y0 - my) / sy as y0, (d - md) / sd as d,
+              (a - ma) / sa as a from sv, sm)"""
+
+
+SEARCH_SCORE = " + ".join(f"b{i} * {c}" for i, c in enumerate(SEARCH_COLUMNS))
+
+
+def _search_views(draws):
+    """Views that end in ``found`` (i, parameters, strength, balanced, score)."""
+    rows = [(i, 1 / d["C"], d["classWeight"] == "balanced", search.parameter_text(d)) for i, d in enumerate(draws)]
+    return f"""{SEARCH_ROWS}, cand as (select * from (values {_values(rows)}) t(i, strength, balanced, parameters)),
+{newton_grid("sz", SEARCH_COLUMNS, "cand", 12)},
+per as (select g.k, i, avg(pow(1 / (1 + exp(-({SEARCH_SCORE}))) - y, 2)) as s from sz join grid g on sz.k = g.k where sz.f = sz.k group by g.k, i),
+found as (select i, any_value(parameters) as parameters, any_value(strength) as strength, any_value(balanced) as balanced, avg(s) as score
+  from per join cand using (i) group by i)"""
+
+
+def _search_sql(draws):
+    return sql(f"with {_search_views(draws)} select cast(i as integer) as draw, parameters, round(score, 6) as score from found", "states")
+
+
+def _best_sql(draws):
+    """The best draw, fitted on all rows."""
+    return sql(
+        f"""with {_search_views(draws)},
+best as (select 0 as i, strength, balanced from found order by score, i limit 1),
+am as (select avg(x) as mx, stddev_pop(x) as sx, avg(y0) as my, stddev_pop(y0) as sy, avg(d) as md, stddev_pop(d) as sd,
+              avg(a) as ma, stddev_pop(a) as sa from sv),
+az as (select 9 as k, f, game_id, action_id, y, case when part = 'foot' then 1.0e0 else 0.0e0 end as foot, case when part = 'head' then 1.0e0 else 0.0e0 end as head,
+              case when part = 'other' then 1.0e0 else 0.0e0 end as other, (x - mx) / sx as x, (y0 - my) / sy as y0, (d - md) / sd as d,
+              (a - ma) / sa as a from sv, am),
+{newton_grid("az", SEARCH_COLUMNS, "best", 12, prefix="b_")},
+p as (select game_id, action_id, y, 1 / (1 + exp(-({SEARCH_SCORE}))) as p from az, b_grid)
+select game_id, action_id, round(p, 3) as "xG", round((select avg(pow(p - y, 2)) from p), 5) as brier from p""",
+        "states",
+    )
+
+
+def _logreg_search():
+    return search.logreg_search(NUMERIC, CATEGORIC, scoring="brier", fold=FOLD)
+
+
+@query("search_logreg", _search_sql(_logreg_search().draws))
 def _(spark, sf):
-    found = search.logreg_search(NUMERIC, CATEGORIC, scoring="brier", **SMALL)
+    """100 draws and 5 folds."""
+    found = _logreg_search()
     return rounded(found.table(found.fit(_openplay(spark, sf))))
 
 
 @query("search_logreg_gradient")
 def _(spark, sf):
-    found = search.logreg_search(NUMERIC, CATEGORIC, learning_rate="optimal", scoring="brier", **SMALL)
+    """100 draws and 5 folds, half of them with an l1 penalty."""
+    found = search.logreg_search(NUMERIC, CATEGORIC, learning_rate="optimal", fold=FOLD)
     return rounded(found.table(found.fit(_openplay(spark, sf))))
 
 
+#: Sizes of the registered searches whose scans grow with trees and epochs; see the README.
+BOOSTED = {"n_iter": 10, "trees": 10}
+NEURAL = {"epochs": 10}
+
+
 @query("search_boosted")
 def _(spark, sf):
-    found = search.boosted_search(NUMERIC, CATEGORIC, scoring="brier", trees=5, **SMALL)
+    found = search.boosted_search(NUMERIC, CATEGORIC, scoring="brier", fold=FOLD, **BOOSTED)
     return rounded(found.table(found.fit(_openplay(spark, sf))))
 
 
 @query("search_mlp")
 def _(spark, sf):
-    found = search.mlp_search(NUMERIC, CATEGORIC, scoring="roc_auc", **SMALL)
-    return rounded(found.table(found.fit(_openplay(spark, sf))))
+    """100 draws and 5 folds."""
+    found = search.mlp_search(NUMERIC, CATEGORIC, fold=FOLD, **NEURAL)
+    return rounded(found.table(found.fit(_openplay(spark, sf))), 4)
 
 
 def _prices(spark, sf):
@@ -310,19 +375,73 @@ def _prices(spark, sf):
     )
 
 
-LINE = {"n_iter": 2, "folds": 2, "key": ("l_orderkey", "l_linenumber")}
 
 
-@query("regress_linear")
+LINE = {"key": ("l_orderkey", "l_linenumber")}
+
+
+def _line_search():
+    fold = "int((l_orderkey * 7 + l_linenumber) % 5)"
+    return search.linear_regression_search(["l_quantity", "l_discount"], ["l_returnflag"], fold=fold, **LINE)
+
+
+def _line_sql(draws):
+    """Normal equations for l2, rounds of coordinate descent for l1."""
+    columns = ["one", "fa", "fn", "fr", "q", "d"]
+    n = len(columns)
+    rows = [(i, d["alpha"], d["penalty"] == "l1", search.parameter_text(d)) for i, d in enumerate(draws)]
+    sums = [f"avg({a} * {b}) as m{i}_{j}" for i, a in enumerate(columns) for j, b in enumerate([*columns, "y"])]
+    ridge = [f"m{i}_{j}" + (" + alpha" if i == j and i else "") + f" as m{i}_{j}" for i in range(n) for j in range(n + 1)]
+    round_ = "cd"
+    text = "select cd.k, cd.i, cd.alpha, cd.it, " + ", ".join([f"cd.w{i}" for i in range(n)] + [f"m{i}_{j}" for i in range(n) for j in range(n + 1)])
+    text += f" from {round_} join gram on gram.k = cd.k where it < 400"
+    for j in range(n):
+        rest = f"m{j}_{n} - (" + " + ".join(f"m{j}_{i} * w{i}" for i in range(n) if i != j) + ")"
+        new = f"({rest}) / m{j}_{j}" if j == 0 else f"sign({rest}) * greatest(abs({rest}) - alpha, 0) / m{j}_{j}"
+        text = f"select * replace ({new} as w{j}) from ({text}) s{j}"
+    names = ", ".join(f"w{i}" for i in range(n))
+    fitted = " + ".join(f"w{i} * {c}" for i, c in enumerate(columns))
+    return f"""with recursive lv as (
+  select (l_orderkey * 7 + l_linenumber) % 5 as f, l_extendedprice / 1000 as y, l_quantity, l_discount, l_returnflag from lineitem),
+lm as (select k, avg(l_quantity) as mq, stddev_pop(l_quantity) as sq, avg(l_discount) as md, stddev_pop(l_discount) as sd
+  from lv, range(5) r(k) where f <> k group by k),
+lz as (select k, f, y, 1.0e0 as one, case l_returnflag when 'A' then 1.0e0 else 0.0e0 end as fa,
+  case l_returnflag when 'N' then 1.0e0 else 0.0e0 end as fn, case l_returnflag when 'R' then 1.0e0 else 0.0e0 end as fr,
+  (l_quantity - mq) / sq as q, (l_discount - md) / sd as d from lv, lm),
+cand as (select * from (values {_values(rows)}) t(i, alpha, l1, parameters)),
+gram as (select k, {", ".join(sums)} from lz where f <> k group by k),
+cd as (
+  select k, i, cast(alpha as double) as alpha, 0 as it, {", ".join(f"0.0e0 as w{i}" for i in range(n))} from cand, range(5) r(k) where l1
+  union all
+  select k, i, alpha, it + 1, {names} from ({text}) s),
+ridge as ({elimination(f"select k, i, {', '.join(ridge)} from gram, cand where not l1", "k, i", n)}),
+w as (select k, i, {names} from cd where it = 400
+  union all select k, i, {", ".join(f"b{i} as w{i}" for i in range(n))} from ridge),
+per as (select lz.k, i, sqrt(avg(pow({fitted} - y, 2))) as s from lz join w on lz.k = w.k where f = lz.k group by lz.k, i)
+select cast(i as integer) as draw, parameters, round(avg(s), 4) as score from per join cand using (i) group by i, parameters"""
+
+
+@query("regress_linear", _line_sql(_line_search().draws))
 def _(spark, sf):
-    found = search.linear_regression_search(["l_quantity", "l_discount"], ["l_returnflag"], **LINE)
-    return rounded(found.table(found.fit(_prices(spark, sf))))
+    """100 draws and 5 folds from one scan."""
+    found = _line_search()
+    return rounded(found.table(found.fit(_prices(spark, sf))), 4)
 
 
 @query("regress_boosted")
 def _(spark, sf):
-    found = search.boosted_regression_search(["l_quantity", "l_discount"], ["l_returnflag"], trees=5, **LINE)
-    return rounded(found.table(found.fit(_prices(spark, sf))))
+    found = search.boosted_regression_search(
+        ["l_quantity", "l_discount"], ["l_returnflag"], fold="int((l_orderkey * 7 + l_linenumber) % 5)", **LINE, **BOOSTED
+    )
+    return rounded(found.table(found.fit(_prices(spark, sf))), 4)
+
+
+@query("regress_mlp")
+def _(spark, sf):
+    found = search.mlp_regression_search(
+        ["l_quantity", "l_discount"], ["l_returnflag"], fold="int((l_orderkey * 7 + l_linenumber) % 5)", n_iter=10, **LINE, **NEURAL
+    )
+    return rounded(found.table(found.fit(_prices(spark, sf))), 4)
 
 
 def _scorer_rows(spark, sf):
@@ -354,17 +473,17 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([(value,)], "brier double"))
 
 
-@query("best_to_model")
+@query("best_to_model", _best_sql(_logreg_search().draws))
 def _(spark, sf):
     """The best model of a search as a shot model: validated, stored, loaded and applied."""
     data = adapter.data(spark, sf)
-    fitted = search.logreg_search(NUMERIC, CATEGORIC, scoring="brier", **SMALL).fit(_openplay(spark, sf))
+    fitted = _logreg_search().fit(_openplay(spark, sf))
     model = models.OpenplayModel.from_pipeline(fitted.bestModel, [("EUROPE", "1718")])
     scalars, _curve = model.validate(_openplay(spark, sf).withColumn("goal", F.col("goal").cast("int")))
     folder = scratch_path(spark, "models")
     model.save(spark, folder, "best")
     scored = models.ShotModel.load(spark, folder, "best").estimate(data)
-    return rounded(scored.withColumn("brier", F.lit(scalars["brier"])))
+    return rounded(scored, 3).withColumn("brier", F.lit(round(scalars["brier"], 5)))
 
 
 @query("tree_lr")
@@ -590,11 +709,34 @@ def _(spark, sf):
     return rounded(parts[0].unionByName(parts[1]), 3)
 
 
-@query("calib_cv")
+CV_COLUMNS = [*SPLIT_COLUMNS, "one"]
+CV_MARGIN = " + ".join(f"b{i} * {c}" for i, c in enumerate(CV_COLUMNS))
+
+
+@query(
+    "calib_cv",
+    sql(f"""with {_split_sql()},
+cr as (select *, (game_id * 31 + action_id) % 3 as f from raw),
+cm as (select k, {", ".join(f"avg({c}) as avg_{c}, stddev_pop({c}) as sd_{c}" for c in SPLIT_COLUMNS[3:])}
+  from cr, range(3) r(k) where split = 'train' and f <> k group by k),
+cz as (select k, game_id, action_id, split, f, y, one, foot, head, other, {", ".join(f"(({c} - avg_{c}) / sd_{c}) as {c}" for c in SPLIT_COLUMNS[3:])}
+  from cr, cm),
+ct as (select * from cz where split = 'train'),
+unit as (select 0 as i, 1.0e0 as strength, false as balanced),
+{newton_grid("ct", CV_COLUMNS, "unit", 12, ["one"], "f_")},
+cs as (select cz.*, {CV_MARGIN} as m from cz join f_grid on f_grid.k = cz.k),
+-- the calibrator of a fold sees the rows of the fold only
+cc as (select k, -1 as f, y, m, one from cs where split = 'train' and f = k),
+none as (select 0 as i, 0.0e0 as strength, false as balanced),
+{newton_grid("cc", ["m", "one"], "none", 12, ["m", "one"], "c_")}
+select game_id, action_id, round(avg(1 / (1 + exp(-(b0 * m + b1)))), 3) as p from cs join c_grid on c_grid.k = cs.k
+where split = 'test' group by game_id, action_id"""),
+)
 def _(spark, sf):
+    """Three folds: models fitted together, each calibrated on its own fold, predictions averaged."""
     train, _val, test = _split(spark, sf)
-    calibrated = calibrate.CalibratedClassifier(_logistic(), "sigmoid", folds=3).fit(train)
-    return rounded(calibrated.predict_proba(test).select(*KEY, F.col("proba")[1].alias("p")))
+    calibrated = calibrate.CalibratedClassifier(_logistic(), "sigmoid", folds=3, fold="int((game_id * 31 + action_id) % 3)").fit(train)
+    return rounded(calibrated.predict_proba(test).select(*KEY, F.col("proba")[1].alias("p")), 3)
 
 
 @query(
@@ -614,33 +756,51 @@ def _(spark, sf):
     return rounded(out.select(*KEY, "sigmoid", "beta"))
 
 
-def _vectors(spark, sf):
-    values = F.transform("embedding", lambda v: v.cast("double"))
-    return adapter.table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").cast("double").alias("label"), array_to_vector(values).alias("features")
-    )
+class _FirstEntries:
+    """Stands for a fitted classifier of ten classes: probabilities from the first ten entries."""
 
-
-def _multiclass(spark, sf):
-    rows = _vectors(spark, sf)
-    fold = F.pmod(F.xxhash64("vec_id"), F.lit(2))
-    model = LogisticRegression(regParam=0.01).fit(rows.filter(fold == 0))
-    fitted = calibrate.CalibratedClassifier(model, "isotonic", score_type="probability", key=("vec_id",)).fit(rows.filter(fold == 1))
-    return fitted, rows.select("vec_id", "features", "label")
+    def transform(self, df):
+        weights = F.transform(F.slice("embedding", 1, 10), lambda v: F.exp(v.cast("double") * 4.0))
+        total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + w)
+        return df.withColumn("_w", weights).withColumn("probability", array_to_vector(F.transform("_w", lambda w: w / total))).drop("_w")
 
 
-@query("calib_multiclass", "select vec_id, 1.0e0 as total, true as in_range from embeddings")
-def _(spark, sf):
-    """Class probabilities of every vector add up to one; the fitted values are not compared."""
+def _multiclass(spark, sf):
+    rows = adapter.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), "embedding")
+    fitted = calibrate.CalibratedClassifier(_FirstEntries(), "isotonic", score_type="probability", key=("vec_id",)).fit(rows.filter("vec_id % 2 = 1"))
+    return fitted, rows
+
+
+#: A monotone fit per class on the odd rows by the max-min formula, read off between its points.
+MULTICLASS = """w as (select vec_id, label, list_transform(list_slice(embedding, 1, 10), lambda v: exp(cast(v as double) * 4)) as w from embeddings),
+sc as (select vec_id, label, c, w[c + 1] / list_sum(w) as s from w, range(10) r(c)),
+v as (select c, s, avg(case when label = c then 1.0e0 else 0.0e0 end) as m, count(*) as n, row_number() over (partition by c order by s) as i
+  from sc where vec_id % 2 = 1 group by c, s),
+spans as (select j.c as c, j.i as j, k.i as k, sum(k.m * k.n) over w / sum(k.n) over w as mean
+  from v j join v k on j.c = k.c and j.i <= k.i window w as (partition by j.c, j.i order by k.i)),
+lowest as (select c, j, k as i, min(mean) over (partition by c, j order by k desc) as low from spans),
+levels as (select c, i, max(low) as q from lowest group by c, i),
+points as (select c, s as x, q from v join levels using (c, i)),
+near as (select sc.*, a.x as ax, a.q as aq, b.x as bx, b.q as bq from sc
+  asof left join points a on sc.c = a.c and sc.s >= a.x asof left join points b on sc.c = b.c and sc.s <= b.x),
+one as (select vec_id, label, c, case when ax is null then bq when bx is null or ax = s then aq else aq + (bq - aq) * (s - ax) / (bx - ax) end as p
+  from near),
+proba as (select vec_id, label, c, coalesce(p / nullif(sum(p) over (partition by vec_id), 0), 0.1e0) as p from one)"""
+
+
+@query("calib_multiclass", f"with {MULTICLASS} select vec_id, cast(c as integer) as class, round(p, 6) as p from proba")
+def _(spark, sf):
+    """Class probabilities of every vector, calibrated class by class."""
     fitted, rows = _multiclass(spark, sf)
-    proba = F.col("proba")
-    return fitted.predict_proba(rows).select(
-        "vec_id", F.round(F.aggregate(proba, F.lit(0.0), lambda s, p: s + p), 6).alias("total"),
-        F.forall(proba, lambda p: p.between(0, 1)).alias("in_range"),
-    )
+    return rounded(fitted.predict_proba(rows).select("vec_id", F.posexplode("proba").alias("class", "p")))
 
 
-@query("calib_predict")
+@query(
+    "calib_predict",
+    f"""with {MULTICLASS}
+select vec_id, cast(label as double) as label, cast(arg_min(c, (-round(p, 9), c)) as double) as prediction, round(max(p), 6) as p
+from proba group by vec_id, label""",
+)
 def _(spark, sf):
     fitted, rows = _multiclass(spark, sf)
     return rounded(fitted.predict(rows).select("vec_id", "label", "prediction", F.array_max("proba").alias("p")))
