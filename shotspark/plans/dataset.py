@@ -25,25 +25,32 @@ def _named_actions(data: ShotData) -> DataFrame:
     return enhance(data.actions, data.vocab)
 
 
-def shot_states(data: ShotData, shot_filter=None, n: int = 3) -> DataFrame:
+def _flagged(rows: DataFrame, data: ShotData, flags) -> DataFrame:
+    return rows.withColumns({name: f(field_of(vocab=data.vocab)) for name, f in (flags or {}).items()})
+
+
+def shot_states(data: ShotData, shot_filter=None, n: int = 3, flags=None) -> DataFrame:
     """Game states of the shots, playing left to right, without post-shot attributes."""
     states = gamestates(with_home(_named_actions(data), data.games), n, data.hot)
     shots = states.filter((shot_filter or any_shot)(field_of(vocab=data.vocab)))
-    return mask_postshot(flip_states(shots))
+    return mask_postshot(flip_states(_flagged(shots, data, flags)))
 
 
 def shot_features(
-    data: ShotData, generators=None, shot_filter=None, n: int = 3, keep=(), only_varying: bool = False, game_ids=None
+    data: ShotData, generators=None, shot_filter=None, n: int = 3, keep=(), only_varying: bool = False, game_ids=None,
+    flags=None,
 ) -> DataFrame:
     """Feature rows keyed by (game_id, action_id), of all or the given games (a list of ids or a
     table). ``keep`` names further columns of the action table to carry along; ``only_varying``
-    drops columns with a single value."""
+    drops columns with a single value; ``flags`` maps names to further shot filters, which become boolean columns."""
     data = data.only(game_ids)
+    keep = [*keep, *(flags or {})]
     generators = fs.all_features if generators is None else generators
     if not generators:
         shots = _named_actions(data).join(data.games.select("game_id"), "game_id", "left_semi")
+        shots = _flagged(shots, data, flags)
         return shots.filter((shot_filter or any_shot)(field_of(vocab=data.vocab))).select(*KEY, *keep)
-    states = shot_states(data, shot_filter, n)
+    states = shot_states(data, shot_filter, n, flags)
     # several generators use distance and angle, so they become columns of their own
     names = state_columns(states)
     polar = {c: fs.start_polar_of(field_of(c)) for c in names}

@@ -3,6 +3,7 @@
 import importlib
 import json
 from dataclasses import replace
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -98,9 +99,9 @@ class ShotModel:
     def default_pipeline(self):
         numeric = ["start_dist_to_goal_a0", "start_angle_to_goal_a0"]
         self.column_descriptions = self.column_descriptions or {
-            "bodypart_id_a0": "Body part used for the shot",
-            numeric[0]: "Distance to goal",
-            numeric[1]: "Angle to goal",
+            "bodypart_id_a0": "Foot, head or another part of the body",
+            numeric[0]: "Metres from the ball to the middle of the goal",
+            numeric[1]: "Angle between the axis of the pitch and the line to the middle of the goal",
         }
         return Pipeline(stages=[prep_linear(numeric, ["bodypart_id_a0"]), SkLogistic(fitIntercept=False)])
 
@@ -160,6 +161,10 @@ class ShotModel:
         key = [c for c in KEY if c in frame.columns]
         return self.fitted.transform(frame).select(*key, *keep, positive_probability().alias("xG"))
 
+    def add_xg(self, frame: DataFrame, name: str) -> DataFrame:
+        """Feature rows with one more column, the probability."""
+        return self.fitted.transform(frame).select(*frame.columns, positive_probability().alias(name))
+
     def estimate(self, source, games=None, keep=()) -> DataFrame:
         """(game_id, action_id, xG) of the shots of all or the given games (a list of ids or a
         table), with the columns ``keep`` of the actions."""
@@ -266,8 +271,8 @@ class FreekickModel(_OneKind):
 
     def default_pipeline(self):
         self.column_descriptions = {
-            "start_dist_to_goal_a0": "Distance to goal",
-            "start_angle_to_goal_a0": "Angle to goal",
+            "start_dist_to_goal_a0": "Metres from the ball to the middle of the goal",
+            "start_angle_to_goal_a0": "Angle between the axis of the pitch and the line to the middle of the goal",
         }
         return Pipeline(stages=[prep_linear(list(self.column_descriptions), []), SkLogistic(fitIntercept=True)])
 
@@ -291,6 +296,9 @@ class PenaltyModel(_OneKind):
         key = [c for c in KEY if c in frame.columns]
         return frame.select(*key, *keep, F.lit(PENALTY_XG).alias("xG"))
 
+    def add_xg(self, frame, name):
+        return frame.withColumn(name, F.lit(PENALTY_XG))
+
     def _check_fitted(self):
         pass
 
@@ -313,9 +321,31 @@ class CompositeModel(ShotModel):
         self.training_seasons = self.validation_seasons = None
         self.trained = False
 
+    def _routed(self) -> bool:
+        """Whether the sub-models are default ones, each for a kind of its own. Then one scan serves
+        them all; other models may need rows or columns of their own and are asked one by one."""
+        kinds = [type(m) for m in self.models]
+        return len(set(kinds)) == len(kinds) and set(kinds) <= {OpenplayModel, FreekickModel, PenaltyModel} and not any(m.custom for m in self.models)
+
+    def _shared_frame(self, source: ShotData, keep) -> DataFrame:
+        """Feature rows for all sub-models, with a column ``_for<i>`` that tells whose row it is."""
+        generators = list(dict.fromkeys(g for m in self.models for g in m.generators))
+        flags = {f"_for{i}": m.shot_filter for i, m in enumerate(self.models)}
+
+        def any_kind(a):
+            return reduce(lambda x, y: x | y, [m.shot_filter(a) for m in self.models])
+
+        return shot_features(source, generators, any_kind, max([m.n_states for m in self.models if m.generators], default=1), keep, flags=flags)
+
     def train(self, source, seasons=None, target="goal"):
-        for model in self.models:
-            model.train(source, seasons, target)
+        if isinstance(source, ShotData) and self._routed():
+            frame = materialize(self._shared_frame(self._labelled(self._restricted(source, seasons)), ["goal"]), "training")
+            for i, model in enumerate(self.models):
+                model.train(frame.filter(F.col(f"_for{i}")))
+                model.training_seasons = seasons or []
+        else:
+            for model in self.models:
+                model.train(source, seasons, target)
         self.training_seasons = (seasons or []) if isinstance(source, ShotData) else []
         self.trained = True
         return self
@@ -328,6 +358,12 @@ class CompositeModel(ShotModel):
         self._check_fitted()
         if not isinstance(source, ShotData) and "type_id_a0" not in source.columns:
             raise ValueError("feature rows need type_id_a0, which tells the kind of a shot")
+        if isinstance(source, ShotData) and self._routed():
+            frame, value = self._shared_frame(source, keep), F.lit(None).cast("double")
+            for i, model in enumerate(self.models):
+                frame = model.add_xg(frame, f"_xg{i}")
+                value = F.when(F.col(f"_for{i}"), F.col(f"_xg{i}")).otherwise(value)
+            return frame.select(*KEY, *keep, value.alias("xG"))
         parts = [m.score(source if isinstance(source, ShotData) else m._of_kind(source), keep) for m in self.models]
         scored = parts[0]
         for part in parts[1:]:

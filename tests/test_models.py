@@ -91,6 +91,15 @@ def test_composite_and_store(spark, data):
     assert models.ShotModel.load(spark, folder, "named").trained
 
 
+def test_composite_reads_the_actions_once(data):
+    model = models.CompositeModel().train(data)
+    plan = model.estimate(data)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "start_x#" in line for line in plan.splitlines()) == 1
+    single = [models.OpenplayModel().train(data), models.FreekickModel().train(data), models.PenaltyModel()]
+    want = sorted((r.game_id, r.action_id, round(r.xG, 6)) for m in single for r in m.estimate(data).collect())
+    assert sorted((r.game_id, r.action_id, round(r.xG, 6)) for r in model.estimate(data).collect()) == want
+
+
 def test_composite_on_a_table_scores_every_row_once(data):
     table = dataset.training_frame(data, [fs.startpolar, fs.bodypart, fs.actiontype], n=1)
     model = models.CompositeModel().train(table)
