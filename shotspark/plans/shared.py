@@ -253,6 +253,7 @@ class LogisticFits:
                 gain -= l1 * (np.abs(after).sum() - np.abs(held).sum()) + l2 * (after @ after - held @ held) / 2
                 step[i] = s
                 if gain <= (1e-11 if l1 else 1e-14) * max(value, 1e-300):
+                    self.weights[i] = new  # the last step needs no scan to be trusted
                     del step[i]
         raise ArithmeticError(f"{len(step)} logistic fits have not converged")
 

@@ -312,7 +312,7 @@ found as (select i, any_value(parameters) as parameters, any_value(strength) as
 
 
 def _search_sql(draws):
-    return sql(f"with {_search_views(draws)} select cast(i as integer) as draw, parameters, round(score, 6) as score from found", "states")
+    return sql(f"with {_search_views(draws)} select cast(i as integer) as draw, parameters, round(score, 5) as score from found", "states")
 
 
 def _best_sql(draws):
@@ -340,7 +340,7 @@ def _logreg_search():
 def _(spark, sf):
     """100 draws and 5 folds."""
     found = _logreg_search()
-    return rounded(found.table(found.fit(_openplay(spark, sf))))
+    return rounded(found.table(found.fit(_openplay(spark, sf))), 5)
 
 
 @query("search_logreg_gradient")
