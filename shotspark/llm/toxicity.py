@@ -5,14 +5,17 @@ BUCKETS numbers. The machine adds a weight for each term that occurs and, throug
 per term, a weight for each pair of terms, so it also learns pairs that matter only together.
 
 Fitting: the labelled rows are sampled by a hash of their key down to about ``max_rows`` (the
-documented bound), terms are counted by label over all of these rows in Spark, and the
-``n_terms`` that tell the labels apart best go into the machine. Only those numbers, for at most
-about ``max_rows`` rows, reach the driver. Scoring reads whole texts and needs no shuffle.
+documented bound), and terms are counted by label over all of these rows in Spark. Into the machine go
+the ``n_terms`` that tell the labels apart best by themselves, and the terms of pairs that tell more
+together than their members do: pairs are counted among PAIR_TERMS terms that are neither rare nor
+everywhere, and those that tell the labels apart best. Only the numbers of such terms, for at most about
+``max_rows`` rows, reach the driver. Scoring reads whole texts and needs no shuffle.
 
 Cases: null and empty texts have no terms and get the score of the bias; unlabelled rows and null
 labels are not learned from; a key that is labelled more than once takes its largest label; with
 one class of labels only, or none, the score is constant; keys may be null or repeat, rows stay as
-they are; empty tables give empty results. Columns other than key and text are ignored.
+they are; very long texts are scored whole, in memory that their distinct words bound; empty tables give
+empty results. Columns other than key and text are ignored.
 """
 
 import math
@@ -33,6 +36,9 @@ MAX_ROWS = 20_000  # labelled rows that a fit takes, on average
 N_TERMS = 6_000  # terms of the machine
 MIN_ROWS = 3  # rows that a term must occur in
 MIN_GAIN = 2.0  # log-likelihood ratio of a term; below it the term tells nothing about the label
+PAIR_TERMS = 1_500  # terms whose pairs are counted, besides as many of the best single ones
+PAIR_GAIN = 20.0  # log-likelihood ratio that a pair has above those of its members
+PAIRS = 500  # pairs whose terms go into the machine
 FACTORS = 6  # length of the vector of a term
 KNOWN = 200_000  # distinct words whose terms a worker remembers
 
@@ -193,8 +199,10 @@ def fit_toxicity(
         part(a, share * pos) + part(n - a, share * neg) + part(pos - a, rest * pos) + part(neg - n + a, rest * neg)
     )
     best = counts.select("term", gain.alias("gain")).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "term").limit(n_terms)
-    terms = np.array(sorted(r["term"] for r in best.collect()), np.int64)  # n_terms at most
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms.tolist()))
+    alone = [r["term"] for r in best.collect()]  # n_terms at most
+    often = counts.orderBy(F.desc(F.least(n, F.lit(rows_all) - n)), "term").limit(PAIR_TERMS)
+    paired = sorted({r["term"] for r in often.collect()} | set(alone[:PAIR_TERMS]))
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(alone) | frozenset(paired))
 
     def keep(batches):
         for batch in batches:
@@ -204,10 +212,52 @@ def fit_toxicity(
     kept = rows.mapInArrow(keep, "label int, terms array<int>").toArrow()  # about max_rows rows
     lists = [sorted(x) for x in kept.column("terms").to_pylist()]
     labels_kept = [int(x > 0) for x in kept.column("label").to_pylist()]
+    terms = np.array(sorted(set(alone) | telling_pairs(np.array(paired, np.int64), lists, labels_kept)), np.int64)
+    wanted = set(terms.tolist())
+    lists = [[t for t in x if t in wanted] for x in lists]
     order = sorted(range(len(lists)), key=lambda i: (lists[i], labels_kept[i]))  # independent of task order
     return FactorizationMachine.fit(terms, [lists[i] for i in order], [labels_kept[i] for i in order])
 
 
+def telling_pairs(terms: np.ndarray, lists, labels) -> set[int]:
+    """Terms of the pairs that tell the label by more than PAIR_GAIN above what their members tell
+    alone, of PAIRS pairs at most. ``terms`` are sorted."""
+    k, y = len(terms), np.asarray(labels, float)
+    if k < 2 or not len(y) or y.min() == y.max():
+        return set()
+    both = np.zeros((2, k, k), np.float32)
+    for start in range(0, len(y), 1024):
+        flat, row = _segments(lists[start : start + 1024])
+        at = np.searchsorted(terms, flat)
+        inside = np.minimum(at, k - 1)
+        known = terms[inside] == flat
+        x = np.zeros((len(lists[start : start + 1024]), k), np.float32)
+        x[row[known], inside[known]] = 1
+        both[0] += x.T @ x
+        both[1] += x.T @ (x * y[start : start + 1024, None].astype(np.float32))
+    rows, toxic = len(y), y.sum()
+    n, a = both[0].diagonal().astype(float), both[1].diagonal().astype(float)
+
+    def tells(seen, positive):
+        """Log-likelihood of the labels of ``seen`` rows against the share of all."""
+        def part(c, share):
+            return np.where(c > 0, c * np.log(np.maximum(c, 1e-9) / np.maximum(seen * share, 1e-9)), 0.0)
+
+        return part(positive, toxic / rows) + part(seen - positive, 1 - toxic / rows)
+
+    single = tells(n, a) + tells(rows - n, toxic - a)
+    found = []
+    for i in range(k - 1):
+        n11, a11 = both[0, i, i + 1 :].astype(float), both[1, i, i + 1 :].astype(float)
+        n2, a2 = n[i + 1 :], a[i + 1 :]
+        joint = tells(n11, a11) + tells(n[i] - n11, a[i] - a11) + tells(n2 - n11, a2 - a11)
+        joint += tells(rows - n[i] - n2 + n11, toxic - a[i] - a2 + a11)
+        gain = joint - single[i] - single[i + 1 :]
+        for j in np.flatnonzero(gain >= PAIR_GAIN):
+            found.append((-float(gain[j]), int(terms[i]), int(terms[i + 1 + j])))
+    return {t for _, *pair in sorted(found)[:PAIRS] for t in pair}
+
+
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, score of each row; with ``keep`` also all columns of ``docs`` in a struct ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)

@@ -28,6 +28,72 @@ def test_machine_learns_pairs_that_weights_miss():
     assert auc(linear.score(lists), labels) < 0.7
 
 
+@pytest.fixture(scope="module")
+def either_word(spark):
+    """Toxic if just one of two words stands in a text; by themselves they tell nothing. The other words
+    are common to all texts."""
+    rng = np.random.default_rng(12)
+    words = [f"common{i}" for i in range(60)]
+    rows = []
+    for i in range(2_400):
+        a, b = rng.random(2) < 0.5
+        text = list(rng.choice(words, 12)) + ["insulting"] * int(a) + ["people"] * int(b)
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(a != b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 3], "doc_id long, toxic int"), {r[0]: r[2] for r in rows}
+
+
+def test_fit_finds_words_that_tell_only_together(either_word):
+    docs, labels, truth = either_word
+    machine = toxicity.fit_toxicity(docs, labels)
+    assert set(toxicity.term_numbers("insulting") + toxicity.term_numbers("people")) <= set(machine.terms.tolist())
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score_toxicity(docs, machine).collect()}
+    unseen = [i for i in truth if i % 3 == 0]
+    assert np.mean([got[i] == truth[i] for i in unseen]) > 0.95
+
+
+def test_telling_pairs_are_those_of_plain_counts():
+    rng = np.random.default_rng(4)
+    x = rng.random((500, 7)) < 0.5
+    y = ((x[:, 1] != x[:, 4]) ^ (rng.random(500) < 0.1)).astype(int)
+    terms = np.array([3, 8, 10, 11, 40, 41, 90])
+
+    def tells(rows):
+        seen, share = y[rows], y.mean()
+        parts = [(seen.sum(), share), (len(seen) - seen.sum(), 1 - share)]
+        return sum(c * np.log(c / (len(seen) * s)) for c, s in parts if c)
+
+    want = set()
+    for i in range(7):
+        for j in range(i):
+            joint = sum(tells((x[:, i] == a) & (x[:, j] == b)) for a in (0, 1) for b in (0, 1))
+            alone = sum(tells(x[:, k] == a) for k in (i, j) for a in (0, 1))
+            if joint - alone >= toxicity.PAIR_GAIN:
+                want |= {int(terms[i]), int(terms[j])}
+    lists = [sorted([*terms[r].tolist(), 1000]) for r in x]
+    assert toxicity.telling_pairs(terms, lists, y) == want == {8, 40}
+    assert toxicity.telling_pairs(terms, lists, y * 0) == toxicity.telling_pairs(terms[:0], [], []) == set()
+
+
+def test_query_scores_are_the_definition(spark, sf):
+    """Every score again from the words of the text and the fitted weights, pair by pair."""
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    crc = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in docs.select("doc_id").collect()}
+    m = toxicity.fit_toxicity(docs, labels.filter(labels.doc_id.isin([i for i, c in crc.items() if c])))
+    at = {int(t): i for i, t in enumerate(m.terms)}
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(got) == len(texts)
+    for i, text in texts.items():
+        found = {n for w in toxicity.WORD.findall((text or "").lower()) for n in toxicity.term_numbers(w)}
+        own = sorted(at[n] for n in found if n in at)
+        z = m.bias + sum(m.linear[a] for a in own)
+        z += sum(float(m.factors[a] @ m.factors[b]) for k, a in enumerate(own) for b in own[:k])
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+        assert (got[i]["held_out"], got[i]["predicted"]) == (crc[i] == 0, int(got[i]["score"] >= 0.5))
+
+
 def test_machine_score_is_the_definition():
     rng = np.random.default_rng(2)
     m = toxicity.FactorizationMachine(np.array([3, 5, 9, 12]), 0.3, rng.normal(size=4), rng.normal(size=(4, 3)))
