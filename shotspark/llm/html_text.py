@@ -12,7 +12,9 @@ class stands within which is not kept); the blocks between its tokens are the sl
 The text of a page are the slots of its article. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are regions that hold no text, by element or role. A class
 or id only hints at such a region: the host's template has to hold the element too; on a host without
-a template (fewer than MIN_PAGES pages) the hint decides. Text blocks (articles, headings, paragraphs,
+a template (fewer than MIN_PAGES pages) the hint decides. Names of reader comments decide by themselves,
+since a page may be the only one of its host that readers have answered. Names with digits belong to a
+page and are no part of a path. Text blocks (articles, headings, paragraphs,
 tables, inline elements) are never left out by name. The article is told by its element, else the main element, else the whole body counts.
 Blocks of the template are left out there too, unless nothing of an article or main element would
 be left.
@@ -74,11 +76,17 @@ NAMED = re.compile(
     r"(?:[-_]?(?:bar|list|box|wrap|wrapper|container|section|area|block|inner|links?|banner|notice|popup|form|slot|unit|top|"
     r"bottom|left|right|message|panel|thread|items?|content|posts?|articles?|\d+))*"
 )
+#: Names of reader comments, which need no other page of the host to say so.
+COMMENTS = re.compile(
+    r"(?:(?:post|article|blog|user|reader|site|page|main|wp)[-_]?)?(?:comments?|commentlist|commentary|replies|disqus|respond|discussion)"
+    r"(?:[-_]?(?:list|box|wrap|wrapper|container|section|area|block|inner|thread|threads|items?|content|body|text|form|respond|\d+))*"
+)
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""",
     re.S,
 )
+DIGIT = re.compile(r"\d")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 
 
@@ -106,12 +114,21 @@ def _without_text(name: str, attributes: dict) -> bool:
     return attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
+def _names(name: str, attributes: dict) -> list[str]:
+    """Class and id names, where they can tell boilerplate."""
+    if name in TEXT_BLOCKS or not attributes:
+        return []
+    return (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
+
+
 def _named(name: str, attributes: dict) -> bool:
     """Class or id hint at boilerplate."""
-    if name in TEXT_BLOCKS or not attributes:
-        return False
-    names = (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
-    return any(NAMED.fullmatch(n) for n in names)
+    return any(NAMED.fullmatch(n) for n in _names(name, attributes))
+
+
+def _answers(name: str, attributes: dict) -> bool:
+    """Class or id name reader comments."""
+    return any(COMMENTS.fullmatch(n) for n in _names(name, attributes))
 
 
 def tokens(page: str | None):
@@ -161,7 +178,7 @@ def tokens(page: str | None):
                 pop_to(found)
             continue
         attributes = _attributes(rest)
-        dead = _without_text(name, attributes)
+        dead = _without_text(name, attributes) or _answers(name, attributes)
         if inline and not dead:
             if name == "br":
                 text.append(" ")
@@ -179,7 +196,8 @@ def tokens(page: str | None):
                     pop_to(i)
                     break
         top = stack[-1]
-        marks = "".join(f".{n}" for n in sorted(attributes.get("class", "").split())) + (f"#{attributes['id']}" if attributes.get("id") else "")
+        own = [f".{n}" for n in sorted(attributes.get("class", "").split())] + [f"#{n}" for n in attributes.get("id", "").split()]
+        marks = "".join(n for n in own if not DIGIT.search(n))  # numbered names belong to a page
         path = f"{top.path}/{name}{marks}"
         out.append(("open", path))
         if name in RAW:

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import pytest
 
 from shotspark.llm import html_text
@@ -140,3 +142,70 @@ def test_names_need_the_template(spark):
     pages = [("http://d.org/", page.format(i, "").replace('<div class="widget"></div>', "")) for i in range(6)]
     pages.append(("http://d.org/", page.format(9, "text of this page")))
     assert extracted(spark, pages) == [f"own {i}" for i in range(6)] + ["own 9\ntext of this page"]
+
+
+def test_numbered_names_do_not_hide_a_template(spark):
+    """Articles with an id of their own share the line below them."""
+    page = '<article id="post-{0}" class="post post-{0} entry"><p>own {0}</p><div class="foot">Sold by the yard</div></article>'
+    assert extracted(spark, [("http://e.org/", page.format(i)) for i in range(5)]) == [f"own {i}" for i in range(5)]
+
+
+def test_reader_comments_of_a_single_page_go(spark):
+    plain = "<article><p>own {0}</p></article>"
+    said = '<article><p>own {0}</p><div class="comments"><div class="comment">Reader says hi</div></div></article>'
+    more = '<main><p>own {0}</p></main><ol id="comment-list"><li>Reader says hi<p>and more</p></li></ol>'
+    pages = [("http://f.org/", plain.format(i)) for i in range(5)] + [("http://f.org/", said.format(5)), ("http://f.org/", more.format(6))]
+    assert extracted(spark, pages) == [f"own {i}" for i in range(7)]
+
+
+class Plain(HTMLParser):
+    """The article's blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.text = [], [], []
+
+    def flush(self):
+        block = " ".join("".join(self.text).split())
+        self.text = []
+        names = [n for n, _ in self.stack]
+        if block and "article" in names and not any(dead for _, dead in self.stack):
+            self.blocks.append(block)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.VOID:
+            if tag == "br":
+                self.text.append(" ")
+            elif tag not in html_text.INLINE:
+                self.flush()
+            return
+        if tag in html_text.INLINE:
+            return
+        self.flush()
+        dead = tag in "nav footer header aside form button script style select textarea noscript template iframe".split()
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+        self.stack.append((tag, dead or "comment" in names and tag in ("div", "section", "ol", "ul")))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.INLINE or tag in html_text.VOID:
+            return
+        self.flush()
+        if tag in [n for n, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def test_query_is_an_independent_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in html_text.op10_html(spark, sf).collect()}
+    equal = 0
+    for p in pages:
+        plain = Plain()
+        plain.feed(p["html"])
+        plain.close()
+        plain.flush()
+        equal += got[p["page_id"]] == "\n".join(plain.blocks)
+    assert equal == len(pages) == len(got)
