@@ -89,18 +89,36 @@ def differing(a, b) -> F.Column:
     return F.array_except(_paragraphs(F.array_except(x, y)), _paragraphs(F.array_except(y, x)))
 
 
+def _let(value, then) -> F.Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def likeness(a, b) -> F.Column:
     """0 to 1 for two fingerprint columns."""
-    x, y = _sections(a), _sections(b)
-    sections = F.size(_spans(_paragraphs(F.array_intersect(x, y))))
-    p, q = _paragraphs(F.array_except(x, y)), _paragraphs(F.array_except(y, x))
-    same = (sections + F.size(_spans(F.array_intersect(p, q)))).cast("double")
-    u, v = F.array_distinct(_spans(F.array_except(p, q))), F.array_distinct(_spans(F.array_except(q, p)))
-    total = 2 * same + F.size(u) + F.size(v)
-    equal = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
-    return F.when(equal, 1.0).when(total > 0, 2 * (same + F.size(F.array_intersect(u, v))) / total).otherwise(0.0)
-
 
+    def share(found):
+        same, u, v = found["same"].cast("double"), found["u"], found["v"]
+        total = 2 * same + F.size(u) + F.size(v)
+        return F.when(total > 0, 2 * (same + F.size(F.array_intersect(u, v))) / total).otherwise(0.0)
+
+    def spans(x):
+        p, q = x["p"], x["q"]
+        return F.struct(
+            (x["same"] + F.size(_spans(F.array_intersect(p, q)))).alias("same"),
+            F.array_distinct(_spans(F.array_except(p, q))).alias("u"), F.array_distinct(_spans(F.array_except(q, p))).alias("v"),
+        )
+
+    def paragraphs(s):
+        x, y = s["x"], s["y"]
+        return F.struct(
+            F.size(_spans(_paragraphs(F.array_intersect(x, y)))).alias("same"),
+            _paragraphs(F.array_except(x, y)).alias("p"), _paragraphs(F.array_except(y, x)).alias("q"),
+        )
+
+    sections = F.struct(_sections(a).alias("x"), _sections(b).alias("y"))
+    compared = _let(sections, lambda s: _let(paragraphs(s), lambda x: _let(spans(x), share)))
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), 1.0).otherwise(compared)
 
 
 def _place(value, cuts: list) -> F.Column:
