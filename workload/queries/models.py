@@ -1,5 +1,6 @@
 """Training, scoring, search, calibration. Fits have no SQL text; the tests recompute them."""
 
+from dataclasses import replace
 from itertools import combinations
 
 from pyspark.ml import Pipeline
@@ -143,6 +144,50 @@ def _(spark, sf):
     return rounded(models.ShotModel().train(data, _seasons("1718")).estimate(data, _season_games(spark, sf, "1819")), 3)
 
 
+@query(
+    "user_filter",
+    sql("""select game_id, action_id, result_name = 'success' as goal from states where a0.bodypart_name = 'head' and a0.start_x >= 88""", "states"),
+)
+def _(spark, sf):
+    """Labels of the shots that an own filter takes: headers from the last seventeen metres."""
+    data = adapter.data(spark, sf)
+
+    def headers_nearby(a):
+        # the place is compared as the shooting team sees it
+        away = F.col("team_id") != F.col("home_team_id")
+        x = F.when(away, 105 - a("start_x")).otherwise(a("start_x"))
+        return filters.any_shot(a) & filters.is_any(a, "bodypart", "head") & (x >= 88)
+
+    homes = data.games.select("game_id", "home_team_id")
+    return dataset.shot_labels(replace(data, actions=data.actions.join(homes, "game_id")), headers_nearby)
+
+
+@query("user_pipeline", _predict_sql(OPENPLAY, ["d", "a", "one"], [2, 2, 0]))
+def _(spark, sf):
+    """An own pipeline in place of the default one."""
+    data = adapter.data(spark, sf)
+    numeric = ["start_dist_to_goal_a0", "start_angle_to_goal_a0"]
+    pipeline = Pipeline(stages=[prep.prep_linear(numeric, []), models.SkLogistic(C=0.5)])
+    model = models.OpenplayModel(pipeline).train(data, _seasons("1718"))
+    return rounded(model.estimate(data, _season_games(spark, sf, "1819")), 3)
+
+
+LISTED = list(range(1, 2000, 7))
+
+
+@query(
+    "estimate_games",
+    sql(f"""select game_id, action_id, round(xg, 3) as "xG" from ({_predictions(OPENPLAY, COEFFICIENTS, [1] * 5)}) t
+where game_id in ({", ".join(map(str, LISTED))})"""),
+)
+def _(spark, sf):
+    """Shots of the games of a list, those of the other season among them."""
+    data = adapter.data(spark, sf)
+    model = models.OpenplayModel().train(data, _seasons("1718"))
+    listed = _season_games(spark, sf, "1819").filter(F.col("game_id").isin(LISTED))
+    return rounded(model.estimate(data, [r["game_id"] for r in listed.select("game_id").collect()]), 3)
+
+
 @query(
     "model_store",
     sql(f"""select a.game_id, action_id, true as same from actions a join games g on a.game_id = g.game_id
