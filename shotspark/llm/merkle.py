@@ -143,10 +143,11 @@ def _place(value, cuts: list) -> F.Column:
 
 def with_next(
     docs: DataFrame, columns: list[str], key: str = "doc_id", order: str = "order", chars: str = "n_chars",
-    slice_chars: int = SLICE_CHARS,
+    prepare=None, slice_chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """Rows of ``docs`` with a struct ``next`` of ``columns`` of the document behind each in
     ascending order of ``key`` (a number) and ``order``; the first one stands behind the last.
+    ``prepare`` adds columns to the rows once they are dealt, so that it sees each row once.
 
     Rows are dealt once, to slices of neighbouring keys. Each slice also gets the first row of
     the slice behind it, so the window over a slice needs nothing from outside. Beyond
@@ -161,8 +162,9 @@ def with_next(
     placed = docs.withColumn("_slice", F.when(F.col(key).isNull(), 0).otherwise(number).cast("int")).withColumn("_last", F.lit(0))
     lowest = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key")))  # nulls come first
     heads = sorted((r["_slice"], r["m"]["key"]) for r in placed.groupBy("_slice").agg(lowest.alias("m")).collect())
+    prepare = prepare or (lambda df: df)
     if not heads:
-        return docs.withColumn("next", F.struct(*columns))
+        return prepare(docs).withColumn("next", F.struct(*columns))
     # the first row of each slice stands once more at the end of the slice before it; one row per slice
     marks = docs.sparkSession.createDataFrame(
         [(n, k, before) for (n, k), (before, _) in zip(heads, heads[-1:] + heads[:-1])],
@@ -176,7 +178,7 @@ def with_next(
     copies = first.select("m.row.*", F.col("_before").alias("_slice"), F.lit(1).alias("_last"))
     behind = Window.partitionBy("_slice").orderBy("_last", key, order)
     return (
-        placed.unionByName(copies)
+        prepare(placed.unionByName(copies))
         .withColumn("next", F.lead(F.struct(*columns)).over(behind))
         .filter("_last = 0")
         .drop("_slice", "_last")
@@ -188,7 +190,7 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     docs = docs.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("order"))
-    paired = with_next(with_fingerprint(docs, "text", "fingerprint"), ["text", "fingerprint"])
+    paired = with_next(docs, ["text", "fingerprint"], prepare=lambda df: with_fingerprint(df, "text", "fingerprint"))
     moved = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.substr("text", F.lit(1), F.col("n_chars").cast("int") - moved)
     edited = paired.select(
