@@ -108,8 +108,10 @@ class MergeReplay:
             out[i] = ids
         return out
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        return self.encode_bytes([w.encode() for w in words])
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        blobs = self.encode_bytes([w.encode() for w in words])
+        return np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
 
     def _replay(self, words: list[bytes]) -> list[bytes]:
         if not words:

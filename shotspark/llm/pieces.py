@@ -2,11 +2,14 @@
 
 Texts are cut where one space stands between two characters that are no white space. The
 split pattern of byte-level BPE always has a boundary there and never looks across it, so a
-piece (with its leading space) has the same ids wherever it stands. Texts with white space beyond
-ASCII are cut into the words of the pattern itself.
+piece (with its leading space) has the same ids wherever it stands. For ``PATTERN`` itself texts are
+also cut around white space and where letters, digits and marks meet, see ``word_cuts``: nearly every
+piece is one word of the pattern then, with its marks apart. Texts with white space beyond ASCII are
+cut into the words of the pattern itself.
 
 Pieces of a whole batch are hashed at once to 128 bits and looked up in a table of open addresses;
-only what a worker has not met goes through the pattern and the tokenizer.
+only what a worker has not met goes through the tokenizer, and through the pattern unless its bytes
+tell that it is one word.
 """
 
 import re
@@ -14,6 +17,9 @@ import re
 import numpy as np
 import regex
 
+#: The split pattern of byte-level BPE as the vocabulary files use it (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 PIECES = 1 << 19  # distinct pieces that one worker remembers
 BYTES = 1_000_000  # text that is coded together, on average
 BLOCK = 1 << 18  # bytes that are hashed together
@@ -23,14 +29,70 @@ _random = np.random.default_rng(7)
 _LETTERS = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _random.integers(0, 1 << 61, 2, np.uint64) * np.uint64(8) + np.uint64(5)
 _POWERS = [np.cumprod(np.full(LONG + 1, s)) for s in _STEPS]
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of eight
 
 #: White space that a cut between bytes cannot see, and characters that only some tables call white space.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII characters that are no letter, digit, space or apostrophe
 
+_LETTER, _DIGIT, _MARK, _BLANK = 1, 2, 3, 4
+_KINDS = np.zeros(256, np.uint8)  # by byte; 0: controls, and bytes of characters beyond ASCII
+_KINDS[[b for b in range(33, 127)]] = [_LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK for b in range(33, 127)]
+_KINDS[[32, *range(9, 14)]] = _BLANK
+
+
+def word_cuts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of ``PATTERN`` begin for certain, and bytes whose piece may hold several words.
+
+    ``first`` are the starts of texts, none of them empty. A word never goes on from letters to digits or marks
+    or between any two of these, but for an apostrophe and what follows (``'s``); it never goes
+    on from another character to white space; of several white characters before another one,
+    the last stands apart, with the word behind if it is a space. Latin-1 letters count as letters.
+    """
+    kind = _KINDS[data]
+    pairs = np.flatnonzero(data == 0xC3)
+    pairs = pairs[(data[pairs + 1] & 0xDF) != 0x97]  # all but the signs of multiplication and division
+    kind[pairs] = kind[pairs + 1] = _LETTER
+    inner = (kind - np.uint8(1)) < 3
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & inner[1:] & inner[:-1]
+    apostrophe = data == 39
+    cut[1:] &= ~apostrophe[:-1]
+    cut[first] = True
+    blank = kind == _BLANK
+    cut[1:] |= blank[1:] & ~blank[:-1]
+    is_first = np.zeros(len(data), bool)
+    is_first[first] = True
+    after = np.flatnonzero(blank[:-1] & ~blank[1:] & ~is_first[1:]) + 1
+    cut[after - 1] = True
+    cut[after[data[after - 1] != 32]] = True
+    return cut, (kind == 0) | apostrophe
+
 
 def hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers for each piece; pieces lie one behind the other in ``data``."""
+    """Two numbers for each piece: its bytes and its size, mixed, up to 16 bytes, sums over all bytes
+    beyond. Pieces over ``LONG`` bytes are told by their beginning only."""
+    eight = np.ndarray(len(data) + 9, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+    low = eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]
+    high = eight[starts + 8] & _FIRST_BYTES[np.clip(sizes - 8, 0, 8)]
+    low += high * _STEPS[0]
+    low ^= low >> np.uint64(32)
+    low *= np.uint64(0x9E3779B97F4A7C15)
+    low ^= low >> np.uint64(29)
+    low *= _STEPS[1]
+    high ^= sizes.astype(np.uint64) * _LETTERS[0, 0]
+    more = np.flatnonzero((sizes > 16) & (sizes <= LONG))
+    if len(more):
+        own = sizes[more]
+        ends = np.cumsum(own)
+        at = np.repeat(starts[more] - (ends - own), own)
+        at += np.arange(len(at))
+        low[more], high[more] = _summed(data[at], ends - own, own)
+    return low, high
+
+
+def _summed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each piece of up to ``LONG`` bytes; pieces lie one behind the other in ``data``."""
     out = np.empty((2, len(starts)), np.uint64)
     at = 0
     while at < len(starts):
@@ -38,7 +100,6 @@ def hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
         first, last = int(starts[at]), int(starts[to - 1] + sizes[to - 1])
         letters, own = data[first:last], starts[at:to] - first
         inside = np.arange(last - first, dtype=np.int32) - np.repeat(own.astype(np.int32), sizes[at:to])
-        np.minimum(inside, LONG, out=inside)  # longer pieces are not looked up
         for i in (0, 1):
             out[i, at:to] = np.add.reduceat(_LETTERS[i][letters] * _POWERS[i][inside], own)
         at = to
@@ -120,13 +181,13 @@ def _distinct(keys, marks):
 class PieceCoder:
     """``encode(texts)`` gives the ids of each text as bytes of ``dtype``.
 
-    ``pattern`` splits text into words, ``encode_words(list of words)`` gives the bytes of the ids
-    of each. Memory is bounded: pieces are remembered in two halves of ``limit``; when the newer one
+    ``pattern`` splits text into words, ``encode_words(list of words)`` gives the ids of all in a row
+    and how many each has. Memory is bounded: pieces are remembered in two halves of ``limit``; when the newer one
     is full the older one goes, and what is met again moves to the newer one.
     """
 
     def __init__(self, pattern: str, encode_words, dtype="<u4", limit: int = PIECES):
-        self.find = regex.compile(pattern).findall
+        self.find, self.by_word = regex.compile(pattern).findall, pattern == PATTERN
         self.encode_words, self.dtype, self.half = encode_words, np.dtype(dtype), max(1, limit // 2)
         self.newer = self.older = None
         self._renew()
@@ -187,27 +248,24 @@ class PieceCoder:
         data = np.frombuffer(b"".join(raw), np.uint8)
 
         def learn(at):
-            blobs = self.encode_words([words[i] for i in at.tolist()])
-            counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
-            return np.frombuffer(b"".join(blobs), self.dtype), counts
+            return self.encode_words([words[i] for i in at.tolist()])
 
         return self._gather(self._entries(data, np.cumsum(sizes) - sizes, sizes, learn), learn)
 
     def _gather(self, entries, learn) -> tuple[np.ndarray, np.ndarray]:
         """Ids of entries; long pieces (-2) are learned each time."""
-        long = np.flatnonzero(entries == -2)
-        if not len(long):
+        long = entries == -2
+        if not long.any():
             return self.newer.gather(entries)
-        short = np.flatnonzero(entries >= 0)
-        ids, sizes = self.newer.gather(entries[short])
-        more, counts = learn(long)
-        every = np.zeros(len(entries), np.int64)
-        every[short], every[long] = sizes, counts
-        out = np.empty(int(every.sum()), self.dtype)
-        is_long = np.zeros(len(entries), bool)
-        is_long[long] = True
-        where = np.repeat(is_long, every)
-        out[~where], out[where] = ids, more
+        return self._merged(long, learn(np.flatnonzero(long)), self.newer.gather(entries[~long]))
+
+    def _merged(self, chosen, some, rest) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of all pieces, from those of the ``chosen`` ones and of the rest."""
+        every = np.empty(len(chosen), np.int64)
+        every[chosen], every[~chosen] = some[1], rest[1]
+        where = np.repeat(chosen, every)
+        out = np.empty(len(where), self.dtype)
+        out[where], out[~where] = some[0], rest[0]
         return out, every
 
     def encode(self, texts) -> list[bytes]:
@@ -222,14 +280,18 @@ class PieceCoder:
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         first = np.cumsum(lengths) - lengths
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        cut = data == 32
-        cut[1:] &= ~blank[:-1]
-        cut[:-1] &= ~blank[1:]
-        # no cut at the ends of a text, and the words of the pattern for some
-        ends = np.concatenate([first, first + lengths - 1])
-        cut[ends[(ends >= 0) & (ends < len(data))]] = False
-        cut[first[lengths > 0]] = True
+        if self.by_word:
+            cut, odd = word_cuts(data, first[lengths > 0])
+        else:
+            blank = (data == 32) | ((data >= 9) & (data <= 13))
+            cut = data == 32
+            cut[1:] &= ~blank[:-1]
+            cut[:-1] &= ~blank[1:]
+            # no cut at the ends of a text
+            ends = np.concatenate([first, first + lengths - 1])
+            cut[ends[(ends >= 0) & (ends < len(data))]] = False
+            cut[first[lengths > 0]] = True
+        # the words of the pattern for some
         for i, sizes in own.items():
             cut[first[i] : first[i] + lengths[i]] = False
             cut[first[i] + np.cumsum(sizes) - sizes] = True
@@ -237,13 +299,28 @@ class PieceCoder:
         sizes = np.diff(np.append(starts, len(data)))
         whole = data.tobytes()
 
-        def learn(at):
-            pieces = [whole[a : a + n].decode() for a, n in zip(starts[at].tolist(), sizes[at].tolist())]
-            parts = list(map(self._split, pieces))
+        def pieces(at):
+            return [whole[a : a + n].decode() for a, n in zip(starts[at].tolist(), sizes[at].tolist())]
+
+        def split(at):
+            parts = list(map(self._split, pieces(at)))
             ids, counts = self._words([w for p in parts for w in p])
             per = np.fromiter(map(len, parts), np.int64, len(parts))
             return ids, np.add.reduceat(counts, np.cumsum(per) - per)
 
+        if self.by_word:
+            several = np.logical_or.reduceat(odd, starts) if len(starts) else odd
+
+            def learn(at):
+                apart = several[at]
+                if not apart.any():
+                    return self.encode_words(pieces(at))
+                if apart.all():
+                    return split(at)
+                return self._merged(apart, split(at[apart]), self.encode_words(pieces(at[~apart])))
+        else:
+            learn = split
+
         entries = self._entries(data, starts, sizes, learn)
         ids, counts = self._gather(entries, learn)
         per = np.searchsorted(starts, first + lengths) - np.searchsorted(starts, first)

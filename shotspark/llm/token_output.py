@@ -30,15 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotspark.llm.common import delete, slices, stored, table
-from shotspark.llm.pieces import BYTES, PieceCoder, byte_letters
+from shotspark.llm.pieces import BYTES, PATTERN, PieceCoder, byte_letters
 
 SHARD_TOKENS = 4_000_000  # ids in a shard, on average
 
-#: The split pattern of byte-level BPE as the vocabulary files use it (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 #: Bytes of four values for each control byte, first value in the lowest two bits.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 _coders: dict = {}  # of this Python worker, by vocabulary
 
@@ -73,17 +70,18 @@ def _coder(vocabulary: str) -> tuple[TextCoder, array]:
         letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         tokenize, blank = tokenizer.model.tokenize, byte_letters()[32]
 
-        code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        code, dtype = ("H", "<u2") if tokenizer.get_vocab_size() <= 1 << 16 else ("I", "<u4")
 
         def encode_words(words):
             # printable ASCII stands for itself, but the space
             spelled = [
                 w.replace(" ", blank) if w.isascii() and w.isprintable() else w.encode().decode("latin1").translate(letters) for w in words
             ]
-            return [array(code, [t.id for t in tokenize(s)]).tobytes() for s in spelled]
+            found = [array(code, [t.id for t in tokenize(s)]) for s in spelled]
+            return np.frombuffer(b"".join(found), dtype), np.fromiter(map(len, found), np.int64, len(found))
 
         added = [t["content"] for t in parts.get("added_tokens") or [] if t["content"]]
-        _coders[vocabulary] = TextCoder(PieceCoder(PATTERN, encode_words, array(code).itemsize == 2 and "<u2" or "<u4"), tokenizer, added, code), array(code)
+        _coders[vocabulary] = TextCoder(PieceCoder(PATTERN, encode_words, dtype), tokenizer, added, code), array(code)
     return _coders[vocabulary]
 
 
@@ -122,8 +120,8 @@ def _id_counts(encoded: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in _unpacked(batch.column(0).to_pylist()):
-                here = np.bincount(ids)
+            for part in slices(batch, "ids"):  # one count of all, each has a row of the whole vocabulary
+                here = np.bincount(np.concatenate(_unpacked(part.column(0).to_pylist())))
                 if len(here) > len(total):
                     total = np.concatenate([total, np.zeros(len(here) - len(total), np.int64)])
                 total[: len(here)] += here
@@ -135,16 +133,22 @@ def _id_counts(encoded: DataFrame) -> DataFrame:
 
 def pack_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control and data bytes of each document; ``ranks`` holds all of them in a row."""
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    wide = np.ascontiguousarray(ranks.astype("<u4")).view(np.uint8).reshape(-1, 4)
-    data = wide[np.arange(4) < size[:, None]]
-    data_at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    more = (ranks > 0xFF).view(np.uint8)  # bytes after the first
+    if ranks.max(initial=0) > 0xFFFF:
+        more = more + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    at = np.concatenate([[0], np.cumsum(more, dtype=np.int64)]) + np.arange(len(ranks) + 1)
+    data = np.empty(at[-1], np.uint8)
+    data[at[:-1]] = ranks & 0xFF
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(more >= k)
+        if len(longer):
+            data[at[longer] + k] = (ranks[longer] >> (8 * k)) & 0xFF
+    data_at = at[np.concatenate([[0], np.cumsum(counts)])]
     groups = -(-counts // 4)
     first = np.concatenate([[0], np.cumsum(groups)])
     spread = np.zeros(first[-1] * 4, np.uint8)
-    inside = np.arange(len(ranks)) - np.repeat(np.cumsum(counts) - counts, counts)
-    spread[np.repeat(first[:-1] * 4, counts) + inside] = size - 1
-    control = (spread.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
+    spread[np.arange(len(ranks)) + np.repeat(first[:-1] * 4 - (np.cumsum(counts) - counts), counts)] = more
+    control = spread[::4] | spread[1::4] << 2 | spread[2::4] << 4 | spread[3::4] << 6
     return (
         [control[a:b].tobytes() for a, b in zip(first[:-1], first[1:])],
         [data[a:b].tobytes() for a, b in zip(data_at[:-1], data_at[1:])],
@@ -155,10 +159,12 @@ def unpack_ranks(control: list[bytes], data: list[bytes], counts: np.ndarray) ->
     """Ranks of all documents in a row, by table lookup over all control bytes at once."""
     lengths = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()
     groups = -(-counts // 4)
-    inside = np.arange(len(lengths)) - np.repeat((np.cumsum(groups) - groups) * 4, groups * 4)
-    lengths = lengths[inside < np.repeat(counts, groups * 4)]  # without the padding of the last group
+    ends, filled = np.cumsum(groups) * 4, np.ones(len(lengths), bool)
+    for k in (1, 2, 3):  # without the padding of the last group
+        filled[ends[groups * 4 - counts >= k] - k] = False
+    lengths = lengths[filled]
     raw = np.concatenate([np.frombuffer(b"".join(data), np.uint8), np.zeros(3, np.uint8)])
-    at = np.cumsum(lengths) - lengths
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
     ranks = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
         more = np.flatnonzero(lengths > k)

@@ -3,13 +3,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from odd_rows import ODD
-from shotspark.llm import bpe, token_output
+from shotspark.llm import bpe, pieces, token_output
 from shotspark.scale import scratch_path
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -122,3 +123,87 @@ def test_added_tokens_in_a_text_are_those_of_the_library(spark, make_docs):
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_output.read_tokens(spark, path).collect()}
     assert got == {i: lib.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     assert got[0] == [87, 220, 50256, 331, 2]
+
+
+ALPHABET = list("abstrevmdl09'\".,(-_ \n\t\r\x00\x7féßÀ×÷ªº’“€łжз漢́\x1c\xa0 ½²😀")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(ALPHABET), min_size=1, max_size=40), min_size=1, max_size=4))
+def test_certain_cuts_are_borders_of_the_pattern(texts):
+    texts = [t for t in texts if not pieces._ODD_SPACE.search(t)]  # those are cut by the pattern itself
+    raw = [t.encode() for t in texts]
+    first = np.cumsum([0, *map(len, raw)])[:-1]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    cut, odd = pieces.word_cuts(data, first)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    starts = np.flatnonzero(cut).tolist()
+    assert set(first.tolist()) <= set(starts)
+    words = []
+    for a, b in zip(starts, [*starts[1:], len(data)]):
+        here = find(data[a:b].tobytes().decode())
+        assert len(here) == 1 or odd[a:b].any()
+        words += here
+    assert words == [w for t in texts for w in find(t)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(ALPHABET), max_size=40), max_size=4))
+def test_pieces_give_the_ids_of_the_library(texts):
+    coder, empty = token_output._coder(JSON)
+    lib = tokenizer()
+    got = [np.frombuffer(b, f"<u{empty.itemsize}").tolist() for b in coder.encode(texts)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_remembered_without_their_marks():
+    words = [f"w{chr(97 + i)}{chr(97 + k)}" for i in range(10) for k in range(10)]
+    marks = [",", ".", ";", '."', ")", "\n", " \n", "!?", ".\n\n"]
+    learned = []
+
+    def encode_words(words):
+        learned.extend(words)
+        return np.arange(len(words), dtype="<u4"), np.ones(len(words), np.int64)
+
+    coder = pieces.PieceCoder(public_tokenizers.PATTERN, encode_words)
+    coder.encode([" ".join(w + m for w in words) for m in marks])
+    assert len(learned) == len(set(learned)) == coder.newer.n  # no piece beside the words of the pattern
+    assert coder.newer.n <= 2 * len(words) + 2 * len(marks)
+
+
+def test_hashes_tell_near_pieces_apart():
+    raw = {bytes(n) for n in range(1, 40)} | {b"a" * n for n in range(1, 600)}
+    raw |= {b"x" * k + bytes([c]) + b"x" * (n - k - 1) for n in (7, 8, 9, 15, 16, 17, 33) for k in range(n) for c in (0, 1, 128, 255)}
+    raw = sorted(b for b in raw if len(b) <= pieces.LONG)
+    sizes = np.array([len(b) for b in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    one, two = pieces.hashed(data, np.cumsum(sizes) - sizes, sizes)
+    assert len(set(zip(one.tolist(), two.tolist()))) == len(raw)
+    again = pieces.hashed(np.concatenate([data[:5], data]), np.cumsum(sizes) - sizes + 5, sizes)
+    assert (again[0] == one).all() and (again[1] == two).all()
+
+
+def test_ids_are_counted_together(monkeypatch):
+    """A count of each document alone costs a row of the whole vocabulary for each of them."""
+    import pyarrow as pa
+    import zstandard
+
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *x, **k: calls.append(1) or bincount(*x, **k))
+    press = zstandard.ZstdCompressor().compress
+    packed = [b"\x02" + press(np.array([i % 7, 50_000, 2], "<u2").tobytes()) for i in range(300)]
+
+    class Frame:  # takes the function that a task runs
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            self.got = list(f([pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["ids"])]))
+            raise StopIteration
+
+    frame = Frame()
+    with pytest.raises(StopIteration):
+        token_output._id_counts(frame)
+    n = dict(zip(frame.got[0].column(0).to_pylist(), frame.got[0].column(1).to_pylist()))
+    assert n == {i: sum(k % 7 == i for k in range(300)) + 300 * (i == 2) for i in range(7)} | {50_000: 300}
+    assert len(calls) == 1
