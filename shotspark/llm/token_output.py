@@ -120,7 +120,7 @@ def _id_counts(encoded: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for part in slices(batch, "ids"):  # one count of all, each has a row of the whole vocabulary
+            for part in slices(batch, "ids", BYTES):  # one count of all, each has a row of the whole vocabulary
                 here = np.bincount(np.concatenate(_unpacked(part.column(0).to_pylist())))
                 if len(here) > len(total):
                     total = np.concatenate([total, np.zeros(len(here) - len(total), np.int64)])
@@ -195,7 +195,7 @@ def write_tokens(
     def recode(batches):
         shard, first, ranks = TaskContext.get().partitionId(), 0, shared.value
         for whole in batches:
-            for batch in slices(whole, "ids"):
+            for batch in slices(whole, "ids", BYTES):
                 parts = _unpacked(batch.column("ids").to_pylist())
                 counts = np.fromiter(map(len, parts), np.int64, len(parts))
                 control, data = pack_ranks(ranks[np.concatenate(parts)], counts)
@@ -241,7 +241,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         id_of = shared.value
         for whole in batches:
-            for batch in slices(whole, "data"):
+            for batch in slices(whole, "data", BYTES):
                 counts = batch.column("n_tokens").to_numpy()
                 ranks = unpack_ranks(batch.column("control").to_pylist(), batch.column("data").to_pylist(), counts)
                 ids, ends = id_of[ranks].astype("<u4"), np.cumsum(counts)
