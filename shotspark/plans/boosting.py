@@ -1,12 +1,16 @@
 """Gradient-boosted trees over histograms, for many candidates and folds in the same scans.
 
 Features become at most ``bins`` numbered bins, by quantiles of the rows that a fold's models may see.
-A scan gives the sums of gradients and curvatures by node, feature and bin for all candidates and
-all nodes of a level; a second, small stage adds them up by node and picks the best splits, of which
-only the winners reach the driver. Nodes that one task cannot hold at once take several scans.
+Rows of equal bins share their score whatever the trees, so their gradients follow from the number and
+the label sum of those that a tree draws. Where a fold has at most GROUPS different rows of bins (three
+features never have more than 32 x 32 x 32, and features that depend on one another have few), one scan
+gives these two sums for all trees and models, and each model grows its trees from its own sums in one task.
 
-A model's score of each row is stored with the rows and renewed every few trees, so that a scan
-walks few trees. A loss of executors costs the running scan only.
+With more, a scan gives the sums of gradients and curvatures by node, feature and bin for all candidates
+and all nodes of a level; a second, small stage adds them up by node and picks the best splits, of which
+only the winners reach the driver. A model's score of each row is stored with the rows and renewed every
+few trees, so that a scan walks few trees. Both ways, sums that one task cannot hold at once take several
+scans, and a loss of executors costs the running scan only.
 
 Split gains, leaf values and parameters are those of regularised boosting (Chen, Guestrin, KDD 2016):
 l1 and l2 penalties of leaf values, a least gain, a least sum of curvatures in a child, a base score,
@@ -33,6 +37,8 @@ from shotspark.scale import materialize
 
 BINS = 32
 CELLS = 2_000_000  # sums of gradients that a task holds in one scan
+GROUPS = 1 << 17  # different rows of bins of a fold that are summed instead of the rows
+BLOCK = 1 << 18  # rows that a task sums at once
 RENEW = 8  # trees after which stored scores are renewed
 
 
@@ -63,18 +69,42 @@ class Forest:
         self.size = np.ones(models, np.int64)
         self.depth = 0
 
+    def _widen(self, more: int):
+        for name, fill in (("feature", -1), ("split", 0), ("left", 0), ("value", 0)):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, np.full((len(old), more), fill, old.dtype)], axis=1))
+
     def grow(self, model: int, node: int, feature: int, split: int) -> int:
         """Split a node; the number of its left child."""
         at = int(self.size[model])
         while at + 2 > self.feature.shape[1]:
-            wide = self.feature.shape[1]
-            for name, fill in (("feature", -1), ("split", 0), ("left", 0), ("value", 0)):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.full((len(old), wide), fill, old.dtype)], axis=1))
+            self._widen(self.feature.shape[1])
         self.feature[model, node], self.split[model, node], self.left[model, node] = feature, split, at
         self.size[model] = at + 2
         return at
 
+    def put(self, model: int, feature, split, left, value, depth: int):
+        """Set the tree of a model."""
+        n = len(feature)
+        if n > self.feature.shape[1]:
+            self._widen(n - self.feature.shape[1])
+        for name, found in (("feature", feature), ("split", split), ("left", left), ("value", value)):
+            getattr(self, name)[model, :n] = found
+        self.size[model], self.depth = n, max(self.depth, depth)
+
+    def add_level(self, model: int, nodes, found, level: int, s: "Settings") -> list:
+        """Split the nodes whose best split gains enough; the children that may be split again."""
+        following = []
+        for node, (feature, split, gain, gl, hl, g, h) in zip(nodes, found):
+            if level == 0:
+                self.value[model, 0] = leaf_value(g, h, s)
+            if level < s.max_depth and gain > s.gamma and gain > 1e-12:
+                at = self.grow(model, node, int(feature), int(split))
+                self.value[model, at], self.value[model, at + 1] = leaf_value(gl, hl, s), leaf_value(g - gl, h - hl, s)
+                if level + 1 < s.max_depth:
+                    following += [at, at + 1]
+        return following
+
     def walk(self, bins: np.ndarray, models: np.ndarray) -> np.ndarray:
         """Node of each row in the tree of each of the ``models``."""
         node = np.zeros((len(bins), len(models)), np.int64)
@@ -116,12 +146,97 @@ def best_splits(sums: np.ndarray, alpha, lamda, least, allowed) -> tuple:
     return feature, split, gain[node, at], chosen[:, 0], chosen[:, 1], total[:, 0, 0, 0], total[:, 1, 0, 0]
 
 
-def _drawn(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Numbers from 0 to 1 for each row and each model."""
-    x = hashes.astype(np.uint64)[:, None] ^ salt[None, :]
+def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x >> np.uint64(11)) / float(1 << 53)
+    return x >> np.uint64(11)
+
+
+def _drawn(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 for each row and each model."""
+    return _mixed(hashes.astype(np.uint64)[:, None] ^ salt[None, :]) / float(1 << 53)
+
+
+def _salt(seed: int, tree: int, model: int) -> np.uint64:
+    return np.uint64(np.random.default_rng([seed, tree, model, 1]).integers(0, 1 << 63))
+
+
+def _columns(rng, mask: np.ndarray, share: float) -> np.ndarray:
+    """A share of the columns of ``mask``."""
+    own = np.flatnonzero(mask)
+    chosen = np.zeros(len(mask), bool)
+    chosen[rng.choice(own, max(1, int(share * len(own))), replace=False)] = True
+    return chosen
+
+
+def _packed(cells: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    n, size = len(cells), cells.itemsize * cells.shape[1]
+    ends = pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)[: n + 1])
+    return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(cells))])
+
+
+def _unpacked(column: pa.Array, kind, width: int) -> np.ndarray:
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column):
+        return np.zeros((0, width), kind)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
+
+
+def _blocks(batches):
+    """Batches put together to about BLOCK rows."""
+    kept, rows = [], 0
+    for batch in batches:
+        kept.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+def grow_trees(cells: np.ndarray, sums, settings: Settings, start: float, logistic: bool, seed: int, model: int, bins: int) -> list:
+    """Trees (feature, split, left, value, depth) of one model over groups of equal bins. ``cells`` has
+    the bins of each group; ``sums[t]`` the drawn rows of tree t by group: weights, and labels times weights."""
+    s, z, trees = settings, np.full(len(cells), start), []
+    rows, wide = np.arange(len(cells)), cells.shape[1]
+    for tree, (weight, label) in enumerate(sums):
+        if logistic:
+            p = 1 / (1 + np.exp(-z))
+            g, h = weight * p - label, weight * np.maximum(p * (1 - p), 1e-16)
+        else:
+            g, h = weight * z - label, weight
+        rng = np.random.default_rng([seed, tree, model])
+        mask = _columns(rng, np.ones(wide, bool), s.colsample_bytree)
+        forest, node, open_nodes, level = Forest(1), np.zeros(len(cells), np.int64), [0], 0
+        while open_nodes:
+            chosen = _columns(rng, mask, s.colsample_bylevel)
+            step, found = max(1, CELLS // (wide * bins * 2)), []
+            for at in range(0, len(open_nodes), step):
+                part = open_nodes[at : at + step]
+                slot = np.full(forest.feature.shape[1], -1, np.int64)
+                slot[part] = np.arange(len(part))
+                own = slot[node]
+                inside = own >= 0
+                own, some, gi, hi = own[inside], cells[inside], g[inside], h[inside]
+                total = np.empty((len(part), 2, wide, bins))
+                for j in range(wide):
+                    cell = own * bins + some[:, j]
+                    for q, values in enumerate((gi, hi)):
+                        total[:, q, j] = np.bincount(cell, values, len(part) * bins).reshape(len(part), bins)
+                same = [np.full(len(part), v, float) for v in (s.reg_alpha, s.reg_lambda, s.min_child_weight)]
+                found += zip(*best_splits(total, *same, np.tile(chosen, (len(part), 1))))
+            following = forest.add_level(0, open_nodes, found, level, s)
+            forest.depth += 1
+            feature = forest.feature[0, node]
+            right = cells[rows, np.maximum(feature, 0)] > forest.split[0, node]
+            node = np.where(feature >= 0, forest.left[0, node] + right, node)
+            open_nodes, level = following, level + 1
+        z = z + forest.value[0, node]
+        n = int(forest.size[0])
+        trees.append((*(getattr(forest, name)[0, :n] for name in ("feature", "split", "left", "value")), forest.depth))
+    return trees
 
 
 class Boosting:
@@ -137,6 +252,12 @@ class Boosting:
         self.rows = self._binned(rows)
         self.forests: list[Forest] = []
         self.stored = 0  # trees whose scores are stored with the rows
+        self.groups = self._groups()
+        if self.groups is not None:
+            self._grow_by_groups(trees)
+            return
+        start = np.array([self._start(s) for _, s in self.models])
+        self.rows = self.rows.withColumn("score", F.lit(start.tobytes()))
         for t in range(trees):
             self._grow(t)
             if t + 1 - self.stored >= RENEW or t + 1 == trees:
@@ -163,8 +284,7 @@ class Boosting:
         return float(np.log(s.base_score / (1 - s.base_score))) if self.logistic else s.base_score
 
     def _binned(self, rows):
-        edges, start = self.edges, np.array([self._start(s) for _, s in self.models])
-        wide, folds = self.wide, self.folds
+        edges, wide, folds = self.edges, self.wide, self.folds
 
         def compute(batches):
             for batch in batches:
@@ -172,14 +292,114 @@ class Boosting:
                 for k in range(folds):
                     x = shared._matrix(batch.column(f"x{k}"), wide[k])
                     b = np.column_stack([np.searchsorted(edges[k][j], x[:, j], side="right") for j in range(wide[k])]).astype(np.uint8)
-                    columns.append(pa.array([r.tobytes() for r in b], pa.binary()))
-                columns.append(pa.array([start.tobytes()] * batch.num_rows, pa.binary()))
+                    columns.append(_packed(b))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        names = ["label", "fold", "h", *[f"b{k}" for k in range(folds)], "score"]
-        schema = "label double, fold int, h long, " + ", ".join(f"b{k} binary" for k in range(folds)) + ", score binary"
+        names = ["label", "fold", "h", *[f"b{k}" for k in range(folds)]]
+        schema = "label double, fold int, h long, " + ", ".join(f"b{k} binary" for k in range(folds))
         return materialize(rows.mapInArrow(compute, schema), "binned")
 
+    # -- groups of equal bins
+
+    def _groups(self) -> list | None:
+        """The different rows of bins of each fold, or None if a fold has more than GROUPS."""
+        out = []
+        for k in range(self.folds):
+            found = self.rows.select(f"b{k}").distinct().limit(GROUPS + 1).collect() if len(self.members[k]) else []
+            if len(found) > GROUPS:
+                return None
+            cells = sorted(bytes(r[0]) for r in found)
+            out.append(np.frombuffer(b"".join(cells), np.uint8).reshape(-1, self.wide[k]))
+        return out
+
+    def _grow_by_groups(self, trees: int):
+        pairs = [(t, i) for i in range(len(self.models)) for t in range(trees)]
+        parts, part, size = [], [], 0
+        for n in sorted(range(len(pairs)), key=lambda n: (self.models[pairs[n][1]][0], n)):  # a scan reads few folds
+            own = 2 * len(self.groups[self.models[pairs[n][1]][0]])
+            if part and size + own > 4 * CELLS:
+                parts.append(part)
+                part, size = [], 0
+            part.append(n)
+            size += own
+        parts.append(part)
+        drawn = [materialize(shared.added_arrays(self._group_sums(pairs, p)), "drawn") for p in parts if p]
+        if not drawn:
+            return
+        added = drawn[0]
+        for more in drawn[1:]:
+            added = added.unionByName(more)
+        models, groups, logistic, seed, bins = self.models, self.groups, self.logistic, self.seed, self.bins
+        starts = [self._start(s) for _, s in models]
+
+        def grow(table):
+            at = np.argsort(table.column("node").to_numpy())
+            i = pairs[table.column("node")[0].as_py()][1]
+            cells = groups[models[i][0]]
+            blobs = table.column("sums")
+            sums = (np.frombuffer(blobs[int(k)].as_buffer()).reshape(2, len(cells)) for k in at)
+            found = grow_trees(cells, sums, models[i][1], starts[i], logistic, seed, i, bins)
+            columns = [[np.asarray(a, kind).tobytes() for a in c] for c, kind in zip(list(zip(*found))[:4], (np.int16, np.int16, np.int32, float))]
+            return pa.table(
+                [
+                    pa.array([i] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), pa.array([f[4] for f in found], pa.int32()),
+                    *[pa.array(c, pa.binary()) for c in columns],
+                ],
+                names=["model", "tree", "depth", "feature", "split", "left", "value"],
+            )
+
+        by_model = added.withColumn("model", F.floor(F.col("node") / F.lit(trees)).cast("int")).groupBy("model")
+        schema = "model int, tree int, depth int, feature binary, split binary, left binary, value binary"
+        self.forests = [Forest(len(models)) for _ in range(trees)]
+        for r in by_model.applyInArrow(grow, schema).toLocalIterator():  # one row per tree
+            arrays = [np.frombuffer(r[name], kind) for name, kind in (("feature", np.int16), ("split", np.int16), ("left", np.int32), ("value", float))]
+            self.forests[r["tree"]].put(r["model"], *arrays, r["depth"])
+
+    def _group_sums(self, pairs, part) -> DataFrame:
+        """node, sums: for the (tree, model) pairs of ``part`` the drawn rows of each group, as weights
+        and as labels times weights."""
+        groups, logistic, all_rows, folds = self.groups, self.logistic, self.all_rows, self.folds
+        plan = [[] for _ in range(folds)]
+        for n in part:
+            t, i = pairs[n]
+            f, s = self.models[i]
+            limit = np.uint64(int(np.ceil(s.subsample * float(1 << 53)))) if s.subsample < 1 else None
+            plan[f].append((n, _salt(self.seed, t, i), limit, s.scale_pos_weight))
+
+        def compute(batches):
+            total = {n: np.zeros((2, len(groups[k]))) for k, own in enumerate(plan) for n, *_ in own}
+            numbers = [{r.tobytes(): i for i, r in enumerate(groups[k])} if own else {} for k, own in enumerate(plan)]
+            for block in _blocks(batches):
+                label, fold, h = (block.column(c).to_numpy() for c in ("label", "fold", "h"))
+                h = h.astype(np.uint64)
+                for k, own in enumerate(plan):
+                    if not own:
+                        continue
+                    coded = block.column(f"b{k}").dictionary_encode()
+                    group = np.array([numbers[k][v] for v in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+                    y, hk = label, h
+                    if not all_rows:
+                        seen = fold != k
+                        group, y, hk = group[seen], y[seen], hk[seen]
+                    positive = y > 0
+                    for n, salt, limit, weight in own:
+                        w = np.where(positive, weight, 1.0) if logistic else np.ones(len(y))
+                        if limit is not None:
+                            for at in range(0, len(hk), 8192):  # stays in the processor's cache
+                                w[at : at + 8192] *= _mixed(hk[at : at + 8192] ^ salt) < limit
+                        total[n][0] += np.bincount(group, w, len(groups[k]))
+                        total[n][1] += np.bincount(group, w * y, len(groups[k]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["node", "sums"]
+            )
+
+        read = self.rows.select("label", "fold", "h", *[f"b{k}" for k, own in enumerate(plan) if own])
+        # a task's sums are as long however many rows it reads
+        tasks = read.sparkSession.sparkContext.defaultParallelism
+        return read.coalesce(tasks).mapInArrow(compute, "node long, sums binary")
+
+    # -- rows
+
     def _pieces(self):
         """A function for tasks that gives, per batch and fold: models, bins, labels, hashes, rows that
         the models may see, and scores."""
@@ -191,11 +411,11 @@ class Boosting:
                 for cut in range(0, whole.num_rows, 1024):
                     batch = whole.slice(cut, 1024)
                     label, fold, h = (batch.column(c).to_numpy() for c in ("label", "fold", "h"))
-                    score = np.frombuffer(b"".join(batch.column("score").to_pylist())).reshape(-1, n)
+                    score = _unpacked(batch.column("score"), float, n)
                     parts = []
                     for k in range(folds):
                         if len(members[k]):
-                            b = np.frombuffer(b"".join(batch.column(f"b{k}").to_pylist()), np.uint8).reshape(-1, wide[k])
+                            b = _unpacked(batch.column(f"b{k}"), np.uint8, wide[k])
                             own = score[:, members[k]].copy()
                             for forest in recent:
                                 own += forest.value[members[k], forest.walk(b, members[k])]
@@ -215,48 +435,26 @@ class Boosting:
                 for models, _, _, _, _, own in parts:
                     score[:, models] = own
                 at = batch.schema.get_field_index("score")
-                yield batch.set_column(at, "score", pa.array([r.tobytes() for r in score], pa.binary()))
+                yield batch.set_column(at, "score", _packed(score))
 
         self.rows = materialize(self.rows.mapInArrow(compute, self.rows.schema), "boosted")
         self.stored = len(self.forests)
 
     # -- trees
 
-    def _masks(self, tree: int) -> tuple:
-        """Columns that each model may use in this tree, and a generator for its levels."""
-        rngs = [np.random.default_rng([self.seed, tree, i]) for i in range(len(self.models))]
-        masks = []
-        for rng, (f, s) in zip(rngs, self.models):
-            d = self.wide[f]
-            mask = np.zeros(d, bool)
-            mask[rng.choice(d, max(1, int(s.colsample_bytree * d)), replace=False)] = True
-            masks.append(mask)
-        return masks, rngs
-
     def _grow(self, tree: int):
         forest = Forest(len(self.models))
-        masks, rngs = self._masks(tree)
-        salts = np.array([np.random.default_rng([self.seed, tree, i, 1]).integers(0, 1 << 63) for i in range(len(self.models))], np.uint64)
+        rngs = [np.random.default_rng([self.seed, tree, i]) for i in range(len(self.models))]
+        masks = [_columns(rng, np.ones(self.wide[f], bool), s.colsample_bytree) for rng, (f, s) in zip(rngs, self.models)]
+        salts = np.array([_salt(self.seed, tree, i) for i in range(len(self.models))], np.uint64)
         open_nodes = [(i, 0) for i in range(len(self.models))]
         level = 0
         while open_nodes:
-            level_masks = []
-            for rng, mask, (_, s) in zip(rngs, masks, self.models):
-                own = np.flatnonzero(mask)
-                chosen = np.zeros(len(mask), bool)
-                chosen[rng.choice(own, max(1, int(s.colsample_bylevel * len(own))), replace=False)] = True
-                level_masks.append(chosen)
+            level_masks = [_columns(rng, mask, s.colsample_bylevel) for rng, mask, (_, s) in zip(rngs, masks, self.models)]
             found = self._level(forest, open_nodes, level_masks, salts)
             following = []
-            for (i, node), (feature, split, gain, gl, hl, g, h) in zip(open_nodes, found):
-                s = self.models[i][1]
-                if level == 0:
-                    forest.value[i, 0] = leaf_value(g, h, s)
-                if level < s.max_depth and gain > s.gamma and gain > 1e-12:
-                    at = forest.grow(i, node, int(feature), int(split))
-                    forest.value[i, at], forest.value[i, at + 1] = leaf_value(gl, hl, s), leaf_value(g - gl, h - hl, s)
-                    if level + 1 < s.max_depth:
-                        following += [(i, at), (i, at + 1)]
+            for (i, node), split in zip(open_nodes, found):
+                following += [(i, at) for at in forest.add_level(i, [node], [split], level, self.models[i][1])]
             forest.depth += 1
             open_nodes, level = following, level + 1
         self.forests.append(forest)
@@ -332,14 +530,28 @@ class Boosting:
 
     def scores(self) -> DataFrame:
         """model, label, p (the value itself without a logistic loss) of the rows of each model's fold."""
-        members, n, logistic = self.members, len(self.models), self.logistic
+        members, n, logistic, wide, grouped = self.members, len(self.models), self.logistic, self.wide, self.groups is not None
+        starts, forests = np.array([self._start(s) for _, s in self.models]), self.forests
+
+        def summed(bins, k):
+            """Scores of the models of a fold; rows of equal bins walk the trees once."""
+            coded = bins.dictionary_encode()
+            b = _unpacked(coded.dictionary, np.uint8, wide[k])
+            z = np.tile(starts[members[k]], (len(b), 1))
+            for forest in forests:
+                z += forest.value[members[k], forest.walk(b, members[k])]
+            return z[coded.indices.to_numpy()]
 
         def compute(batches):
-            for batch in batches:
+            for batch in _blocks(batches) if grouped else batches:
                 label, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
-                z = np.frombuffer(b"".join(batch.column("score").to_pylist())).reshape(-1, n)
                 for k, own in enumerate(members):
-                    mine = z[fold == k][:, own]
+                    if not len(own) or not (fold == k).any():
+                        continue
+                    if grouped:
+                        mine = summed(batch.column(f"b{k}").filter(pa.array(fold == k)), k)
+                    else:
+                        mine = _unpacked(batch.column("score"), float, n)[fold == k][:, own]
                     p = 1 / (1 + np.exp(-mine)) if logistic else mine
                     yield pa.RecordBatch.from_arrays(
                         [

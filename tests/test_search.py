@@ -246,6 +246,33 @@ def test_samples_of_rows_and_columns(few_values):
     assert a["trees"][0]["value"] != boosting.Boosting(rows, 3, [(0, boosting.Settings(max_depth=2))], 1).export(0)["trees"][0]["value"]
 
 
+def test_rows_of_equal_bins_are_summed_for_all_trees_at_once(few_values, monkeypatch):
+    rows, x, y = few_values
+    settings = [
+        # nodes of many rows, as equally good splits of few rows differ for rows that are not drawn
+        boosting.Settings(max_depth=3, min_child_weight=8, subsample=0.7, colsample_bytree=0.7, reg_alpha=0.2, scale_pos_weight=2.5, base_score=0.4),
+        boosting.Settings(max_depth=6, colsample_bylevel=0.7, gamma=0.05),
+    ]
+    candidates = [(f, s) for s in settings for f in range(3)]
+    for logistic in (True, False):
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "CELLS", 2000)
+            m.setattr(boosting.Boosting, "_scan", lambda *a: pytest.fail("a scan for a level of a tree"))
+            summed = boosting.Boosting(rows, 3, candidates, 5, logistic)
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "GROUPS", 10)
+            m.setattr(boosting, "RENEW", 2)
+            by_rows = boosting.Boosting(rows, 3, candidates, 5, logistic)
+        assert by_rows.groups is None and len(summed.groups[0]) <= len(rows.select("x0").distinct().collect())
+        for i, (f, _) in enumerate(candidates):
+            seen = x[np.arange(len(y)) % 3 != f]
+            assert boosting.evaluate(summed.export(i), seen) == pytest.approx(boosting.evaluate(by_rows.export(i), seen), abs=1e-9)
+        got = {r["model"]: r["p"] for r in summed.scores().groupBy("model").agg(F.sum("p").alias("p")).collect()}
+        for i, (f, _) in enumerate(candidates):
+            z = boosting.evaluate(summed.export(i), x[np.arange(len(y)) % 3 == f])
+            assert got[i] == pytest.approx((1 / (1 + np.exp(-z)) if logistic else z).sum())
+
+
 @pytest.mark.parametrize("kind", ["boosted", "mlp"])
 def test_searches_keep_the_best_and_store_it(spark, df, kind):
     options = {"trees": 4} if kind == "boosted" else {"epochs": 6}
