@@ -10,6 +10,12 @@ from shotspark.scale import POS, chunked, hot_keys, materialize, split_hot
 # --- names ------------------------------------------------------------------------------
 
 
+def _large(names: DataFrame) -> DataFrame:
+    """A side of a join that grows with the names. Files of names are far smaller than their rows, and
+    the optimizer takes exploded rows for as large as their source; so it would send them to the driver."""
+    return names.hint("merge")
+
+
 def _similarity():
     """The scoring function over two lists of names, self-contained so that tasks need nothing but
     the function."""
@@ -118,7 +124,7 @@ def _candidates(left: DataFrame, right: DataFrame, bar: float) -> DataFrame:
     lp = prefixed(lt, "l", span(F.col("length"))).select("l", "token", F.col("length").alias("ll"), F.col("other").alias("rl"))
     lp = lp.join(lengths.withColumnRenamed("other", "rl"), "rl", "left_semi")
     rp = prefixed(rt, "r", span(F.col("length"))).select("r", "token", F.col("other").alias("ll"), F.col("length").alias("rl"))
-    return lp.join(rp, ["token", "ll", "rl"]).select("l", "r").distinct()
+    return lp.join(_large(rp), ["token", "ll", "rl"]).select("l", "r").distinct()
 
 
 def _without(text: Column) -> Column:
@@ -129,14 +135,26 @@ def _without(text: Column) -> Column:
     )
 
 
-def _shortened(names: DataFrame, name: str, drops: int) -> DataFrame:
-    """(name, part): the name with 0 to ``drops`` characters dropped. Their number depends on
-    the length of the name only, so this grows linearly with the names."""
+def _shortened(names: DataFrame, name: str, others: DataFrame, other: str, drops: int) -> DataFrame:
+    """The columns of ``names`` and ``part``: the name with 0 to ``drops`` characters dropped, as far as
+    the other side has a name from which so many dropped characters leave a string of that length. Their
+    number depends on the length of the name only, so this grows linearly with the names."""
+    own = names.select(F.length(name).alias("_own")).distinct()
+    lengths = others.select(F.length(other).alias("_other")).distinct()
+    missing = F.col("_other") - (F.col("_own") - F.col("_step"))
+    steps = (
+        own.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(drops))))
+        .join(F.broadcast(lengths), missing.between(0, drops))  # one row per length
+        .groupBy("_own").agg(F.collect_set("_step").alias("_steps"))
+    )
     levels = [F.array(F.col(name))]
     for _ in range(drops):
         longer = F.filter(levels[-1], lambda s: F.length(s) > 1)
         levels.append(F.array_distinct(F.flatten(F.transform(longer, _without))))
-    return names.select(name, F.explode(F.concat(*levels)).alias("part"))
+    none = F.array().cast("array<string>")
+    wanted = F.concat(*[F.when(F.array_contains("_steps", i), parts).otherwise(none) for i, parts in enumerate(levels)])
+    fitting = names.withColumn("_own", F.length(name)).join(F.broadcast(steps), "_own")
+    return fitting.select(*names.columns, F.explode(wanted).alias("part"))
 
 
 def _near_matches(left: DataFrame, right: DataFrame, drops: int) -> DataFrame:
@@ -144,12 +162,11 @@ def _near_matches(left: DataFrame, right: DataFrame, drops: int) -> DataFrame:
     subsequence from which neither name misses more than ``drops`` characters. ``limit`` is the
     highest score any other name can have. The equi-join on shortened names gives exactly these
     pairs, and the longest shared string is the longest common subsequence."""
-    pairs = _shortened(left, "l", drops).join(_shortened(right.select("r"), "r", drops), "part")
+    pairs = _shortened(left, "l", right, "r", drops).join(_large(_shortened(right, "r", left, "l", drops)), "part")
     la, lb = F.length("l"), F.length("r")
     score = F.bround(200.0 * F.length("part") / (la + lb)).cast("int")
     best = (
-        pairs.select("l", "r", score.alias("score"))
-        .join(right, "r")
+        pairs.select("l", "r", "rid", score.alias("score"))
         .groupBy("l")
         .agg(F.max_by(F.struct("r", "rid", "score"), F.struct("score", -F.col("rid"))).alias("b"))
     )
@@ -176,10 +193,10 @@ def match_names(left: DataFrame, right: DataFrame, threshold: int = 75, bars=(88
     names = left.select(F.col("name").alias("l")).filter("length(name) > 0").distinct()
     names = materialize(names, "left-names")
 
-    settled = names.join(firsts, F.col("l") == F.col("r")).select("l", "r", "rid")
+    settled = names.join(_large(firsts), F.col("l") == F.col("r")).select("l", "r", "rid")
     if threshold >= 100:
         settled = settled.limit(0)
-    names = names.join(firsts, F.col("l") == F.col("r"), "left_anti")
+    names = names.join(_large(firsts), F.col("l") == F.col("r"), "left_anti")
     for step, size in [("drops", 1), ("drops", 2)] + [("bar", b) for b in (*bars, threshold + 1)]:
         if threshold >= 100 or names.isEmpty():
             break
@@ -192,15 +209,15 @@ def match_names(left: DataFrame, right: DataFrame, threshold: int = 75, bars=(88
             scored = _candidates(names, firsts.select("r"), size - 0.5).withColumn("score", name_ratio(F.col("l"), F.col("r")))
             found = (
                 scored.filter(F.col("score") >= size)
-                .join(firsts, "r")
+                .join(_large(firsts), "r")
                 .groupBy("l")
                 .agg(F.max_by(F.struct("r", "rid"), F.struct("score", -F.col("rid"))).alias("b"))
                 .select("l", "b.*")
             )
         found = materialize(found.select("l", "r", "rid"), "matches")
         settled = settled.unionByName(found)
-        names = materialize(names.join(found, "l", "left_anti"), "open-names")
-    named = left.join(settled, F.col("name") == F.col("l"), "left")
+        names = materialize(names.join(_large(found), "l", "left_anti"), "open-names")
+    named = left.join(_large(settled), F.col("name") == F.col("l"), "left")
     return named.select(
         F.col("id").alias("df1_id"),
         F.col("name").alias("df1_name"),

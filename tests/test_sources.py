@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotspark.operators import match
-from shotspark.scale import scratch_path
+from shotspark.scale import materialize, scratch_path
 from shotspark.sources import ingest, store, tables
 
 
@@ -312,6 +312,36 @@ def test_match_names_against_all_pairs(spark, threshold):
     assert got == brute_force(left, right, threshold)
 
 
+@pytest.mark.parametrize("drops", [1, 2])
+def test_near_names_are_joined_without_the_driver(spark, drops):
+    rng = random.Random(drops)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(300)})
+    left, right = words[::2], words[1::3] + ["abc" * 8]
+    lt = materialize(spark.createDataFrame([(w,) for w in left], "l string"))
+    rt = materialize(spark.createDataFrame([(w, i) for i, w in enumerate(right)], "r string, rid long"))
+    near = match._near_matches(lt, rt, drops)
+    # exploded names are many more rows than the optimizer takes them for
+    joins = [line for line in near._sc._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "simple").splitlines() if "Join [part" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+    def common(a, b):
+        parts = [{a[:0]}, {b[:0]}]
+        for side, text in enumerate((a, b)):
+            level = {text}
+            parts[side] |= level
+            for _ in range(drops):
+                level = {w[:i] + w[i + 1 :] for w in level if len(w) > 1 for i in range(len(w))}
+                parts[side] |= level
+        return max(map(len, parts[0] & parts[1]))
+
+    want = {}
+    for a in left:
+        found = [(round(200 * n / (len(a) + len(b))), -i) for i, b in enumerate(right) if (n := common(a, b))]
+        if found:
+            want[a] = max(found)
+    assert {r["l"]: (r["score"], -r["rid"]) for r in near.collect()} == want
+
+
 def test_first_game_wins(spark):
     schema = "game_id long, home_team_id long, away_team_id long, competition_id string, season_id string"
     games = spark.createDataFrame([(1, 5, 6, "A", "1718")], schema)
