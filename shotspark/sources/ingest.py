@@ -11,6 +11,8 @@ from shotspark.sources.tables import dedupe
 OTHER_SUBTYPES = [81, 36, 21, 90, 91]
 HEAD_SUBTYPE = 82
 
+TASK_BYTES = 32_000_000  # of files that a task reads
+
 
 def decode_escapes(text: Column) -> Column:
     r"""Decode ``\uXXXX`` escapes and keep everything else, other backslashes too. Neighbouring
@@ -36,7 +38,10 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False)
         .option("recursiveFileLookup", True)
         .json(path)
     )
-    return found.select("*", F.col("_metadata.file_path").alias("_file"))
+    # Spark opens few small files in a task; a task that reads many of them is as good, and there are fewer
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return found.select("*", F.col("_metadata.file_path").alias("_file")).coalesce(tasks)
 
 
 def require(df: DataFrame, name: str, fields: list[str], by: str = "_file") -> DataFrame:
@@ -141,7 +146,7 @@ def read_open_data(
     ).join(games.select("game_id"), "game_id", "left_semi")
     named = seen
     if has_files(spark, f"{path}/lineups"):
-        sides = require(read("lineups", LINEUP_SCHEMA), "lineups", ["team_id", "lineup"]).select(
+        sides = require(materialize(read("lineups", LINEUP_SCHEMA), "sides"), "lineups", ["team_id", "lineup"]).select(
             number_of_file().alias("game_id"), "team_id", "team_name", F.explode_outer("lineup").alias("p")
         )
         named = materialize(

@@ -191,6 +191,27 @@ def test_open_data_from_nested_files(spark, tmp_path, lineups):
     assert took_part == [(100, 1, 11), (100, 2, 21), (101, 1, 12), (101, 2, 21), (102, 3, 31)]
 
 
+def test_documents_are_written_by_tasks(spark, monkeypatch):
+    from workload import files
+
+    rows = spark.range(300).withColumns({"game": F.col("id") % 7, "name": F.concat(F.lit('é"\n'), F.col("id")), "at": 1000 - F.col("id")})
+    root, stored = scratch_path(spark, "documents"), scratch_path(spark, "documents")
+    file = F.concat(F.lit("events/"), "game")
+    files._write_stored(rows.select(file.alias("file"), "at", F.to_json(F.struct("id", "name"), {"pretty": "true"}).alias("value")), stored)
+    # no file is renamed or written by the driver, which would take milliseconds for each
+    monkeypatch.setattr(files, "_write_stored", lambda *a: pytest.fail("the driver renames each file"))
+    files.write_documents(rows, root, file, "at", ["game"])
+    folder = root.removeprefix("file:")
+    assert sorted(os.listdir(f"{folder}/events")) == [f"{g}.json" for g in range(7)]
+    for g in range(7):
+        text = open(f"{folder}/events/{g}.json", encoding="utf-8").read()
+        assert text == open(f"{stored.removeprefix('file:')}/events/{g}.json", encoding="utf-8").read()
+        assert [r["id"] for r in json.loads(text)] == [i for i in range(299, -1, -1) if i % 7 == g]
+    read = ingest.read_json(spark, f"{root}/events", "id long, name string")
+    assert read.rdd.getNumPartitions() <= 7 and read.count() == 300
+    assert read.filter(ingest.number_of_file() == F.col("id") % 7).count() == 300
+
+
 def test_files_of_another_layout_raise(spark, tmp_path):
     open_data(str(tmp_path))
     flat = [{"match_id": 100, "match_date": "2018-06-14", "competition_id": 9, "season_id": 3, "home_team_id": 1, "away_team_id": 2}]
