@@ -136,10 +136,13 @@ def best_splits(sums: np.ndarray, alpha, lamda, least, allowed) -> tuple:
         h = x[:, 1] + lamda[:, None, None]
         return np.where(h > 0, threshold(x[:, 0], alpha[:, None, None]) ** 2 / np.where(h > 0, h, 1.0), 0.0)
 
-    gain = (part(left) + part(right) - part(total)) / 2
+    whole = part(total)
+    gain = (part(left) + part(right) - whole) / 2
     fine = (left[:, 1] >= least[:, None, None]) & (right[:, 1] >= least[:, None, None]) & allowed[:, :, None]
     gain = np.where(fine, gain, -np.inf).reshape(len(sums), -1)
-    at = gain.argmax(axis=1)
+    # of equally good splits the first, whatever order the sums were added in
+    top = gain.max(axis=1)
+    at = (gain >= (top - 1e-9 * np.abs(top) - 1e-12 * whole[:, 0, 0])[:, None]).argmax(axis=1)
     feature, split = np.divmod(at, left.shape[3])
     node = np.arange(len(sums))
     chosen = left[node, :, feature, split]

@@ -288,6 +288,19 @@ def test_searches_keep_the_best_and_store_it(spark, df, kind):
     assert first == pytest.approx(again) and len(set(first.values())) > 3
 
 
+def test_rows_of_a_search_are_computed_once(spark, df):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = search.boosted_search(NUMERIC, CATEGORIC, n_iter=2, folds=2, trees=2, key=("id",))
+    found.fit(df.mapInArrow(counted, df.schema))
+    assert seen.value == df.count()
+
+
 # --- perceptrons ------------------------------------------------------------------------
 
 
