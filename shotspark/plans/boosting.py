@@ -172,20 +172,6 @@ def _columns(rng, mask: np.ndarray, share: float) -> np.ndarray:
     return chosen
 
 
-def _packed(cells: np.ndarray) -> pa.Array:
-    """Each row of a matrix as bytes."""
-    n, size = len(cells), cells.itemsize * cells.shape[1]
-    ends = pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)[: n + 1])
-    return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(cells))])
-
-
-def _unpacked(column: pa.Array, kind, width: int) -> np.ndarray:
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    if not len(column):
-        return np.zeros((0, width), kind)
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
-
-
 def _blocks(batches):
     """Batches put together to about BLOCK rows."""
     kept, rows = [], 0
@@ -295,7 +281,7 @@ class Boosting:
                 for k in range(folds):
                     x = shared._matrix(batch.column(f"x{k}"), wide[k])
                     b = np.column_stack([np.searchsorted(edges[k][j], x[:, j], side="right") for j in range(wide[k])]).astype(np.uint8)
-                    columns.append(_packed(b))
+                    columns.append(shared.packed(b))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         names = ["label", "fold", "h", *[f"b{k}" for k in range(folds)]]
@@ -414,11 +400,11 @@ class Boosting:
                 for cut in range(0, whole.num_rows, 1024):
                     batch = whole.slice(cut, 1024)
                     label, fold, h = (batch.column(c).to_numpy() for c in ("label", "fold", "h"))
-                    score = _unpacked(batch.column("score"), float, n)
+                    score = shared.unpacked(batch.column("score"), float, n)
                     parts = []
                     for k in range(folds):
                         if len(members[k]):
-                            b = _unpacked(batch.column(f"b{k}"), np.uint8, wide[k])
+                            b = shared.unpacked(batch.column(f"b{k}"), np.uint8, wide[k])
                             own = score[:, members[k]].copy()
                             for forest in recent:
                                 own += forest.value[members[k], forest.walk(b, members[k])]
@@ -438,7 +424,7 @@ class Boosting:
                 for models, _, _, _, _, own in parts:
                     score[:, models] = own
                 at = batch.schema.get_field_index("score")
-                yield batch.set_column(at, "score", _packed(score))
+                yield batch.set_column(at, "score", shared.packed(score))
 
         self.rows = materialize(self.rows.mapInArrow(compute, self.rows.schema), "boosted")
         self.stored = len(self.forests)
@@ -539,7 +525,7 @@ class Boosting:
         def summed(bins, k):
             """Scores of the models of a fold; rows of equal bins walk the trees once."""
             coded = bins.dictionary_encode()
-            b = _unpacked(coded.dictionary, np.uint8, wide[k])
+            b = shared.unpacked(coded.dictionary, np.uint8, wide[k])
             z = np.tile(starts[members[k]], (len(b), 1))
             for forest in forests:
                 z += forest.value[members[k], forest.walk(b, members[k])]
@@ -554,7 +540,7 @@ class Boosting:
                     if grouped:
                         mine = summed(batch.column(f"b{k}").filter(pa.array(fold == k)), k)
                     else:
-                        mine = _unpacked(batch.column("score"), float, n)[fold == k][:, own]
+                        mine = shared.unpacked(batch.column("score"), float, n)[fold == k][:, own]
                     p = 1 / (1 + np.exp(-mine)) if logistic else mine
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -1,6 +1,7 @@
 """Shared-scan searches against plain numpy fits of single candidates."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
@@ -339,6 +340,59 @@ def test_networks_learn_what_no_line_can_and_bear_any_partitioning(spark, monkey
     assert one == pytest.approx(other, abs=1e-9)
 
 
+@pytest.mark.parametrize("logistic", [True, False])
+def test_slices_side_by_side_are_trained_as_one_by_one(spark, monkeypatch, logistic):
+    monkeypatch.setattr(neural, "SLICE", 40)
+    monkeypatch.setattr(neural, "SIDE", 100)
+    rng = np.random.default_rng(10)
+    x, fold, h = rng.normal(size=(330, 3)), rng.integers(0, 2, 330), np.arange(330) * 104729
+    y = (x[:, 0] > x[:, 1]).astype(float)
+    rows = spark.createDataFrame(
+        [(float(t), int(f), int(n), *[[float(v) for v in r]] * 2) for r, t, f, n in zip(x, y, fold, h)],
+        "label double, fold int, h long, x0 array<double>, x1 array<double>",
+    )
+    layouts = [neural.Layout((5,), "relu", 16, 0.1), neural.Layout((4, 3), "logistic", 32, 0.3), neural.Layout((20,), "tanh", 512, 0.0)]
+    candidates = [(f, m) for m in layouts for f in (0, 1)]
+    nets = neural.Networks(materialize(rows.repartition(3), "sliced"), 2, candidates, 2, logistic)
+    for i, (f, m) in enumerate(candidates):
+        flat = neural.first_weights(3, m, np.random.default_rng([7, i]))[None]
+        for epoch in range(2):
+            total, seen = 0.0, 0
+            for number in range(330 // 40 + 1):
+                own = np.flatnonzero(h % (330 // 40 + 1) == number)
+                own = own[np.random.default_rng([7, epoch, number]).permutation(len(own))]
+                own, net, speed = own[fold[own] != f], flat, 0.0
+                for at in range(0, len(own), m.batch_size):
+                    batch = own[at : at + m.batch_size]
+                    _, g = neural.loss_and_gradient(net, x[batch], y[batch], m.hidden, m.activation, np.array([m.alpha]), logistic)
+                    speed = 0.9 * speed - m.step_size / max(np.sqrt((g**2).sum()), 1.0) * g
+                    net = net + speed
+                total, seen = total + net * len(own), seen + len(own)
+            flat = total / seen
+        assert nets.weights[i] == pytest.approx(flat[0], abs=1e-9)
+
+
+def test_rows_that_fill_a_batch_up_do_not_count():
+    rng = np.random.default_rng(11)
+    flat, x, y, alpha = rng.normal(size=(3, 2, 21)), rng.normal(size=(3, 1, 8, 3)), rng.normal(size=(3, 1, 8)), np.array([0.2, 0.4])
+    held = (np.arange(8) < np.array([8, 5, 1])[:, None]).astype(float)[:, None]
+    loss, gradient = neural.loss_and_gradient(flat, x, y, (4,), "tanh", alpha, False, held)
+    for s, n in enumerate((8, 5, 1)):
+        one = neural.loss_and_gradient(flat[s], x[s, 0, :n], y[s, 0, :n], (4,), "tanh", alpha, False)
+        assert loss[s] == pytest.approx(one[0]) and gradient[s] == pytest.approx(one[1])
+
+
+def test_blocks_hold_whole_slices(monkeypatch):
+    monkeypatch.setattr(neural, "BLOCK", 50)
+    number = np.sort(np.random.default_rng(12).integers(0, 9, 200))
+    x = np.arange(600.0).reshape(200, 3)
+    names = ["slice", "x", "label", "fold"]
+    whole = pa.RecordBatch.from_arrays([pa.array(number), shared.packed(x), pa.array(x[:, 0]), pa.array(number % 2)], names)
+    found = list(neural._slices([whole.slice(at, 30) for at in range(0, 200, 30)], 3))
+    assert len(found) > 2 and np.array_equal(np.concatenate([b[1] for b in found]), x)
+    assert all(a[0][-1] < b[0][0] for a, b in zip(found, found[1:]))
+
+
 def test_adaptive_steps_shrink_when_the_loss_stays(spark):
     rows = spark.createDataFrame([(0.5, i % 2, i, [0.0], [0.0]) for i in range(40)], "label double, fold int, h long, x0 array<double>, x1 array<double>")
     layouts = [neural.Layout(hidden=(2,), schedule=s, step_size=1.0) for s in ("adaptive", "constant")]
